@@ -54,6 +54,7 @@ class Chunk:
 
     def __init__(self, raw: np.ndarray, bounds: np.ndarray, first: int):
         self.first, self.raw, self.bounds = first, raw, bounds
+        self._sums: dict[bool, np.ndarray] = {}
         space = np.ones(len(raw) + 2, bool)
         space[1:-1] = SPACES[raw]
         edge = space[1:] != space[:-1]
@@ -71,13 +72,18 @@ class Chunk:
     def __len__(self) -> int:
         return len(self.bounds) - 1
 
-    def hashes(self, lower: bool = False) -> np.ndarray:
-        raw = LOWER[self.raw] if lower else self.raw
-        pw, inv = powers(_BASE, len(raw) + 1)
-        total = np.zeros(len(raw) + 1, U64)
-        np.cumsum((raw.astype(U64) + U64(1)) * pw[:-1], out=total[1:])
-        h = (total[self.ends] - total[self.starts]) * inv[self.starts]
-        return mix(h + (self.ends - self.starts).astype(U64) * U64(_STEP))
+    def hashes(self, lower: bool = False, starts: np.ndarray | None = None, ends: np.ndarray | None = None) -> np.ndarray:
+        """Hashes of the words, or of the byte spans starts to ends."""
+        if starts is None or ends is None:
+            starts, ends = self.starts, self.ends
+        if self._sums.get(lower) is None:
+            raw = LOWER[self.raw] if lower else self.raw
+            total = np.zeros(len(raw) + 1, U64)
+            np.cumsum((raw.astype(U64) + U64(1)) * powers(_BASE, len(raw) + 1)[0][:-1], out=total[1:])
+            self._sums[lower] = total
+        total = self._sums[lower]
+        h = (total[ends] - total[starts]) * powers(_BASE, len(total))[1][starts]
+        return mix(h + (ends - starts).astype(U64) * U64(_STEP))
 
 
 def chunks(text: pa.Array, size: int = 1 << 19) -> Iterator[Chunk]:
