@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, cws, exact_dedup, lang_kernel, mixing, ngram_join, toxicity, warc
+from . import best_fit, cws, exact_dedup, lang_kernel, mixing, ngram_join, suffix_lm, toxicity, warc
 
 #: Folder of the public tokenizers' vocabulary files.
 TOKENIZERS = os.environ.get("GRAINLINE_TOKENIZERS", "/opt/tokenizers")
@@ -17,6 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_lm.score_held_out(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return best_fit.pack_documents(docs, f"{TOKENIZERS}/word_bpe_49k.json", max_len=4096, eos=1)
@@ -52,6 +56,7 @@ def op10_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_suffix_tree_lm": op2_suffix_tree_lm,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_language_kernel": op4_language_kernel,
     "op5_warc_revisits": op5_warc_revisits,
