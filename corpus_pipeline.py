@@ -7,26 +7,59 @@ tokenizer can't be expressed in SQL; tests hold each stage against a brute-force
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from grainline.llm import best_fit, exact_dedup, mixing, ngram_join, queries
+from grainline.llm import best_fit, exact_dedup, mixing, ngram_join, queries, toxicity
 from grainline.llm.store import cut
 
+ORACLE_SQL = None
 
-def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays (one of them, if rows repeat)."""
-    kept = exact_dedup.dedup(docs).where("kept").select(F.col("doc_id").alias("_kept"))
-    one = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept"))).drop("_kept")
-    return one.dropDuplicates(["doc_id"])
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the machine scores at 0.3 or above go."""
+    machine = toxicity.learn(docs, queries.table(spark, sf_dir, "labels"))
+    return toxicity.reject(docs, machine, threshold=0.3)
 
-STAGES = [("exact_dedup", dedup_exact)]
-ORACLE_SQL = None
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays; of repeated rows one."""
+    kept = exact_dedup.dedup(docs).where("kept").select(F.col("doc_id").alias("_doc"), F.col("text_sha256").alias("_sha"))
+    lowered = F.translate(F.coalesce("text", F.lit("")), exact_dedup.UPPER_LETTERS, exact_dedup.LOWER_LETTERS)
+    rows = docs.withColumn("_own", F.sha2(lowered, 256))
+    rows = rows.join(kept, (F.col("_own") == F.col("_sha")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
+    one = F.row_number().over(Window.partitionBy("_own", "doc_id").orderBy("doc_id"))
+    return rows.withColumn("_one", one).where("_one = 1").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group that 5-gram similarities of 0.8 or more connect, the document with the smallest doc_id stays."""
+    found = ngram_join.join(docs, n=5, threshold=0.8).where("doc_id IS NOT NULL")
+    gone = found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("class_id")).alias("stays")).where("NOT stays").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the sources' targets take them."""
+    return mixing.apply(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all pieces in sequences of 4096 tokens."""
+    return best_fit.pack_documents(docs, f"{queries.TOKENIZERS}/word_bpe_49k.json", max_len=4096, eos=1)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("ngram_join", drop_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = queries.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:

@@ -11,7 +11,7 @@ beyond cap is made, so no document exceeds cap times its size.
 Ranks and positions need no ordered pass over a whole source: counts per (bucket, source) are summed first, and rows are
 ranked within a bucket of bounded size, so a source with most of the rows is no hot task. Defined results: null text is
 size 0; a null source is a source of its own, last; repeated rows are laid down one by one; with no words at all
-targets and taken are 0; empty input gives no rows; other columns are ignored unless kept.
+targets and taken are 0; empty input gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -77,10 +77,20 @@ def line_up(rows: DataFrame, count: int) -> DataFrame:
     return rows.withColumn("_own", own).join(before, (F.col("_bucket") == F.col("_b")) & F.col("source").eqNullSafe(F.col("_s"))).withColumn("start", F.col("before") + F.col("_own")).drop("_own", "before", "_b", "_s", "_bucket")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, block_tokens: int = BLOCK_TOKENS, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, size, source, source_size, target, taken (and the columns of keep) of every row."""
+def apply(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: every row of docs as often as its taken words hold it, to the nearest whole number. Only the
+    last document of a source's last pass is taken in part, so whole documents keep the targets."""
+    held = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "mixed")
+    share = mix(held, row="_row", **options).where("size > 0").select("_row", F.round(F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    copies = F.explode(F.sequence(F.lit(1), F.col("_times")))
+    return held.join(share.where("_times > 0"), "_row").withColumn("_copy", copies).select(*docs.columns)
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, block_tokens: int = BLOCK_TOKENS, row: str | None = None) -> DataFrame:
+    """doc_id, size, source, source_size, target, taken of every row, and _row, taken from the column `row` if named."""
+    numbered = F.monotonically_increasing_id() if row is None else F.col(row)
     shuffled = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("mix"), F.col("doc_id").cast("string"))), 1, 15), 16, 10).cast("long")
-    rows = sizes(docs.select("doc_id", "source", "text")).drop("text").withColumn("_row", F.monotonically_increasing_id()).withColumn("_hash", shuffled)
+    rows = sizes(docs.select("doc_id", "source", "text", numbered.alias("_row"))).drop("text").withColumn("_hash", shuffled)
     table = cut(rows, "sizes")
     totals = table.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     goal = cut(targets(totals.select("source", "source_size"), weights, cap).coalesce(1), "targets")  # one row a source
@@ -107,4 +117,4 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, block
     got = spans.join(right, (F.col("block") == F.col("_block")) & F.col("source").eqNullSafe(F.col("_source"))).groupBy("_row").agg(F.sum(inside * F.col("times")).alias("taken"))
     out = table.join(got, "_row", "left").withColumnRenamed("source", "_own")
     out = out.join(F.broadcast(goal), F.col("_own").eqNullSafe(F.col("source")))
-    return out.select("doc_id", "size", F.col("_own").alias("source"), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("_row", "doc_id", "size", F.col("_own").alias("source"), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

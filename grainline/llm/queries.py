@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, cws, exact_dedup, lang_kernel, mixing, ngram_join, suffix_lm, toxicity, warc
+from . import best_fit, cws, exact_dedup, lang_kernel, mixing, ngram_join, substring_dedup, suffix_lm, toxicity, warc
 
 #: Folder of the public tokenizers' vocabulary files.
 TOKENIZERS = os.environ.get("GRAINLINE_TOKENIZERS", "/opt/tokenizers")
@@ -17,6 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"), window=35)
+
+
 def op2_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_lm.score_held_out(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ def op10_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_suffix_tree_lm": op2_suffix_tree_lm,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_language_kernel": op4_language_kernel,
@@ -77,6 +82,18 @@ _BASE32 = " || ".join(
 )
 
 ORACLE = {
+    "op1_substring_dedup": """
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+        p AS (SELECT doc_id, unnest(range(1, len(ws) - 33)) AS i, ws FROM w WHERE len(ws) >= 35),
+        g AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS gram FROM p),
+        r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY gram) AS n FROM g) WHERE n > 1),
+        c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS k FROM r),
+        cs AS (SELECT doc_id, list(k) AS ks FROM c GROUP BY doc_id),
+        kept AS (SELECT w.doc_id, len(ws) AS n_words, CASE WHEN ks IS NULL THEN ws
+                 ELSE list_transform(list_filter(range(1, len(ws) + 1), lambda k: NOT list_contains(ks, k)), lambda k: ws[k]) END AS left_over
+                 FROM w LEFT JOIN cs USING (doc_id))
+        SELECT doc_id, n_words::BIGINT AS n_words, (n_words - len(left_over))::BIGINT AS n_removed,
+               sha256(array_to_string(left_over, ' ')) AS kept_sha256 FROM kept""",
     "op5_warc_revisits": f"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, html, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS f FROM p)

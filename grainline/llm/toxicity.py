@@ -129,29 +129,49 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, **
     return fit([np.frombuffer(s, np.int32).astype(np.int64) for s, _ in pairs], np.array([float(y > 0) for _, y in pairs]), **options)
 
 
+def logits(machine: Machine, table: np.ndarray, text: pa.Array) -> np.ndarray:
+    out = []
+    for c in chunks(text):
+        slot, doc = text_slots(c)
+        at = table[slot]
+        known = at >= 0
+        both = np.unique(doc[known] << 32 | at[known])
+        bounds = np.searchsorted(both, np.arange(len(c) + 1) << 32)
+        ids = both & 0xFFFFFFFF
+        out += [machine.logit(ids[bounds[i]:bounds[i + 1]]) for i in range(len(c))]
+    return np.array(out, float)
+
+
+def probability(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+
+
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """doc_id, score of every row."""
     model = docs.sparkSession.sparkContext.broadcast((machine, machine.table()))
     key = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, table = model.value
         for batch in batches:
-            out = []
-            for c in chunks(text_array(batch.column(1))):
-                slot, doc = text_slots(c)
-                at = table[slot]
-                known = at >= 0
-                both = np.unique(doc[known] << 32 | at[known])
-                bounds = np.searchsorted(both, np.arange(len(c) + 1) << 32)
-                ids = both & 0xFFFFFFFF
-                out += [own.logit(ids[bounds[i]:bounds[i + 1]]) for i in range(len(c))]
-            p = 1 / (1 + np.exp(-np.clip(np.array(out, float), -60, 60)))
+            p = probability(logits(*model.value, text_array(batch.column(1))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64())], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {key}, score double")
 
 
+def reject(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, all columns, that score below the threshold; no shuffle."""
+    model = docs.sparkSession.sparkContext.broadcast((machine, machine.table()))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = probability(logits(*model.value, text_array(batch.column(at))))
+            yield batch.filter(pa.array(p < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def predict(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
     out = score(docs, learn(docs, labels, **options))
