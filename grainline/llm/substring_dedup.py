@@ -177,17 +177,21 @@ def _runs(places: np.ndarray) -> list[tuple[int, int]]:
 
 
 def repeats(distinct: DataFrame, shards: int, window: int) -> DataFrame:
-    """route, digest_a, digest_b, hits: runs of repeated windows in each distinct segment that has any."""
+    """route, digest_a, digest_b, a, b: each run of repeated windows of each distinct segment."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = search_shard(pdf["words"].tolist(), pdf["copies"].to_numpy(), window)
-        at = [i for i, _ in found]
+        at, a, b = [], [], []
+        for i, w in search_shard(pdf["words"].tolist(), pdf["copies"].to_numpy(), window):
+            for x, y in _runs(np.sort(w)):
+                at.append(i)
+                a.append(x)
+                b.append(y)
         out = pdf[["route", "digest_a", "digest_b"]].iloc[at].copy()
-        out["hits"] = [[{"a": a, "b": b} for a, b in _runs(np.sort(w))] for _, w in found]
+        out["a"], out["b"] = np.array(a, np.int32), np.array(b, np.int32)
         return out
 
     dealt = distinct.withColumn("_shard", F.pmod(F.xxhash64("route"), F.lit(shards)))
-    return dealt.groupBy("_shard").applyInPandas(run, "route long, digest_a long, digest_b long, hits array<struct<a:int,b:int>>")
+    return dealt.groupBy("_shard").applyInPandas(run, "route long, digest_a long, digest_b long, a int, b int")
 
 
 def repeated_intervals(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot_anchor: int = HOT_ANCHOR, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -200,7 +204,7 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, anchor: int = ANCH
     distinct = held.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"), F.first("words").alias("words"))
     words = held.agg(F.sum(F.col("hi") - F.col("lo") + window)).first()[0] or 0
     found = repeats(distinct, max(1, -(-words // shard_words)), window)
-    back = held.select(*_KEY, "lo", *keys).join(found, keys).select(*_KEY, F.explode(F.transform("hits", lambda x: F.struct((F.col("lo") + x["a"]).alias("a"), (F.col("lo") + x["b"]).alias("b")))).alias("span"))
+    back = held.select(*_KEY, "lo", *keys).join(found, keys).select(*_KEY, F.struct((F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b")).alias("b")).alias("span"))
     return back.groupBy(*_KEY).agg(F.sort_array(F.collect_set("span")).alias("spans"))
 
 

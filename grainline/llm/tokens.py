@@ -58,7 +58,7 @@ class Chunk:
         space = np.ones(len(raw) + 2, bool)
         space[1:-1] = SPACES[raw]
         edge = space[1:] != space[:-1]
-        inner = bounds[1:-1]
+        inner = np.unique(bounds[1:-1])
         cut_at = inner[(inner > 0) & (inner < len(raw))]
         if len(cut_at):  # a word ends where its document ends
             both = cut_at[~space[cut_at] & ~space[cut_at + 1]]
