@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import cut
 from .tokens import Chunk, chunks, text_array
 
 SLOT_BITS, PREFIXES, FACTORS = 22, (4, 5, 6, 7), 4
@@ -66,18 +67,26 @@ class Machine:
         return float(self.bias + self.weight[ids].sum() + 0.5 * (s @ s - np.square(v).sum()))
 
 
-def fit(sets: list[np.ndarray], label: np.ndarray, factors: int = FACTORS, min_docs: int = MIN_DOCS, min_z: float = MIN_Z, epochs: int = 12, rate: float = 0.1, l2: float = 2e-4, batch: int = 128) -> Machine:
-    """AdaGrad on the logistic loss, in mini-batches."""
+def screened(count: np.ndarray, in_toxic: np.ndarray, p: float, min_docs: int, min_z: float) -> np.ndarray:
+    """Which terms are kept: in min_docs texts at least, with a share of toxic texts that differs from the sample's
+    share p by min_z standard errors."""
+    z = (in_toxic - count * p) / np.sqrt(count * p * (1 - p))
+    return (count >= min_docs) & (np.abs(z) >= min_z)
+
+
+def share(label: np.ndarray) -> float:
+    return float(np.clip(label.mean(), 1e-3, 1 - 1e-3))
+
+
+def fit(sets: list[np.ndarray], label: np.ndarray, slots: np.ndarray | None = None, factors: int = FACTORS, min_docs: int = MIN_DOCS, min_z: float = MIN_Z, epochs: int = 12, rate: float = 0.1, l2: float = 2e-4, batch: int = 128) -> Machine:
+    """AdaGrad on the logistic loss, in mini-batches. slots: the terms to learn, sorted; by default they are screened here."""
     if not len(sets):
         return Machine(-50.0, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, factors)))
-    slots, at = np.unique(np.concatenate(sets), return_inverse=True)
-    size = np.array([len(s) for s in sets])
-    in_toxic = np.bincount(at, np.repeat(label, size), len(slots))
-    count = np.bincount(at, minlength=len(slots))
-    # a term is kept if its share of toxic texts differs from the sample's by more than chance
-    p = np.clip(label.mean(), 1e-3, 1 - 1e-3)
-    z = (in_toxic - count * p) / np.sqrt(count * p * (1 - p))
-    slots = slots[(count >= min_docs) & (np.abs(z) >= min_z)]
+    p = share(label)
+    if slots is None:
+        slots, at = np.unique(np.concatenate(sets), return_inverse=True)
+        in_toxic = np.bincount(at, np.repeat(label, [len(s) for s in sets]), len(slots))
+        slots = slots[screened(np.bincount(at, minlength=len(slots)), in_toxic, p, min_docs, min_z)]
     g = np.random.Generator(np.random.PCG64(SEED))
     n = len(slots)
     w, v = np.zeros(n), g.normal(0, 0.01, (n, factors))
@@ -114,19 +123,44 @@ def remainder(doc_id, n: int):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, **options) -> Machine:
-    """Fit on at most sample_rows labelled rows that are not held out."""
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, min_docs: int = MIN_DOCS, min_z: float = MIN_Z, **options) -> Machine:
+    """Fit on at most sample_rows labelled rows that are not held out. Terms are counted and screened on the executors;
+    the driver gets the screened terms of the sample only."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(remainder(F.col("doc_id"), 4) != 2)
     sample = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [s.astype(np.int32).tobytes() for c in chunks(text_array(batch.column(0))) for s in presence(c)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(sets, pa.binary())], ["toxic", "slots"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "toxic int, slots binary").limit(2 * sample_rows).toArrow()
+    held = cut(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", (F.col("toxic") > 0).cast("int").alias("toxic")).mapInArrow(sets_of, "toxic int, slots binary"), "sample")
+    total = held.agg(F.count(F.lit(1)), F.sum("toxic")).first()
+    if not total[0]:
+        return fit([], np.zeros(0))
+    p = share(np.array([total[1] / total[0]]))
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(s.as_py(), np.int32) for s in batch.column(1)]
+            slot, at = np.unique(np.concatenate([*sets, np.zeros(0, np.int32)]), return_inverse=True)
+            toxic = np.bincount(at, np.repeat(batch.column(0).to_numpy(), [len(s) for s in sets]), len(slot))
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(np.bincount(at, minlength=len(slot))), pa.array(toxic.astype(np.int64))], ["slot", "n", "toxic"])
+
+    z = (F.col("toxic") - F.col("n") * p) / F.sqrt(F.col("n") * p * (1 - p))
+    terms = held.mapInArrow(counts, "slot int, n long, toxic long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    slots = np.sort(terms.where((F.col("n") >= min_docs) & (F.abs(z) >= min_z)).select("slot").toArrow()["slot"].to_numpy().astype(np.int64))
+    kept = docs.sparkSession.sparkContext.broadcast(slots)
+
+    def known_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(s.as_py(), np.int32) for s in batch.column(1)]
+            own = [s[np.isin(s, kept.value, assume_unique=True)].tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], ["toxic", "slots"])
+
+    rows = held.mapInArrow(known_terms, "toxic int, slots binary").toArrow()
     pairs = sorted(zip(rows["slots"].to_pylist(), rows["toxic"].to_pylist()))  # an order of their own, whatever the partitions
-    return fit([np.frombuffer(s, np.int32).astype(np.int64) for s, _ in pairs], np.array([float(y > 0) for _, y in pairs]), **options)
+    return fit([np.frombuffer(s, np.int32).astype(np.int64) for s, _ in pairs], np.array([float(y) for _, y in pairs]), slots, **options)
 
 
 def logits(machine: Machine, table: np.ndarray, text: pa.Array) -> np.ndarray:
