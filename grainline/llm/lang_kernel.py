@@ -25,6 +25,8 @@ from .toxicity import remainder
 
 SLOT_BITS, ORDERS = 13, (1, 2, 3)
 SAMPLE_ROWS, LANDMARKS, RIDGE, BLOCK = 4096, 128, 1e-2, 64
+#: Bound of the broadcast table of languages and their sampling shares.
+MOST_LANGS = 10_000
 _LETTERS = np.full(256, 32, np.uint8)
 _LETTERS[97:123] = _LETTERS[65:91] = np.arange(97, 123, dtype=np.uint8)
 _LETTERS[128:] = np.arange(128, 256, dtype=np.uint8)
@@ -92,6 +94,8 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, landmarks: int = LAND
     known = docs.select("doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL").where(remainder(F.col("doc_id"), 3) != 1)
     counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     langs = max(1, counts.count())
+    if langs > MOST_LANGS:
+        raise ValueError(f"{langs} languages; the shares of at most {MOST_LANGS} are broadcast")
     share = counts.select("lang", F.least(F.lit(1.0), F.lit(sample_rows / langs) / F.col("n")).alias("share"))
     dice = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
 
@@ -100,7 +104,7 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, landmarks: int = LAND
             bits = [np.packbits(grams_present(t)).tobytes() if has_letter(t) else None for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(bits, pa.binary())], ["lang", "bits"])
 
-    rows = known.join(share, "lang").where(dice < F.col("share")).select("text", "lang").mapInArrow(run, "lang string, bits binary").where("bits IS NOT NULL").limit(2 * sample_rows).toArrow()
+    rows = known.join(F.broadcast(share), "lang").where(dice < F.col("share")).select("text", "lang").mapInArrow(run, "lang string, bits binary").where("bits IS NOT NULL").limit(2 * sample_rows).toArrow()
     pairs = sorted(zip(rows["lang"].to_pylist(), rows["bits"].to_pylist()))
     if not pairs:
         return None
