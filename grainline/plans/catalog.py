@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import aggs, joins, reshape_quality, sources_keys, stats, windows  # noqa: F401
+from . import aggs, joins, models, reshape_quality, serving, sources_keys, stats, windows  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES", "flagship"]
