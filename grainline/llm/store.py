@@ -26,5 +26,5 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     df's lineage, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = new_dir(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
