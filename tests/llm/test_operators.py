@@ -411,6 +411,13 @@ def test_op9_null_ids(spark):
     assert got == {None: (None, 0), 1: (1, 0), 2: (2, 0)}
 
 
+def test_op9_one_id_with_two_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    df = spark.createDataFrame([(1, a), (1, b), (2, a + " more"), (3, b + " more")], "doc_id long, text string")
+    got = ngram_join.join(df).collect()
+    assert sorted((r["doc_id"], r["n_links"]) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1)]
+
+
 def test_op10_fingerprints(docs):
     got = cws.fingerprint_edits(docs).toPandas()
     data = sorted(((d, t or "") for d, t, *_ in corpus()))
