@@ -25,6 +25,7 @@ WEIGHTS = (5, 2, 1)
 #: floor(2^31 / golden ratio), made odd: multiples modulo 2^31 are the golden-ratio sequence in integers.
 GOLDEN, PERIOD = 1_327_217_885, 1 << 31
 BLOCK_TOKENS, SLOTS_PER_BUCKET, ROWS_PER_BUCKET = 128, 4096, 512
+CELL = PERIOD >> 12
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -60,7 +61,9 @@ def schedule(shares: DataFrame, slots: int) -> DataFrame:
     parts = max(1, -(-slots // (SLOTS_PER_BUCKET * 16)))
     point = (F.col("slot") % PERIOD * GOLDEN) % PERIOD
     line = spark.range(0, slots, 1, parts).withColumnRenamed("id", "slot").withColumn("point", point).withColumn("bucket", F.expr(f"slot div {SLOTS_PER_BUCKET}"))
-    met = line.join(F.broadcast(shares), (F.col("point") >= F.col("low")) & (F.col("point") < F.col("high")))
+    # the line of points is cut into cells, so that points meet sources by an equi-join of bounded fan-out
+    cells = shares.withColumn("cell", F.explode(F.expr(f"sequence(low div {CELL}, (high - 1) div {CELL})")))
+    met = line.withColumn("cell", F.expr(f"point div {CELL}")).join(cells, "cell").where("point >= low AND point < high").drop("cell")
     counts = met.groupBy("bucket", "source").agg(F.count(F.lit(1)).alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy("bucket")) - F.col("n")).select("bucket", F.col("source").alias("_source"), "before")
     ranked = met.withColumn("_own", F.row_number().over(Window.partitionBy("bucket", "source").orderBy("slot")) - 1)
@@ -116,5 +119,5 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, block
     right = taken_blocks.withColumnRenamed("source", "_source").withColumnRenamed("block", "_block")
     got = spans.join(right, (F.col("block") == F.col("_block")) & F.col("source").eqNullSafe(F.col("_source"))).groupBy("_row").agg(F.sum(inside * F.col("times")).alias("taken"))
     out = table.join(got, "_row", "left").withColumnRenamed("source", "_own")
-    out = out.join(F.broadcast(goal), F.col("_own").eqNullSafe(F.col("source")))
+    out = out.join(goal, F.col("_own").eqNullSafe(F.col("source")))
     return out.select("_row", "doc_id", "size", F.col("_own").alias("source"), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
