@@ -105,6 +105,28 @@ ORACLE = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM (SELECT doc_id, {_LOWERED} AS t FROM documents) WINDOW w AS (PARTITION BY t)""",
+    "op8_source_mixing": f"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+                          ('0x' || substr(md5('mix|' || doc_id), 1, 15))::BIGINT AS h, count(*) OVER () AS rows_n FROM documents),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
+        r AS (SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight, 3 * source_size::DOUBLE AS cap FROM s),
+        l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                     / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
+        b AS (SELECT min_by(level, cap / weight) AS best FROM l WHERE level * weight <= cap),
+        t AS (SELECT source, source_size, least(cap, coalesce(best * weight, cap)) AS target FROM l CROSS JOIN b),
+        sh AS (SELECT *, ceil(source_size / {mixing.BLOCK_TOKENS})::BIGINT AS blocks,
+                      round(sum(target) OVER (ORDER BY source NULLS LAST) / sum(target) OVER () * {mixing.PERIOD})::BIGINT AS high FROM t WHERE target > 0),
+        shares AS (SELECT *, lag(high, 1, 0) OVER (ORDER BY source NULLS LAST) AS low FROM sh),
+        slots AS (SELECT i, (i % {mixing.PERIOD} * {mixing.GOLDEN}) % {mixing.PERIOD} AS point
+                  FROM (SELECT unnest(range((SELECT ((sum(size) + {mixing.BLOCK_TOKENS - 1}) // {mixing.BLOCK_TOKENS})::BIGINT FROM d))) AS i)),
+        met AS (SELECT source, blocks, row_number() OVER (PARTITION BY source ORDER BY i) - 1 AS rank FROM slots JOIN shares ON point >= low AND point < high),
+        taken AS (SELECT source, rank % blocks AS block, count(*) AS times FROM met WHERE rank // blocks < 3 GROUP BY 1, 2),
+        placed AS (SELECT *, (sum(size) OVER (PARTITION BY source ORDER BY h % ((rows_n + {mixing.ROWS_PER_BUCKET - 1}) // {mixing.ROWS_PER_BUCKET}), h, doc_id) - size)::BIGINT AS start FROM d),
+        spans AS (SELECT doc_id, source, start, size, unnest(range(start // {mixing.BLOCK_TOKENS}, (start + size - 1) // {mixing.BLOCK_TOKENS} + 1)) AS block FROM placed WHERE size > 0),
+        got AS (SELECT doc_id, sum((least(start + size, (p.block + 1) * {mixing.BLOCK_TOKENS}) - greatest(start, p.block * {mixing.BLOCK_TOKENS})) * times)::BIGINT AS taken
+                FROM spans p JOIN taken k ON k.block = p.block AND k.source IS NOT DISTINCT FROM p.source GROUP BY 1)
+        SELECT d.doc_id, d.size::BIGINT AS size, source_size, target, coalesce(taken, 0) AS taken
+        FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source LEFT JOIN got USING (doc_id)""",
     "op9_ngram_jaccard_join": f"""
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
