@@ -6,7 +6,8 @@ sources). Slot i of the schedule takes block_tokens words from the source that t
 frac(i * phi) meets on the line of cumulative targets; slots are ranked per source. Each source's documents are
 shuffled by a hash and laid end to end, and that line of words is cut into blocks of block_tokens: rank k takes
 block k mod blocks, in pass k div blocks. A document gets the words that the taken blocks have of it. No pass
-beyond cap is made, so no document exceeds cap times its size.
+beyond cap is made, so no document exceeds cap times its size. A source whose size or target is below SMALL_BLOCKS
+blocks is too short for whole blocks: it gives the rounded target word by word, in passes along its line.
 
 Ranks and positions need no ordered pass over a whole source: counts per (bucket, source) are summed first, and rows are
 ranked within a bucket of bounded size, so a source with most of the rows is no hot task. Defined results: null text is
@@ -26,6 +27,8 @@ WEIGHTS = (5, 2, 1)
 GOLDEN, PERIOD = 1_327_217_885, 1 << 31
 BLOCK_TOKENS, SLOTS_PER_BUCKET, ROWS_PER_BUCKET = 128, 4096, 512
 CELL = PERIOD >> 12
+#: Below so many blocks of words a slot more or less, or the short last block, would miss the target by a large share.
+SMALL_BLOCKS = 8
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -114,10 +117,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, block
     placed = line_up(table, count)
     first = F.expr(f"start div {block_tokens}")
     last = F.expr(f"(start + size - 1) div {block_tokens}")
-    spans = placed.where("size > 0").select("_row", "source", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
+    # small sources: the target's words along the line, pass by pass; the other sources' slots are not touched
+    small = goal.where(F.least("target", F.col("source_size").cast("double")) < SMALL_BLOCKS * block_tokens)
+    wanted = small.where("source_size > 0").select(F.col("source").alias("_source"), F.col("source_size").alias("_words"), F.round("target").cast("long").alias("_wanted"))
+    same = F.col("source").eqNullSafe(F.col("_source"))
+    passes = F.expr("_wanted div _words")
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_wanted") - passes * F.col("_words") - F.col("start")))
+    exact = placed.where("size > 0").join(wanted, same).select("_row", (passes * F.col("size") + part).alias("taken"))
+    spans = placed.where("size > 0").join(wanted, same, "left_anti").select("_row", "source", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
     inside = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_tokens) - F.greatest(F.col("start"), F.col("block") * block_tokens)
     right = taken_blocks.withColumnRenamed("source", "_source").withColumnRenamed("block", "_block")
-    got = spans.join(right, (F.col("block") == F.col("_block")) & F.col("source").eqNullSafe(F.col("_source"))).groupBy("_row").agg(F.sum(inside * F.col("times")).alias("taken"))
+    got = spans.join(right, (F.col("block") == F.col("_block")) & F.col("source").eqNullSafe(F.col("_source"))).groupBy("_row").agg(F.sum(inside * F.col("times")).alias("taken")).unionByName(exact)
     out = table.join(got, "_row", "left").withColumnRenamed("source", "_own")
     out = out.join(goal, F.col("_own").eqNullSafe(F.col("source")))
     return out.select("_row", "doc_id", "size", F.col("_own").alias("source"), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

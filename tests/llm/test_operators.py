@@ -365,6 +365,26 @@ def test_op8_capped_targets(spark):
     assert got == {k: pytest.approx(v) for k, v in brute_targets({"a": 2, "b": 500, "c": 3, None: 0}).items()}
 
 
+def test_op8_small_sources_beside_a_large_one_meet_their_targets(spark):
+    data = [(i, "a", "w " * 500) for i in range(200)]
+    data += [(1000 + 10 * i + j, None if i == 0 else f"t{i:02}", "v " * (3 + i % 5)) for i in range(40) for j in range(1 + i % 6)]
+    df = spark.createDataFrame(data, "doc_id long, source string, text string")
+    sizes = collections.Counter()
+    for _, s, t in data:
+        sizes[s] += len(t.split())
+    want = brute_targets(sizes)
+    got, copies = collections.Counter(), collections.Counter()
+    for r in mixing.mix(df).collect():
+        got[r["source"]] += r["taken"]
+        assert 0 <= r["taken"] <= 3 * r["size"]
+    for r in mixing.apply(df).collect():
+        copies[r["source"]] += len(r["text"].split())
+    for s, t in want.items():
+        if s != "a":
+            assert abs(got[s] - t) <= 0.5 and abs(copies[s] - t) <= 0.5 + 7
+    assert abs(got["a"] - want["a"]) <= 4 * 128
+
+
 def brute_join(data, n=5, threshold=0.8):
     grams = {}
     for d, t, *_ in data:
