@@ -1,10 +1,9 @@
 """Document fingerprints by consistent weighted sampling (operator 10).
 
-A text's terms are its words (A-Z lower-cased), weighted by their counts, and hashed to term_slots rows of fixed
-random tables: r and c from Gamma(2, 1), b uniform. For every sample k and term of weight w,
+A text's terms are its words (A-Z lower-cased), weighted by their counts and known by 64-bit hashes; each term's
+r and c from Gamma(2, 1) and uniform b come from a counter-based generator keyed by its hash. For every sample k and term of weight w,
 t = floor(ln w / r + b), ln a = ln c - r (t - b + 1); the sample is the (term, t) with the least a. Two texts agree in a
-sample with probability equal to the generalised Jaccard similarity of their weighted terms (apart from hashed
-terms that meet in one slot), so the share of equal samples estimates it.
+sample with probability equal to the generalised Jaccard similarity of their weighted terms, so the share of equal samples estimates it.
 
 The next document comes from one shuffle of the texts by ranges of doc_id; the first rows of each range
 are dealt to the range before too, and every task streams its range in order. Defined results: null text is
@@ -24,61 +23,100 @@ from pyspark.sql import functions as F
 
 from .tokens import Chunk, mix
 
-SAMPLES, TERM_SLOTS, SEED = 64, 1 << 15, 20260101
-SMALL = 4  #: Weights up to this one have their samples tabulated.
-_TABLES: dict[tuple[int, int], tuple] = {}
+SAMPLES, CACHE_ROWS, SEED = 64, 1 << 16, 20260101
+#: Terms drawn or compared at once.
+SLICE = 1 << 9
+_CACHES: dict[tuple[int, int], Cache] = {}
 _EMPTY = np.full(1, -1, np.int64)
 
 
-def tables(samples: int, slots: int) -> tuple:
-    if (samples, slots) not in _TABLES:
-        g = np.random.Generator(np.random.PCG64(SEED))
-        shape = (slots, samples)
-        r = g.standard_gamma(2, shape, np.float32)
-        c = np.log(g.standard_gamma(2, shape, np.float32))
-        b = g.random(shape, np.float32)
-        small = [_sample(np.float32(np.log(w)), r, c, b) for w in range(1, SMALL + 1)]
-        _TABLES[samples, slots] = (r, c, b, [x[0] for x in small], [x[1].astype(np.int16) for x in small])
-    return _TABLES[samples, slots]
-
-
 def _sample(lw, r, c, b):
     t = np.floor(lw / r + b)
     return c - r * (t - b + 1), t
 
 
-def signature(term: np.ndarray, weight: np.ndarray, samples: int = SAMPLES, slots: int = TERM_SLOTS) -> np.ndarray:
-    """samples values that name the sampled (term slot, t); term: distinct slots."""
+class Cache:
+    """The draws of terms that recur, a row each. Draws are a function of the term's whole hash, so what the cache
+    holds changes no result; a term enters when it is the last one that missed its row and misses it again."""
+
+    def __init__(self, samples: int, rows: int):
+        self.key = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 63, (2, samples), np.uint64) * np.uint64(2) + np.uint64(1)
+        self.term, self.missed = np.zeros(rows, np.uint64), np.zeros(rows, np.uint64)
+        self.r, self.c, self.b, self.once = (np.zeros((rows, samples), np.float32) for _ in range(4))
+
+    def draws(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """r and ln c of Gamma(2, 1), uniform b, and the sample of weight 1 of each (term, sample), from 21-bit uniforms."""
+        u = []
+        for key, n in zip(self.key, (3, 2)):
+            bits = mix(term[:, None] ^ key)
+            u += [(((bits >> np.uint64(43 - 21 * i)) & np.uint64(0x1FFFFF)).astype(np.int32).astype(np.float32) + np.float32(0.5)) * np.float32(2**-21) for i in range(n)]
+        r, c = -np.log(u[0] * u[1]), np.log(-np.log(u[2] * u[3]))
+        return r, c, u[4], c - r * (1 - u[4])
+
+    def rows(self, term: np.ndarray) -> np.ndarray:
+        """The row of each term, -1 where the cache does not hold it (a hash of 0 is never held)."""
+        row = (term % np.uint64(len(self.term))).astype(np.int64)
+        return np.where((self.term[row] == term) & (term != 0), row, -1)
+
+    def offer(self, term: np.ndarray, drawn: tuple) -> None:
+        row = (term % np.uint64(len(self.term))).astype(np.int64)
+        row, first = np.unique(row, return_index=True)
+        again = self.missed[row] == term[first]
+        self.missed[row] = term[first]
+        row, first = row[again], first[again]
+        if len(row):
+            for table, x in zip((self.r, self.c, self.b, self.once), drawn):
+                table[row] = x[first]
+            self.term[row] = term[first]
+
+
+def cache(samples: int, rows: int) -> Cache:
+    if (samples, rows) not in _CACHES:
+        _CACHES[samples, rows] = Cache(samples, rows)
+    return _CACHES[samples, rows]
+
+
+def signature(term: np.ndarray, weight: np.ndarray, samples: int = SAMPLES, rows: int = CACHE_ROWS) -> np.ndarray:
+    """samples values that name the sampled (term, t); term: distinct 64-bit hashes."""
     if not len(term):
         return _EMPTY
-    r, c, b, small_a, small_t = tables(samples, slots)
+    held = cache(samples, rows)
     best = np.full(samples, np.inf, np.float32)
-    out = np.zeros(samples, np.int64)
+    best_term, best_t = np.zeros(samples, np.uint64), np.zeros(samples, np.int64)
     cols = np.arange(samples)
-    for w in range(1, SMALL + 2):
-        own = term[weight == w] if w <= SMALL else term[weight > SMALL]
-        if not len(own):
-            continue
-        if w <= SMALL:
-            a = small_a[w - 1][own]
-            k = a.argmin(0)
-            t = small_t[w - 1][own[k], cols]
-        else:
-            a, t = _sample(np.log(weight[weight > SMALL]).astype(np.float32)[:, None], r[own], c[own], b[own])
-            k = a.argmin(0)
-            t = t[k, cols]
-        a = a[k, cols]
-        won = a < best
-        best[won] = a[won]
-        out[won] = (own[k] * np.int64(1 << 32) + t.astype(np.int64) + (1 << 20))[won]
-    return out
-
-
-def text_signature(data: bytes, samples: int = SAMPLES, slots: int = TERM_SLOTS) -> np.ndarray:
+
+    def compare(names: np.ndarray, a: np.ndarray, t: np.ndarray | None) -> None:
+        k = a.argmin(0)
+        low, name = a[k, cols], names[k]
+        won = (low < best) | ((low == best) & (name < best_term))  # ties by term, in whatever order the cache served them
+        best[won], best_term[won] = low[won], name[won]
+        best_t[won] = 0 if t is None else t[k, cols][won]
+
+    row = held.rows(term)
+    one = weight == 1
+    for known, once in ((True, True), (True, False), (False, True), (False, False)):
+        of = np.flatnonzero(((row >= 0) == known) & (one == once))
+        for i in range(0, len(of), SLICE):
+            part = of[i:i + SLICE]
+            names, at = term[part], row[part]
+            if known and once:
+                compare(names, held.once[at], None)
+                continue
+            r, c, b, a = (held.r[at], held.c[at], held.b[at], held.once[at]) if known else held.draws(names)
+            if once:
+                compare(names, a, None)
+            else:
+                compare(names, *_sample(np.log(weight[part]).astype(np.float32)[:, None], r, c, b))
+            if not known:
+                held.offer(names, (r, c, b, a))
+    return mix(best_term ^ mix(best_t.astype(np.uint64))).view(np.int64)
+
+
+def text_signature(data: bytes, samples: int = SAMPLES, rows: int = CACHE_ROWS) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8)
     words = Chunk(raw, np.array([0, len(raw)]), 0).hashes(lower=True)
-    term, weight = np.unique((words % np.uint64(slots)).astype(np.int64), return_counts=True)
-    return signature(term, weight, samples, slots)
+    term, weight = np.unique(words, return_counts=True)
+    return signature(term, weight, samples, rows)
 
 
 def printed(sig: np.ndarray) -> str:
@@ -104,7 +142,7 @@ def ranges(docs: DataFrame, n: int) -> list:
     return sorted(set(got or []))
 
 
-def fingerprint_edits(docs: DataFrame, samples: int = SAMPLES, slots: int = TERM_SLOTS, partitions: int | None = None) -> DataFrame:
+def fingerprint_edits(docs: DataFrame, samples: int = SAMPLES, cache_rows: int = CACHE_ROWS, partitions: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row."""
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -144,10 +182,10 @@ def fingerprint_edits(docs: DataFrame, samples: int = SAMPLES, slots: int = TERM
             out: list[tuple] = []
             for doc, text, part, after in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 data = text.encode()
-                own = text_signature(data, samples, slots)
+                own = text_signature(data, samples, cache_rows)
                 if held and held[2] == part:
                     new = edited(held[1], text).encode()
-                    sig = text_signature(new, samples, slots)
+                    sig = text_signature(new, samples, cache_rows)
                     out.append((held[0], len(held[1]), hashlib.sha256(new).hexdigest(), printed(held[3]), printed(sig), likeness(held[3], sig), likeness(held[3], own)))
                 held = None if after else (doc, text, part, own)
             if out:

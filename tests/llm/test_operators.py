@@ -477,6 +477,19 @@ def test_op10_likeness_estimates_generalised_jaccard():
     assert abs(float(np.mean(errors))) < 0.03 and float(np.std(errors)) < 0.06
 
 
+def test_op10_long_texts_without_a_common_word_are_unlike():
+    a, b = (" ".join(f"{x}{i}" for i in range(100_000)).encode() for x in "ab")
+    assert cws.likeness(cws.text_signature(a, 256), cws.text_signature(b, 256)) < 0.02
+
+
+def test_op10_signature_does_not_depend_on_the_cache():
+    texts = [" ".join(f"w{i * k % 997}" for i in range(2000)).encode() for k in (1, 3, 10, 31)]
+    want = [cws.text_signature(t).tolist() for t in texts]
+    for order in ((0, 1, 2, 3), (3, 2, 1, 0)):
+        for i in order:
+            assert cws.text_signature(texts[i], rows=16).tolist() == want[i]
+
+
 def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     pages = spark.createDataFrame([], "page_id long, url string, html string")
