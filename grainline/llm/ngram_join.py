@@ -4,7 +4,7 @@ A document's set holds the hashes of its n-grams of words (A-Z lower-cased); wit
 its words together. Documents with equal sets form a class, and only its representative goes on. Band and row
 counts are chosen for the target recall at the threshold, band hashes are shuffled, and documents that meet in a
 band are gathered into candidate clusters; within a cluster every pair is verified on the full sets. A cluster
-whose sets exceed a task's memory is split into blocks, and the pairs of blocks are dealt out as tasks of their own. Tasks
+whose sets or members exceed a task's memory is split into blocks, and the pairs of blocks are dealt out as tasks of their own. Tasks
 return one row per member, never pairs: its number of links and a lead that it is linked to; leads are joined to classes
 by connected components, whose tables stay distributed and are written between rounds.
 
@@ -30,6 +30,8 @@ from .tokens import Chunk, chunks, grams, mix, text_array
 
 #: Elements of sets (8 bytes each) that one verification task takes from each of its two blocks.
 BLOCK_ELEMENTS = 1 << 20
+#: Members that a task takes from each of its two blocks, and how many of them it compares at once.
+BLOCK_MEMBERS, STRIP = 4096, 1024
 
 
 def bands_for(threshold: float, recall: float, most: int = 512) -> tuple[int, int]:
@@ -153,7 +155,29 @@ def _leads(ok: np.ndarray, names_l: np.ndarray, names_r: np.ndarray) -> tuple[np
     return np.minimum(l, names_l), np.minimum(r, names_r)
 
 
-def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, block_elements: int = BLOCK_ELEMENTS) -> DataFrame:
+def compared(left: list[np.ndarray], right: list[np.ndarray] | None, name_l: np.ndarray, name_r: np.ndarray, copies_l: np.ndarray, copies_r: np.ndarray, threshold: float, strip: int = STRIP) -> tuple[np.ndarray, ...]:
+    """Links and leads of the left, links and leads of the right; right None: left with itself. Strips of rows are reduced
+    at once, so memory is strip times the members of the right."""
+    links_l, lead_l = np.zeros(len(left), np.int64), name_l.copy()
+    links_r, lead_r = np.zeros(len(name_r), np.int64), name_r.copy()
+    for lo in range(0, len(left), strip):
+        hi = min(lo + strip, len(left))
+        if right is not None:
+            ok = verified(left[lo:hi], right, threshold)
+        elif len(left) <= strip:
+            ok = verified(left, None, threshold)
+        else:
+            ok = verified(left[lo:hi], left, threshold)
+        if right is None:
+            ok[np.arange(hi - lo), np.arange(lo, hi)] = False
+        links_l[lo:hi] = ok.astype(np.int64) @ copies_r
+        links_r += ok.T.astype(np.int64) @ copies_l[lo:hi]
+        lead_l[lo:hi], low = _leads(ok, name_l[lo:hi], name_r)
+        lead_r = np.minimum(lead_r, low)
+    return links_l, lead_l, links_r, lead_r
+
+
+def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, block_elements: int = BLOCK_ELEMENTS, block_members: int = BLOCK_MEMBERS) -> DataFrame:
     """doc_id, class_id, rep_id, n_links of every document; doc_id is an integer."""
     bands, rows = bands_for(threshold, recall)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -171,7 +195,7 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
     clusters = components(stars)
     members = reps.withColumn("node", F.xxhash64("set_a", "set_b", "size")).join(clusters, "node").select("node", "comp", "rep", "copies", "size", "set_a", "set_b")
     # blocks: members of a cluster in order of a running sum of sizes would need one task; a hash deals them evenly
-    shape = members.groupBy("comp").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / block_elements)).cast("int").alias("blocks"))
+    shape = members.groupBy("comp").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / block_elements), F.ceil(F.count(F.lit(1)) / block_members)).cast("int").alias("blocks"))
     placed = members.join(shape, "comp").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
     mine = F.sequence(F.lit(0), F.col("blocks") - 1)
     pairs = F.transform(mine, lambda b: F.struct(F.least("block", b).alias("i"), F.greatest("block", b).alias("j")))
@@ -210,16 +234,13 @@ def _verify(docs: DataFrame, tasks: DataFrame, n: int, threshold: float) -> Data
         grams_of = [np.frombuffer(x, np.uint64) for x in pdf["grams"]]
         node, copies, block = pdf["node"].to_numpy(), pdf["copies"].to_numpy(), pdf["block"].to_numpy()
         if i == j:
-            ok = verified(grams_of, None, threshold)
-            np.fill_diagonal(ok, False)
-            links, lead = ok.astype(np.int64) @ copies, _leads(ok, node, node)[0]
+            links, lead, _, _ = compared(grams_of, None, node, node, copies, copies, threshold)
         else:
             k = int((block == i).sum())
             if k == 0 or k == len(node):
                 return pd.DataFrame({"node": node[:0], "links": node[:0], "lead": node[:0]})
-            ok = verified(grams_of[:k], grams_of[k:], threshold)
-            a, b = _leads(ok, node[:k], node[k:])
-            links, lead = np.concatenate([ok.astype(np.int64) @ copies[k:], ok.T.astype(np.int64) @ copies[:k]]), np.concatenate([a, b])
+            found = compared(grams_of[:k], grams_of[k:], node[:k], node[k:], copies[:k], copies[k:], threshold)
+            links, lead = np.concatenate(found[0::2]), np.concatenate(found[1::2])
         return pd.DataFrame({"node": node, "links": links, "lead": lead})
 
     return rows.groupBy("comp", "i", "j").applyInPandas(check, "node long, links long, lead long")

@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -425,6 +426,24 @@ def test_op9_large_near_group_gives_rows_not_pairs(spark):
         assert sorted(tuple(x) for x in ngram_join.join(df, block_elements=elements).collect()) == want
 
 
+def test_op9_many_short_members_need_strips_and_blocks(spark):
+    r = np.random.default_rng(3)
+    base = np.arange(50, dtype=np.uint64)
+    sets = [np.sort(np.r_[np.delete(base, r.integers(0, 50, 1 + i % 9)), np.uint64(100 + i)]) for i in range(6000)]
+    name, copies = r.permutation(6000).astype(np.int64), r.integers(1, 4, 6000)
+    tracemalloc.start()
+    links, lead, _, _ = ngram_join.compared(sets, None, name, name, copies, copies, 0.8)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 400e6
+    for i in (0, 8, 3000, 5999):
+        ok = [j for j in range(6000) if j != i and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+        assert links[i] == copies[ok].sum() and lead[i] == min([*name[ok], name[i]])
+    data = [(i, " ".join([*(f"w{k}" for k in range(19)), f"x{i}"])) for i in range(200)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert sorted(tuple(x) for x in ngram_join.join(df, block_members=30).collect()) == brute_join(data)
+
+
 def test_op9_null_ids(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (2, None)], "doc_id long, text string")
     got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.join(df).collect()}
