@@ -26,11 +26,18 @@ def _(t):
     return rows.where("season >= 2000").select("actor_id", "season", "y", m.column().alias("prediction"))
 
 
+def levels(rows, column):
+    """All values of the column, each to be a column of the model; an error above the model's most columns."""
+    got = [r[0] for r in rows.select(column).distinct().orderBy(column).limit(models.MOST_COLUMNS + 1).collect()]
+    if len(got) > models.MOST_COLUMNS:
+        raise ValueError(f"{column} has more than {models.MOST_COLUMNS} values")
+    return got
+
+
 @query("K02_ridge_fixed_effects")
 def _(t):
     rows = coh(t)
-    seasons = [r[0] for r in rows.select("season").distinct().orderBy("season").limit(50).collect()]
-    teams = [r[0] for r in rows.select("team_id").distinct().orderBy("team_id").limit(100).collect()]
+    seasons, teams = levels(rows, "season"), levels(rows, "team_id")
     wide = rows.select("actor_id", "season", "y", "w", "x1", *((C("season") == s).cast("double").alias(f"s{s}") for s in seasons), *((C("team_id") == k).cast("double").alias(f"t{k}") for k in teams))
     m = models.ridge(wide, ["x1", *(f"s{s}" for s in seasons), *(f"t{k}" for k in teams)], "y", "w", 25.0)
     return wide.select("actor_id", "season", "y", m.column().alias("prediction"))

@@ -125,6 +125,14 @@ def test_ridge_against_numpy(spark):
     assert p == pytest.approx(list(z @ want + (w * y).sum() / w.sum()))
 
 
+def test_fixed_effects_keep_every_level_or_raise(spark):
+    from grainline.plans.models import levels
+
+    assert levels(spark.range(150).withColumnRenamed("id", "team_id"), "team_id") == list(range(150))
+    with pytest.raises(ValueError):
+        levels(spark.range(models.MOST_COLUMNS + 1).withColumnRenamed("id", "team_id"), "team_id")
+
+
 def test_expanding_folds_do_not_see_the_target_or_later(spark):
     r = np.random.default_rng(1)
     data = [(s, float(r.normal()), float(r.normal()), 1.0) for s in range(2000, 2006) for _ in range(20)]
