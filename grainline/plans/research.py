@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import joins, models, reshape, stats
 from ..sources import tables as src
-from ..sources.shared import new_folder
+from ..sources.shared import new_dir
 from .domain import TRAIL, trail
 from .models import FEATURES, training
 from .registry import query
@@ -22,7 +22,7 @@ N = lambda: F.count(F.lit(1))
 
 @query("A01_scan_partitioned", "SELECT season, team_id, plays, CASE WHEN season >= 1999 THEN volume END AS volume FROM team_seasons WHERE season <> 1997")
 def _(t):
-    root = new_folder(t.spark, "scan")
+    root = new_dir(t.spark, "scan")
     t.team_seasons.where("season < 1999").select("season", "team_id", "plays").write.partitionBy("season").parquet(f"{root}/teams")
     t.team_seasons.where("season >= 1999").select("season", "team_id", "plays", "volume").write.mode("append").partitionBy("season").parquet(f"{root}/teams")
     return src.scan_partitioned(t.spark, root, "teams", [1995, 1996, 1998, 1999, 2000, 2001]).select("season", "team_id", "plays", "volume")
@@ -30,7 +30,7 @@ def _(t):
 
 @query("A05_scan_csv_typed", "SELECT s_suppkey, s_name, s_suppkey % 2 = 0 AS flag, CASE WHEN s_suppkey % 3 <> 0 THEN CAST(s_suppkey * 2 AS INT) END AS n FROM supplier")
 def _(t):
-    path = new_folder(t.spark, "csv")
+    path = new_dir(t.spark, "csv")
     k = C("s_suppkey")
     t.raw("supplier").select("s_suppkey", "s_name", F.when(k % 2 == 0, "true").otherwise("TRUE").alias("flag"), F.when(k % 3 != 0, (k * 2).cast("string")).otherwise("x").alias("n")).write.option("header", True).csv(path)
     return src.scan_csv_typed(t.spark, path, {"s_suppkey": "bigint", "s_name": "string", "flag": "boolean", "n": "int"})
@@ -38,7 +38,7 @@ def _(t):
 
 @query("A13_versioned_sink", "SELECT season, team_id, plays FROM team_seasons")
 def _(t):
-    root = new_folder(t.spark, "sink")
+    root = new_dir(t.spark, "sink")
     src.versioned_sink({"teams": t.team_seasons.select("season", "team_id", "plays")}, root, "v1")
     src.versioned_sink({"teams": t.team_seasons.where("false")}, root, "v1")  # the version is there: nothing happens
     return t.spark.read.parquet(f"{root}/v1/teams")
@@ -46,7 +46,7 @@ def _(t):
 
 @query("A16_season_incremental", "SELECT season, team_id, plays + CASE WHEN season > 1998 THEN 1 ELSE 0 END AS plays FROM team_seasons")
 def _(t):
-    path = new_folder(t.spark, "seasons")
+    path = new_dir(t.spark, "seasons")
     rows = t.team_seasons.select("season", "team_id", "plays")
     src.season_incremental(rows.where("season <= 1998"), rows.where("false"), path)
     done = t.spark.read.parquet(path).select("season").distinct()

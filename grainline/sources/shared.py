@@ -1,17 +1,33 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and tables written there to cut lineage."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's spark.checkpoint.dir; under a temporary one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="grainline-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir. Where none is set: a temporary folder in local mode (tests), else an error, as
+    executors would not see a machine's own folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="grainline-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
+def new_dir(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it again: later jobs start from the table, not from
+    df's lineage, and a lost executor costs no recomputation. The folder's owner clears it; a result that is read later needs its tables."""
+    spark = df.sparkSession
+    path = new_dir(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
