@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .store import cut
 from .tokens import Chunk, chunks, text_array
 
-#: Words remembered by one Python worker (about 40 bytes each); beyond it the memory starts anew.
-CACHE_WORDS = 1_500_000
+#: Words remembered by one Python worker (about 150 bytes each); beyond it the memory starts anew.
+CACHE_WORDS = 500_000
 
 
 class WordTokenizer:
@@ -42,7 +42,7 @@ class WordTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
+        self.known: dict[bytes, int] = {}  # a word's place in the lists below
         self.at = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
@@ -54,36 +54,31 @@ class WordTokenizer:
         of = np.searchsorted(ends, [s for s, _ in out.offsets], "right")
         return np.array(out.ids, np.uint32), np.bincount(of, minlength=len(words))
 
-    def learn(self, chunk: Chunk, hashes: np.ndarray) -> None:
-        """Encode the words of the chunk that are not known yet."""
-        new, first = np.unique(hashes, return_index=True)
-        at = np.minimum(np.searchsorted(self.keys, new), max(0, len(self.keys) - 1))
-        missing = self.keys[at] != new if len(self.keys) else np.ones(len(new), bool)
-        new, first = new[missing], first[missing]
-        if not len(new):
-            return
-        if len(self.keys) + len(new) > CACHE_WORDS:
-            self.clear()
-            new, first = np.unique(hashes, return_index=True)
-        raw = chunk.raw.tobytes()
-        words = [raw[s:e].decode() for s, e in zip(chunk.starts[first].tolist(), chunk.ends[first].tolist())]
+    def learn(self, words: list[bytes]) -> None:
+        """Encode words that are not known yet."""
         ids, counts = [], []
         for i in range(0, len(words), 2000):
-            a, b = self.encode_words(words[i:i + 2000])
+            a, b = self.encode_words([w.decode() for w in words[i:i + 2000]])
             ids.append(a)
             counts.append(b)
         count = np.concatenate(counts)
-        at = len(self.ids) + np.cumsum(count) - count
-        keys = np.concatenate([self.keys, new])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.at, self.count = keys[order], np.concatenate([self.at, at])[order], np.concatenate([self.count, count])[order]
+        self.known.update(zip(words, range(len(self.count), len(self.count) + len(words))))
+        self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
         self.ids = np.concatenate([self.ids, *ids])
 
     def encode(self, chunk: Chunk) -> list[np.ndarray]:
         """Ids of each document of the chunk."""
-        hashes = chunk.hashes()
-        self.learn(chunk, hashes)
-        k = np.searchsorted(self.keys, hashes)
+        first, kind = chunk.distinct()
+        raw = chunk.raw.tobytes()
+        words = [raw[s:e] for s, e in zip(chunk.starts[first].tolist(), chunk.ends[first].tolist())]
+        new = [w for w in words if w not in self.known]
+        if new and len(self.known) + len(new) > CACHE_WORDS:
+            self.clear()
+            new = words
+        if new:
+            self.learn(new)
+        k = np.array([self.known[w] for w in words], np.int64)[kind]
         count = self.count[k]
         total = np.concatenate([[0], np.cumsum(count)])
         ids = self.ids[np.repeat(self.at[k] - total[:-1], count) + np.arange(total[-1])]

@@ -1,30 +1,17 @@
-"""The folder that driver and executors share, and tables written there to cut lineage."""
+"""Tables in the folder that driver and executors share, and names that no user column has."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from grainline.sources.shared import cut, new_dir, shared_dir
 
+__all__ = ["cut", "free", "new_dir", "shared_dir"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a temporary folder only where none is set (tests, local mode)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="grainline-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
 
-
-def new_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: later jobs start from the table, not from
-    df's lineage, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = new_dir(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def free(df: DataFrame, name: str) -> str:
+    """The name with as many underscores before it as no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -143,7 +143,7 @@ def search_shard(bodies: list[bytes], copies: np.ndarray, window: int) -> list[t
     bounds = np.cumsum([0, *(len(b) + 1 for b in bodies)])
     bounds[-1] = max(bounds[-1] - 1, 0)
     c = Chunk(raw, bounds, 0)
-    _, symbol = np.unique(c.hashes(), return_inverse=True)
+    symbol = c.distinct()[1]  # compared byte by byte: words that differ are symbols that differ
     n = len(bodies)
     first = c.word_bounds + np.arange(n + 1)  # a separator after each segment
     s = np.zeros(len(symbol) + n, np.int64)
@@ -197,7 +197,8 @@ def repeats(distinct: DataFrame, shards: int, window: int) -> DataFrame:
 def repeated_intervals(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot_anchor: int = HOT_ANCHOR, shard_words: int = SHARD_WORDS) -> DataFrame:
     """_doc, _text, spans: runs of repeated windows of each text that has any. docs comes from _keyed."""
     placed = cut(anchors(docs, window, anchor), "anchors")
-    often = placed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # a table of its own, so that the join below is of two plain tables and a frequent anchor's rows can be split
+    often = cut(placed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
     wanted = placed.join(often, "h").withColumn("hot", F.col("n") > hot_anchor).groupBy(*_KEY).agg(F.sort_array(F.collect_set(F.struct("lo", "hi", "h", "hot"))).alias("runs"))
     held = cut(contents(docs, wanted, window), "segments")
     keys = ["route", "digest_a", "digest_b"]

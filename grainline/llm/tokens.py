@@ -1,40 +1,28 @@
 """Words and word hashes of Arrow text batches, by whole-array NumPy operations on the UTF-8 bytes.
 
 A word is a run of bytes other than space and TAB..CR, i.e. the pattern [^\\x20\\x09-\\x0D]+; multi-byte
-characters never hold those bytes. Hashes are polynomials modulo 2^64 of the bytes, finished by a mixer.
+characters never hold those bytes. A hash takes a word 8 bytes at a time, with a mixing of all 64 bits between (words above
+64 bytes: blake2b), so two different words share one with probability 2^-64 whatever their structure.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_STEP = 0xD6E8FEB86659FD93 | 1
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_SEED, _STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+#: Words of up to so many 8-byte lanes are hashed lane by lane, all at once; longer ones one by one.
+_LANES = 8
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i modulo 2^64 for i < n."""
-    got = _POWERS.get(base)
-    if got is None or len(got[0]) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            a = np.full(size, b, U64)
-            a[0] = 1
-            out.append(np.multiply.accumulate(a))
-        got = _POWERS[base] = (out[0], out[1])
-    return got[0][:n], got[1][:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
@@ -54,7 +42,7 @@ class Chunk:
 
     def __init__(self, raw: np.ndarray, bounds: np.ndarray, first: int):
         self.first, self.raw, self.bounds = first, raw, bounds
-        self._sums: dict[bool, np.ndarray] = {}
+        self._raw: dict[bool, np.ndarray] = {}
         space = np.ones(len(raw) + 2, bool)
         space[1:-1] = SPACES[raw]
         edge = space[1:] != space[:-1]
@@ -72,18 +60,55 @@ class Chunk:
     def __len__(self) -> int:
         return len(self.bounds) - 1
 
+    def _lowered(self, lower: bool) -> np.ndarray:
+        """The bytes, lower-cased if asked for, and 8 more."""
+        if self._raw.get(lower) is None:
+            raw = np.zeros(len(self.raw) + 8, np.uint8)
+            raw[:-8] = LOWER[self.raw] if lower else self.raw
+            self._raw[lower] = raw
+        return self._raw[lower]
+
+    def _lane(self, raw: np.ndarray, starts: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
+        """Bytes 8k .. 8k + 7 of each span as one integer, zeros beyond its end."""
+        view = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+        spare = np.clip(8 * (k + 1) - size, 0, 7).astype(U64) * U64(8)
+        return view[starts + 8 * k] << spare >> spare
+
     def hashes(self, lower: bool = False, starts: np.ndarray | None = None, ends: np.ndarray | None = None) -> np.ndarray:
-        """Hashes of the words, or of the byte spans starts to ends."""
+        """Hashes of the words, or of the byte spans starts to ends (none is empty)."""
         if starts is None or ends is None:
             starts, ends = self.starts, self.ends
-        if self._sums.get(lower) is None:
-            raw = LOWER[self.raw] if lower else self.raw
-            total = np.zeros(len(raw) + 1, U64)
-            np.cumsum((raw.astype(U64) + U64(1)) * powers(_BASE, len(raw) + 1)[0][:-1], out=total[1:])
-            self._sums[lower] = total
-        total = self._sums[lower]
-        h = (total[ends] - total[starts]) * powers(_BASE, len(total))[1][starts]
-        return mix(h + (ends - starts).astype(U64) * U64(_STEP))
+        raw, size = self._lowered(lower), ends - starts
+        lanes = (size + 7) >> 3
+        h = size.astype(U64) * U64(_STEP) + U64(_SEED)
+        if len(h):
+            h = mix(h ^ self._lane(raw, starts, size, 0))
+        for k in range(1, min(_LANES, int(lanes.max(initial=0)))):
+            more = np.flatnonzero(lanes > k)
+            h[more] = mix(h[more] ^ self._lane(raw, starts[more], size[more], k))
+        for i in np.flatnonzero(lanes > _LANES).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(raw[starts[i]:ends[i]], digest_size=8).digest(), "little")
+        return h
+
+    def distinct(self, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(place of one word of each kind, kind of every word). Words of one hash are compared byte by byte, so that a kind is one word."""
+        raw, size = self._lowered(lower), self.ends - self.starts
+        _, first, kind = np.unique(self.hashes(lower), return_index=True, return_inverse=True)
+        one = first[kind]
+        same = size == size[one]
+        for k in range(int(((size + 7) >> 3).max(initial=0)) if same.all() else 0):
+            more = np.flatnonzero((size > 8 * k) & (one != np.arange(len(one)))) if k < _LANES else np.zeros(0, np.int64)
+            if not len(more):
+                break
+            same[more] &= self._lane(raw, self.starts[more], size[more], k) == self._lane(raw, self.starts[one[more]], size[more], k)
+        text = lambda i: raw[self.starts[i]:self.ends[i]].tobytes()
+        for i in np.flatnonzero(size > 8 * _LANES).tolist():
+            same[i] &= text(i) == text(one[i])
+        if same.all():
+            return first, kind
+        known: dict[bytes, int] = {}
+        kind = np.array([known.setdefault(text(i), len(known)) for i in range(len(size))], np.int64)
+        return np.unique(kind, return_index=True)[1], kind
 
 
 def chunks(text: pa.Array, size: int = 1 << 19) -> Iterator[Chunk]:
@@ -103,13 +128,21 @@ def chunks(text: pa.Array, size: int = 1 << 19) -> Iterator[Chunk]:
 
 
 def grams(h: np.ndarray, n: int) -> np.ndarray:
-    """Hash of the n words from each position on; len(h) - n + 1 values."""
+    """Hash of the n words from each position on; len(h) - n + 1 values. Spans of 1, 2, 4 .. words are joined pair by pair."""
     m = len(h) - n + 1
     if m <= 0:
         return np.zeros(0, U64)
-    if n == 1:
-        return h
-    pw, inv = powers(_STEP, len(h) + 1)
-    total = np.zeros(len(h) + 1, U64)
-    np.cumsum(h * pw[:-1], out=total[1:])
-    return mix((total[n:] - total[:m]) * inv[:m] + U64(n))
+    out, done, span, width = None, 0, h, 1
+    while True:
+        if n & width:
+            part = span[done:done + m]
+            out = part if out is None else _pair(out, part)
+            done += width
+        if width * 2 > n:
+            return out if n == 1 else mix(out + U64(n))
+        span = _pair(span[:-width], span[width:])
+        width *= 2
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(mix(a + U64(_SEED)) ^ b)
