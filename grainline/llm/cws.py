@@ -112,22 +112,25 @@ def signature(term: np.ndarray, weight: np.ndarray, samples: int = SAMPLES, rows
     return mix(best_term ^ mix(best_t.astype(np.uint64))).view(np.int64)
 
 
-def text_signature(data: bytes, samples: int = SAMPLES, rows: int = CACHE_ROWS) -> np.ndarray:
+def fingerprint(data: bytes, samples: int = SAMPLES, rows: int = CACHE_ROWS) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8)
     words = Chunk(raw, np.array([0, len(raw)]), 0).hashes(lower=True)
     term, weight = np.unique(words, return_counts=True)
-    return signature(term, weight, samples, rows)
+    return digits(signature(term, weight, samples, rows))
 
 
-def printed(sig: np.ndarray) -> str:
-    """Four hex digits a sample; empty for a text without words."""
-    if sig is _EMPTY or sig[0] == -1:
-        return ""
-    return (mix(sig.astype(np.uint64)) >> np.uint64(48)).astype(">u2").tobytes().hex()
+def digits(sig: np.ndarray) -> np.ndarray:
+    """The fingerprint: 16 bits a sample; empty for a text without words."""
+    if sig is _EMPTY:
+        return np.zeros(0, ">u2")
+    return (mix(sig.view(np.uint64)) >> np.uint64(48)).astype(">u2")
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    return float((a == b).mean()) if len(a) == len(b) else 0.0
+    """The share of equal samples of two fingerprints."""
+    if len(a) != len(b):
+        return 0.0
+    return float((a == b).mean()) if len(a) else 1.0
 
 
 def edited(text: str, following: str) -> str:
@@ -182,11 +185,11 @@ def fingerprint_edits(docs: DataFrame, samples: int = SAMPLES, cache_rows: int =
             out: list[tuple] = []
             for doc, text, part, after in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 data = text.encode()
-                own = text_signature(data, samples, cache_rows)
+                own = fingerprint(data, samples, cache_rows)
                 if held and held[2] == part:
                     new = edited(held[1], text).encode()
-                    sig = text_signature(new, samples, cache_rows)
-                    out.append((held[0], len(held[1]), hashlib.sha256(new).hexdigest(), printed(held[3]), printed(sig), likeness(held[3], sig), likeness(held[3], own)))
+                    sig = fingerprint(new, samples, cache_rows)
+                    out.append((held[0], len(held[1]), hashlib.sha256(new).hexdigest(), held[3].tobytes().hex(), sig.tobytes().hex(), likeness(held[3], sig), likeness(held[3], own)))
                 held = None if after else (doc, text, part, own)
             if out:
                 types = [batch.schema.field(0).type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]

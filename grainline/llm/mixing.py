@@ -4,15 +4,16 @@ Sizes are word counts. Sources, by code point with null last, weigh 5, 2, 1 and
 above cap times its source's size (the excess goes to the others by weight, by a water level over the sorted
 sources). Slot i of the schedule takes block_tokens words from the source that the golden-ratio point
 frac(i * phi) meets on the line of cumulative targets; slots are ranked per source. Each source's documents are
-shuffled by a hash and laid end to end, and that line of words is cut into blocks of block_tokens: rank k takes
-block k mod blocks, in pass k div blocks. A document gets the words that the taken blocks have of it. No pass
-beyond cap is made, so no document exceeds cap times its size. A source whose size or target is below SMALL_BLOCKS
-blocks is too short for whole blocks: it gives the rounded target word by word, in passes along its line.
+shuffled by a hash and laid end to end in a ring, which is cut into blocks of block_tokens words, over the seam too: rank k takes
+block k. A document gets the words that the taken blocks have of it. The points of a source miss its target by a few
+slots at most; its last blocks are cut at the target's words, and blocks next in line are added up to them. As no target is
+above cap times the size, no block of the ring is taken more than cap times.
 
-Ranks and positions need no ordered pass over a whole source: counts per (bucket, source) are summed first, and rows are
+Ranks and positions need no ordered pass over a whole source: sums per (bucket, source) are added up in two levels, and rows are
 ranked within a bucket of bounded size, so a source with most of the rows is no hot task. Defined results: null text is
-size 0; a null source is a source of its own, last; repeated rows are laid down one by one; with no words at all
-targets and taken are 0; empty input gives no rows; other columns are ignored.
+size 0; a null source is a source of its own, last; rows of one doc_id are laid down by a hash of all their columns, so that only
+rows that are the same can change places; with no words at all targets and taken are 0; empty input gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -20,15 +21,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import cut
+from .store import cut, free
 
 WEIGHTS = (5, 2, 1)
 #: floor(2^31 / golden ratio), made odd: multiples modulo 2^31 are the golden-ratio sequence in integers.
 GOLDEN, PERIOD = 1_327_217_885, 1 << 31
 BLOCK_TOKENS, SLOTS_PER_BUCKET, ROWS_PER_BUCKET = 128, 4096, 512
 CELL = PERIOD >> 12
-#: Below so many blocks of words a slot more or less, or the short last block, would miss the target by a large share.
-SMALL_BLOCKS = 8
+#: Buckets whose sums are added up in one task.
+BUCKETS_PER_GROUP = 4096
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -58,76 +59,88 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3
     )
 
 
+def before(sums: DataFrame, value: str) -> DataFrame:
+    """_bucket, _source, before: the sum of value over the source's earlier buckets. sums: bucket, source, value. Sums of groups
+    of buckets come first, so that no task sees all buckets of a source."""
+    rows = sums.withColumn("_group", F.expr(f"bucket div {BUCKETS_PER_GROUP}"))
+    groups = rows.groupBy("_group", "source").agg(F.sum(value).alias("n"))
+    groups = groups.select(F.col("_group").alias("_g"), F.col("source").alias("_s"), (F.sum("n").over(Window.partitionBy("source").orderBy("_group")) - F.col("n")).alias("_first"))
+    own = F.sum(value).over(Window.partitionBy("_group", "source").orderBy("bucket")) - F.col(value)
+    rows = rows.withColumn("_own", own).join(groups, (F.col("_group") == F.col("_g")) & F.col("source").eqNullSafe(F.col("_s")))
+    return rows.select(F.col("bucket").alias("_bucket"), F.col("source").alias("_source"), (F.col("_first") + F.col("_own")).alias("before"))
+
+
 def schedule(shares: DataFrame, slots: int) -> DataFrame:
-    """slot, source, rank of the slots 0 .. slots - 1. shares: source, blocks, low, high (bounds on 0 .. PERIOD)."""
+    """slot, source, rank of the slots 0 .. slots - 1. shares: source, low, high (bounds on 0 .. PERIOD)."""
     spark = shares.sparkSession
     parts = max(1, -(-slots // (SLOTS_PER_BUCKET * 16)))
     point = (F.col("slot") % PERIOD * GOLDEN) % PERIOD
     line = spark.range(0, slots, 1, parts).withColumnRenamed("id", "slot").withColumn("point", point).withColumn("bucket", F.expr(f"slot div {SLOTS_PER_BUCKET}"))
     # the line of points is cut into cells, so that points meet sources by an equi-join of bounded fan-out
-    cells = shares.withColumn("cell", F.explode(F.expr(f"sequence(low div {CELL}, (high - 1) div {CELL})")))
+    cells = shares.select("source", "low", "high", F.explode(F.expr(f"sequence(low div {CELL}, (high - 1) div {CELL})")).alias("cell")).where("high > low")
     met = line.withColumn("cell", F.expr(f"point div {CELL}")).join(cells, "cell").where("point >= low AND point < high").drop("cell")
-    counts = met.groupBy("bucket", "source").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy("bucket")) - F.col("n")).select("bucket", F.col("source").alias("_source"), "before")
+    first = before(met.groupBy("bucket", "source").agg(F.count(F.lit(1)).alias("n")), "n")
     ranked = met.withColumn("_own", F.row_number().over(Window.partitionBy("bucket", "source").orderBy("slot")) - 1)
-    return ranked.join(before, (ranked["bucket"] == before["bucket"]) & ranked["source"].eqNullSafe(before["_source"])).select("slot", "source", (F.col("before") + F.col("_own")).alias("rank"), "blocks")
+    return ranked.join(first, (F.col("bucket") == F.col("_bucket")) & F.col("source").eqNullSafe(F.col("_source"))).select("slot", "source", (F.col("before") + F.col("_own")).alias("rank"))
 
 
 def line_up(rows: DataFrame, count: int) -> DataFrame:
-    """rows (_row, source, size, _hash) plus start: the words before the row in its source's shuffled line."""
+    """rows (_row, source, size, _hash, doc_id, _tie) plus start: the words before the row in its source's shuffled line."""
     buckets = max(1, -(-count // ROWS_PER_BUCKET))
-    rows = rows.withColumn("_bucket", F.pmod(F.col("_hash"), F.lit(buckets)))
-    sums = rows.groupBy("_bucket", "source").agg(F.sum("size").alias("n"))
-    before = sums.withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy("_bucket")) - F.col("n")).select(F.col("_bucket").alias("_b"), F.col("source").alias("_s"), "before")
-    own = F.sum("size").over(Window.partitionBy("_bucket", "source").orderBy("_hash", "_row").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    return rows.withColumn("_own", own).join(before, (F.col("_bucket") == F.col("_b")) & F.col("source").eqNullSafe(F.col("_s"))).withColumn("start", F.col("before") + F.col("_own")).drop("_own", "before", "_b", "_s", "_bucket")
+    rows = rows.withColumn("bucket", F.pmod(F.col("_hash"), F.lit(buckets)))
+    first = before(rows.groupBy("bucket", "source").agg(F.sum("size").alias("n")), "n")
+    order = Window.partitionBy("bucket", "source").orderBy("_hash", "doc_id", "_tie", "_row").rowsBetween(Window.unboundedPreceding, 0)
+    own = F.sum("size").over(order) - F.col("size")
+    return rows.withColumn("_own", own).join(first, (F.col("bucket") == F.col("_bucket")) & F.col("source").eqNullSafe(F.col("_source"))).withColumn("start", F.col("before") + F.col("_own")).drop("_own", "before", "_bucket", "_source", "bucket")
+
+
+def taken_blocks(shares: DataFrame, slots: int, block_tokens: int) -> DataFrame:
+    """_source, rank, upto: the blocks that the schedule takes of each source's ring and the word before which the block ends.
+    shares also has wanted, the target in whole words; blocks next in line make up for the slots that a source lacks."""
+    ranked = cut(schedule(shares, slots), "slots")
+    met = ranked.groupBy("source").agg(F.count(F.lit(1)).alias("met")).withColumnRenamed("source", "_source")
+    goal = shares.join(met, F.col("source").eqNullSafe(F.col("_source")), "left").select(F.col("source").alias("_source"), "wanted", F.coalesce("met", F.lit(0)).alias("met"))
+    whole = F.expr(f"(wanted + {block_tokens - 1}) div {block_tokens}")
+    kept = ranked.join(goal.where("wanted > 0"), F.col("source").eqNullSafe(F.col("_source"))).where(F.col("rank") < whole).select("_source", "rank", "wanted")
+    added = goal.where(F.col("met") < whole).select("_source", F.explode(F.sequence("met", whole - 1)).alias("rank"), "wanted")
+    return kept.unionByName(added).select("_source", "rank", F.least((F.col("rank") + 1) * block_tokens, "wanted").alias("upto"))
 
 
 def apply(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every row of docs as often as its taken words hold it, to the nearest whole number. Only the
-    last document of a source's last pass is taken in part, so whole documents keep the targets."""
-    held = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "mixed")
-    share = mix(held, row="_row", **options).where("size > 0").select("_row", F.round(F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    copies = F.explode(F.sequence(F.lit(1), F.col("_times")))
-    return held.join(share.where("_times > 0"), "_row").withColumn("_copy", copies).select(*docs.columns)
+    """The mix itself: every row of docs as often as its taken words hold it, to the nearest whole number; all columns, whatever
+    their names. Only the last document of a source's last pass is taken in part, so whole documents keep the targets.
+    A row without words is never taken."""
+    row, copy = free(docs, "_row"), free(docs, "_copy")
+    held = cut(docs.withColumn(row, F.monotonically_increasing_id()), "mixed")
+    share = mix(held, row=row, **options).where("size > 0").select(F.col("_row").alias(row), F.round(F.col("taken") / F.col("size")).cast("int").alias(copy))
+    return held.join(share.where(F.col(copy) > 0), row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy)))).select(*docs.columns)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, block_tokens: int = BLOCK_TOKENS, row: str | None = None) -> DataFrame:
     """doc_id, size, source, source_size, target, taken of every row, and _row, taken from the column `row` if named."""
     numbered = F.monotonically_increasing_id() if row is None else F.col(row)
     shuffled = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("mix"), F.col("doc_id").cast("string"))), 1, 15), 16, 10).cast("long")
-    rows = sizes(docs.select("doc_id", "source", "text", numbered.alias("_row"))).drop("text").withColumn("_hash", shuffled)
+    tie = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if f.name != row and f.dataType.typeName() not in ("map", "variant")])
+    rows = sizes(docs.select("doc_id", "source", "text", numbered.alias("_row"), tie.alias("_tie"))).drop("text").withColumn("_hash", shuffled)
     table = cut(rows, "sizes")
-    totals = table.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    goal = cut(targets(totals.select("source", "source_size"), weights, cap).coalesce(1), "targets")  # one row a source
+    totals = table.groupBy("source").agg(F.sum("size").alias("source_size"))
+    goal = cut(targets(totals, weights, cap).coalesce(1), "targets")  # one row a source
     summed = table.agg(F.count(F.lit(1)), F.sum("size")).first()
     count, words = summed[0], summed[1] or 0
     slots = -(-words // block_tokens)
     line = Window.orderBy(F.asc_nulls_last("source"))
     share = F.sum("target").over(line) / F.sum("target").over(Window.partitionBy())
-    shares = (
-        goal.where("target > 0")
-        .withColumn("high", F.round(share * PERIOD).cast("long"))
-        .withColumn("low", F.lag("high", 1, 0).over(line))
-        .select("source", F.ceil(F.col("source_size") / block_tokens).alias("blocks"), "low", "high")
-    )
-    # slots: the schedule's ranks name block and pass; passes beyond cap are not made
-    block = F.col("rank") % F.col("blocks")
-    taken_blocks = schedule(shares, slots).withColumn("block", block).where(F.expr(f"rank div blocks < {cap}")).groupBy("source", "block").agg(F.count(F.lit(1)).alias("times"))
-    placed = line_up(table, count)
-    first = F.expr(f"start div {block_tokens}")
-    last = F.expr(f"(start + size - 1) div {block_tokens}")
-    # small sources: the target's words along the line, pass by pass; the other sources' slots are not touched
-    small = goal.where(F.least("target", F.col("source_size").cast("double")) < SMALL_BLOCKS * block_tokens)
-    wanted = small.where("source_size > 0").select(F.col("source").alias("_source"), F.col("source_size").alias("_words"), F.round("target").cast("long").alias("_wanted"))
-    same = F.col("source").eqNullSafe(F.col("_source"))
-    passes = F.expr("_wanted div _words")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_wanted") - passes * F.col("_words") - F.col("start")))
-    exact = placed.where("size > 0").join(wanted, same).select("_row", (passes * F.col("size") + part).alias("taken"))
-    spans = placed.where("size > 0").join(wanted, same, "left_anti").select("_row", "source", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
-    inside = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_tokens) - F.greatest(F.col("start"), F.col("block") * block_tokens)
-    right = taken_blocks.withColumnRenamed("source", "_source").withColumnRenamed("block", "_block")
-    got = spans.join(right, (F.col("block") == F.col("_block")) & F.col("source").eqNullSafe(F.col("_source"))).groupBy("_row").agg(F.sum(inside * F.col("times")).alias("taken")).unionByName(exact)
+    wanted = F.round("target").cast("long")
+    shares = goal.where("target > 0").withColumn("high", F.round(share * PERIOD).cast("long")).withColumn("low", F.lag("high", 1, 0).over(line)).withColumn("wanted", wanted)
+    blocks = taken_blocks(shares.select("source", "low", "high", "wanted"), slots, block_tokens)
+    # each pass lays a document down once more on the ring
+    rings = shares.where("wanted > 0").select(F.col("source").alias("_source"), F.col("source_size").alias("_words"), "wanted")
+    laid = line_up(table, count).where("size > 0").join(rings, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    laid = laid.select("_row", "source", "size", "wanted", F.explode(F.expr("transform(sequence(0L, (wanted - 1) div _words), p -> p * _words + start)")).alias("start")).where("start < wanted")
+    last = F.expr(f"(least(start + size, wanted) - 1) div {block_tokens}")
+    spans = laid.select("_row", "source", "start", "size", F.explode(F.sequence(F.expr(f"start div {block_tokens}"), last)).alias("block"))
+    inside = F.least(F.col("start") + F.col("size"), "upto") - F.greatest(F.col("start"), F.col("block") * block_tokens)
+    got = spans.join(blocks, (F.col("block") == F.col("rank")) & F.col("source").eqNullSafe(F.col("_source"))).groupBy("_row").agg(F.sum(inside).alias("taken"))
     out = table.join(got, "_row", "left").withColumnRenamed("source", "_own")
     out = out.join(goal, F.col("_own").eqNullSafe(F.col("source")))
     return out.select("_row", "doc_id", "size", F.col("_own").alias("source"), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

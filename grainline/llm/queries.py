@@ -9,8 +9,14 @@ from pyspark.sql import functions as F
 
 from . import best_fit, cws, exact_dedup, lang_kernel, mixing, ngram_join, substring_dedup, suffix_lm, toxicity, warc
 
-#: Folder of the public tokenizers' vocabulary files.
-TOKENIZERS = os.environ.get("GRAINLINE_TOKENIZERS", "/opt/tokenizers")
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """The public tokenizer's file: in the folder GRAINLINE_TOKENIZERS if set, else where the package public_tokenizers has it."""
+    if folder := os.environ.get("GRAINLINE_TOKENIZERS"):
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +33,7 @@ def op2_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return best_fit.pack_documents(docs, f"{TOKENIZERS}/word_bpe_49k.json", max_len=4096, eos=1)
+    return best_fit.pack_documents(docs, tokenizer_path(), max_len=4096, eos=1)
 
 
 def op4_language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +54,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,11 +101,11 @@ ORACLE = {
         SELECT doc_id, n_words::BIGINT AS n_words, (n_words - len(left_over))::BIGINT AS n_removed,
                sha256(array_to_string(left_over, ' ')) AS kept_sha256 FROM kept""",
     "op5_warc_revisits": f"""
-        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
-        d AS (SELECT page_id, html, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS f FROM p)
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, row_number() OVER (PARTITION BY html, page_id ORDER BY url) AS k FROM pages),
+        d AS (SELECT page_id, html, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS f, k FROM p)
         SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
-               CASE WHEN page_id IS DISTINCT FROM f THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN page_id IS DISTINCT FROM f THEN f END AS refers_to
+               CASE WHEN page_id IS DISTINCT FROM f OR (k > 1 AND f IS NOT NULL) THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id IS DISTINCT FROM f OR (k > 1 AND f IS NOT NULL) THEN f END AS refers_to
         FROM d""",
     "op7_exact_dedup": f"""
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -107,26 +113,30 @@ ORACLE = {
         FROM (SELECT doc_id, {_LOWERED} AS t FROM documents) WINDOW w AS (PARTITION BY t)""",
     "op8_source_mixing": f"""
         WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
-                          ('0x' || substr(md5('mix|' || doc_id), 1, 15))::BIGINT AS h, count(*) OVER () AS rows_n FROM documents),
+                          ('0x' || substr(md5(concat_ws('|', 'mix', doc_id)), 1, 15))::BIGINT AS h, count(*) OVER () AS rows_n FROM documents),
         s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
         r AS (SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight, 3 * source_size::DOUBLE AS cap FROM s),
         l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
                      / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
         b AS (SELECT min_by(level, cap / weight) AS best FROM l WHERE level * weight <= cap),
         t AS (SELECT source, source_size, least(cap, coalesce(best * weight, cap)) AS target FROM l CROSS JOIN b),
-        sh AS (SELECT *, ceil(source_size / {mixing.BLOCK_TOKENS})::BIGINT AS blocks,
+        sh AS (SELECT *, round(target)::BIGINT AS wanted,
                       round(sum(target) OVER (ORDER BY source NULLS LAST) / sum(target) OVER () * {mixing.PERIOD})::BIGINT AS high FROM t WHERE target > 0),
         shares AS (SELECT *, lag(high, 1, 0) OVER (ORDER BY source NULLS LAST) AS low FROM sh),
         slots AS (SELECT i, (i % {mixing.PERIOD} * {mixing.GOLDEN}) % {mixing.PERIOD} AS point
                   FROM (SELECT unnest(range((SELECT ((sum(size) + {mixing.BLOCK_TOKENS - 1}) // {mixing.BLOCK_TOKENS})::BIGINT FROM d))) AS i)),
-        met AS (SELECT source, blocks, row_number() OVER (PARTITION BY source ORDER BY i) - 1 AS rank FROM slots JOIN shares ON point >= low AND point < high),
-        taken AS (SELECT source, rank % blocks AS block, count(*) AS times FROM met WHERE rank // blocks < 3 GROUP BY 1, 2),
+        met AS (SELECT source, wanted, row_number() OVER (PARTITION BY source ORDER BY i) - 1 AS rank FROM slots JOIN shares ON point >= low AND point < high),
+        n_met AS (SELECT s.source, s.wanted, count(m.rank) AS n FROM shares s LEFT JOIN met m ON m.source IS NOT DISTINCT FROM s.source GROUP BY 1, 2),
+        blocks AS (SELECT source, wanted, rank FROM met
+                   UNION ALL SELECT source, wanted, unnest(range(n, (wanted + {mixing.BLOCK_TOKENS - 1}) // {mixing.BLOCK_TOKENS})) FROM n_met),
         placed AS (SELECT *, (sum(size) OVER (PARTITION BY source ORDER BY h % ((rows_n + {mixing.ROWS_PER_BUCKET - 1}) // {mixing.ROWS_PER_BUCKET}), h, doc_id) - size)::BIGINT AS start FROM d),
-        spans AS (SELECT doc_id, source, start, size, unnest(range(start // {mixing.BLOCK_TOKENS}, (start + size - 1) // {mixing.BLOCK_TOKENS} + 1)) AS block FROM placed WHERE size > 0),
-        got AS (SELECT doc_id, sum((least(start + size, (p.block + 1) * {mixing.BLOCK_TOKENS}) - greatest(start, p.block * {mixing.BLOCK_TOKENS})) * times)::BIGINT AS taken
-                FROM spans p JOIN taken k ON k.block = p.block AND k.source IS NOT DISTINCT FROM p.source GROUP BY 1)
+        laid AS (SELECT p.doc_id, p.source, size, unnest(range(0, (wanted - 1) // source_size + 1)) * source_size + start AS a
+                 FROM placed p JOIN shares k ON k.source IS NOT DISTINCT FROM p.source WHERE size > 0 AND wanted > 0),
+        spans AS (SELECT *, unnest(range(a // {mixing.BLOCK_TOKENS}, (a + size - 1) // {mixing.BLOCK_TOKENS} + 1)) AS block FROM laid),
+        got AS (SELECT doc_id, sum(greatest(0, least(a + size, (k.rank + 1) * {mixing.BLOCK_TOKENS}, wanted) - greatest(a, k.rank * {mixing.BLOCK_TOKENS})))::BIGINT AS taken
+                FROM spans p JOIN blocks k ON k.rank = p.block AND k.source IS NOT DISTINCT FROM p.source GROUP BY 1)
         SELECT d.doc_id, d.size::BIGINT AS size, source_size, target, coalesce(taken, 0) AS taken
-        FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source LEFT JOIN got USING (doc_id)""",
+        FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source LEFT JOIN got ON got.doc_id IS NOT DISTINCT FROM d.doc_id""",
     "op9_ngram_jaccard_join": f"""
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
