@@ -4,9 +4,10 @@ A document's set holds the hashes of its n-grams of words (A-Z lower-cased); wit
 its words together. Documents with equal sets form a class, and only its representative goes on. Band and row
 counts are chosen for the target recall at the threshold, band hashes are shuffled, and documents that meet in a
 band are gathered into candidate clusters; within a cluster every pair is verified on the full sets. A cluster
-whose sets or members exceed a task's memory is split into blocks, and the pairs of blocks are dealt out as tasks of their own. Tasks
-return one row per member, never pairs: its number of links and a lead that it is linked to; leads are joined to classes
-by connected components, whose tables stay distributed and are written between rounds.
+whose sets or members exceed a task's memory is dealt out over many tasks: by pairs of its blocks where most members share bands,
+or band by band, each pair in the first band it shares, where chance meetings have chained small groups together (whichever compares
+fewer pairs). Tasks return one row per member, never pairs: its number of links and a lead that it is linked to; leads are joined to
+classes by connected components, whose tables stay distributed and are written between rounds.
 
 Result, one row per document: doc_id, class_id (the smallest doc_id among all that links connect), rep_id (the
 smallest doc_id with an equal set), n_links (other documents of similarity >= threshold, copies included).
@@ -99,12 +100,12 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {key}, size long, set_a long, set_b long, bands array<long>")
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node, comp: the smallest node that edges (u, v) connect with it. Min-label rounds with pointer jumping;
-    tables stay distributed and are written each round."""
+def components(edges: DataFrame) -> DataFrame:
+    """node, comp: the smallest node that edges (u, v) connect with it. Min-label rounds with pointer jumping, until no label
+    falls; tables stay distributed and are written each round."""
     both = cut(edges.select("u", "v").where("u <> v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")).where("u <> v")).distinct(), "edges")
     labels = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("comp")), "labels")
-    for _ in range(most_rounds):
+    while True:
         near = both.join(labels.select(F.col("u").alias("v"), F.col("comp").alias("c")), "v").groupBy("u").agg(F.min("c").alias("c"))
         low = labels.join(near, "u").select("u", F.least("comp", "c").alias("low"), F.col("comp").alias("old"))
         jump = low.join(labels.select(F.col("u").alias("low"), F.col("comp").alias("far")), "low", "left")
@@ -113,7 +114,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         labels = new.select("u", "comp")
         if done:
             return labels.withColumnRenamed("u", "node")
-    raise RuntimeError("components did not settle")
 
 
 def verified(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: float) -> np.ndarray:
@@ -147,34 +147,49 @@ def verified(left: list[np.ndarray], right: list[np.ndarray] | None, threshold:
     return common >= threshold * union - 1e-6
 
 
-def _leads(ok: np.ndarray, names_l: np.ndarray, names_r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row and column the smallest name that it is linked to (itself included where there is none)."""
+def merge(label: np.ndarray, rows: np.ndarray, cols: np.ndarray, ok: np.ndarray) -> None:
+    """Give all that the links ok (rows x cols, places in label) connect, also through labels they share already, one label."""
     big = np.iinfo(np.int64).max
-    l = np.where(ok, names_r[None, :], big).min(1)
-    r = np.where(ok, names_l[:, None], big).min(0)
-    return np.minimum(l, names_l), np.minimum(r, names_r)
-
-
-def compared(left: list[np.ndarray], right: list[np.ndarray] | None, name_l: np.ndarray, name_r: np.ndarray, copies_l: np.ndarray, copies_r: np.ndarray, threshold: float, strip: int = STRIP) -> tuple[np.ndarray, ...]:
-    """Links and leads of the left, links and leads of the right; right None: left with itself. Strips of rows are reduced
-    at once, so memory is strip times the members of the right."""
-    links_l, lead_l = np.zeros(len(left), np.int64), name_l.copy()
-    links_r, lead_r = np.zeros(len(name_r), np.int64), name_r.copy()
-    for lo in range(0, len(left), strip):
-        hi = min(lo + strip, len(left))
+    while True:
+        own = np.minimum(np.where(ok, label[cols][None, :], big).min(1, initial=big), label[rows])
+        back = np.minimum(np.where(ok, own[:, None], big).min(0, initial=big), label[cols])
+        to = np.arange(len(label))
+        np.minimum.at(to, label[rows], own)
+        np.minimum.at(to, label[cols], back)
+        while (to[to] != to).any():
+            to = to[to]
+        new = to[label]
+        if (new == label).all():
+            return
+        label[:] = new
+
+
+def compared(left: list[np.ndarray], right: list[np.ndarray] | None, name_l: np.ndarray, name_r: np.ndarray, copies_l: np.ndarray, copies_r: np.ndarray, threshold: float, strip: int = STRIP, earlier: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
+    """Links and leads of the left, links and leads of the right; right None: left with itself. A lead is a member that the links
+    found here connect with its own, one for all that they connect. Strips of rows are reduced at once, so memory is strip times the
+    members of the right. earlier: hashes (members x bands) of left and right; pairs that share one are left out."""
+    n = len(left)
+    links_l, links_r = np.zeros(n, np.int64), np.zeros(len(name_r), np.int64)
+    label = np.arange(n if right is None else n + len(right))
+    cols = label.copy() if right is None else label[n:].copy()
+    for lo in range(0, n, strip):
+        hi = min(lo + strip, n)
         if right is not None:
             ok = verified(left[lo:hi], right, threshold)
-        elif len(left) <= strip:
+        elif n <= strip:
             ok = verified(left, None, threshold)
         else:
             ok = verified(left[lo:hi], left, threshold)
         if right is None:
             ok[np.arange(hi - lo), np.arange(lo, hi)] = False
-        links_l[lo:hi] = ok.astype(np.int64) @ copies_r
-        links_r += ok.T.astype(np.int64) @ copies_l[lo:hi]
-        lead_l[lo:hi], low = _leads(ok, name_l[lo:hi], name_r)
-        lead_r = np.minimum(lead_r, low)
-    return links_l, lead_l, links_r, lead_r
+        if earlier is not None:
+            for k in range(earlier[0].shape[1]):
+                ok &= earlier[0][lo:hi, k, None] != earlier[1][None, :, k]
+        links_l[lo:hi] = ok @ copies_r
+        links_r += copies_l[lo:hi] @ ok
+        merge(label, np.arange(lo, hi), cols, ok)
+    lead = (name_l if right is None else np.concatenate([name_l, name_r]))[label]
+    return links_l, lead[:n], links_r, lead[n:] if right is not None else lead
 
 
 def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, block_elements: int = BLOCK_ELEMENTS, block_members: int = BLOCK_MEMBERS) -> DataFrame:
@@ -193,13 +208,22 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
     lowest = F.array_min("heads").alias("v")
     stars = own.select(F.explode(F.array_union("heads", F.array("node"))).alias("u"), lowest).where("u <> v").distinct()
     clusters = components(stars)
-    members = reps.withColumn("node", F.xxhash64("set_a", "set_b", "size")).join(clusters, "node").select("node", "comp", "rep", "copies", "size", "set_a", "set_b")
-    # blocks: members of a cluster in order of a running sum of sizes would need one task; a hash deals them evenly
-    shape = members.groupBy("comp").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / block_elements), F.ceil(F.count(F.lit(1)) / block_members)).cast("int").alias("blocks"))
-    placed = members.join(shape, "comp").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
+    members = cut(reps.withColumn("node", F.xxhash64("set_a", "set_b", "size")).join(clusters, "node").select("node", "comp", "rep", "copies", "size", "set_a", "set_b", "bands"), "members")
+    # blocks in order of a running sum of sizes would need one task; a hash deals members out evenly
+    blocks = F.greatest(F.lit(1), F.ceil(F.sum("size") / block_elements), F.ceil(F.count(F.lit(1)) / block_members)).cast("int").alias("blocks")
+    shape = cut(members.groupBy("comp").agg(blocks, F.count(F.lit(1)).alias("m")), "shape")
+    large = members.join(shape.where("blocks > 1").select("comp", "m"), "comp").select("comp", "m", "node", "size", F.posexplode("bands").alias("band", "h"))
+    buckets = cut(large.groupBy("comp", "band", "h").agg(blocks, F.count(F.lit(1)).alias("n"), F.first("m").alias("m")).where("n > 1"), "buckets")
+    # by band where that compares fewer pairs than all pairs of the cluster
+    banded = buckets.groupBy("comp").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("pairs"), F.first(F.col("m").cast("double") * F.col("m")).alias("all")).where("pairs < all").select("comp", F.lit(True).alias("banded"))
+    shape = cut(shape.select("comp", "blocks").join(banded, "comp", "left"), "shape")
+    whole = members.join(shape.where("banded IS NULL").select("comp", "blocks"), "comp").withColumns({"band": F.lit(-1), "h": F.lit(0).cast("long")})
+    by_band = members.join(shape.where("banded").select("comp"), "comp").select("*", F.posexplode("bands").alias("band", "h")).join(buckets.select("comp", "band", "h", "blocks"), ["comp", "band", "h"])
+    placed = whole.unionByName(by_band).withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
     mine = F.sequence(F.lit(0), F.col("blocks") - 1)
     pairs = F.transform(mine, lambda b: F.struct(F.least("block", b).alias("i"), F.greatest("block", b).alias("j")))
-    tasks = placed.withColumn("pair", F.explode(pairs)).select("rep", "set_a", "set_b", "node", "comp", "copies", "block", "pair.i", "pair.j")
+    earlier = F.when(F.col("band") > 0, F.slice("bands", 1, F.col("band")))
+    tasks = placed.withColumn("pair", F.explode(pairs)).select("rep", "set_a", "set_b", "node", "comp", "band", "h", earlier.alias("earlier"), "copies", "block", "pair.i", "pair.j")
     found = _verify(docs, tasks, n, threshold)
     found = cut(found, "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
@@ -214,7 +238,7 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
 
 
 def _verify(docs: DataFrame, tasks: DataFrame, n: int, threshold: float) -> DataFrame:
-    """node, links, lead for each member of each task (comp, i, j)."""
+    """node, links, lead for each member of each task (comp, band, h, i, j)."""
     wanted = tasks.withColumnRenamed("rep", "doc_id")
     fetch = wanted.select("doc_id").distinct()
 
@@ -233,14 +257,15 @@ def _verify(docs: DataFrame, tasks: DataFrame, n: int, threshold: float) -> Data
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
         grams_of = [np.frombuffer(x, np.uint64) for x in pdf["grams"]]
         node, copies, block = pdf["node"].to_numpy(), pdf["copies"].to_numpy(), pdf["block"].to_numpy()
+        past = None if pdf["earlier"].iloc[0] is None else np.stack(pdf["earlier"].to_list())
         if i == j:
-            links, lead, _, _ = compared(grams_of, None, node, node, copies, copies, threshold)
+            links, lead, _, _ = compared(grams_of, None, node, node, copies, copies, threshold, earlier=None if past is None else (past, past))
         else:
             k = int((block == i).sum())
             if k == 0 or k == len(node):
                 return pd.DataFrame({"node": node[:0], "links": node[:0], "lead": node[:0]})
-            found = compared(grams_of[:k], grams_of[k:], node[:k], node[k:], copies[:k], copies[k:], threshold)
+            found = compared(grams_of[:k], grams_of[k:], node[:k], node[k:], copies[:k], copies[k:], threshold, earlier=None if past is None else (past[:k], past[k:]))
             links, lead = np.concatenate(found[0::2]), np.concatenate(found[1::2])
         return pd.DataFrame({"node": node, "links": links, "lead": lead})
 
-    return rows.groupBy("comp", "i", "j").applyInPandas(check, "node long, links long, lead long")
+    return rows.groupBy("comp", "band", "h", "i", "j").applyInPandas(check, "node long, links long, lead long")
