@@ -3,6 +3,7 @@ rows, empty tables and extra columns with clashing names."""
 
 import base64
 import collections
+import gzip
 import hashlib
 import math
 import random
@@ -13,6 +14,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from grainline.llm import best_fit, cws, exact_dedup, lang_kernel, mixing, ngram_join, queries, substring_dedup, suffix_lm, tokens, toxicity, warc
 from grainline.llm.fm_index import FMIndex
@@ -83,6 +85,43 @@ def test_adjacent_documents_do_not_share_words():
     assert c.word_bounds.tolist() == [0, 1, 2, 2, 4, 5]
 
 
+def thue_morse(n):
+    """Two words of n letters that swap a and b; polynomial hashes modulo a power of two can't tell them apart."""
+    t = "a"
+    while len(t) < n:
+        t += t.translate({97: 98, 98: 97})
+    return t, t.translate({97: 98, 98: 97})
+
+
+@pytest.mark.parametrize("n", [32, 64, 128, 1024, 2048, 4096, 8192])
+def test_complementary_words_have_hashes_of_their_own(n):
+    x, y = thue_morse(n)
+    c = next(tokens.chunks(tokens.text_array(pa.array([f"{x} {y} {x}"]))))
+    h = c.hashes()
+    assert h[0] == h[2] != h[1] and c.distinct()[1].tolist() == [0, 1, 0] or c.distinct()[1].tolist() == [1, 0, 1]
+    words = np.array([h[0] if k == "a" else h[1] for k in x[:64]])
+    swapped = np.array([h[1] if k == "a" else h[0] for k in x[:64]])
+    assert tokens.grams(words, min(64, n))[0] != tokens.grams(swapped, min(64, n))[0]
+
+
+def test_kinds_of_words_are_compared_where_hashes_agree(monkeypatch):
+    c = next(tokens.chunks(tokens.text_array(pa.array(["ab cd " + "x" * 90, "ab " + "x" * 89 + "y", "cd " + "x" * 90]))))
+    monkeypatch.setattr(c, "hashes", lambda lower=False: np.zeros(7, np.uint64))
+    first, kind = c.distinct()
+    assert kind.tolist() == [0, 1, 2, 0, 3, 1, 2] and first.tolist() == [0, 1, 2, 4]
+
+
+def test_grams_depend_on_all_words_and_their_order():
+    h = np.random.default_rng(1).integers(0, 1 << 63, 50).astype(np.uint64)
+    for n in (1, 2, 3, 5, 8, 13, 35):
+        g = tokens.grams(h, n)
+        assert len(g) == 51 - n and all(tokens.grams(h[i:i + n], n)[0] == g[i] for i in range(len(g)))
+        other = h.copy()
+        other[20], other[21] = h[21], h[20]
+        differ = tokens.grams(other, n) != g
+        assert differ.tolist() == [(i <= 20 < i + n) or (i <= 21 < i + n) for i in range(len(g))]
+
+
 def test_fm_index_matching_statistics_against_brute_force():
     r = np.random.default_rng(3)
     s = np.concatenate([r.integers(1, 5, 300), [0], r.integers(1, 5, 200), [0]])
@@ -173,7 +212,7 @@ def test_op2_brute_force_tree(spark):
 def test_op3_packing_against_the_tokenizer(docs):
     from tokenizers import Tokenizer
 
-    path = f"{queries.TOKENIZERS}/word_bpe_49k.json"
+    path = queries.tokenizer_path()
     t = Tokenizer.from_file(path)
     got = best_fit.pack_documents(docs, path, max_len=512).toPandas()
     want = collections.Counter()
@@ -192,7 +231,7 @@ def test_op3_packing_against_the_tokenizer(docs):
 def test_op3_words_with_marks_and_special_strings(spark):
     from tokenizers import Tokenizer
 
-    path = f"{queries.TOKENIZERS}/word_bpe_49k.json"
+    path = queries.tokenizer_path()
     t = Tokenizer.from_file(path)
     texts = ["don't I'll é é x　y İstanbul 12a3 --- <|endoftext|> a<|endoftext|>b", " nb sp   z", "漢字 かな 𝔘𝔫𝔦 ﬁ", "a\x1cb\x85c"]
     tok = best_fit.WordTokenizer(path)
@@ -258,6 +297,25 @@ def test_op5_round_trip(spark, tmp_path):
     assert some[8] == some[7] == "response"
 
 
+def test_op5_repeated_rows_have_one_response(spark):
+    data = [(3, "b", "x"), (3, "a", "x"), (3, "a", "x"), (5, "c", "x"), (7, "d", "y"), (7, "d", "y")]
+    back = warc.archive(spark, spark.createDataFrame(data, "page_id long, url string, html string")).collect()
+    assert collections.Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in back) == collections.Counter({(3, "response", None): 1, (3, "revisit", 3): 2, (5, "revisit", 3): 1, (7, "response", None): 1, (7, "revisit", 7): 1})
+    text = spark.createDataFrame([("", "u", "x"), (None, "u", "x"), ("a:b %7 é", "u", "y")], "page_id string, url string, html string")
+    assert sorted(((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.archive(spark, text).collect()), key=str) == sorted([("", "response", None), (None, "revisit", ""), ("a:b %7 é", "response", None)], key=str)
+
+
+def test_op5_records_have_ids_and_dates_of_their_own(spark, tmp_path):
+    pages = spark.createDataFrame([(i, None, "p" * (i % 3)) for i in range(9)], "page_id long, url string, html string")
+    files = [r["file"] for r in warc.write(warc.resolve(pages), f"file://{tmp_path}", date="2030-01-02T03:04:05Z").collect()]
+    heads = [h for f in files for h, _ in warc.parse(gzip.open(f.removeprefix("file://")))]
+    kinds = collections.Counter(h["warc-type"] for h in heads)
+    assert kinds == {"warcinfo": len(files), "response": 3, "revisit": 6} and len({h["warc-record-id"] for h in heads}) == len(heads)
+    assert {h["warc-date"] for h in heads} == {"2030-01-02T03:04:05Z"}
+    ids = {h["warc-record-id"] for h in heads if h["warc-type"] == "response"}
+    assert all(h["warc-refers-to"] in ids for h in heads if h["warc-type"] == "revisit")
+
+
 def toxic_docs(spark, n=600):
     r = random.Random(5)
     clean = [f"w{i}" for i in range(200)]
@@ -313,7 +371,7 @@ def brute_copies(data):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"bits": 1, "salt_rows": 3}, {"chunk_bytes": 64, "huge_bytes": 200}])
+@pytest.mark.parametrize("options", [{}, {"bits": 1, "salts": 3}, {"chunk_bytes": 64, "huge_bytes": 200}])
 def test_op7_exact_dedup(docs, options):
     got = collections.Counter(tuple(r) for r in exact_dedup.dedup(docs, **options).collect())
     assert got == collections.Counter(brute_copies(corpus()))
@@ -386,6 +444,51 @@ def test_op8_small_sources_beside_a_large_one_meet_their_targets(spark):
     assert abs(got["a"] - want["a"]) <= 4 * 128
 
 
+def test_op7_a_batch_of_copies_sends_one_text(spark):
+    df = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same text").alias("text")).coalesce(4)
+    table = exact_dedup.suspects(df, np.full(exact_dedup.MAP_BITS // 8 + 4096, 255, np.uint8), 1 << 16, 31)
+    n, texts = table.agg(F.count(F.lit(1)), F.count("data")).first()
+    assert n == 100_000 and texts <= 16
+    got = exact_dedup.dedup(df).agg(F.count(F.lit(1)), F.count_if("kept"), F.min("group_size")).first()
+    assert tuple(got) == (100_000, 1, 100_000)
+
+
+def test_words_that_differ_by_structure_are_not_taken_for_each_other(spark):
+    x, y = thue_morse(1024)
+    rest = [f"w{i}" for i in range(34)]
+    data = [(1, " ".join([*rest[:17], x, *rest[17:]])), (2, " ".join([*rest[:17], y, *rest[17:]])), (3, f"{x} {y} {x}"), (4, f"{y} {x} {y}")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert sorted((r["doc_id"], r["n_removed"]) for r in substring_dedup.dedup(df).collect()) == [(1, 0), (2, 0), (3, 0), (4, 0)]
+    tok = best_fit.WordTokenizer(queries.tokenizer_path()).tokenizer
+    for r in best_fit.pieces(df.coalesce(1), queries.tokenizer_path(), with_ids=True).collect():
+        assert list(r["ids"]) == [*tok.encode(dict(data)[r["doc_id"]], add_special_tokens=False).ids, 1]
+    assert sorted(tuple(r) for r in ngram_join.join(df).collect()) == brute_join(data)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_op8_small_sources_meet_their_targets(spark, seed):
+    r = random.Random(seed)
+    want = {f"s{k}": n for k, n in enumerate([130, 5000, 40, 300, 1030, 20, 1100, 777, 20_000])}
+    data, i = [], 0
+    for s, n in want.items():
+        while n:
+            k = min(n, r.randint(1, 60))
+            data.append((i, s, "w " * k))
+            i, n = i + 1, n - k
+    data.append((i, None, "a b c"))
+    got = mixing.mix(spark.createDataFrame(data, "doc_id long, source string, text string").repartition(3 + seed)).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max(F.col("taken") / F.col("size")).alias("most")).collect()
+    assert len(got) == 10
+    for x in got:
+        assert abs(x["taken"] - x["target"]) <= 0.5 and x["most"] <= 3
+
+
+def test_op8_equal_ids_and_clashing_names(spark):
+    data = [(None, f"s{i % 3}", f"{'w ' * (i % 7)}t{i}", i, i, i) for i in range(300)]
+    df = spark.createDataFrame(data, "doc_id long, source string, text string, _row int, _copy int, size int")
+    a, b = (sorted(map(tuple, mixing.apply(df.repartition(n)).collect()), key=str) for n in (1, 7))
+    assert a == b and {r[3:] for r in a} <= {(i, i, i) for i in range(300)}
+
+
 def brute_join(data, n=5, threshold=0.8):
     grams = {}
     for d, t, *_ in data:
@@ -438,12 +541,62 @@ def test_op9_many_short_members_need_strips_and_blocks(spark):
     assert most < 400e6
     for i in (0, 8, 3000, 5999):
         ok = [j for j in range(6000) if j != i and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
-        assert links[i] == copies[ok].sum() and lead[i] == min([*name[ok], name[i]])
+        assert links[i] == copies[ok].sum() and all(lead[j] == lead[i] for j in ok)
     data = [(i, " ".join([*(f"w{k}" for k in range(19)), f"x{i}"])) for i in range(200)]
     df = spark.createDataFrame(data, "doc_id long, text string")
     assert sorted(tuple(x) for x in ngram_join.join(df, block_members=30).collect()) == brute_join(data)
 
 
+def test_op9_leads_connect_what_links_connect():
+    r = np.random.default_rng(2)
+    for seed in range(20):
+        sets = [np.unique(r.integers(0, 12, 6)).astype(np.uint64) for _ in range(60)]
+        name = r.permutation(60).astype(np.int64)
+        near = np.array([[len(np.intersect1d(a, b)) >= 0.6 * len(np.union1d(a, b)) for b in sets] for a in sets])
+        comp = np.arange(60)
+        for _ in range(60):
+            comp = np.array([comp[near[i]].min() for i in range(60)])
+        one = np.ones(60, np.int64)
+        for parts in ([(sets, None, name, name)], [(sets[:25], sets[25:], name[:25], name[25:]), (sets[:25], None, name[:25], name[:25]), (sets[25:], None, name[25:], name[25:])]):
+            label = np.arange(60)
+            for left, right, nl, nr in parts:
+                _, lead_l, _, lead_r = ngram_join.compared(left, right, nl, nr, one[:len(nl)], one[:len(nr)], 0.6, strip=7)
+                place = {k: i for i, k in enumerate(name.tolist())}
+                for a, b in zip([*nl.tolist(), *nr.tolist()], [*lead_l.tolist(), *lead_r.tolist()]):
+                    x, y = label[place[a]], label[place[b]]
+                    label[(label == x) | (label == y)] = min(x, y)
+            assert all((label[i] == label[j]) == (comp[i] == comp[j]) for i in range(60) for j in range(60))
+
+
+def test_op9_chained_groups_are_compared_band_by_band(spark):
+    r = random.Random(4)
+    base = [f"w{r.randrange(10**6)}" for _ in range(400)]
+    data = []
+    for i in range(120):  # neighbours share half of their words: a chain of chance meetings
+        for k in range(3):
+            ws = base[i * 3:i * 3 + 40]
+            ws[k * 5] = f"x{i}_{k}"
+            data.append((i * 3 + k, " ".join(ws)))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    want = brute_join(data, 2, 0.8)
+    for members in (4096, 40):
+        assert sorted(tuple(x) for x in ngram_join.join(df, n=2, block_members=members, recall=0.99999).collect()) == want
+
+
+def test_op9_twenty_thousand_short_members_in_a_block():
+    r = np.random.default_rng(5)
+    sets = [np.unique(r.integers(0, 3, 12) * 1000 + np.arange(12)).astype(np.uint64) for _ in range(20_000)]
+    name = np.arange(20_000)
+    band = r.integers(0, 2, (20_000, 3))
+    tracemalloc.start()
+    links, *_ = ngram_join.compared(sets, None, name, name, np.ones(20_000, np.int64), np.ones(20_000, np.int64), 0.8, earlier=(band, band))
+    assert tracemalloc.get_traced_memory()[1] < 1e9
+    tracemalloc.stop()
+    for i in (0, 9999):
+        ok = [j for j in range(20_000) if j != i and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) and not (band[i] == band[j]).any()]
+        assert links[i] == len(ok)
+
+
 def test_op9_null_ids(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (2, None)], "doc_id long, text string")
     got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.join(df).collect()}
@@ -492,26 +645,26 @@ def test_op10_likeness_estimates_generalised_jaccard():
         b = a[:r.randrange(200)] + [f"w{r.randrange(300)}" for _ in range(100)]
         x, y = collections.Counter(a), collections.Counter(b)
         true = sum((x & y).values()) / sum((x | y).values())
-        errors.append(cws.likeness(cws.text_signature(" ".join(a).encode(), 256), cws.text_signature(" ".join(b).encode(), 256)) - true)
+        errors.append(cws.likeness(cws.fingerprint(" ".join(a).encode(), 256), cws.fingerprint(" ".join(b).encode(), 256)) - true)
     assert abs(float(np.mean(errors))) < 0.03 and float(np.std(errors)) < 0.06
 
 
 def test_op10_long_texts_without_a_common_word_are_unlike():
     a, b = (" ".join(f"{x}{i}" for i in range(100_000)).encode() for x in "ab")
-    assert cws.likeness(cws.text_signature(a, 256), cws.text_signature(b, 256)) < 0.02
+    assert cws.likeness(cws.fingerprint(a, 256), cws.fingerprint(b, 256)) < 0.02
 
 
 def test_op10_signature_does_not_depend_on_the_cache():
     texts = [" ".join(f"w{i * k % 997}" for i in range(2000)).encode() for k in (1, 3, 10, 31)]
-    want = [cws.text_signature(t).tolist() for t in texts]
+    want = [cws.fingerprint(t).tolist() for t in texts]
     for order in ((0, 1, 2, 3), (3, 2, 1, 0)):
         for i in order:
-            assert cws.text_signature(texts[i], rows=16).tolist() == want[i]
+            assert cws.fingerprint(texts[i], rows=16).tolist() == want[i]
 
 
 def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     pages = spark.createDataFrame([], "page_id long, url string, html string")
-    path = f"{queries.TOKENIZERS}/word_bpe_49k.json"
+    path = queries.tokenizer_path()
     for df in (substring_dedup.dedup(empty), suffix_lm.score_held_out(empty), best_fit.pack_documents(empty, path), lang_kernel.predict(empty), warc.archive(spark, pages), toxicity.predict(empty, labels), exact_dedup.dedup(empty), mixing.mix(empty), ngram_join.join(empty), cws.fingerprint_edits(empty)):
         assert df.collect() == []

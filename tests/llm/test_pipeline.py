@@ -57,9 +57,28 @@ def test_exact_stage_keeps_the_largest_id_once(spark, sf):
 def test_near_stage_keeps_one_of_each_group(spark, sf):
     docs = read(spark, sf)
     data = [tuple(r) for r in docs.collect()]
-    gone = {d for d, c, *_ in brute_join([r for r in data if r[0] is not None]) if d != c}
+    ranked = sorted(range(len(data)), key=lambda i: (data[i][0] is None, data[i][0] or 0))
+    found = brute_join([(k, data[i][1]) for k, i in enumerate(ranked)])  # numbers in the order of doc_id
+    want = collections.Counter(data[ranked[k]][0] for k, c, *_ in found if k == c)
     got = collections.Counter(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, sf).collect())
-    assert got == collections.Counter(d for d, *_ in data if d not in gone) and gone
+    assert got == want and len(found) > sum(want.values())
+
+
+def test_stages_keep_extra_columns_and_take_empty_tables(spark, sf):
+    extra = read(spark, sf).selectExpr("*", "1 AS _row", "2 AS _copy", "'x' AS kept", "'y' AS class_id", "3 AS _own", "4 AS _doc", "5 AS size", "6 AS first")
+    none = extra.where("false")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, extra, sf)
+        assert got.columns == extra.columns and got.where("_row = 1 AND _copy = 2 AND kept = 'x' AND _own = 3 AND size = 5").count() == got.count() > 0, name
+        assert stage(spark, none, sf).count() == 0
+    assert corpus_pipeline.pack(spark, none, sf).count() == 0
+
+
+def test_near_stage_tells_rows_without_an_id_apart(spark, sf):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    data = [(None, a), (None, a + " more"), (5, b), (5, "quite another text of its own words here"), (2, b + " more"), (None, None), (None, "")]
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(data, "doc_id long, text string"), sf).collect()
+    assert len(got) == 5 and sorted(r["doc_id"] for r in got if r["doc_id"] is not None) == [2, 5]
 
 
 def test_mixing_stage_repeats_documents_to_the_targets(spark, sf):
