@@ -56,7 +56,9 @@ def key_audit(df: DataFrame, keys: list[str], samples: int = 5) -> DataFrame:
         F.count_if(~null & (F.col("n") > 1)).alias("duplicate_keys"),
         F.coalesce(F.sum(F.when(~null & (F.col("n") > 1), F.col("n") - 1)), F.lit(0)).alias("excess_rows"),
     )
-    first = groups.where(~null & (F.col("n") > 1)).orderBy(*keys).limit(samples).agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws("-", *(F.lpad(F.col(k).cast("string"), 12, "0") for k in keys)))), ",").alias("sample_keys"))
+    lowest = groups.where(~null & (F.col("n") > 1)).orderBy(*keys).limit(samples).agg(F.sort_array(F.collect_list(F.struct(*keys))).alias("_s"))
+    text = F.transform("_s", lambda x: F.concat_ws("-", *(x[k].cast("string") for k in keys)))
+    first = lowest.select(F.array_join(text, ",").alias("sample_keys"))
     return audit.crossJoin(first)  # one row each
 
 

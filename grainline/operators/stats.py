@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .closed import poisson_weight
+
 
 def pearson(x: str | Column, y: str | Column) -> Column:
     """NULL for n < 2 or no variance. In closed form, since corr divides by zero there under ANSI."""
@@ -57,11 +59,12 @@ def eb_pooling(df: DataFrame, keys: list[str], owner: str, value: str) -> DataFr
     boundary), posterior, shrinkage, se and a 95% interval."""
     x = F.col(value)
     own = df.groupBy(*keys, owner).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), (F.count(x) * F.var_pop(x)).alias("_ss")).where("n > 0")
-    w = Window.partitionBy(*keys)
-    groups, total = F.count(F.lit(1)).over(w), F.sum("n").over(w)
-    grand = F.sum(F.col("n") * F.col("mean")).over(w) / total
-    out = own.select("*", groups.alias("_g"), total.alias("_t"), grand.alias("grand"), F.sum("_ss").over(w).alias("_within"), F.sum(F.col("n") * F.col("n")).over(w).alias("_nn"))
-    out = out.withColumn("_between", F.sum(F.col("n") * (F.col("mean") - F.col("grand")) * (F.col("mean") - F.col("grand"))).over(w))
+    # a row a key: small aggregates that are joined back, instead of windows that gather all owners of a key
+    totals = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("_g"), F.sum("n").alias("_t"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand"), F.sum("_ss").alias("_within"), F.sum(F.col("n") * F.col("n")).alias("_nn"))
+    back = lambda df, small: df.join(small, keys) if keys else df.crossJoin(F.broadcast(small))
+    out = back(own, totals)
+    between = out.groupBy(*keys).agg(F.sum(F.col("n") * (F.col("mean") - F.col("grand")) * (F.col("mean") - F.col("grand"))).alias("_between"))
+    out = back(out, between)
     out = out.withColumn("sigma2", F.when(F.col("_t") > F.col("_g"), F.col("_within") / (F.col("_t") - F.col("_g"))))
     c = F.col("_t") - F.col("_nn") / F.col("_t")
     out = out.withColumn("tau2", F.greatest(F.lit(0.0), F.when(c > 0, (F.col("_between") - (F.col("_g") - 1) * F.col("sigma2")) / c)))
@@ -95,22 +98,26 @@ def weighted_trend(df: DataFrame, entity: str, season: str, value: str, weight:
     out = s.select(entity, "n", "w", sxx.alias("sxx"), sxy.alias("sxy"), syy.alias("syy")).where("n >= 2")
     slope = F.col("sxy") / F.col("sxx")
     rss = F.greatest(F.lit(0.0), F.col("syy") - slope * F.col("sxy"))
-    return out.select(entity, "n", slope.alias("slope"), F.sqrt(rss / F.col("w")).alias("residual_rms"))
+    se = F.when((F.col("n") > 2) & (F.col("sxx") > 0), F.sqrt(rss / (F.col("n") - 2) / F.col("sxx")))
+    return out.select(entity, "n", slope.alias("slope"), se.alias("slope_se"), F.sqrt(rss / F.col("w")).alias("residual_rms"))
 
 
-def regression_metrics(df: DataFrame, keys: list[str], actual: str, predicted: str) -> DataFrame:
-    """n, mae, rmse, r2, correlation, calibration slope and intercept, share of right directions."""
+def regression_metrics(df: DataFrame, keys: list[str], actual: str, predicted: str, low: str | None = None, high: str | None = None) -> DataFrame:
+    """n, mae, rmse, r2, correlation, calibration slope and intercept, share of right directions, and coverage: the share of actual
+    values within low .. high (where both are named and present)."""
     y, p = F.col(actual), F.col(predicted)
     e = y - p
     sst = F.count(y) * F.var_pop(y)
     slope = F.when(F.var_pop(p) > 0, F.covar_pop(p, y) / F.var_pop(p))
     return df.where(y.isNotNull() & p.isNotNull()).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.when(sst > 0, 1 - F.sum(e * e) / sst).alias("r2"),
-        pearson(actual, predicted).alias("correlation"), slope.alias("slope"), (F.avg(y) - slope * F.avg(p)).alias("intercept"), F.avg((F.signum(y) == F.signum(p)).cast("int")).alias("direction"))
+        pearson(actual, predicted).alias("correlation"), slope.alias("slope"), (F.avg(y) - slope * F.avg(p)).alias("intercept"), F.avg((F.signum(y) == F.signum(p)).cast("int")).alias("direction"),
+        *([F.avg(y.between(F.col(low), F.col(high)).cast("int")).alias("coverage")] if low and high else []))
 
 
 def icc(df: DataFrame, keys: list[str], group: str, value: str) -> DataFrame:
-    """One-way ANOVA intraclass correlation, with the two-measure reliability."""
+    """One-way ANOVA intraclass correlation, the reliability of two and of n0 (the mean number of) measures, and the effective sample
+    size."""
     x = F.col(value)
     own = df.where(x.isNotNull()).groupBy(*keys, group).agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q"))
     t = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"), F.sum(F.col("n") * F.col("n")).alias("nn"))
@@ -119,7 +126,9 @@ def icc(df: DataFrame, keys: list[str], group: str, value: str) -> DataFrame:
     n0 = (n - F.col("nn") / n) / (g - 1)
     out = t.where((g > 1) & (n > g)).select(*keys, "groups", "n", msb.alias("msb"), msw.alias("msw"), n0.alias("n0"))
     value_ = F.when(F.col("msb") + (F.col("n0") - 1) * F.col("msw") > 0, (F.col("msb") - F.col("msw")) / (F.col("msb") + (F.col("n0") - 1) * F.col("msw")))
-    return out.select(*keys, "groups", "n", value_.alias("icc")).withColumn("reliability_2", 2 * F.col("icc") / (1 + F.col("icc")))
+    out = out.select(*keys, "groups", "n", "n0", value_.alias("icc")).withColumn("reliability_2", 2 * F.col("icc") / (1 + F.col("icc")))
+    k = F.col("n0")
+    return out.withColumn("reliability_k", k * F.col("icc") / (1 + (k - 1) * F.col("icc"))).withColumn("effective_n", F.col("n") / (1 + (k - 1) * F.greatest(F.col("icc"), F.lit(0.0))))
 
 
 def leave_group_out(df: DataFrame, owner: str, group: str, value: str, weight: str) -> DataFrame:
@@ -135,29 +144,77 @@ def draw(seed: str, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), *(p.cast("string") for p in parts))), 1, 8), 16, 10).cast("long")
 
 
+def bootstrap_sums(clusters: DataFrame, cluster: str, columns: list[str], draws: int, seed: str, keys: list[str] | None = None) -> DataFrame:
+    """draw and the columns' sums in each bootstrap draw. clusters: a row a cluster (and key) with its sums. A cluster counts as often
+    as a Poisson(1) number of its own md5 says, so that draws need no index of clusters and no join; sums leave the tasks a row a draw."""
+    keys = keys or []
+    each = clusters.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_bits", draw(seed, F.col("draw"), F.col(cluster)))
+    return each.withColumn("_k", F.expr(poisson_weight("_bits"))).groupBy(*keys, "draw").agg(*(F.sum(F.col(c) * F.col("_k")).alias(c) for c in columns))
+
+
 def cluster_bootstrap(clusters: DataFrame, cluster: str, numerator: str, denominator: str, draws: int, seed: str) -> DataFrame:
-    """One row: the ratio, its 2.5% and 97.5% bootstrap quantiles, and draws with a value. clusters: a row a cluster with its
-    sums. Each draw fills C slots, slot -> cluster by md5; rows are (draw, slot)."""
-    spark = clusters.sparkSession
-    c = clusters.select("*", (F.row_number().over(Window.orderBy(cluster)) - 1).alias("_i"))
-    n = clusters.count()
-    slots = spark.range(draws).withColumnRenamed("id", "draw").crossJoin(spark.range(n).withColumnRenamed("id", "slot"))
-    picked = slots.withColumn("_i", draw(seed, F.col("draw"), F.col("slot")) % n)
-    per = picked.join(c, "_i").groupBy("draw").agg(F.sum(numerator).alias("a"), F.sum(denominator).alias("b"))
-    per = per.withColumn("r", F.when(F.col("b") > 0, F.col("a") / F.col("b")))
+    """One row: the ratio, its 2.5% and 97.5% bootstrap quantiles, and draws with a value. clusters: a row a cluster with its sums."""
+    per = bootstrap_sums(clusters, cluster, [numerator, denominator], draws, seed).withColumn("r", F.when(F.col(denominator) > 0, F.col(numerator) / F.col(denominator)))
     whole = clusters.agg((F.sum(numerator) / F.sum(denominator)).alias("estimate"))
     return per.agg(F.percentile("r", 0.025).alias("low"), F.percentile("r", 0.975).alias("high"), F.count("r").alias("draws")).crossJoin(whole)
 
 
+#: Columns of sums that a Pearson correlation is rebuilt from.
+PAIR_SUMS = {"n": "count(*)", "x": "sum(x)", "y": "sum(y)", "xx": "sum(x * x)", "yy": "sum(y * y)", "xy": "sum(x * y)"}
+PAIR_R = "CASE WHEN n >= 2 AND n * xx - x * x > 1e-9 AND n * yy - y * y > 1e-9 THEN (n * xy - x * y) / sqrt((n * xx - x * x) * (n * yy - y * y)) END"
+
+
+def correlation_bootstrap(df: DataFrame, cluster: str, x: str, y: str, draws: int, seed: str, keys: list[str] | None = None) -> DataFrame:
+    """low and high (2.5% and 97.5%) of the correlation over draws of whole clusters, per key."""
+    keys = keys or []
+    rows = df.select(*keys, cluster, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    own = rows.groupBy(*keys, cluster).agg(*(F.expr(e).alias(n) for n, e in PAIR_SUMS.items()))
+    per = bootstrap_sums(own, cluster, list(PAIR_SUMS), draws, seed, keys).withColumn("r", F.expr(PAIR_R))
+    return per.groupBy(*keys).agg(F.percentile("r", 0.025).alias("low"), F.percentile("r", 0.975).alias("high"))
+
+
+def global_ranks(df: DataFrame, columns: list[str], buckets: int = 64) -> DataFrame:
+    """df plus <column>_rank: ranks over all rows with ties averaged. The column's range is cut at approximate quantiles (a bounded
+    list); rows are ranked within a cut, and the rows of the cuts before are added, so that no task ranks the whole table.
+    A cut holds one value where it is very frequent. Rows with a NULL in one of the columns are left out."""
+    out = df
+    for c in columns:
+        out = out.where(F.col(c).isNotNull())
+    shares = [(i + 1) / buckets for i in range(buckets - 1)]
+    bounds = out.agg(*(F.percentile_approx(c, shares, 50 * buckets).alias(c) for c in columns)).first()
+    for c in columns:
+        cuts = sorted(set(bounds[c] or []))
+        at = F.size(F.filter(F.array(*(F.lit(b) for b in cuts)), lambda b, c=c: b < F.col(c))) if cuts else F.lit(0)
+        out = out.withColumn("_cut", at)
+        counts = out.groupBy("_cut").agg(F.count(F.lit(1)).alias("_n"))
+        w = Window.orderBy("_cut")  # a row a cut
+        counts = counts.select("_cut", (F.sum("_n").over(w) - F.col("_n")).alias("_before"))
+        own, ties = Window.partitionBy("_cut").orderBy(c), Window.partitionBy("_cut", c)
+        out = out.withColumn("_r", F.rank().over(own) + (F.count(F.lit(1)).over(ties) - 1) / 2)
+        out = out.join(F.broadcast(counts), "_cut").withColumn(f"{c}_rank", F.col("_before") + F.col("_r")).drop("_cut", "_before", "_r")
+    return out
+
+
+def permutation_draws(df: DataFrame, season: str, key: str, x: str, y: str, draws: int, seed: str, block_rows: int = 4096) -> DataFrame:
+    """draw, x, y: y permuted within seasons, once a draw. A season of more than block_rows rows is cut into blocks by a hash of
+    the key, and y is permuted within the blocks, so that no task holds a whole season."""
+    base = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(season, key, x, y)
+    blocks = base.groupBy(season).agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("_m"))
+    base = base.join(F.broadcast(blocks), season).withColumn("_block", draw(seed, F.lit("block"), F.col(key)) % F.col("_m")).drop("_m")
+    place = base.select(season, "_block", x, F.row_number().over(Window.partitionBy(season, "_block").orderBy(key)).alias("_i"))
+    each = base.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    order = Window.partitionBy("draw", season, "_block").orderBy(draw(seed, F.col("draw"), F.col(season), F.col(key)), F.col(key))
+    shuffled = each.select("draw", season, "_block", y, F.row_number().over(order).alias("_i"))
+    return shuffled.join(place, [season, "_block", "_i"]).select("draw", x, y)
+
+
 def permutation_placebo(df: DataFrame, season: str, key: str, x: str, y: str, draws: int, seed: str) -> DataFrame:
-    """One row: |corr(x, y)|, how many permutations of y within seasons reach it, p = (1 + reached) / (draws + 1)."""
-    base = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    place = base.select(season, x, F.row_number().over(Window.partitionBy(season).orderBy(key)).alias("_i"))
-    each = base.crossJoin(base.sparkSession.range(draws).withColumnRenamed("id", "draw"))
-    shuffled = each.select("draw", season, y, F.row_number().over(Window.partitionBy("draw", season).orderBy(draw(seed, F.col("draw"), F.col(season), F.col(key)), F.col(key))).alias("_i"))
-    null = shuffled.join(place, [season, "_i"]).groupBy("draw").agg(F.abs(pearson(x, y)).alias("c"))
-    actual = base.agg(F.abs(pearson(x, y)).alias("actual"))
-    return null.crossJoin(actual).groupBy("actual").agg(F.count_if(F.col("c") >= F.col("actual")).alias("reached")).withColumn("p", (1 + F.col("reached")) / (draws + 1))
+    """One row: |corr(x, y)|, how many permutations of y within seasons reach it, p = (1 + reached) / (draws + 1), and the 5% and 95%
+    quantiles of the null."""
+    null = permutation_draws(df, season, key, x, y, draws, seed).groupBy("draw").agg(F.abs(pearson(x, y)).alias("c"))
+    actual = df.agg(F.abs(pearson(x, y)).alias("actual"))
+    out = null.crossJoin(actual).groupBy("actual").agg(F.count_if(F.col("c") >= F.col("actual")).alias("reached"), F.percentile("c", 0.05).alias("null_low"), F.percentile("c", 0.95).alias("null_high"))
+    return out.withColumn("p", (1 + F.col("reached")) / (draws + 1))
 
 
 def sign_flip(df: DataFrame, cluster: str, gain: str, draws: int, seed: str) -> DataFrame:
@@ -169,13 +226,15 @@ def sign_flip(df: DataFrame, cluster: str, gain: str, draws: int, seed: str) ->
     return null.crossJoin(actual).groupBy("actual").agg(F.count_if(F.col("m") >= F.col("actual")).alias("reached")).withColumn("p", (1 + F.col("reached")) / (draws + 1))
 
 
-def conformal_radius(df: DataFrame, season: str, targets: DataFrame, residual: str, level: float, window: int = 5) -> DataFrame:
-    """Per target season the k-th smallest absolute residual of the seasons before it in the window, k = ceil((n + 1) level);
+def conformal_radius(df: DataFrame, season: str, targets: DataFrame, residual: str, level: float, window: int = 5, keys: list[str] | None = None) -> DataFrame:
+    """Per target season (and key) the k-th smallest absolute residual of the seasons before it in the window, k = ceil((n + 1) level);
     NULL where k > n. Exact, by rank in each fold."""
-    joined = targets.select(F.col(season).alias("target")).join(df.where(F.col(residual).isNotNull()), (F.col(season) < F.col("target")) & (F.col(season) >= F.col("target") - window))
-    ranked = joined.select("target", F.abs(residual).alias("r"), F.row_number().over(Window.partitionBy("target").orderBy(F.abs(residual))).alias("_k"), F.count(F.lit(1)).over(Window.partitionBy("target")).alias("n"))
+    keys = keys or []
+    joined = F.broadcast(targets.select(F.col(season).alias("target"))).join(df.where(F.col(residual).isNotNull()), (F.col(season) < F.col("target")) & (F.col(season) >= F.col("target") - window))
+    own = Window.partitionBy(*keys, "target")
+    ranked = joined.select(*keys, "target", F.abs(residual).alias("r"), F.row_number().over(own.orderBy(F.abs(residual))).alias("_k"), F.count(F.lit(1)).over(own).alias("n"))
     k = F.ceil((F.col("n") + 1) * level)
-    return ranked.groupBy("target").agg(F.first("n").alias("n"), F.max(F.when(F.col("_k") == k, F.col("r"))).alias("radius"))
+    return ranked.groupBy(*keys, "target").agg(F.first("n").alias("n"), F.max(F.when(F.col("_k") == k, F.col("r"))).alias("radius"))
 
 
 def distances(a: Column, b: Column) -> dict[str, Column]:

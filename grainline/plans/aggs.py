@@ -10,14 +10,6 @@ from .registry import query
 
 
 
-@query("D01_entity_game_metrics", """
-SELECT game_id, season, week, actor_id, team_id, opponent_id, count(*) FILTER (WHERE attempt) AS attempts, count(*) FILTER (WHERE success) AS successes, count(*) FILTER (WHERE attempt AND success) AS hits,
-  CAST(sum(volume) AS BIGINT) AS volume, CAST(sum(value) AS BIGINT) AS value, CASE WHEN sum(volume) > 0 THEN sum(value)::DOUBLE / sum(volume)::DOUBLE END AS value_rate,
-  CASE WHEN count(*) FILTER (WHERE attempt) > 0 THEN (count(*) FILTER (WHERE attempt AND success))::DOUBLE / count(*) FILTER (WHERE attempt) END AS hit_rate FROM plays GROUP BY ALL""")
-def _(t):
-    return aggs.entity_metrics(t.plays, ["game_id", "season", "week", "actor_id", "team_id", "opponent_id"], {"attempts": F.col("attempt"), "successes": F.col("success"), "hits": F.col("attempt") & F.col("success")}, {"volume": F.col("volume"), "value": F.col("value")}, {"value_rate": ("value", "volume"), "hit_rate": ("hits", "attempts")})
-
-
 def season_metrics(t):
     out = aggs.entity_metrics(t.plays, ["season", "actor_id", "team_id"], {"attempts": F.col("attempt"), "successes": F.col("success")}, {"volume": F.col("volume"), "value": F.col("value")}, {"value_rate": ("value", "volume"), "success_rate": ("successes", "attempts")}, {"games": "game_id"})
     return out.withColumn("qualifies", F.col("volume") >= 200)
@@ -101,25 +93,6 @@ def _(t):
     return t.plays.groupBy("actor_id", "team_id", "season").agg(rates.sum_if_observed(F.when(F.col("tax") < 8, F.col("volume"))).alias("a"), rates.sum_if_observed(F.when(F.col("discount") == 10, F.col("value"))).alias("b"))
 
 
-@query("D12_supplemental_statistics", f"""WITH {SEASON}, {SIDES}, rec AS (SELECT season, team, {RECORD} FROM sides GROUP BY 1, 2)
-SELECT sm.season, actor_id, team_id, attempts, sm.games, wins, losses, ties, round(value_rate, 9) AS value_rate, wins + losses + ties = rec.games AS reconciles FROM sm LEFT JOIN rec ON sm.season = rec.season AND sm.team_id = rec.team""")
-def _(t):
-    rec = aggs.record(sides(t), ["season", "team"], "own", "other").withColumnsRenamed({"team": "team_id", "games": "team_games"})
-    out = season_metrics(t).join(rec, ["season", "team_id"], "left")
-    return out.select("season", "actor_id", "team_id", "attempts", "games", "wins", "losses", "ties", F.round("value_rate", 9).alias("value_rate"), (F.col("wins") + F.col("losses") + F.col("ties") == F.col("team_games")).alias("reconciles"))
-
-
-@query("D13_team_season_statistics", """
-SELECT season, team_id, plays, value, rank() OVER (PARTITION BY season ORDER BY value DESC) AS value_rank, rank() OVER (PARTITION BY season ORDER BY attempts DESC) AS attempt_rank, rank() OVER (PARTITION BY season ORDER BY plays DESC) AS play_rank FROM team_seasons""")
-def _(t):
-    from ..operators.windows import competition_rank
-
-    out = t.team_seasons.select("season", "team_id", "plays", "value", "attempts")
-    for c, n in (("value", "value_rank"), ("attempts", "attempt_rank"), ("plays", "play_rank")):
-        out = competition_rank(out, ["season"], c, n)
-    return out.drop("attempts")
-
-
 @query("D14_injury_weeks", "SELECT actor_id, season, count(DISTINCT week) AS listed, count(DISTINCT CASE WHEN tax = 0 THEN week END) AS out_weeks FROM plays WHERE discount >= 8 GROUP BY 1, 2")
 def _(t):
     return t.plays.where("discount >= 8").groupBy("actor_id", "season").agg(F.count_distinct("week").alias("listed"), F.count_distinct(F.when(F.col("tax") == 0, F.col("week"))).alias("out_weeks"))
@@ -161,11 +134,6 @@ def _(t):
     return aggs.profile_long(t.plays, ["team_id", "season"], {}, {}, _quantiles())
 
 
-@query("D18_scheme_profiles", _profile_sql("true"))
-def _(t):
-    return aggs.profile_long(t.plays, ["team_id", "season"], _rates(), _means(), _quantiles())
-
-
 @query("D19_category_share_grid", """
 WITH c AS (SELECT team_id, tax, count(*) AS n FROM plays WHERE play_id = 7 AND tax IS NOT NULL GROUP BY 1, 2), g AS (SELECT team_id, CAST(sum(n) AS BIGINT) AS total FROM c GROUP BY 1)
 SELECT g.team_id, k.tax, coalesce(n, 0) AS n, total, coalesce(n, 0)::DOUBLE / total AS share FROM g CROSS JOIN (SELECT DISTINCT tax FROM c) k LEFT JOIN c ON c.team_id = g.team_id AND c.tax = k.tax""")
@@ -173,13 +141,6 @@ def _(t):
     return aggs.category_shares(t.plays.where("play_id = 7"), ["team_id"], "tax")
 
 
-@query("D20_mechanic_flag_rates", """
-SELECT team_id, season, avg(CASE WHEN discount > 2 THEN attempt::INT END) AS attempt_rate, count(CASE WHEN discount > 2 THEN attempt END) AS observed, avg(CASE WHEN tax = 1 THEN success::INT END) AS success_rate FROM plays GROUP BY 1, 2""")
-def _(t):
-    flag = lambda c, ok: F.when(ok, F.col(c).cast("int"))
-    return t.plays.groupBy("team_id", "season").agg(F.avg(flag("attempt", F.col("discount") > 2)).alias("attempt_rate"), F.count(flag("attempt", F.col("discount") > 2)).alias("observed"), F.avg(flag("success", F.col("tax") == 1)).alias("success_rate"))
-
-
 @query("D21_string_set_agg", "SELECT team_id, season, string_agg(DISTINCT role::VARCHAR, '|' ORDER BY role::VARCHAR) AS roles FROM intervals GROUP BY 1, 2")
 def _(t):
     return t.intervals.groupBy("team_id", "season").agg(aggs.string_set(F.col("role")).alias("roles"))
@@ -316,25 +277,6 @@ def _(t):
     return row(t.plays, "attempts", F.col("attempt")).unionByName(row(t.intervals, "verified", F.col("status") == "verified")).unionByName(row(t.games, "playoff", F.col("game_type") == "POST"))
 
 
-@query("D35_era_rollup", f"""
-WITH a AS (SELECT {ERA} AS era, count(*) AS plays, CAST(sum(value) AS BIGINT) AS value FROM plays GROUP BY 1), b AS (SELECT {ERA} AS era, count(*) AS games FROM games GROUP BY 1), c AS (SELECT {ERA} AS era, count(*) AS shared_intervals FROM intervals WHERE shared AND season < 1999 GROUP BY 1)
-SELECT era, plays, value, games, coalesce(shared_intervals, 0) AS shared_intervals FROM a JOIN b USING (era) LEFT JOIN c USING (era)""")
-def _(t):
-    e = era().alias("era")
-    a = t.plays.groupBy(e).agg(F.count(F.lit(1)).alias("plays"), F.sum("value").alias("value"))
-    b = t.games.groupBy(e).agg(F.count(F.lit(1)).alias("games"))
-    c = t.intervals.where("shared AND season < 1999").groupBy(e).agg(F.count(F.lit(1)).alias("shared_intervals"))
-    return a.join(b, "era").join(c, "era", "left").fillna(0, ["shared_intervals"])
-
-
-@query("D36_sample_summary", """
-SELECT population, count(*) AS n, count(DISTINCT actor_id) AS actors, count(DISTINCT team_id) AS teams, count(DISTINCT season) AS seasons_seen, CAST(sum(volume) AS BIGINT) AS volume FROM (
-  SELECT 'all' AS population, * FROM actor_seasons UNION ALL SELECT 'qualified', * FROM actor_seasons WHERE volume >= 2000 UNION ALL SELECT 'recent', * FROM actor_seasons WHERE season >= 1999 UNION ALL SELECT 'positive', * FROM actor_seasons WHERE value > 0) GROUP BY 1""")
-def _(t):
-    tags = {"all": F.lit(True), "qualified": F.col("volume") >= 2000, "recent": F.col("season") >= 1999, "positive": F.col("value") > 0}
-    return aggs.tagged_aggregates(t.actor_seasons, tags, [F.count(F.lit(1)).alias("n"), F.count_distinct("actor_id").alias("actors"), F.count_distinct("team_id").alias("teams"), F.count_distinct("season").alias("seasons_seen"), F.sum("volume").alias("volume")])
-
-
 @query("D37_season_completeness", "SELECT season, count(*) AS cells, count(*) FILTER (WHERE status = 'verified') AS verified, count(*) FILTER (WHERE status = 'unresolved') AS unresolved, (count(*) FILTER (WHERE status = 'verified'))::DOUBLE / count(*) AS verified_rate FROM intervals GROUP BY 1")
 def _(t):
     return t.intervals.groupBy("season").agg(F.count(F.lit(1)).alias("cells"), F.count_if(F.col("status") == "verified").alias("verified"), F.count_if(F.col("status") == "unresolved").alias("unresolved"), (F.count_if(F.col("status") == "verified") / F.count(F.lit(1))).alias("verified_rate"))

@@ -12,8 +12,6 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FIRST_SEASON, LAST_SEASON = 1995, 2001
-
 
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -52,7 +50,8 @@ class Tables:
 
     @cached_property
     def seasons(self) -> DataFrame:
-        return self.spark.range(FIRST_SEASON, LAST_SEASON + 1).select(F.col("id").cast("int").alias("season"))
+        """The seasons that have games: a row each."""
+        return self.raw("orders").select(F.year("o_orderdate").alias("season")).where("season IS NOT NULL").distinct()
 
     @cached_property
     def intervals(self) -> DataFrame:
@@ -86,7 +85,7 @@ games AS (
          CAST(CAST(floor(o_totalprice) AS BIGINT) % 40 AS INT) AS home_score, CAST((CAST(floor(o_totalprice) AS BIGINT) // 40) % 40 AS INT) AS away_score,
          CASE WHEN o_orderpriority = '1-URGENT' THEN 'POST' ELSE 'REG' END AS game_type, strftime(o_orderdate, '%Y-%m-%d') AS game_day
   FROM orders),
-seasons AS (SELECT CAST(unnest(range(1995, 2002)) AS INT) AS season),
+seasons AS (SELECT DISTINCT CAST(year(o_orderdate) AS INT) AS season FROM orders),
 intervals AS (
   SELECT s_suppkey || '-' || season AS interval_id, s_suppkey % 40 AS owner_id, season, s_nationkey AS team_id, CAST(s_suppkey % 4 AS INT) AS role,
          CAST(1 + s_suppkey % 6 AS INT) AS start_week, CAST(1 + s_suppkey % 6 + s_suppkey % 7 AS INT) AS end_week, s_suppkey % 5 = 0 AS shared,

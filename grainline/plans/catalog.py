@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import windows as win
 from ..operators.joins import lag_join
-from . import aggs, domain, joins, models, research, reshape_quality, serving, sources_keys, stats, windows  # noqa: F401
+from . import aggs, domain, folds, joins, models, profiles, research, reshape_quality, serving, sources_keys, stats, windows  # noqa: F401
 from .bindings import Tables
 from .registry import ORACLE, QUERIES
 

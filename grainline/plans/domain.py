@@ -80,23 +80,6 @@ def _(t):
     return joins.grid([t.seasons, t.raw("nation").select(C("n_nationkey").alias("team"))], p, ["season", "team"], {"prior_plays": 0}).join(o, ["season", "team"], "left").select("season", "team", "prior_plays", "prior_allowed")
 
 
-@query("J07_expected_rate_by_context", """
-WITH c AS (SELECT season, discount, tax, count(*) AS n, count(*) FILTER (WHERE attempt) AS h FROM plays GROUP BY 1, 2, 3),
-b AS (SELECT s.season, sum(h)::DOUBLE / sum(n)::DOUBLE AS base FROM seasons s JOIN c ON c.season < s.season AND c.season >= s.season - 5 GROUP BY 1),
-e AS (SELECT s.season, discount, tax, (sum(h) + 50 * any_value(base)) / (sum(n) + 50) AS e FROM seasons s JOIN c ON c.season < s.season AND c.season >= s.season - 5 JOIN b ON b.season = s.season GROUP BY 1, 2, 3)
-SELECT p.team_id, p.season, count(*) AS n, round(avg(attempt::INT) - avg(coalesce(e, base)), 6) AS over_expected FROM plays p JOIN b ON b.season = p.season LEFT JOIN e ON e.season = p.season AND e.discount = p.discount AND e.tax = p.tax GROUP BY 1, 2""")
-def _(t):
-    keys_ = ["discount", "tax"]
-    c = t.plays.groupBy("season", *keys_).agg(N().alias("n"), F.count_if("attempt").alias("h"))
-    # each season's counts serve the five seasons after it
-    ahead = c.withColumn("season", F.explode(F.sequence(C("season") + 1, C("season") + 5)))
-    base = ahead.groupBy("season").agg((F.sum("h") / F.sum("n")).alias("base"))
-    ctx = ahead.groupBy("season", *keys_).agg(F.sum("h").alias("h"), F.sum("n").alias("n")).join(F.broadcast(base), "season").select("season", *keys_, ((C("h") + 50 * C("base")) / (C("n") + 50)).alias("e"))
-    cells = t.plays.groupBy("team_id", "season", *keys_).agg(N().alias("n"), F.count_if("attempt").alias("h"))
-    j = cells.join(F.broadcast(base), "season").join(ctx, ["season", *keys_], "left")
-    return j.groupBy("team_id", "season").agg(F.sum("n").alias("n"), F.round(F.sum("h") / F.sum("n") - F.sum(C("n") * F.coalesce("e", "base")) / F.sum("n"), 6).alias("over_expected"))
-
-
 LONG = """l AS (SELECT team_id, season, unnest(['attempt', 'success']) AS feature, unnest([attempts::DOUBLE / plays, successes::DOUBLE / plays]) AS v FROM team_seasons)"""
 
 
@@ -104,12 +87,6 @@ def long(t):
     return t.team_seasons.select("team_id", "season", F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), (C(c) / C("plays")).alias("v")) for n, c in (("attempt", "attempts"), ("success", "successes"))))).alias("x")).select("team_id", "season", "x.*")
 
 
-@query("J08_scheme_table", f"WITH {LONG} SELECT team_id, season, feature, round(v, 9) AS v, round((v - avg(v) OVER w) / stddev_pop(v) OVER w, 5) AS z, feature = 'attempt' AS usage FROM l WINDOW w AS (PARTITION BY season, feature)")
-def _(t):
-    reg = t.spark.createDataFrame([("attempt", True), ("success", False)], "feature string, usage boolean")
-    return win.zscore(long(t), ["season", "feature"], "v", population=True).join(F.broadcast(reg), "feature").select("team_id", "season", "feature", R("v", 9), R("z", 5), "usage")
-
-
 TRAIL = f"""{LONG}, m AS (SELECT a.season, a.feature, avg(b.v) AS m, stddev_pop(b.v) AS s, min(b.season) AS fit_first FROM (SELECT DISTINCT season, feature FROM l) a JOIN l b ON a.feature = b.feature AND b.season BETWEEN a.season - 4 AND a.season GROUP BY 1, 2),
 fr AS (SELECT team_id, l.season + 1 AS target, l.feature, l.season AS source, fit_first, round((v - m) / s, 5) AS z FROM l JOIN m ON l.season = m.season AND l.feature = m.feature)"""
 
@@ -149,15 +126,6 @@ def _(t):
     return u.select("actor_id", "target", F.array_join(basis, "|").alias("basis")).where("basis <> ''")
 
 
-@query("J13_qb_profiles", """
-WITH w AS (SELECT actor_id, team_id, season, count(*) AS n, CAST(sum(value) AS BIGINT) AS v, CAST(sum(value * value) AS BIGINT) AS vv, count(*) FILTER (WHERE attempt) AS a, CAST(sum(value) FILTER (WHERE attempt) AS BIGINT) AS av, CAST(sum(value * value) FILTER (WHERE attempt) AS BIGINT) AS avv FROM plays GROUP BY 1, 2, 3)
-SELECT actor_id, team_id, season, 'value' AS feature, v AS numerator, n AS denominator, vv AS sum_squares, v::DOUBLE / n AS raw, n >= 60 AS qualified FROM w UNION ALL SELECT actor_id, team_id, season, 'attempt_value', av, a, avv, CASE WHEN a > 0 THEN av::DOUBLE / a END, a >= 20 FROM w""")
-def _(t):
-    a = C("attempt")
-    w = t.plays.groupBy("actor_id", "team_id", "season").agg(N().alias("n"), F.sum("value").alias("v"), F.sum(C("value") * C("value")).alias("vv"), F.count_if(a).alias("a"), F.sum(F.when(a, C("value"))).alias("av"), F.sum(F.when(a, C("value") * C("value"))).alias("avv"))
-    return reshape.profile_unpivot(w, ["actor_id", "team_id", "season"], {"value": (C("v"), C("n"), C("vv"), C("n") >= 60), "attempt_value": (C("av"), C("a"), C("avv"), C("a") >= 20)})
-
-
 @query("J14_season_pae", f"WITH {PAIRS} SELECT actor_id, season, round(sum((y - prior_y) * w) / sum(w), 5) AS pae, CAST(sum(w) AS BIGINT) AS w FROM pairs GROUP BY 1, 2")
 def _(t):
     return pairs(t).groupBy("actor_id", "season").agg(F.round(F.sum((C("y") - C("prior_y")) * C("w")) / F.sum("w"), 5).alias("pae"), F.sum("w").alias("w"))
@@ -307,16 +275,6 @@ def _(t):
     return out.select("*", ((C("teams") >= 20) & (C("season") >= 1997)).alias("eligible"), F.when(C("season") < 1997, "too_early").when(C("teams") < 20, "few_teams").alias("reason"))
 
 
-@query("J42_merged_play_fingerprint", """
-WITH g AS (SELECT game_id, home_score > away_score AS home_won FROM games WHERE game_id % 3 <> 0), p AS (SELECT p_partkey AS game_id, p_size FROM part)
-SELECT team_id, season, round(avg(home_won::INT), 8) AS won, count(home_won) AS won_n, round(avg(p_size), 6) AS size, count(p_size) AS size_n, count(*) AS n FROM plays LEFT JOIN g USING (game_id) LEFT JOIN p USING (game_id) GROUP BY 1, 2""")
-def _(t):
-    g = t.games.where("game_id % 3 <> 0").select("game_id", (C("home_score") > C("away_score")).cast("int").alias("won"))
-    p = t.raw("part").select(C("p_partkey").alias("game_id"), "p_size")
-    j = joins.checked_join(joins.checked_join(t.plays, g, ["game_id"], "left", "m:1", check=False), p, ["game_id"], "left", "m:1", check=False)
-    return j.groupBy("team_id", "season").agg(F.round(F.avg("won"), 8).alias("won"), F.count("won").alias("won_n"), F.round(F.avg("p_size"), 6).alias("size"), F.count("p_size").alias("size_n"), N().alias("n"))
-
-
 @query("J43_evidence_ceiling_class", "SELECT interval_id, CASE WHEN status = 'verified' THEN 'done' WHEN shared THEN 'shared' WHEN status = 'supported' AND end_week > 8 THEN 'likely' WHEN status = 'supported' THEN 'possible' ELSE 'unknown' END AS ceiling FROM intervals")
 def _(t):
     from ..functions.rates import ordered_when

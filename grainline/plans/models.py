@@ -1,29 +1,26 @@
-"""Queries of fitted models (family K). Solves have no SQL form; tests hold them against NumPy."""
+"""The rows that models are fitted on, and the ridge with one column a category (K02)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..operators import models
+from ..operators.joins import checked_join, lag_join
 from .registry import query
-from .stats import coh, pairs
+from .stats import COH, coh
 
 C = F.col
 
+#: Rows of consecutive seasons of an actor, with the team's and the scheme's prior season.
+TRAIN = f"""{COH}, tr AS (SELECT a.actor_id, a.team_id, a.season, a.y, a.x1, a.w, b.y AS prior_y, b.x1 AS prior_x1, b.y * b.x1 AS mixed, tm.value::DOUBLE / tm.volume AS prior_team, tm.successes::DOUBLE / tm.plays AS prior_scheme
+  FROM coh a JOIN coh b ON a.actor_id = b.actor_id AND a.season = b.season + 1 JOIN team_seasons tm ON tm.team_id = a.team_id AND tm.season = a.season - 1)"""
+FEATURES = ["prior_y", "prior_x1", "mixed"]
 
-def training(t):
-    p = pairs(t)
-    return p.select("actor_id", "season", "y", "prior_y", "prior_x1", (C("prior_y") * C("prior_x1")).alias("both"), "w")
-
-
-FEATURES = ["prior_y", "prior_x1", "both"]
 
-
-@query("K01_ridge_weighted")
-def _(t):
-    rows = training(t)
-    m = models.ridge(rows.where("season < 2000"), FEATURES, "y", "w", 10.0)
-    return rows.where("season >= 2000").select("actor_id", "season", "y", m.column().alias("prediction"))
+def training(t):
+    rows = lag_join(coh(t).select("actor_id", "team_id", "season", "y", "x1", "w"), ["actor_id"], "season", ["y", "x1"], how="inner")
+    team = t.team_seasons.select("team_id", (C("season") + 1).alias("season"), (C("value") / C("volume")).alias("prior_team"), (C("successes") / C("plays")).alias("prior_scheme"))
+    return checked_join(rows.withColumn("mixed", C("prior_y") * C("prior_x1")), team, ["team_id", "season"], check=False)  # a row a team-season by its grouping
 
 
 def levels(rows, column):
@@ -41,30 +38,3 @@ def _(t):
     wide = rows.select("actor_id", "season", "y", "w", "x1", *((C("season") == s).cast("double").alias(f"s{s}") for s in seasons), *((C("team_id") == k).cast("double").alias(f"t{k}") for k in teams))
     m = models.ridge(wide, ["x1", *(f"s{s}" for s in seasons), *(f"t{k}" for k in teams)], "y", "w", 25.0)
     return wide.select("actor_id", "season", "y", m.column().alias("prediction"))
-
-
-@query("K03_ridge_effective_df")
-def _(t):
-    return t.spark.createDataFrame([(a, models.effective_df(training(t), FEATURES, "w", a)) for a in (1.0, 100.0)], "alpha double, df double")
-
-
-@query("K05_expanding_window")
-def _(t):
-    return models.expanding_folds(training(t), "season", FEATURES, "y", "w", [1.0, 10.0]).select("actor_id", "season", "alpha", "y", "prediction")
-
-
-@query("K38_inner_tuning")
-def _(t):
-    return models.inner_alpha(models.expanding_folds(training(t), "season", FEATURES, "y", "w", [0.1, 1.0, 10.0, 100.0]), "season", "y")
-
-
-@query("K55_environment_models")
-def _(t):
-    rows = training(t)
-    out = None
-    for k in range(1, len(FEATURES) + 1):
-        m = models.ridge(rows, FEATURES[:k], "y", "w", 1e-9)
-        e = C("y") - m.column()
-        one = rows.agg(F.lit(k).alias("controls"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - F.avg(e * e) / F.var_pop("y")).alias("r2"))
-        out = one if out is None else out.unionByName(one)
-    return out

@@ -11,7 +11,7 @@ from ..operators import joins, models, reshape, stats
 from ..sources import tables as src
 from ..sources.shared import new_dir
 from .domain import TRAIL, trail
-from .models import FEATURES, training
+from .models import FEATURES, training  # noqa: F401
 from .registry import query
 from .stats import COH, GAIN, PAIRS, PRED, coh, gains, pairs, preds
 
@@ -208,19 +208,6 @@ def fold_line(p, seasons, season="season", x="prior_y", y="y"):
     return s.select(season, b.alias("b"), ((C("y") - b * C("x")) / C("n")).alias("a"))
 
 
-@query("K28_residual_components_fold", f"WITH {PAIRS}, {FOLDLINE} SELECT actor_id, season, round(y - a - b * prior_y, 3) AS residual, round((y + prior_y) / 2, 5) AS shared FROM pairs LEFT JOIN f USING (season)")
-def _(t):
-    p = pairs(t)
-    return p.join(F.broadcast(fold_line(p, t.seasons)), "season", "left").select("actor_id", "season", F.round(C("y") - C("a") - C("b") * C("prior_y"), 3).alias("residual"), F.round((C("y") + C("prior_y")) / 2, 5).alias("shared"))
-
-
-@query("K29_movement_expectation")
-def _(t):
-    rows = training(t).withColumn("move", C("y") - C("prior_y"))
-    out = models.expanding_folds(rows, "season", FEATURES, "move", "w", [10.0])
-    return out.select("actor_id", "season", "move", "prediction", (C("move") - C("prediction")).alias("development"))
-
-
 def model_set(t, which):
     """The predictions of several feature sets on the same folds and rows."""
     rows = training(t)
@@ -231,16 +218,6 @@ def model_set(t, which):
 SETS = {"level": ["prior_y"], "share": ["prior_x1"], "both": ["prior_y", "prior_x1"], "all": FEATURES}
 
 
-@query("K30_future_signal_models")
-def _(t):
-    return stats.regression_metrics(model_set(t, SETS), ["model"], "y", "p")
-
-
-@query("K31_credible_fold_models")
-def _(t):
-    return stats.regression_metrics(model_set(t, SETS), ["model", "season"], "y", "p").where("n >= 20")
-
-
 @query("K32_logistic_call_model")
 def _(t):
     from pyspark.ml.classification import LogisticRegression
@@ -269,32 +246,6 @@ def _(t):
     return p.groupBy("attempt").agg(N().alias("n"), F.round(F.sum("w") * F.sum("w") / F.sum(C("w") * C("w")), 2).alias("effective_n"), F.round(F.avg("value"), 5).alias("raw_mean"), F.round(F.sum(C("w") * C("value")) / F.sum("w"), 4).alias("weighted_mean"))
 
 
-@query("K40_rolling_projection")
-def _(t):
-    p = model_set(t, SETS).withColumn("e", C("y") - C("p"))
-    out = None
-    for level in (0.5, 0.8, 0.95):
-        r = stats.conformal_radius(p.where("model = 'all'"), "season", t.seasons, "e", level).select(C("target").alias("season"), "radius")
-        one = p.where("model = 'all'").join(F.broadcast(r), "season", "left").select("actor_id", "season", F.lit(level).alias("level"), "y", "p", (C("p") - C("radius")).alias("low"), (C("p") + C("radius")).alias("high"))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-@query("K45_acceptance_decision", f"WITH {PRED}, {GAIN} SELECT model, CASE WHEN avg(gain) > 0 AND avg((gain > 0)::INT) >= 0.6 THEN 'accepted' WHEN avg(gain) > 0 THEN 'point_only' ELSE 'rejected' END AS decision FROM g GROUP BY 1")
-def _(t):
-    win_rate = F.avg((C("gain") > 0).cast("int"))
-    return gains(t).groupBy("model").agg(F.when((F.avg("gain") > 0) & (win_rate >= 0.6), "accepted").when(F.avg("gain") > 0, "point_only").otherwise("rejected").alias("decision"))
-
-
-@query("K48_scenario_adjustment")
-def _(t):
-    rows = cohort(t).where("prior_share IS NOT NULL AND team_share IS NOT NULL").withColumn("w", F.lit(1.0)).withColumn("cross", C("prior_share") * C("team_share"))
-    base = models.ridge(rows, ["prior_share"], "outcome", "w", 1.0)
-    rest = rows.withColumn("residual", C("outcome") - base.column())
-    m = models.ridge(rest, ["team_share", "cross"], "residual", "w", 10.0)
-    return rest.select("actor_id", "season", "residual", m.column().alias("adjustment"))
-
-
 @query("K49_support_guard", """
 WITH v AS (SELECT team_id, season, attempts::DOUBLE / plays AS a, successes::DOUBLE / plays AS s FROM team_seasons), d AS (SELECT q.team_id, min(((q.a - r.a) ** 2 + (q.s - r.s) ** 2) / 2) AS nearest FROM v q CROSS JOIN v r WHERE q.season = 2001 AND r.season < 2001 GROUP BY 1),
 n AS (SELECT x.team_id, x.season, min(((x.a - y.a) ** 2 + (x.s - y.s) ** 2) / 2) AS dd FROM v x CROSS JOIN v y WHERE x.season < 2001 AND y.season < 2001 AND (x.team_id, x.season) <> (y.team_id, y.season) GROUP BY 1, 2), c AS (SELECT quantile_cont(dd, 0.95) AS cutoff FROM n)
@@ -332,15 +283,6 @@ def _(t):
     return p.groupBy("changer").agg(N().alias("n"), F.round(r, 5).alias("r"), ((N() >= 50) & (r >= 0.2)).alias("passed"))
 
 
-@query("K56_environment_sensitivity")
-def _(t):
-    rows = training(t)
-    plain = models.expanding_folds(rows, "season", ["prior_y"], "y", "w", [10.0]).select("actor_id", "season", C("prediction").alias("plain"))
-    full = models.expanding_folds(rows, "season", FEATURES, "y", "w", [10.0]).select("actor_id", "season", C("prediction").alias("full"))
-    both = plain.join(full, ["actor_id", "season"])
-    return stats.spearman(both, ["season"], "plain", "full").join(both.groupBy("season").agg(F.avg((F.signum("plain") == F.signum("full")).cast("int")).alias("sign_agreement")), "season")
-
-
 SPECS = "SELECT 'all' AS spec, * FROM pairs UNION ALL SELECT 'heavy', * FROM pairs WHERE w >= 800 UNION ALL SELECT 'late', * FROM pairs WHERE season >= 1999 UNION ALL SELECT 'odd', * FROM pairs WHERE actor_id % 2 = 1"
 
 
@@ -354,18 +296,6 @@ def _(t):
     return spec_rows(pairs(t)).groupBy("spec").agg(N().alias("n"), F.round(F.covar_pop("prior_y", "y") / F.var_pop("prior_y"), 5).alias("slope"), F.round(F.avg(C("y") - C("prior_y")), 4).alias("shift"))
 
 
-@query("K60_rolling_scheme_fit")
-def _(t):
-    rows = training(t)
-    every = None
-    for n, f in SETS.items():
-        p = models.expanding_folds(rows, "season", f, "y", "w", [0.1, 1.0, 10.0, 100.0])
-        best = models.inner_alpha(p, "season", "y").select("season", "alpha")
-        one = p.join(best, ["season", "alpha"]).select("actor_id", "season", F.lit(n).alias("model"), "alpha", "y", C("prediction").alias("p"))
-        every = one if every is None else every.unionByName(one)
-    return every
-
-
 @query("K61_call_repeatability", f"WITH {PAIRS} SELECT season, count(*) AS n, round(corr(x1, prior_x1), 5) AS r, round(avg(x1) + corr(x1, prior_x1) * (max(x1) - avg(x1)), 6) AS shrunk_top FROM pairs GROUP BY 1")
 def _(t):
     r = stats.pearson("x1", "prior_x1")
@@ -397,17 +327,6 @@ def _(t):
     return out.groupBy("method").agg(N().alias("pairs"), F.round(stats.pearson("v", "prior_v"), 5).alias("r"))
 
 
-@query("K65_weight_stability", f"""WITH {PAIRS}, g AS (SELECT CAST(actor_id % 5 AS INT) AS fold, count(*) AS n, sum(prior_y) AS x, sum(y) AS y, sum(prior_y * prior_y) AS xx, sum(prior_y * y) AS xy FROM pairs GROUP BY 1), t AS (SELECT sum(n) AS n, sum(x) AS x, sum(y) AS y, sum(xx) AS xx, sum(xy) AS xy FROM g)
-SELECT fold, round(((t.xy - g.xy) - (t.x - g.x) * (t.y - g.y) / (t.n - g.n)) / ((t.xx - g.xx) - (t.x - g.x) * (t.x - g.x) / (t.n - g.n)), 5) AS slope_without FROM g CROSS JOIN t""")
-def _(t):
-    cols = ["n", "x", "y", "xx", "xy"]
-    g = pairs(t).groupBy((C("actor_id") % 5).cast("int").alias("fold")).agg(N().alias("n"), F.sum("prior_y").alias("x"), F.sum("y").alias("y"), F.sum(C("prior_y") * C("prior_y")).alias("xx"), F.sum(C("prior_y") * C("y")).alias("xy"))
-    w = g.crossJoin(F.broadcast(g.agg(*(F.sum(c).alias(f"t_{c}") for c in cols))))
-    rest = {c: C(f"t_{c}") - C(c) for c in cols}
-    slope = (rest["xy"] - rest["x"] * rest["y"] / rest["n"]) / (rest["xx"] - rest["x"] * rest["x"] / rest["n"])
-    return w.select("fold", F.round(slope, 5).alias("slope_without"))
-
-
 @query("K67_readiness_gates", f"""WITH {PAIRS}, a AS (SELECT count(*) AS n, count(DISTINCT season) AS s, corr(y, prior_y) AS r FROM pairs), g AS (SELECT 'rows' AS gate, n >= 300 AS ok FROM a UNION ALL SELECT 'seasons', s >= 4 FROM a UNION ALL SELECT 'signal', r > 0.5 FROM a)
 SELECT gate, CASE WHEN ok THEN 'PASS' ELSE 'FAIL' END AS result FROM g UNION ALL SELECT 'verdict', CASE WHEN bool_and(ok) THEN 'PASS' ELSE 'FAIL' END FROM g""")
 def _(t):

@@ -58,11 +58,6 @@ def _(t):
     return reshape.pivot_wide(profiles(t), ["team_id", "season"], "feature", {"value": "value"}, ["success", "positive", "absent"])
 
 
-@query("H02_multi_pivot", f"SELECT team_id, season, round(n1::DOUBLE / d1, 9) AS success_value, d1 AS success_n, round(n2::DOUBLE / d2, 9) AS positive_value, d2 AS positive_n FROM (SELECT team_id, season, {WIDE} FROM plays GROUP BY 1, 2)")
-def _(t):
-    return reshape.pivot_wide(profiles(t), ["team_id", "season"], "feature", {"value": "_value", "denominator": "_n"}, ["success", "positive"]).select("team_id", "season", "success_value", "success_n", "positive_value", "positive_n")
-
-
 @query("H03_profile_unpivot", """
 WITH w AS (SELECT actor_id, season, CAST(sum(value) AS BIGINT) AS v, CAST(sum(value * value) AS BIGINT) AS vv, count(*) AS n, count(*) FILTER (WHERE attempt) AS a FROM plays GROUP BY 1, 2)
 SELECT actor_id, season, 'value' AS feature, v AS numerator, n AS denominator, vv AS sum_squares, v::DOUBLE / n AS raw, n >= 60 AS qualified FROM w UNION ALL SELECT actor_id, season, 'attempt', a, n, a, a::DOUBLE / n, n >= 60 FROM w""")

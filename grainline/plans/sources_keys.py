@@ -170,33 +170,42 @@ def _(t):
 
 
 @query("B06_build_games", """
-SELECT game_id, season, week, 'team_' || home_team AS home, 'team_' || away_team AS away, game_day, CASE WHEN season < 1997 THEN 'warmup' ELSE 'analysis' END AS scope, home_team = away_team AS bad_teams FROM games WHERE season <= 2000""")
+SELECT game_id, season, week, 'team_' || home_team AS home, 'team_' || away_team AS away, game_day, CASE WHEN season < 1997 THEN 'warmup' ELSE 'analysis' END AS scope, home_team = away_team AS bad_teams,
+  game_id IS NULL AS null_id, count(*) OVER (PARTITION BY game_id) > 1 AS repeated_id, home_team IS NULL OR away_team IS NULL AS missing_team FROM games WHERE season <= 2000""")
 def _(t):
     day = F.date_format(F.try_to_date(F.col("game_day")), "yyyy-MM-dd")
-    return t.games.where("season <= 2000").select("game_id", "season", "week", F.concat(F.lit("team_"), "home_team").alias("home"), F.concat(F.lit("team_"), "away_team").alias("away"), day.alias("game_day"), F.when(F.col("season") < 1997, "warmup").otherwise("analysis").alias("scope"), (F.col("home_team") == F.col("away_team")).alias("bad_teams"))
+    g = t.games.where("season <= 2000")
+    repeated = g.groupBy("game_id").agg((F.count(F.lit(1)) > 1).alias("repeated_id"))
+    g = g.join(repeated.withColumnRenamed("game_id", "_id"), F.col("game_id").eqNullSafe(F.col("_id")))
+    bad = F.col("home_team") == F.col("away_team")
+    return g.select("game_id", "season", "week", F.concat(F.lit("team_"), "home_team").alias("home"), F.concat(F.lit("team_"), "away_team").alias("away"), day.alias("game_day"), F.when(F.col("season") < 1997, "warmup").otherwise("analysis").alias("scope"), bad.alias("bad_teams"), F.col("game_id").isNull().alias("null_id"), "repeated_id", (F.col("home_team").isNull() | F.col("away_team").isNull()).alias("missing_team"))
 
 
 @query("B07_key_audit", """
 WITH k AS (SELECT game_id, play_id, count(*) AS n FROM plays GROUP BY 1, 2)
 SELECT CAST(0 AS BIGINT) AS null_keys, count(*) FILTER (WHERE n > 1) AS duplicate_keys, CAST(coalesce(sum(n - 1) FILTER (WHERE n > 1), 0) AS BIGINT) AS excess_rows,
-  (SELECT string_agg(lpad(game_id::VARCHAR, 12, '0') || '-' || lpad(play_id::VARCHAR, 12, '0'), ',' ORDER BY game_id, play_id) FROM (SELECT * FROM k WHERE n > 1 ORDER BY 1, 2 LIMIT 5)) AS sample_keys FROM k""")
+  (SELECT string_agg(game_id || '-' || play_id, ',' ORDER BY game_id, play_id) FROM (SELECT * FROM k WHERE n > 1 ORDER BY 1, 2 LIMIT 5)) AS sample_keys FROM k""")
 def _(t):
     return keys.key_audit(t.plays, ["game_id", "play_id"])
 
 
-RESOLVED = """claims AS (SELECT s_suppkey, CASE WHEN s_suppkey % 11 = 0 THEN NULL WHEN s_suppkey % 13 = 0 THEN 'bad' ELSE '00-' || lpad(s_suppkey::VARCHAR, 7, '0') END AS main,
-  CASE WHEN s_suppkey % 9 = 0 THEN '00-' || lpad((s_suppkey + s_suppkey % 2)::VARCHAR, 7, '0') ELSE ' ' END AS other, CASE WHEN s_suppkey % 17 = 0 THEN CAST('NaN' AS DOUBLE) ELSE s_acctbal END AS measure FROM supplier)"""
+RESOLVED = """claims AS (SELECT game_id, play_id, value, actor_id, CASE WHEN actor_id % 11 = 0 THEN NULL WHEN actor_id % 13 = 0 THEN 'bad' ELSE '00-' || lpad(actor_id::VARCHAR, 7, '0') END AS main,
+  CASE WHEN play_id % 3 = 0 THEN '00-' || lpad((actor_id + play_id % 2)::VARCHAR, 7, '0') ELSE ' ' END AS other, CASE WHEN tax = 4 AND discount = 3 THEN CAST('NaN' AS DOUBLE) ELSE value END AS measure FROM plays WHERE attempt)"""
 
 
-@query("B08_resolve_actor_id", f"""WITH {RESOLVED}
-SELECT s_suppkey, coalesce(nullif(trim(other), ''), main) AS actor,
+@query("B08_resolve_actor_id", f"""WITH {RESOLVED}, r AS (SELECT actor_id, value, coalesce(nullif(trim(other), ''), main) AS actor,
   CASE WHEN trim(other) <> '' AND main IS NOT NULL AND trim(other) <> main THEN 'conflicting_ids' WHEN isnan(measure) THEN 'invalid_value'
-       WHEN coalesce(nullif(trim(other), ''), main) IS NULL THEN 'missing_id' WHEN NOT regexp_matches(coalesce(nullif(trim(other), ''), main), '^00-[0-9]{{7}}$') THEN 'invalid_id' ELSE 'resolved' END AS resolution_status FROM claims""")
+       WHEN coalesce(nullif(trim(other), ''), main) IS NULL THEN 'missing_id' WHEN NOT regexp_matches(coalesce(nullif(trim(other), ''), main), '^00-[0-9]{{7}}$') THEN 'invalid_id' ELSE 'resolved' END AS resolution_status FROM claims)
+SELECT actor_id, actor, resolution_status, count(*) AS events_n, CAST(sum(value) AS BIGINT) AS value FROM r GROUP BY 1, 2, 3""")
 def _(t):
-    k = F.col("s_suppkey")
+    # eligible events only, each with its claimed ids; the resolved and the unresolved come back in one table, told apart by status
+    k = F.col("actor_id")
     text = lambda x: F.concat(F.lit("00-"), F.lpad(x.cast("string"), 7, "0"))
-    claims = t.raw("supplier").select("s_suppkey", F.when(k % 11 == 0, None).when(k % 13 == 0, "bad").otherwise(text(k)).alias("main"), F.when(k % 9 == 0, text(k + k % 2)).otherwise(" ").alias("other"), F.when(k % 17 == 0, F.lit(float("nan"))).otherwise(F.col("s_acctbal")).alias("measure"))
-    return keys.resolve_actor(claims, "main", "other", "measure", "^00-\\d{7}$").select("s_suppkey", "actor", "resolution_status")
+    main = F.when(k % 11 == 0, None).when(k % 13 == 0, "bad").otherwise(text(k))
+    other = F.when(F.col("play_id") % 3 == 0, text(k + F.col("play_id") % 2)).otherwise(" ")
+    measure = F.when((F.col("tax") == 4) & (F.col("discount") == 3), F.lit(float("nan"))).otherwise(F.col("value").cast("double"))
+    claims = t.plays.where("attempt").select("actor_id", "value", main.alias("main"), other.alias("other"), measure.alias("measure"))
+    return keys.resolve_actor(claims, "main", "other", "measure", "^00-\\d{7}$").groupBy("actor_id", "actor", "resolution_status").agg(F.count(F.lit(1)).alias("events_n"), F.sum("value").alias("value"))
 
 
 @query("B09_event_parent_reconcile", """
@@ -335,9 +344,9 @@ def _(t):
     return binned.groupBy("game_id", "distance_bin", "zone", "quarter_bin", "score_state").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("B24_era_bucket", "SELECT season, CASE WHEN season <= 1996 THEN 'early' WHEN season <= 1998 THEN 'middle' WHEN season <= 2000 THEN 'late' ELSE 'recent' END AS era FROM seasons")
+@query("B24_era_bucket", "SELECT game_id, season, CASE WHEN season <= 1996 THEN 'early' WHEN season <= 1998 THEN 'middle' WHEN season <= 2000 THEN 'late' ELSE 'recent' END AS era FROM games")
 def _(t):
-    return t.seasons.select("season", rates.era(F.col("season"), [(1996, "early"), (1998, "middle"), (2000, "late")], "recent").alias("era"))
+    return t.games.select("game_id", "season", rates.era(F.col("season"), [(1996, "early"), (1998, "middle"), (2000, "late")], "recent").alias("era"))
 
 
 @query("B25_age_at_date", """
