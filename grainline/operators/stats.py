@@ -237,6 +237,15 @@ def conformal_radius(df: DataFrame, season: str, targets: DataFrame, residual: s
     return ranked.groupBy(*keys, "target").agg(F.first("n").alias("n"), F.max(F.when(F.col("_k") == k, F.col("r"))).alias("radius"))
 
 
+def conformal_radii(df: DataFrame, keys: list[str], season: str, targets: DataFrame, residual: str, levels: dict[str, float], window: int = 5) -> DataFrame:
+    """Per key and target season n and a radius a level (name: level), as conformal_radius gives them, in one pass."""
+    rows = df.where(F.col(residual).isNotNull()).select(*keys, season, F.abs(residual).alias("_r"))
+    ahead = F.broadcast(targets.select(F.col(season).alias("_t"))).join(rows, (F.col(season) < F.col("_t")) & (F.col(season) >= F.col("_t") - window))
+    own = Window.partitionBy(*keys, "_t")
+    ranked = ahead.select(*keys, "_t", "_r", F.row_number().over(own.orderBy("_r")).alias("_k"), F.count(F.lit(1)).over(own).alias("n"))
+    return ranked.groupBy(*keys, F.col("_t").alias(season)).agg(F.first("n").alias("residuals"), *(F.max(F.when(F.col("_k") == F.ceil((F.col("n") + 1) * level), F.col("_r"))).alias(name) for name, level in levels.items()))
+
+
 def distances(a: Column, b: Column) -> dict[str, Column]:
     """Euclidean, Manhattan, cosine and correlation distance of two array<double> columns over places where both are
     present; NULL with fewer than three."""

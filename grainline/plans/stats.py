@@ -259,12 +259,6 @@ def _(t):
     return stats.regression_metrics(preds(t).withColumn("period", F.explode(own)), ["period", "model"], "y", "p").select("period", "model", "n", R("mae", 5))
 
 
-@query("K42_interval_coverage", f"WITH {PRED} SELECT model, level, count(*) AS n, round(avg((abs(y - p) <= level * 3)::INT), 6) AS coverage, round(avg(CASE WHEN p IS NOT NULL THEN 6.0 * level END), 6) AS width FROM preds CROSS JOIN (SELECT unnest([50, 80, 95]) AS level) GROUP BY 1, 2")
-def _(t):
-    rows = preds(t).withColumn("level", F.explode(F.array(F.lit(50), F.lit(80), F.lit(95))))
-    return rows.groupBy("model", "level").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.abs(C("y") - C("p")) <= C("level") * 3).cast("int")), 6).alias("coverage"), F.round(F.avg(6.0 * C("level")), 6).alias("width"))
-
-
 GAIN = "g AS (SELECT season, o.model, avg(abs(b.y - b.p)) - avg(abs(o.y - o.p)) AS gain, count(*) AS n FROM preds b JOIN preds o USING (actor_id, season) WHERE b.model = 'zero' AND o.model <> 'zero' GROUP BY 1, 2)"
 
 
@@ -280,13 +274,6 @@ def _(t):
     return gains(t).select("season", "model", "n", R("gain", 5))
 
 
-@query("K44_model_selection", f"WITH {PRED}, {GAIN} SELECT model, round(avg(gain), 5) AS mean_gain, round(avg((gain > 0)::INT), 6) AS win_rate, avg(gain) > stddev_samp(gain) / sqrt(count(*)) AND avg((gain > 0)::INT) >= 0.6 AS accepted FROM g GROUP BY 1")
-def _(t):
-    win = F.avg((C("gain") > 0).cast("int"))
-    ok = (F.avg("gain") > F.stddev_samp("gain") / F.sqrt(F.count(F.lit(1)))) & (win >= 0.6)
-    return gains(t).groupBy("model").agg(F.round(F.avg("gain"), 5).alias("mean_gain"), F.round(win, 6).alias("win_rate"), ok.alias("accepted"))
-
-
 @query("K46_subgroup_metrics", f"WITH {PRED} SELECT grp, model, count(*) AS n, round(avg(abs(y - p)), 5) AS mae FROM (SELECT 'even' AS grp, * FROM preds WHERE actor_id % 2 = 0 UNION ALL SELECT 'third', * FROM preds WHERE actor_id % 3 = 0 UNION ALL SELECT 'all', * FROM preds) GROUP BY 1, 2")
 def _(t):
     tags = {"even": C("actor_id") % 2 == 0, "third": C("actor_id") % 3 == 0, "all": F.lit(True)}
@@ -294,20 +281,6 @@ def _(t):
     return stats.regression_metrics(preds(t).withColumn("grp", F.explode(own)), ["grp", "model"], "y", "p").select("grp", "model", "n", R("mae", 5))
 
 
-@query("K47_recalibration", f"""WITH {PRED}, f AS (SELECT s.season AS target, model, avg(y - p) AS bias, regr_slope(y, p) AS b, regr_intercept(y, p) AS a FROM seasons s JOIN preds q ON q.season < s.season AND q.season >= s.season - 3 WHERE model = 'prior' GROUP BY 1, 2)
-SELECT actor_id, q.season, round(p, 4) AS none, round(p + bias, 4) AS bias, round(a + b * p, 3) AS linear FROM preds q LEFT JOIN f ON f.target = q.season AND f.model = q.model WHERE q.model = 'prior'""")
-def _(t):
-    p = preds(t).where("model = 'prior'")
-    # a fold's fit needs sums only: seasons are summed once and the trailing window adds them up
-    per = p.groupBy("season").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y"), F.sum("p").alias("p"), F.sum(C("p") * C("p")).alias("pp"), F.sum(C("p") * C("y")).alias("py"))
-    full = t.seasons.join(per, "season", "left")
-    w = Window.orderBy("season").rangeBetween(-3, -1)
-    s = full.select(C("season"), *(F.sum(c).over(w).alias(c) for c in ("n", "y", "p", "pp", "py")))
-    b = (C("py") - C("p") * C("y") / C("n")) / (C("pp") - C("p") * C("p") / C("n"))
-    fit = s.select("season", ((C("y") - C("p")) / C("n")).alias("bias"), b.alias("b"), ((C("y") - b * C("p")) / C("n")).alias("a"))
-    return p.join(F.broadcast(fit), "season", "left").select("actor_id", "season", F.round("p", 4).alias("none"), F.round(C("p") + C("bias"), 4).alias("bias"), F.round(C("a") + C("b") * C("p"), 3).alias("linear"))
-
-
 @query("K50_decision_gates", f"""WITH {PAIRS}, a AS (SELECT count(*) >= 100 AS enough, corr(y, prior_y) > 0.9 AS strong, count(DISTINCT season) >= 5 AS seasons_ok FROM pairs)
 SELECT '{{"enough":' || enough || ',"strong":' || strong || ',"seasons_ok":' || seasons_ok || '}}' AS gates, array_to_string(list_filter([CASE WHEN NOT enough THEN 'enough' END, CASE WHEN NOT strong THEN 'strong' END, CASE WHEN NOT seasons_ok THEN 'seasons_ok' END], lambda x: x IS NOT NULL), '|') AS failed FROM a""")
 def _(t):
