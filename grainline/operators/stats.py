@@ -54,9 +54,9 @@ def league_shrunk(df: DataFrame, entity: str, season: str, value: str, weight: s
     return out.join(F.broadcast(league), season).withColumn("blend", F.coalesce(share * F.col("history"), F.lit(0.0)) + (1 - share) * F.col("league"))
 
 
-def eb_pooling(df: DataFrame, keys: list[str], owner: str, value: str) -> DataFrame:
+def eb_pooling(df: DataFrame, keys: list[str], owner: str, value: str, spent: Column | None = None) -> DataFrame:
     """Empirical-Bayes normal pooling of owners within keys: sigma2 from the residual sum, tau2 by moments (0 at the
-    boundary), posterior, shrinkage, se and a 95% interval."""
+    boundary), posterior, shrinkage, se and a 95% interval. spent: degrees of freedom that a model before the pooling used per row."""
     x = F.col(value)
     own = df.groupBy(*keys, owner).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), (F.count(x) * F.var_pop(x)).alias("_ss")).where("n > 0")
     # a row a key: small aggregates that are joined back, instead of windows that gather all owners of a key
@@ -65,7 +65,8 @@ def eb_pooling(df: DataFrame, keys: list[str], owner: str, value: str) -> DataFr
     out = back(own, totals)
     between = out.groupBy(*keys).agg(F.sum(F.col("n") * (F.col("mean") - F.col("grand")) * (F.col("mean") - F.col("grand"))).alias("_between"))
     out = back(out, between)
-    out = out.withColumn("sigma2", F.when(F.col("_t") > F.col("_g"), F.col("_within") / (F.col("_t") - F.col("_g"))))
+    free = F.col("_t") - F.col("_g") - (F.lit(0.0) if spent is None else spent * F.col("_t"))
+    out = out.withColumn("sigma2", F.when(free > 0, F.col("_within") / free))
     c = F.col("_t") - F.col("_nn") / F.col("_t")
     out = out.withColumn("tau2", F.greatest(F.lit(0.0), F.when(c > 0, (F.col("_between") - (F.col("_g") - 1) * F.col("sigma2")) / c)))
     out = out.withColumn("shrinkage", F.when(F.col("tau2") > 0, F.col("tau2") / (F.col("tau2") + F.col("sigma2") / F.col("n"))).otherwise(F.lit(0.0)))
@@ -115,7 +116,7 @@ def regression_metrics(df: DataFrame, keys: list[str], actual: str, predicted: s
         *([F.avg(y.between(F.col(low), F.col(high)).cast("int")).alias("coverage")] if low and high else []))
 
 
-def icc(df: DataFrame, keys: list[str], group: str, value: str) -> DataFrame:
+def icc(df: DataFrame, keys: list[str], group: str, value: str, parts: bool = False) -> DataFrame:
     """One-way ANOVA intraclass correlation, the reliability of two and of n0 (the mean number of) measures, and the effective sample
     size."""
     x = F.col(value)
@@ -126,7 +127,7 @@ def icc(df: DataFrame, keys: list[str], group: str, value: str) -> DataFrame:
     n0 = (n - F.col("nn") / n) / (g - 1)
     out = t.where((g > 1) & (n > g)).select(*keys, "groups", "n", msb.alias("msb"), msw.alias("msw"), n0.alias("n0"))
     value_ = F.when(F.col("msb") + (F.col("n0") - 1) * F.col("msw") > 0, (F.col("msb") - F.col("msw")) / (F.col("msb") + (F.col("n0") - 1) * F.col("msw")))
-    out = out.select(*keys, "groups", "n", "n0", value_.alias("icc")).withColumn("reliability_2", 2 * F.col("icc") / (1 + F.col("icc")))
+    out = out.select(*keys, "groups", "n", "n0", *(["msb", "msw"] if parts else []), value_.alias("icc")).withColumn("reliability_2", 2 * F.col("icc") / (1 + F.col("icc")))
     k = F.col("n0")
     return out.withColumn("reliability_k", k * F.col("icc") / (1 + (k - 1) * F.col("icc"))).withColumn("effective_n", F.col("n") / (1 + (k - 1) * F.greatest(F.col("icc"), F.lit(0.0))))
 
@@ -184,8 +185,8 @@ def global_ranks(df: DataFrame, columns: list[str], buckets: int = 64) -> DataFr
     bounds = out.agg(*(F.percentile_approx(c, shares, 50 * buckets).alias(c) for c in columns)).first()
     for c in columns:
         cuts = sorted(set(bounds[c] or []))
-        at = F.size(F.filter(F.array(*(F.lit(b) for b in cuts)), lambda b, c=c: b < F.col(c))) if cuts else F.lit(0)
-        out = out.withColumn("_cut", at)
+        below = [F.when(F.col(c) > b, 1).otherwise(0) for b in cuts]
+        out = out.withColumn("_cut", sum(below, F.lit(0)))
         counts = out.groupBy("_cut").agg(F.count(F.lit(1)).alias("_n"))
         w = Window.orderBy("_cut")  # a row a cut
         counts = counts.select("_cut", (F.sum("_n").over(w) - F.col("_n")).alias("_before"))

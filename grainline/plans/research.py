@@ -175,27 +175,6 @@ def components_of(t):
     return own, own.crossJoin(F.broadcast(tt))
 
 
-@query("K25_variance_components", f"""WITH {COH}, {GROUPED}, g AS (SELECT tau2, sum(0.5 * ln(tau2 + sigma2 / own.n) + 0.5 * (m - gm) * (m - gm) / (tau2 + sigma2 / own.n)) AS nll FROM own CROSS JOIN tt CROSS JOIN (SELECT 25.0::DOUBLE * k AS tau2 FROM (SELECT unnest(range(0, 200)) AS k)) GROUP BY 1)
-SELECT (SELECT round(sigma2, 4) FROM tt) AS sigma2, round((SELECT greatest(0, (sum(own.n * (m - gm) * (m - gm)) - (any_value(g) - 1) * any_value(sigma2)) / (any_value(tt.n) - any_value(nn) / any_value(tt.n))) FROM own CROSS JOIN tt), 3) AS tau2_moments, (SELECT tau2 FROM g ORDER BY round(nll, 8), tau2 LIMIT 1) AS tau2_likelihood""")
-def _(t):
-    _, j = components_of(t)
-    dev = (C("m") - C("gm")) * (C("m") - C("gm"))
-    moments = j.agg(F.first("sigma2").alias("sigma2"), F.greatest(F.lit(0.0), (F.sum(C("n") * dev) - (F.first("g") - 1) * F.first("sigma2")) / (F.first("t") - F.first("nn") / F.first("t"))).alias("tau2"))
-    grid = t.spark.range(200).select((25.0 * C("id")).alias("tau2"))
-    v = C("tau2") + C("sigma2") / C("n")
-    nll = j.crossJoin(F.broadcast(grid)).groupBy("tau2").agg(F.round(F.sum(0.5 * F.log(v) + 0.5 * dev / v), 8).alias("nll"))
-    best = nll.agg(F.min(F.struct("nll", "tau2"))["tau2"].alias("tau2_likelihood"))
-    return moments.select(R("sigma2", 4), F.round("tau2", 3).alias("tau2_moments")).crossJoin(best)
-
-
-@query("K26_shrinkage_oos", f"""WITH {COH}, h AS (SELECT a.actor_id, a.season, any_value(a.y) AS y, avg(b.y) AS raw, count(b.y) AS n FROM coh a JOIN coh b ON a.actor_id = b.actor_id AND b.season < a.season GROUP BY 1, 2)
-SELECT season, count(*) AS n_rows, round(avg(abs(y - raw)), 5) AS raw_mae, round(avg(abs(y - raw * n / (n + 3))), 5) AS shrunk_mae FROM h GROUP BY 1""")
-def _(t):
-    w = Window.partitionBy("actor_id").orderBy("season").rangeBetween(Window.unboundedPreceding, -1)
-    h = coh(t).select("season", "y", F.avg("y").over(w).alias("raw"), F.count("y").over(w).alias("n")).where("n > 0")
-    return h.groupBy("season").agg(N().alias("n_rows"), F.round(F.avg(F.abs(C("y") - C("raw"))), 5).alias("raw_mae"), F.round(F.avg(F.abs(C("y") - C("raw") * C("n") / (C("n") + 3))), 5).alias("shrunk_mae"))
-
-
 FOLDLINE = "f AS (SELECT s.season, regr_slope(y, prior_y) AS b, regr_intercept(y, prior_y) AS a FROM seasons s JOIN pairs p ON p.season < s.season GROUP BY 1)"
 
 
@@ -218,50 +197,6 @@ def model_set(t, which):
 SETS = {"level": ["prior_y"], "share": ["prior_x1"], "both": ["prior_y", "prior_x1"], "all": FEATURES}
 
 
-@query("K32_logistic_call_model")
-def _(t):
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    p = t.plays.select("season", "team_id", C("attempt").cast("double").alias("label"), C("discount").cast("double").alias("d"), C("tax").cast("double").alias("x"), "value")
-    data = VectorAssembler(inputCols=["d", "x"], outputCol="features").transform(p)
-    model = LogisticRegression(maxIter=20, regParam=0.01).fit(data)
-    scored = model.transform(data).select("season", "label", F.element_at(vector_to_array("probability"), 2).alias("q"))
-    y, q = C("label"), C("q")
-    return scored.groupBy("season").agg(N().alias("n"), F.avg(((q >= 0.5) == (y == 1)).cast("int")).alias("accuracy"), (-F.avg(y * F.log(q) + (1 - y) * F.log(1 - q))).alias("log_loss"), F.avg((q - y) * (q - y)).alias("brier"))
-
-
-@query("K35_propensity_ipw", """
-WITH s AS (SELECT discount, avg(attempt::INT) AS e FROM plays GROUP BY 1), b AS (SELECT avg(attempt::INT) AS base FROM plays),
-w AS (SELECT p.*, least(greatest(CASE WHEN attempt THEN base / e ELSE (1 - base) / (1 - e) END, 0.1), 10) AS w FROM plays p JOIN s USING (discount) CROSS JOIN b)
-SELECT attempt, count(*) AS n, round(sum(w) * sum(w) / sum(w * w), 2) AS effective_n, round(avg(value), 5) AS raw_mean, round(sum(w * value) / sum(w), 4) AS weighted_mean FROM w GROUP BY 1""")
-def _(t):
-    # the propensity is the treated share of each stratum of the covariate
-    s = t.plays.groupBy("discount").agg(N().alias("n"), F.count_if("attempt").alias("h"))
-    b = s.agg((F.sum("h") / F.sum("n")).alias("base"))
-    fit = s.select("discount", (C("h") / C("n")).alias("e")).crossJoin(F.broadcast(b))
-    raw = F.when(C("attempt"), C("base") / C("e")).otherwise((1 - C("base")) / (1 - C("e")))
-    p = t.plays.join(F.broadcast(fit), "discount").withColumn("w", F.least(F.greatest(raw, F.lit(0.1)), F.lit(10.0)))
-    return p.groupBy("attempt").agg(N().alias("n"), F.round(F.sum("w") * F.sum("w") / F.sum(C("w") * C("w")), 2).alias("effective_n"), F.round(F.avg("value"), 5).alias("raw_mean"), F.round(F.sum(C("w") * C("value")) / F.sum("w"), 4).alias("weighted_mean"))
-
-
-@query("K49_support_guard", """
-WITH v AS (SELECT team_id, season, attempts::DOUBLE / plays AS a, successes::DOUBLE / plays AS s FROM team_seasons), d AS (SELECT q.team_id, min(((q.a - r.a) ** 2 + (q.s - r.s) ** 2) / 2) AS nearest FROM v q CROSS JOIN v r WHERE q.season = 2001 AND r.season < 2001 GROUP BY 1),
-n AS (SELECT x.team_id, x.season, min(((x.a - y.a) ** 2 + (x.s - y.s) ** 2) / 2) AS dd FROM v x CROSS JOIN v y WHERE x.season < 2001 AND y.season < 2001 AND (x.team_id, x.season) <> (y.team_id, y.season) GROUP BY 1, 2), c AS (SELECT quantile_cont(dd, 0.95) AS cutoff FROM n)
-SELECT team_id, round(nearest, 9) AS nearest, nearest <= cutoff AS supported FROM d CROSS JOIN c""")
-def _(t):
-    # a row a team-season: both sides are dimension-sized, queries are one season
-    v = t.team_seasons.select("team_id", "season", F.array(C("attempts") / C("plays"), C("successes") / C("plays")).alias("v"))
-    train = v.where("season < 2001")
-    d = F.aggregate(F.zip_with("v", "u", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x) / 2
-    other = F.broadcast(train.select(C("team_id").alias("k"), C("season").alias("s"), C("v").alias("u")))
-    near = v.where("season = 2001").crossJoin(other).groupBy("team_id").agg(F.min(d).alias("nearest"))
-    own = train.join(other, (C("team_id") != C("k")) | (C("season") != C("s"))).groupBy("team_id", "season").agg(F.min(d).alias("d"))
-    cut = own.agg(F.percentile("d", 0.95).alias("cutoff"))
-    return near.crossJoin(F.broadcast(cut)).select("team_id", R("nearest", 9), (C("nearest") <= C("cutoff")).alias("supported"))
-
-
 @query("K51_gate_comparison", f"""WITH {PAIRS}, c AS (SELECT 'y' AS system, count(*) AS n, corr(y, prior_y) AS r FROM pairs UNION ALL SELECT 'x1', count(*), corr(x1, prior_x1) FROM pairs),
 g AS (SELECT system, 'rows' AS criterion, n >= 100 AS ok FROM c UNION ALL SELECT system, 'correlation', r >= 0.25 FROM c) SELECT system, criterion, CASE WHEN ok THEN 'PASS' ELSE 'FAIL' END AS result FROM g UNION ALL SELECT system, 'overall', CASE WHEN bool_and(ok) THEN 'PASS' ELSE 'FAIL' END FROM g GROUP BY 1""")
 def _(t):
@@ -276,13 +211,6 @@ def _(t):
 CHANGER = "SELECT *, (actor_id + season) % 4 = 0 AS changer FROM pairs"
 
 
-@query("K54_portability_report", f"WITH {PAIRS} SELECT changer, count(*) AS n, round(corr(y, prior_y), 5) AS r, count(*) >= 50 AND corr(y, prior_y) >= 0.2 AS passed FROM ({CHANGER}) GROUP BY 1")
-def _(t):
-    p = pairs(t).withColumn("changer", (C("actor_id") + C("season")) % 4 == 0)
-    r = stats.pearson("y", "prior_y")
-    return p.groupBy("changer").agg(N().alias("n"), F.round(r, 5).alias("r"), ((N() >= 50) & (r >= 0.2)).alias("passed"))
-
-
 SPECS = "SELECT 'all' AS spec, * FROM pairs UNION ALL SELECT 'heavy', * FROM pairs WHERE w >= 800 UNION ALL SELECT 'late', * FROM pairs WHERE season >= 1999 UNION ALL SELECT 'odd', * FROM pairs WHERE actor_id % 2 = 1"
 
 
@@ -291,17 +219,6 @@ def spec_rows(df):
     return df.withColumn("spec", F.explode(F.filter(F.array(*(F.when(c, n) for n, c in tags.items())), lambda x: x.isNotNull())))
 
 
-@query("K57_sensitivity_grid", f"WITH {PAIRS} SELECT spec, count(*) AS n, round(regr_slope(y, prior_y), 5) AS slope, round(avg(y - prior_y), 4) AS shift FROM ({SPECS}) GROUP BY 1")
-def _(t):
-    return spec_rows(pairs(t)).groupBy("spec").agg(N().alias("n"), F.round(F.covar_pop("prior_y", "y") / F.var_pop("prior_y"), 5).alias("slope"), F.round(F.avg(C("y") - C("prior_y")), 4).alias("shift"))
-
-
-@query("K61_call_repeatability", f"WITH {PAIRS} SELECT season, count(*) AS n, round(corr(x1, prior_x1), 5) AS r, round(avg(x1) + corr(x1, prior_x1) * (max(x1) - avg(x1)), 6) AS shrunk_top FROM pairs GROUP BY 1")
-def _(t):
-    r = stats.pearson("x1", "prior_x1")
-    return pairs(t).groupBy("season").agg(N().alias("n"), F.round(r, 5).alias("r"), F.round(F.avg("x1") + r * (F.max("x1") - F.avg("x1")), 6).alias("shrunk_top"))
-
-
 def _placebo_sql(x, y, where, seed, draws):
     return f"""WITH {PAIRS}, b AS (SELECT season, actor_id, {y} AS y, {x} AS x, row_number() OVER (PARTITION BY season ORDER BY actor_id) AS i FROM pairs WHERE {where}),
 s AS (SELECT draw, season, y, row_number() OVER (PARTITION BY draw, season ORDER BY ('0x' || substr(md5('{seed}|' || draw || '|' || season || '|' || actor_id), 1, 8))::BIGINT, actor_id) AS i FROM b CROSS JOIN (SELECT unnest(range({draws})) AS draw)),
@@ -309,24 +226,6 @@ n AS (SELECT draw, abs(corr(b.x, s.y)) AS c FROM s JOIN b ON s.season = b.season
 SELECT round(actual, 6) AS actual, count(*) FILTER (WHERE c >= actual) AS reached, (1 + count(*) FILTER (WHERE c >= actual))::DOUBLE / {draws + 1} AS p FROM n CROSS JOIN a GROUP BY actual"""
 
 
-@query("K62_interaction_placebo", _placebo_sql("prior_x1", "y", "true", "inter", 20))
-def _(t):
-    return stats.permutation_placebo(pairs(t), "season", "actor_id", "prior_x1", "y", 20, "inter").select(R("actual"), "reached", "p")
-
-
-@query("K68_placebo_pairs", _placebo_sql("prior_y", "y", "season >= 1999", "late", 20))
-def _(t):
-    return stats.permutation_placebo(pairs(t).where("season >= 1999"), "season", "actor_id", "prior_y", "y", 20, "late").select(R("actual"), "reached", "p")
-
-
-@query("K63_aggregation_sensitivity", f"""WITH {COH}, a AS (SELECT actor_id, season, y * w / (w + 400) AS shrunk, y AS plain FROM coh), l AS (SELECT actor_id, season, 'plain' AS method, plain AS v FROM a UNION ALL SELECT actor_id, season, 'shrunk', shrunk FROM a)
-SELECT x.method, count(*) AS pairs, round(corr(x.v, y.v), 5) AS r FROM l x JOIN l y ON x.actor_id = y.actor_id AND x.method = y.method AND x.season = y.season + 1 GROUP BY 1""")
-def _(t):
-    rows = coh(t).select("actor_id", "season", F.explode(F.array(F.struct(F.lit("plain").alias("method"), C("y").alias("v")), F.struct(F.lit("shrunk").alias("method"), (C("y") * C("w") / (C("w") + 400)).alias("v")))).alias("m")).select("actor_id", "season", "m.*")
-    out = joins.lag_join(rows, ["actor_id", "method"], "season", ["v"], how="inner")
-    return out.groupBy("method").agg(N().alias("pairs"), F.round(stats.pearson("v", "prior_v"), 5).alias("r"))
-
-
 @query("K67_readiness_gates", f"""WITH {PAIRS}, a AS (SELECT count(*) AS n, count(DISTINCT season) AS s, corr(y, prior_y) AS r FROM pairs), g AS (SELECT 'rows' AS gate, n >= 300 AS ok FROM a UNION ALL SELECT 'seasons', s >= 4 FROM a UNION ALL SELECT 'signal', r > 0.5 FROM a)
 SELECT gate, CASE WHEN ok THEN 'PASS' ELSE 'FAIL' END AS result FROM g UNION ALL SELECT 'verdict', CASE WHEN bool_and(ok) THEN 'PASS' ELSE 'FAIL' END FROM g""")
 def _(t):
@@ -339,14 +238,6 @@ DELTA = """e AS (SELECT b.actor_id, sum(abs(b.y - b.p) - abs(o.y - o.p)) AS a, c
 d AS (SELECT d.draw, ('0x' || substr(md5('delta|' || d.draw || '|' || s.slot), 1, 8))::BIGINT % (SELECT count(*) FROM c) AS i FROM (SELECT unnest(range(40)) AS draw) d CROSS JOIN (SELECT unnest(range((SELECT count(*) FROM c))) AS slot) s), r AS (SELECT draw, sum(a) / sum(b) AS r FROM d JOIN c USING (i) GROUP BY 1)"""
 
 
-@query("K70_model_delta_bootstrap", f"WITH {PRED}, {DELTA} SELECT round(quantile_cont(r, 0.025), 5) AS low, round(quantile_cont(r, 0.975), 5) AS high, count(r) AS draws, (SELECT round(sum(a) / sum(b), 5) FROM c) AS estimate FROM r")
-def _(t):
-    p = preds(t).withColumn("e", F.abs(C("y") - C("p")))
-    base = p.where("model = 'zero'").select("actor_id", "season", C("e").alias("z"))
-    c = p.where("model = 'half'").join(base, ["actor_id", "season"]).groupBy("actor_id").agg(F.sum(C("z") - C("e")).alias("a"), N().alias("b"))
-    return stats.cluster_bootstrap(c, "actor_id", "a", "b", 40, "delta").select(R("low", 5), R("high", 5), "draws", R("estimate", 5))
-
-
 @query("M10_analytical_bundle", f"WITH {TRAIL} SELECT fr.team_id, fr.target, fr.feature, z, ts.plays, ts.attempts + (ts.plays - ts.attempts) = ts.plays AS reconciles FROM fr JOIN team_seasons ts ON ts.team_id = fr.team_id AND ts.season = fr.source")
 def _(t):
     ts = t.team_seasons.select("team_id", C("season").alias("source"), "plays", "attempts")

@@ -47,12 +47,6 @@ def _(t):
     return stats.eb_pooling(coh(t).withColumnRenamed("actor_id", "g"), [], "g", "y").select("g", "n", R("mean", 5), R("tau2", 3), R("shrinkage", 5), R("posterior", 4))
 
 
-@query("K08_eb_role_pooling", f"WITH {COH}, src AS (SELECT CAST(actor_id % 4 AS INT) AS role, team_id AS g, y FROM coh), {EB.format(k='role, ', p='PARTITION BY role')}")
-def _(t):
-    rows = coh(t).select((C("actor_id") % 4).cast("int").alias("role"), C("team_id").alias("g"), "y")
-    return stats.eb_pooling(rows, ["role"], "g", "y").select("role", "g", "n", R("mean", 5), R("tau2", 3), R("shrinkage", 5), R("posterior", 4))
-
-
 @query("K09_beta_binomial_shrink", f"""WITH {COH}, pr AS (SELECT s.season, avg(c.x1) AS m, avg(c.x1 * c.x1) - avg(c.x1) * avg(c.x1) AS v FROM (SELECT DISTINCT season FROM coh) s LEFT JOIN coh c ON c.season < s.season AND c.season >= s.season - 5 GROUP BY 1),
 x AS (SELECT *, CASE WHEN v > 0 AND m > 0 AND m < 1 THEN greatest(1, m * (1 - m) / v - 1) END AS k FROM coh JOIN pr USING (season)), y AS (SELECT *, (attempts + k * m) / (plays + k) AS p FROM x)
 SELECT actor_id, season, round(m, 6) AS prior_mean, round(p, 6) AS posterior, round(greatest(0, p - 1.96 * sqrt(p * (1 - p) / (plays + k + 1))), 6) AS low FROM y""")
@@ -61,16 +55,6 @@ def _(t):
     return out
 
 
-@query("K10_normal_shrink_record", """
-WITH s AS (SELECT actor_id, season, count(*) AS n, avg(value) AS m, var_samp(value) / count(*) AS sv FROM plays GROUP BY 1, 2), p AS (SELECT season, avg(m) AS pm, var_pop(m) AS tau2 FROM s GROUP BY 1)
-SELECT actor_id, season, n, round(m, 4) AS raw, round(pm + tau2 / (tau2 + sv) * (m - pm), 3) AS posterior, round(sqrt(tau2 * sv / (tau2 + sv)), 3) AS se FROM s JOIN p USING (season)""")
-def _(t):
-    s = t.plays.groupBy("actor_id", "season").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"), (F.var_samp("value") / F.count(F.lit(1))).alias("sv"))
-    p = s.groupBy("season").agg(F.avg("m").alias("pm"), F.var_pop("m").alias("tau2"))
-    k = C("tau2") / (C("tau2") + C("sv"))
-    return s.join(F.broadcast(p), "season").select("actor_id", "season", "n", F.round("m", 4).alias("raw"), F.round(C("pm") + k * (C("m") - C("pm")), 3).alias("posterior"), F.round(F.sqrt(C("tau2") * C("sv") / (C("tau2") + C("sv"))), 3).alias("se"))
-
-
 @query("K11_k_shrinkage_grid", "SELECT actor_id, season, k, plays::DOUBLE / (plays + k) AS weight FROM actor_seasons CROSS JOIN (SELECT unnest([50, 100, 400]) AS k)")
 def _(t):
     return t.actor_seasons.select("actor_id", "season", "plays", F.explode(F.array(F.lit(50), F.lit(100), F.lit(400))).alias("k")).select("actor_id", "season", "k", (C("plays") / (C("plays") + C("k"))).alias("weight"))
@@ -80,21 +64,6 @@ BOOT = """c AS (SELECT actor_id, row_number() OVER (ORDER BY actor_id) - 1 AS i,
 d AS (SELECT d.draw, ('0x' || substr(md5('boot|' || d.draw || '|' || s.slot), 1, 8))::BIGINT % (SELECT count(*) FROM c) AS i FROM (SELECT unnest(range(50)) AS draw) d CROSS JOIN (SELECT unnest(range((SELECT count(*) FROM c))) AS slot) s)"""
 
 
-@query("K12_cluster_bootstrap", f"""WITH {BOOT}, r AS (SELECT draw, sum(a)::DOUBLE / sum(b)::DOUBLE AS r FROM d JOIN c USING (i) GROUP BY 1)
-SELECT round(quantile_cont(r, 0.025), 6) AS low, round(quantile_cont(r, 0.975), 6) AS high, count(r) AS draws, (SELECT round(sum(a)::DOUBLE / sum(b)::DOUBLE, 6) FROM c) AS estimate FROM r""")
-def _(t):
-    c = t.plays.groupBy("actor_id").agg(F.sum("value").alias("a"), F.sum("volume").alias("b"))
-    return stats.cluster_bootstrap(c, "actor_id", "a", "b", 50, "boot").select(R("low"), R("high"), "draws", R("estimate"))
-
-
-@query("K13_permutation_placebo", f"""WITH {PAIRS}, b AS (SELECT season, actor_id, y, prior_y, row_number() OVER (PARTITION BY season ORDER BY actor_id) AS i FROM pairs),
-s AS (SELECT draw, season, y, row_number() OVER (PARTITION BY draw, season ORDER BY ('0x' || substr(md5('perm|' || draw || '|' || season || '|' || actor_id), 1, 8))::BIGINT, actor_id) AS i FROM b CROSS JOIN (SELECT unnest(range(30)) AS draw)),
-n AS (SELECT draw, abs(corr(b.prior_y, s.y)) AS c FROM s JOIN b ON s.season = b.season AND s.i = b.i GROUP BY 1), a AS (SELECT abs(corr(prior_y, y)) AS actual FROM b)
-SELECT round(actual, 6) AS actual, count(*) FILTER (WHERE c >= actual) AS reached, (1 + count(*) FILTER (WHERE c >= actual))::DOUBLE / 31 AS p FROM n CROSS JOIN a GROUP BY actual""")
-def _(t):
-    return stats.permutation_placebo(pairs(t), "season", "actor_id", "prior_y", "y", 30, "perm").select(R("actual"), "reached", "p")
-
-
 @query("K14_sign_flip_placebo", """
 WITH s AS (SELECT actor_id, CAST(sum(value) AS BIGINT) AS s, count(*) AS n FROM plays GROUP BY 1), n AS (SELECT draw, sum(s * CASE WHEN ('0x' || substr(md5('flip|' || draw || '|' || actor_id), 1, 8))::BIGINT % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE / sum(n)::DOUBLE AS m FROM s CROSS JOIN (SELECT unnest(range(40)) AS draw) GROUP BY 1)
 SELECT round((SELECT sum(s)::DOUBLE / sum(n)::DOUBLE FROM s), 6) AS actual, count(*) FILTER (WHERE m >= (SELECT sum(s)::DOUBLE / sum(n)::DOUBLE FROM s)) AS reached, (1 + count(*) FILTER (WHERE m >= (SELECT sum(s)::DOUBLE / sum(n)::DOUBLE FROM s)))::DOUBLE / 41 AS p FROM n""")
@@ -102,14 +71,6 @@ def _(t):
     return stats.sign_flip(t.plays, "actor_id", "value", 40, "flip").select(R("actual"), "reached", "p")
 
 
-@query("K15_weighted_trend", f"""WITH {COH}, l AS (SELECT *, row_number() OVER (PARTITION BY actor_id ORDER BY season DESC) AS k FROM coh), s AS (SELECT actor_id, count(*) AS n, sum(w) AS sw, sum(w * season)::DOUBLE / sum(w)::DOUBLE AS mx, sum(w * y) / sum(w) AS my FROM l WHERE k <= 3 GROUP BY 1),
-q AS (SELECT actor_id, any_value(n) AS n, any_value(sw) AS sw, sum(w * (season - mx) * (season - mx)) AS sxx, sum(w * (season - mx) * (y - my)) AS sxy, sum(w * (y - my) * (y - my)) AS syy FROM l JOIN s USING (actor_id) WHERE k <= 3 GROUP BY 1)
-SELECT actor_id, n, round(sxy / sxx, 3) AS slope, round(sqrt(greatest(0, syy - sxy / sxx * sxy) / sw), 3) AS residual_rms FROM q WHERE n >= 2""")
-def _(t):
-    rows = coh(t).withColumn("season", C("season") - 1998)  # slopes do not change, rounding does
-    return stats.weighted_trend(rows, "actor_id", "season", "y", "w").select("actor_id", "n", R("slope", 3), R("residual_rms", 3))
-
-
 @query("K16_pearson_guarded", f"WITH {PAIRS} SELECT season, round({CORR.format(x='y', y='prior_y')}, 6) AS r FROM (SELECT season, y, CASE WHEN season = 1997 THEN 1.0 ELSE prior_y END AS prior_y FROM pairs) GROUP BY 1")
 def _(t):
     rows = pairs(t).withColumn("prior_y", F.when(C("season") == 1997, 1.0).otherwise(C("prior_y")))
@@ -139,11 +100,6 @@ def metrics(df, keys, places=5):
     return out.select(*keys, "n", R("mae", 5), R("rmse", 5), R("r2", 5), R("correlation", 5), R("slope", 5), R("intercept", 4), R("direction"))
 
 
-@query("K19_regression_metrics", f"WITH {PAIRS} SELECT season, {METRICS} FROM (SELECT season, y, prior_y AS p FROM pairs) GROUP BY 1")
-def _(t):
-    return metrics(pairs(t).withColumnRenamed("prior_y", "p"), ["season"])
-
-
 @query("K20_vector_distances", """
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.vec_id, a.e AS x, b.e AS y FROM v a JOIN v b ON b.vec_id = a.vec_id + 1)
 SELECT vec_id, round(sqrt(list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 5) AS euclidean, round(list_sum(list_transform(list_zip(x, y), lambda z: abs(z[1] - z[2]))), 5) AS manhattan, round(1 - list_cosine_similarity(x, y), 5) AS cosine FROM p""")
@@ -158,11 +114,6 @@ ICC = """own AS (SELECT {k}g, count(*) AS n, avg(y) AS m, count(*) * var_pop(y)
 SELECT {k}groups, n, round((msb - msw) / (msb + (n0 - 1) * msw), 5) AS icc, round(2 * ((msb - msw) / (msb + (n0 - 1) * msw)) / (1 + (msb - msw) / (msb + (n0 - 1) * msw)), 5) AS reliability_2 FROM tt"""
 
 
-@query("K21_icc_reliability", f"WITH {COH}, src AS (SELECT actor_id AS g, y FROM coh), {ICC.format(k='', g='', j='CROSS JOIN gm')}")
-def _(t):
-    return stats.icc(coh(t), [], "actor_id", "y").select(C("groups"), "n", R("icc", 5), R("reliability_2", 5))
-
-
 WINDOWS = "SELECT 'all' AS span, * FROM coh UNION ALL SELECT 'from_1997', * FROM coh WHERE season >= 1997 UNION ALL SELECT 'without_1998', * FROM coh WHERE season <> 1998"
 
 
@@ -177,13 +128,6 @@ def _(t):
     return stats.icc(windowed(coh(t)), ["span"], "actor_id", "y").select("span", "groups", "n", R("icc", 5), R("reliability_2", 5))
 
 
-@query("K22_repeatability_row", f"""WITH {PAIRS}, r AS (SELECT *, rank() OVER (ORDER BY y) AS a, rank() OVER (ORDER BY prior_y) AS b FROM pairs)
-SELECT count(*) AS pairs, round(corr(y, prior_y), 5) AS pearson, round(corr(a, b), 5) AS spearman, round(avg((sign(y) = sign(prior_y))::INT), 6) AS same_direction FROM r""")
-def _(t):
-    ranked = stats.average_ranks(pairs(t).withColumn("all", F.lit(1)), ["all"], ["y", "prior_y"])
-    return ranked.agg(F.count(F.lit(1)).alias("pairs"), F.round(stats.pearson("y", "prior_y"), 5).alias("pearson"), F.round(stats.pearson("y_rank", "prior_y_rank"), 5).alias("spearman"), F.round(F.avg((F.signum("y") == F.signum("prior_y")).cast("int")), 6).alias("same_direction"))
-
-
 @query("K23_leave_group_out", f"""WITH {COH}, p AS (SELECT team_id, season, sum(y * w) AS v, sum(w) AS w FROM coh GROUP BY 1, 2), t AS (SELECT team_id, sum(v) AS tv, sum(w) AS tw FROM p GROUP BY 1)
 SELECT team_id, season, round(v / w, 5) AS actual, round(CASE WHEN tw > w THEN (tv - v) / (tw - w) END, 5) AS predicted FROM p JOIN t USING (team_id)""")
 def _(t):
@@ -201,14 +145,6 @@ def _(t):
     return out.select("owner", "team_id", "season", "actual", F.round(F.when(C("hw") > 0, C("hv") / C("hw")), 5).alias("history"))
 
 
-@query("K27_residualise_pair", f"""WITH {PAIRS}, r AS (SELECT regr_slope(y, prior_y) AS b, regr_intercept(y, prior_y) AS a FROM pairs)
-SELECT actor_id, season, round(y - a - b * prior_y, 3) AS residual FROM pairs CROSS JOIN r""")
-def _(t):
-    p = pairs(t)
-    r = p.agg(F.regr_slope("y", "prior_y").alias("b"), F.regr_intercept("y", "prior_y").alias("a"))
-    return p.crossJoin(F.broadcast(r)).select("actor_id", "season", F.round(C("y") - C("a") - C("b") * C("prior_y"), 3).alias("residual"))
-
-
 @query("K33_classifier_metrics", """
 WITH p AS (SELECT season, attempt::INT AS y, 0.2 + 0.1 * discount / 2 AS q FROM plays)
 SELECT season, count(*) AS n, round(avg(((q >= 0.5) = (y = 1))::INT), 6) AS accuracy, round(-avg(y * ln(q) + (1 - y) * ln(1 - q)), 6) AS log_loss, round(avg((q - y) * (q - y)), 6) AS brier, round(avg(y), 6) AS base_rate FROM p GROUP BY 1""")
@@ -289,26 +225,6 @@ def _(t):
     return a.select(F.to_json(F.struct(*a.columns)).alias("gates"), F.array_join(failed, "|").alias("failed"))
 
 
-@query("K52_fold_quality", f"""WITH {PAIRS}, f AS (SELECT s.season, count(*) FILTER (WHERE p.season = s.season) AS target_rows, count(*) FILTER (WHERE p.season < s.season) AS train_rows, count(DISTINCT CASE WHEN p.season < s.season THEN p.season END) AS train_seasons FROM seasons s CROSS JOIN pairs p GROUP BY 1)
-SELECT *, array_to_string(list_filter([CASE WHEN target_rows < 20 THEN 'few_targets' END, CASE WHEN train_rows < 120 THEN 'few_rows' END, CASE WHEN train_seasons < 3 THEN 'few_seasons' END], lambda x: x IS NOT NULL), '|') AS failures FROM f""")
-def _(t):
-    per = t.seasons.join(pairs(t).groupBy("season").agg(F.count(F.lit(1)).alias("n")), "season", "left")
-    w = Window.orderBy("season").rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0)
-    f = per.select("season", F.coalesce("n", zero).alias("target_rows"), F.coalesce(F.sum("n").over(w), zero).alias("train_rows"), F.count("n").over(w).alias("train_seasons"))
-    why = F.filter(F.array(F.when(C("target_rows") < 20, "few_targets"), F.when(C("train_rows") < 120, "few_rows"), F.when(C("train_seasons") < 3, "few_seasons")), lambda x: x.isNotNull())
-    return f.withColumn("failures", F.array_join(why, "|"))
-
-
-@query("K53_stability_report", f"""WITH {PAIRS}, l AS (SELECT 'y' AS feature, season, y AS a, prior_y AS b FROM pairs UNION ALL SELECT 'x1', season, x1, prior_x1 FROM pairs)
-SELECT feature, count(*) AS pairs, round(corr(a, b), 5) AS r, round(corr(a, b) FILTER (WHERE season <= 1998), 5) AS early, round(corr(a, b) FILTER (WHERE season > 1998), 5) AS late, count(*) >= 100 AND corr(a, b) >= 0.25 AS passed FROM l GROUP BY 1""")
-def _(t):
-    rows = pairs(t).select("season", F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), C(n).alias("a"), C(f"prior_{n}").alias("b")) for n in ("y", "x1")))).alias("f")).select("season", "f.*")
-    early = C("season") <= 1998
-    part = lambda ok: stats.pearson(F.when(ok, C("a")), F.when(ok, C("b")))
-    return rows.groupBy("feature").agg(F.count(F.lit(1)).alias("pairs"), F.round(stats.pearson("a", "b"), 5).alias("r"), F.round(part(early), 5).alias("early"), F.round(part(~early), 5).alias("late"), ((F.count(F.lit(1)) >= 100) & (stats.pearson("a", "b") >= 0.25)).alias("passed"))
-
-
 @query("K58_evidence_grades", """
 SELECT actor_id, count(*) AS seasons_n, CAST(sum(volume) AS BIGINT) AS volume, CASE WHEN count(*) >= 6 AND sum(volume) >= 12000 THEN 'high' WHEN count(*) >= 3 AND sum(volume) >= 6000 THEN 'medium' WHEN count(*) >= 2 THEN 'low' ELSE 'suppressed' END AS grade FROM actor_seasons WHERE (actor_id + season) % 4 <> 1 GROUP BY 1""")
 def _(t):
@@ -322,18 +238,3 @@ def _(t):
     return windowed(pairs(t)).groupBy("span").agg(F.count(F.lit(1)).alias("pairs"), F.round(stats.pearson("y", "prior_y"), 5).alias("r"))
 
 
-@query("K64_grain_overlap", f"""WITH {COH} SELECT 'actor_season' AS grain, count(*) AS n, round(corr(y, x1), 5) AS r FROM coh UNION ALL SELECT 'actor', count(*), round(corr(y, x1), 5) FROM (SELECT actor_id, sum(y * w) / sum(w) AS y, sum(x1 * w) / sum(w) AS x1 FROM coh GROUP BY 1)
-UNION ALL SELECT 'team_season', count(*), round(corr(y, x1), 5) FROM (SELECT team_id, season, sum(y * w) / sum(w) AS y, sum(x1 * w) / sum(w) AS x1 FROM coh GROUP BY 1, 2)""")
-def _(t):
-    c, out = coh(t), None
-    for name, keys in (("actor_season", ["actor_id", "team_id", "season"]), ("actor", ["actor_id"]), ("team_season", ["team_id", "season"])):
-        g = c.groupBy(*keys).agg((F.sum(C("y") * C("w")) / F.sum("w")).alias("y"), (F.sum(C("x1") * C("w")) / F.sum("w")).alias("x1"))
-        row = g.agg(F.count(F.lit(1)).alias("n"), F.round(stats.pearson("y", "x1"), 5).alias("r")).select(F.lit(name).alias("grain"), "n", "r")
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
-@query("K66_qp_overlap", f"WITH {COH} SELECT span, count(*) AS n, round(corr(x1, x2), 5) AS r, round(corr(x1, x2) * corr(x1, x2), 5) AS shared_variance, round(avg((x1 > 0.3) = (x2 > 0.5))::DOUBLE, 6) AS agreement FROM (SELECT span, x1, x2 FROM ({WINDOWS})) GROUP BY 1".replace("avg((x1 > 0.3) = (x2 > 0.5))::DOUBLE", "avg(((x1 > 0.3) = (x2 > 0.5))::INT)"))
-def _(t):
-    r = stats.pearson("x1", "x2")
-    return windowed(coh(t)).groupBy("span").agg(F.count(F.lit(1)).alias("n"), F.round(r, 5).alias("r"), F.round(r * r, 5).alias("shared_variance"), F.round(F.avg(((C("x1") > 0.3) == (C("x2") > 0.5)).cast("int")), 6).alias("agreement"))
