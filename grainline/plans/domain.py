@@ -16,34 +16,17 @@ R = lambda c, n=6: F.round(C(c), n).alias(c)
 N = lambda: F.count(F.lit(1))
 
 
-@query("J01_preseason_features", """
-WITH h AS (SELECT a.actor_id, a.season, CAST(sum(b.plays) AS BIGINT) AS career_plays, CAST(sum(b.value) AS BIGINT) AS career_value, count(b.season) AS experience FROM actor_seasons a LEFT JOIN actor_seasons b ON a.actor_id = b.actor_id AND b.season < a.season GROUP BY 1, 2)
-SELECT a.actor_id, a.season, p.plays AS prior_plays, p.value AS prior_value, career_plays, career_value, experience, p.plays IS NULL AS missing_prior, CASE WHEN experience = 0 THEN 'new' WHEN experience <= 2 THEN 'early' ELSE 'established' END AS experience_group
-FROM actor_seasons a JOIN h USING (actor_id, season) LEFT JOIN actor_seasons p ON p.actor_id = a.actor_id AND p.season = a.season - 1""")
-def _(t):
-    a = t.actor_seasons.select("actor_id", "season", "plays", "value", F.lit(1).alias("one"))
-    out = joins.as_of_totals(joins.lag_join(a, ["actor_id"], "season", ["plays", "value"]), ["actor_id"], "season", ["plays", "value", "one"])
-    n = F.coalesce("career_one", F.lit(0))
-    return out.select("actor_id", "season", "prior_plays", "prior_value", "career_plays", "career_value", n.alias("experience"), C("prior_plays").isNull().alias("missing_prior"), F.when(n == 0, "new").when(n <= 2, "early").otherwise("established").alias("experience_group"))
-
-
-ATTR = """cell AS (SELECT season, team_id, week, actor_id, count(*) AS n, CAST(sum(value) AS BIGINT) AS v FROM plays GROUP BY ALL),
+ATTR = """cell AS (SELECT season, team_id, week, actor_id, count(*) AS n, CAST(sum(value) AS BIGINT) AS v, CAST(sum(volume) AS BIGINT) AS vol, count(*) FILTER (WHERE attempt) AS h FROM plays GROUP BY ALL),
 j AS (SELECT c.*, i.interval_id, i.owner_id, count(*) OVER (PARTITION BY c.season, c.team_id, c.week, c.actor_id) AS k FROM cell c JOIN intervals i ON c.season = i.season AND c.team_id = i.team_id AND i.role = 1 AND c.week BETWEEN i.start_week AND i.end_week)"""
 
 
-def attributed(t):
+def attributed(t, intervals=None):
     """Weekly cells of plays joined to the owner intervals that hold their week, with the number of owners."""
-    cell = t.plays.groupBy("season", "team_id", "week", "actor_id").agg(N().alias("n"), F.sum("value").alias("v"))
-    i = t.intervals.where("role = 1").select("season", "team_id", "interval_id", "owner_id", "start_week", "end_week")
+    cell = t.plays.groupBy("season", "team_id", "week", "actor_id").agg(N().alias("n"), F.sum("value").alias("v"), F.sum("volume").alias("vol"), F.count_if("attempt").alias("h"))
+    i = (t.intervals if intervals is None else intervals).where("role = 1").select("season", "team_id", "interval_id", "owner_id", "start_week", "end_week")
     return win.group_count(joins.interval_join(cell, i, ["season", "team_id"], "week", "start_week", "end_week"), ["season", "team_id", "week", "actor_id"], "k")
 
 
-@query("J02_coach_exposures", f"""WITH {ATTR} SELECT interval_id, actor_id, round(sum(n::DOUBLE / k), 6) AS exposure, round(sum(v::DOUBLE / k), 3) AS value, CASE WHEN sum(n::DOUBLE / k) < 25 THEN 'below_minimum' END AS exclusion FROM j GROUP BY 1, 2""")
-def _(t):
-    out = attributed(t).groupBy("interval_id", "actor_id").agg(F.sum(C("n") / C("k")).alias("e"), F.sum(C("v") / C("k")).alias("v"))
-    return out.select("interval_id", "actor_id", F.round("e", 6).alias("exposure"), F.round("v", 3).alias("value"), F.when(C("e") < 25, "below_minimum").alias("exclusion"))
-
-
 @query("J03_pressure_and_defence", """
 WITH o AS (SELECT season, team_id, avg(attempt::INT) AS rate FROM plays GROUP BY 1, 2), d AS (SELECT season, opponent_id AS team_id, avg(value) AS allowed FROM plays GROUP BY 1, 2)
 SELECT season, team_id, round(rate, 8) AS rate, round(allowed, 5) AS allowed, round((rate - avg(rate) OVER w) / stddev_samp(rate) OVER w, 5) AS rate_z, round(-(allowed - avg(allowed) OVER w) / stddev_samp(allowed) OVER w, 5) AS defence_z FROM o JOIN d USING (season, team_id) WINDOW w AS (PARTITION BY season)""")
@@ -72,14 +55,6 @@ def _(t):
     return z.select("season", "grp", "actor_id", R("z", 5), F.round(C("z") * C("plays") / (C("plays") + 25), 5).alias("shrunk"))
 
 
-@query("J06_inherited_environment", f"""WITH {bound.SIDES}, o AS (SELECT season, team, CAST(sum(other) AS BIGINT) AS allowed, count(*) AS games FROM sides GROUP BY 1, 2),
-g AS (SELECT season, n_nationkey AS team FROM seasons CROSS JOIN nation) SELECT g.season, g.team, coalesce(ts.plays, 0) AS prior_plays, round(o.allowed::DOUBLE / o.games, 6) AS prior_allowed FROM g LEFT JOIN team_seasons ts ON ts.team_id = g.team AND ts.season = g.season - 1 LEFT JOIN o ON o.team = g.team AND o.season = g.season - 1""")
-def _(t):
-    o = bound.sides(t).groupBy("season", "team").agg((F.sum("other") / N()).alias("a")).select((C("season") + 1).alias("season"), "team", F.round("a", 6).alias("prior_allowed"))
-    p = t.team_seasons.select((C("season") + 1).alias("season"), C("team_id").alias("team"), C("plays").alias("prior_plays"))
-    return joins.grid([t.seasons, t.raw("nation").select(C("n_nationkey").alias("team"))], p, ["season", "team"], {"prior_plays": 0}).join(o, ["season", "team"], "left").select("season", "team", "prior_plays", "prior_allowed")
-
-
 LONG = """l AS (SELECT team_id, season, unnest(['attempt', 'success']) AS feature, unnest([attempts::DOUBLE / plays, successes::DOUBLE / plays]) AS v FROM team_seasons)"""
 
 
@@ -126,20 +101,6 @@ def _(t):
     return u.select("actor_id", "target", F.array_join(basis, "|").alias("basis")).where("basis <> ''")
 
 
-@query("J14_season_pae", f"WITH {PAIRS} SELECT actor_id, season, round(sum((y - prior_y) * w) / sum(w), 5) AS pae, CAST(sum(w) AS BIGINT) AS w FROM pairs GROUP BY 1, 2")
-def _(t):
-    return pairs(t).groupBy("actor_id", "season").agg(F.round(F.sum((C("y") - C("prior_y")) * C("w")) / F.sum("w"), 5).alias("pae"), F.sum("w").alias("w"))
-
-
-@query("J15_state_features", f"""WITH {COH}, h AS (SELECT a.actor_id, a.season, sum(b.y * b.w) / sum(b.w) AS career, sum(b.w) AS hw FROM coh a JOIN coh b ON a.actor_id = b.actor_id AND b.season < a.season GROUP BY 1, 2)
-SELECT c.actor_id, c.season, round(p.y, 5) AS recent, round(career, 5) AS career, round(career * hw / (hw + 500.0::DOUBLE), 5) AS shrunk, CASE WHEN career IS NULL THEN 'no_history' WHEN p.y IS NULL THEN 'no_recent' END AS missing_reason FROM coh c LEFT JOIN h USING (actor_id, season) LEFT JOIN coh p ON p.actor_id = c.actor_id AND p.season = c.season - 1""")
-def _(t):
-    c = coh(t).select("actor_id", "season", "y", "w").withColumn("yw", C("y") * C("w"))
-    out = joins.as_of_totals(joins.lag_join(c, ["actor_id"], "season", ["y"]), ["actor_id"], "season", ["yw", "w"])
-    career = C("career_yw") / C("career_w")
-    return out.select("actor_id", "season", F.round("prior_y", 5).alias("recent"), F.round(career, 5).alias("career"), F.round(career * C("career_w") / (C("career_w") + 500.0), 5).alias("shrunk"), F.when(career.isNull(), "no_history").when(C("prior_y").isNull(), "no_recent").alias("missing_reason"))
-
-
 @query("J17_feature_availability", f"""WITH {bound.RECORDS}, u AS (SELECT DISTINCT actor_id, season + 1 AS target FROM actor_seasons)
 SELECT u.actor_id, u.target, f.feature, r.value IS NOT NULL AS available, CASE WHEN r.actor_id IS NULL THEN 'no_record' WHEN r.value IS NULL THEN 'excluded' END AS reason FROM u CROSS JOIN (SELECT unnest(['rate', 'share']) AS feature) f LEFT JOIN recs r ON r.actor_id = u.actor_id AND r.target = u.target AND r.feature = f.feature""")
 def _(t):
@@ -165,13 +126,6 @@ def _(t):
     return out.where("volume >= 1500").select("actor_id", "season", "volume", "value", "teams", change.alias("change"))
 
 
-@query("J22_predictors", f"WITH {bound.RECORDS} SELECT actor_id, target, max(value) FILTER (WHERE feature = 'rate') AS rate, max(value) FILTER (WHERE feature = 'share') AS share, round(ln(1 + count(value)), 8) AS log_n FROM recs GROUP BY 1, 2")
-def _(t):
-    r = bound.records(t)
-    n = r.groupBy("actor_id", "target").agg(F.round(F.log1p(F.count("value")), 8).alias("log_n"))
-    return reshape.pivot_wide(r, ["actor_id", "target"], "feature", {"value": "value"}, ["rate", "share"]).join(n, ["actor_id", "target"])
-
-
 @query("J25_rookie_cohort", """
 WITH u AS (SELECT s_suppkey AS actor_id, CAST(1995 + s_suppkey % 7 AS INT) AS draft FROM supplier), j AS (SELECT u.actor_id, draft, volume FROM u LEFT JOIN actor_seasons a ON a.actor_id = u.actor_id AND a.season = draft AND a.volume > 1500)
 SELECT draft, count(*) AS drafted, count(volume) AS observed, count(*) FILTER (WHERE volume >= 1700) AS qualified, round(count(volume)::DOUBLE / count(*), 9) AS coverage FROM j GROUP BY 1""")
@@ -208,30 +162,6 @@ def _(t):
     return o.join(F.broadcast(l), "season").select("season", "owner", F.round(C("v") / C("n") - C("weighted"), 6).alias("centred"), F.round(C("v") / C("n") - C("plain"), 5).alias("centred_plain"))
 
 
-MAIN = "s AS (SELECT actor_id, season, CAST(max(opponent_id) AS INT) AS team, CAST(min(opponent_id) % 3 AS INT) AS owner FROM plays WHERE play_id = 7 GROUP BY 1, 2)"
-TRANSITION = f"WITH {MAIN} SELECT a.actor_id, b.season, a.team = b.team AS same_team, a.owner = b.owner AS same_owner FROM s a JOIN s b ON a.actor_id = b.actor_id AND b.season = a.season + 1"
-
-
-@query("J32_qb_transitions", TRANSITION)
-def _(t):
-    s = t.plays.where("play_id = 7").groupBy("actor_id", "season").agg(F.max("opponent_id").alias("team"), (F.min("opponent_id") % 3).alias("owner"))
-    out = joins.lag_join(s, ["actor_id"], "season", ["team", "owner"], how="inner")
-    return out.select("actor_id", "season", (C("team") == C("prior_team")).alias("same_team"), (C("owner") == C("prior_owner")).alias("same_owner"))
-
-
-@query("J33_transition_sql", TRANSITION)
-def _(t):
-    t.plays.where("play_id = 7").createOrReplaceTempView("grainline_sevens")
-    return t.spark.sql("""WITH s AS (SELECT actor_id, season, max(opponent_id) AS team, min(opponent_id) % 3 AS owner FROM grainline_sevens GROUP BY actor_id, season)
-      SELECT a.actor_id, b.season, a.team = b.team AS same_team, a.owner = b.owner AS same_owner FROM s a JOIN s b ON a.actor_id = b.actor_id AND b.season = a.season + 1""")
-
-
-@query("J35_scheme_stability", f"WITH {LONG} SELECT a.feature, count(*) AS pairs, round({CORR.format(x='a.v', y='b.v')}, 5) AS r FROM l a JOIN l b ON a.team_id = b.team_id AND a.feature = b.feature AND a.season = b.season + 1 GROUP BY 1")
-def _(t):
-    out = joins.lag_join(long(t), ["team_id", "feature"], "season", ["v"], how="inner")
-    return out.groupBy("feature").agg(N().alias("pairs"), F.round(stats.pearson("v", "prior_v"), 5).alias("r"))
-
-
 @query("J36_feature_correlations", """
 WITH l AS (SELECT team_id, season, unnest(['a', 'b', 'c']) AS f, unnest([attempts::DOUBLE / plays, successes::DOUBLE / plays, tax::DOUBLE / plays]) AS v FROM team_seasons)
 SELECT x.f AS first_feature, y.f AS second_feature, count(*) AS n, round(corr(x.v, y.v), 5) AS r FROM l x JOIN l y ON x.team_id = y.team_id AND x.season = y.season AND x.f < y.f GROUP BY 1, 2 HAVING count(*) >= 20""")
@@ -283,20 +213,6 @@ def _(t):
     return t.intervals.select("interval_id", ordered_when([(s == "verified", "done"), (C("shared"), "shared"), ((s == "supported") & (C("end_week") > 8), "likely"), (s == "supported", "possible")], "unknown").alias("ceiling"))
 
 
-@query("J44_staged_snapshots", "SELECT cutoff, count(*) FILTER (WHERE status = 'verified' OR start_week <= cutoff) AS verified, count(*) AS cells FROM intervals CROSS JOIN (SELECT unnest([0, 2, 4, 6]) AS cutoff) GROUP BY 1")
-def _(t):
-    rows = t.intervals.withColumn("cutoff", F.explode(F.array(*map(F.lit, (0, 2, 4, 6)))))
-    return rows.groupBy("cutoff").agg(F.count_if((C("status") == "verified") | (C("start_week") <= C("cutoff"))).alias("verified"), N().alias("cells"))
-
-
-@query("J45_incremental_attribution", "SELECT interval_id, owner_id, season < 1999 AS earlier FROM intervals")
-def _(t):
-    prior = t.intervals.where("season < 1999").select("interval_id", "owner_id", F.lit(True).alias("earlier"))
-    new = t.intervals.select("interval_id", "owner_id", F.lit(False).alias("earlier"))
-    out = prior.unionByName(joins.replace_cells(new, prior, ["interval_id"]).where("NOT earlier"))
-    return out
-
-
 @query("M01_entity_exact_or_candidates", """
 WITH e AS (SELECT n_nationkey AS id, n_name AS name, lower(n_name) AS k FROM nation), m AS (SELECT n_nationkey AS mention, CASE n_nationkey % 3 WHEN 0 THEN lower(n_name) WHEN 1 THEN substr(n_name, 1, length(n_name) - 1) ELSE 'zzzz' END AS said FROM nation),
 x AS (SELECT mention, said, id, CASE WHEN lower(said) = k THEN 1.0 ELSE 1 - levenshtein(lower(said), k)::DOUBLE / greatest(length(said), length(k)) END AS score FROM m LEFT JOIN e ON lower(substr(said, 1, 1)) = substr(k, 1, 1)),

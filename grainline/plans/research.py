@@ -53,105 +53,16 @@ def _(t):
     return src.season_incremental(rows.withColumn("plays", C("plays") + 1), done, path).select("season", "team_id", "plays")
 
 
-@query("J16_player_states", """
-WITH s AS (SELECT DISTINCT actor_id, season + 1 AS target FROM actor_seasons)
-SELECT s.actor_id, target, count(a.season) AS seasons_n, CAST(sum(a.volume) AS BIGINT) AS exposure, max(a.season) AS last_season, CASE WHEN sum(a.volume) >= 6000 THEN 'established' WHEN count(a.season) >= 2 THEN 'developing' ELSE 'new' END AS status FROM s JOIN actor_seasons a ON a.actor_id = s.actor_id AND a.season < target GROUP BY 1, 2""")
-def _(t):
-    w = Window.partitionBy("actor_id").orderBy("season").rangeBetween(Window.unboundedPreceding, 0)
-    s = t.actor_seasons.select("actor_id", (C("season") + 1).alias("target"), F.count(F.lit(1)).over(w).alias("seasons_n"), F.sum("volume").over(w).alias("exposure"), F.max("season").over(w).alias("last_season"))
-    return s.withColumn("status", F.when(C("exposure") >= 6000, "established").when(C("seasons_n") >= 2, "developing").otherwise("new"))
-
-
-COHORT = """ch AS (SELECT a.actor_id, a.season, a.team_id, p.attempts::DOUBLE / p.plays AS prior_share, ts.attempts::DOUBLE / ts.plays AS team_share, a.value::DOUBLE / a.volume AS outcome FROM actor_seasons a LEFT JOIN (SELECT * FROM actor_seasons WHERE (actor_id + season) % 6 <> 0) p ON p.actor_id = a.actor_id AND p.season = a.season - 1 LEFT JOIN team_seasons ts ON ts.team_id = a.team_id AND ts.season = a.season - 1)"""
+COHORT = """ch AS (SELECT a.actor_id, a.season, a.team_id, p.attempts::DOUBLE / p.plays AS prior_share, ts.attempts::DOUBLE / ts.plays AS team_share, a.value::DOUBLE / a.volume AS outcome FROM actor_seasons a LEFT JOIN actor_seasons p ON p.actor_id = a.actor_id AND p.season = a.season - 1 LEFT JOIN team_seasons ts ON ts.team_id = a.team_id AND ts.season = a.season - 1)"""
 
 
 def cohort(t):
     a = t.actor_seasons.select("actor_id", "season", "team_id", (C("value") / C("volume")).alias("outcome"))
-    p = t.actor_seasons.where("(actor_id + season) % 6 <> 0").select("actor_id", (C("season") + 1).alias("season"), (C("attempts") / C("plays")).alias("prior_share"))
+    p = t.actor_seasons.select("actor_id", (C("season") + 1).alias("season"), (C("attempts") / C("plays")).alias("prior_share"))
     ts = t.team_seasons.select("team_id", (C("season") + 1).alias("season"), (C("attempts") / C("plays")).alias("team_share"))
     return a.join(p, ["actor_id", "season"], "left").join(ts, ["team_id", "season"], "left")
 
 
-@query("J19_modeling_cohort", f"WITH {COHORT} SELECT actor_id, season, team_id, round(prior_share * team_share, 9) AS interaction, round(team_share - prior_share, 9) AS change, prior_share IS NOT NULL AND team_share IS NOT NULL AS eligible FROM ch")
-def _(t):
-    c = reshape.interactions(cohort(t), {"interaction": ("prior_share", "team_share")})
-    return c.select("actor_id", "season", "team_id", R("interaction", 9), F.round(C("team_share") - C("prior_share"), 9).alias("change"), (C("prior_share").isNotNull() & C("team_share").isNotNull()).alias("eligible"))
-
-
-@query("J20_target_coverage", f"WITH {COHORT} SELECT season, CASE WHEN prior_share IS NULL THEN 'new' ELSE 'returning' END AS category, count(*) AS n, count(team_share) AS covered, round(count(team_share)::DOUBLE / count(*), 9) AS coverage FROM ch GROUP BY 1, 2")
-def _(t):
-    cat = F.when(C("prior_share").isNull(), "new").otherwise("returning")
-    return cohort(t).groupBy("season", cat.alias("category")).agg(N().alias("n"), F.count("team_share").alias("covered"), F.round(F.count("team_share") / N(), 9).alias("coverage"))
-
-
-@query("J23_scenario_cohort", f"""WITH {COHORT}, mv AS (SELECT team_id, season, list(DISTINCT opponent_id) AS opponents FROM plays WHERE play_id = 7 GROUP BY 1, 2)
-SELECT ch.actor_id, ch.season, coalesce(list_contains(opponents, CAST(ch.actor_id % 25 AS INT)), false) AS known, CASE WHEN prior_share IS NULL THEN 'no_prior' WHEN opponents IS NULL THEN 'no_destination' END AS exclusion FROM ch LEFT JOIN mv USING (team_id, season)""")
-def _(t):
-    mv = t.plays.where("play_id = 7").groupBy("team_id", "season").agg(F.collect_set("opponent_id").alias("opponents"))
-    c = cohort(t).join(mv, ["team_id", "season"], "left")
-    return c.select("actor_id", "season", reshape.list_contains(C("opponents"), (C("actor_id") % 25).cast("int")).alias("known"), F.when(C("prior_share").isNull(), "no_prior").when(C("opponents").isNull(), "no_destination").alias("exclusion"))
-
-
-@query("J24_forward_candidates", f"WITH {COH} SELECT actor_id, 2002 AS target, round(sum(y * w) FILTER (WHERE season >= 1999) / sum(w) FILTER (WHERE season >= 1999), 6) AS recent, count(*) AS seasons_n FROM coh WHERE actor_id IN (SELECT actor_id FROM coh WHERE season = 2001 AND w >= 800) GROUP BY 1")
-def _(t):
-    c = coh(t)
-    q = c.where("season = 2001 AND w >= 800").select("actor_id")
-    late = C("season") >= 1999
-    return c.join(q, "actor_id", "left_semi").groupBy("actor_id").agg(F.lit(2002).alias("target"), F.round(F.sum(F.when(late, C("y") * C("w"))) / F.sum(F.when(late, C("w"))), 6).alias("recent"), N().alias("seasons_n"))
-
-
-@query("J26_research_table", f"""WITH {PAIRS}, mv AS (SELECT team_id, season, round(avg(discount), 8) AS call_value FROM plays GROUP BY 1, 2)
-SELECT p.actor_id, p.season, round(p.y - p.prior_y, 5) AS movement, call_value, i.interval_id FROM pairs p JOIN actor_seasons a USING (actor_id, season) JOIN mv ON mv.team_id = a.team_id AND mv.season = a.season JOIN intervals i ON i.team_id = a.team_id AND i.season = a.season AND i.role = 1""")
-def _(t):
-    mv = t.plays.groupBy("team_id", "season").agg(F.round(F.avg("discount"), 8).alias("call_value"))
-    base = pairs(t).join(t.actor_seasons.select("actor_id", "season", "team_id"), ["actor_id", "season"])
-    i = t.intervals.where("role = 1").select("team_id", "season", "interval_id")
-    out = joins.checked_join(base, mv, ["team_id", "season"], cardinality="m:1").join(i, ["team_id", "season"])
-    return out.select("actor_id", "season", F.round(C("y") - C("prior_y"), 5).alias("movement"), "call_value", "interval_id")
-
-
-@query("J28_common_signal_table", f"WITH {COH} SELECT actor_id, season, round(y, 6) AS q, round(x1, 9) AS p, round(lead(y) OVER (PARTITION BY actor_id ORDER BY season), 6) AS future_q, count(*) OVER (PARTITION BY actor_id ORDER BY season) - 1 AS history FROM coh")
-def _(t):
-    w = Window.partitionBy("actor_id").orderBy("season")
-    return coh(t).select("actor_id", "season", F.round("y", 6).alias("q"), F.round("x1", 9).alias("p"), F.round(F.lead("y").over(w), 6).alias("future_q"), (F.row_number().over(w) - 1).cast("long").alias("history"))
-
-
-MOVES = """v AS (SELECT team_id, season, attempts::DOUBLE / plays AS a, successes::DOUBLE / plays AS s, tax::DOUBLE / plays AS x FROM team_seasons),
-o AS (SELECT DISTINCT owner_id, season, CAST((team_id + CASE WHEN owner_id % 3 = 0 THEN season ELSE 0 END) % 25 AS INT) AS team FROM intervals WHERE role = 1),
-m AS (SELECT a.owner_id, a.season, a.team AS from_team, b.team AS to_team FROM o a JOIN o b ON a.owner_id = b.owner_id AND b.season = a.season + 1 AND a.team <> b.team)"""
-
-
-def scheme_moves(t):
-    v = t.team_seasons.select("team_id", "season", F.array(C("attempts") / C("plays"), C("successes") / C("plays"), C("tax") / C("plays")).alias("v"))
-    team = ((C("team_id") + F.when(C("owner_id") % 3 == 0, C("season")).otherwise(0)) % 25).cast("int")
-    o = t.intervals.where("role = 1").select("owner_id", F.lit(1).alias("role"), "season", team.alias("team"))
-    m = joins.moves(o, "owner_id", "role", "season", "team")
-    side = lambda key, at, name: v.select(C("team_id").alias(key), (C("season") - at).alias("season"), C("v").alias(name))
-    return m.join(side("from_team", 0, "origin"), ["from_team", "season"]).join(side("to_team", 0, "before"), ["to_team", "season"]).join(side("to_team", 1, "after"), ["to_team", "season"])
-
-
-@query("J34_scheme_moves", f"""WITH {MOVES}
-SELECT m.owner_id, m.season, from_team, to_team, round(sqrt((f.a - b.a) ** 2 + (f.s - b.s) ** 2 + (f.x - b.x) ** 2), 6) AS before_distance, round(sqrt((f.a - n.a) ** 2 + (f.s - n.s) ** 2 + (f.x - n.x) ** 2), 6) AS after_distance
-FROM m JOIN v f ON f.team_id = from_team AND f.season = m.season JOIN v b ON b.team_id = to_team AND b.season = m.season JOIN v n ON n.team_id = to_team AND n.season = m.season + 1""")
-def _(t):
-    d = lambda a, b: stats.distances(C(a), C(b))["euclidean"]
-    return scheme_moves(t).select("owner_id", "season", "from_team", "to_team", F.round(d("origin", "before"), 6).alias("before_distance"), F.round(d("origin", "after"), 6).alias("after_distance"))
-
-
-@query("J41_role_moves_expanding_z", f"""WITH {MOVES}, z AS (SELECT t.team_id, t.season, (t.a - avg(u.a)) / stddev_pop(u.a) AS a FROM v t JOIN v u ON u.season < t.season GROUP BY t.team_id, t.season, t.a)
-SELECT m.owner_id, m.season, from_team, to_team, round(n.a - b.a, 5) AS shift FROM m JOIN z b ON b.team_id = to_team AND b.season = m.season JOIN z n ON n.team_id = to_team AND n.season = m.season + 1""")
-def _(t):
-    v = t.team_seasons.select("team_id", "season", (C("attempts") / C("plays")).alias("a"))
-    per = v.groupBy("season").agg(N().alias("n"), F.sum("a").alias("s"), F.sum(C("a") * C("a")).alias("q"))
-    w = Window.orderBy("season").rangeBetween(Window.unboundedPreceding, -1)  # a row a season
-    n, s, q = (F.sum(c).over(w) for c in "nsq")
-    fit = per.select("season", (s / n).alias("m"), F.sqrt(q / n - (s / n) * (s / n)).alias("sd"))
-    z = v.join(F.broadcast(fit), "season").select("team_id", "season", ((C("a") - C("m")) / C("sd")).alias("z")).where("z IS NOT NULL")
-    side = lambda at, name: z.select(C("team_id").alias("to_team"), (C("season") - at).alias("season"), C("z").alias(name))
-    out = scheme_moves(t).select("owner_id", "season", "from_team", "to_team").join(side(0, "b"), ["to_team", "season"]).join(side(1, "n"), ["to_team", "season"])
-    return out.select("owner_id", "season", "from_team", "to_team", F.round(C("n") - C("b"), 5).alias("shift"))
-
-
 @query("K04_fold_preprocess", f"""WITH {COHORT}, f AS (SELECT s.season AS fold, quantile_cont(prior_share, 0.5) AS med, avg(coalesce(prior_share, 0)) AS raw FROM seasons s JOIN ch ON ch.season < s.season GROUP BY 1 HAVING count(prior_share) > 0),
 g AS (SELECT f.fold, any_value(med) AS med, avg(coalesce(prior_share, med)) AS m, stddev_pop(coalesce(prior_share, med)) AS sd FROM f JOIN ch ON ch.season < f.fold GROUP BY 1)
 SELECT actor_id, season, round((coalesce(prior_share, med) - m) / sd, 5) AS z, prior_share IS NULL AS was_missing FROM ch JOIN g ON g.fold = ch.season""")
