@@ -85,3 +85,14 @@ def bounded_scope(df: DataFrame, cap: int) -> DataFrame:
     if df.limit(cap + 1).count() > cap:
         raise ValueError(f"more than {cap} rows in scope")
     return df
+
+
+def row_index(df: DataFrame, lead: str, then: str, rest: list[str], name: str = "k", buckets: int = 64) -> DataFrame:
+    """df plus the row number by lead descending (a column of few values), then and rest ascending; none of them NULL. Rows are
+    numbered within (lead, range of then) and the rows of the ranges before are added, so that no task numbers the whole table."""
+    bounds = sorted(set(df.agg(F.percentile_approx(then, [(i + 1) / buckets for i in range(buckets - 1)], 50 * buckets)).first()[0] or []))
+    rows = df.withColumn("_cut", sum((F.when(F.col(then) > b, 1).otherwise(0) for b in bounds), F.lit(0)))
+    counts = rows.groupBy(lead, "_cut").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select(lead, "_cut", (F.sum("_n").over(Window.orderBy(F.desc(lead), "_cut")) - F.col("_n")).alias("_before"))  # a row a range
+    own = F.row_number().over(Window.partitionBy(lead, "_cut").orderBy(then, *rest))
+    return rows.withColumn("_own", own).join(F.broadcast(before), [lead, "_cut"]).withColumn(name, (F.col("_before") + F.col("_own")).cast("long")).drop("_cut", "_own", "_before")

@@ -135,10 +135,10 @@ def _(t):
 
 
 @query("D19_category_share_grid", """
-WITH c AS (SELECT team_id, tax, count(*) AS n FROM plays WHERE play_id = 7 AND tax IS NOT NULL GROUP BY 1, 2), g AS (SELECT team_id, CAST(sum(n) AS BIGINT) AS total FROM c GROUP BY 1)
+WITH c AS (SELECT team_id, tax, count(*) AS n FROM plays WHERE tax IS NOT NULL GROUP BY 1, 2), g AS (SELECT team_id, CAST(sum(n) AS BIGINT) AS total FROM c GROUP BY 1)
 SELECT g.team_id, k.tax, coalesce(n, 0) AS n, total, coalesce(n, 0)::DOUBLE / total AS share FROM g CROSS JOIN (SELECT DISTINCT tax FROM c) k LEFT JOIN c ON c.team_id = g.team_id AND c.tax = k.tax""")
 def _(t):
-    return aggs.category_shares(t.plays.where("play_id = 7"), ["team_id"], "tax")
+    return aggs.category_shares(t.plays, ["team_id"], "tax")
 
 
 @query("D21_string_set_agg", "SELECT team_id, season, string_agg(DISTINCT role::VARCHAR, '|' ORDER BY role::VARCHAR) AS roles FROM intervals GROUP BY 1, 2")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import windows as win
 from ..operators.joins import lag_join
-from . import aggs, calls, domain, folds, joins, models, profiles, projection, reliability, research, reshape_quality, states, serving, sources_keys, stats, windows  # noqa: F401
+from . import aggs, calls, domain, folds, joins, models, moves, profiles, projection, reliability, research, reshape_quality, states, serving, sources_keys, stats, windows  # noqa: F401
 from .bindings import Tables
 from .registry import ORACLE, QUERIES
 

@@ -91,11 +91,11 @@ def _(t):
 
 
 @query("J12_state_universe", """
-WITH f AS (SELECT actor_id, min(season) AS first FROM actor_seasons WHERE (actor_id + season) % 3 <> 0 GROUP BY 1), e AS (SELECT s_suppkey AS actor_id, CAST(1995 + s_suppkey % 7 AS INT) AS drafted FROM supplier WHERE s_suppkey % 2 = 0)
+WITH f AS (SELECT actor_id, min(season) AS first FROM actor_seasons GROUP BY 1), e AS (SELECT s_suppkey AS actor_id, CAST(1995 + s_suppkey % 7 AS INT) AS drafted FROM supplier)
 SELECT actor_id, season AS target, concat_ws('|', CASE WHEN first < season THEN 'history' END, CASE WHEN drafted <= season THEN 'draft' END) AS basis FROM f FULL JOIN e USING (actor_id) CROSS JOIN seasons WHERE first < season OR drafted <= season""")
 def _(t):
-    f = t.actor_seasons.where("(actor_id + season) % 3 <> 0").groupBy("actor_id").agg(F.min("season").alias("first"))
-    e = t.raw("supplier").where("s_suppkey % 2 = 0").select(C("s_suppkey").alias("actor_id"), (1995 + C("s_suppkey") % 7).cast("int").alias("drafted"))
+    f = t.actor_seasons.groupBy("actor_id").agg(F.min("season").alias("first"))
+    e = t.raw("supplier").select(C("s_suppkey").alias("actor_id"), (1995 + C("s_suppkey") % 7).cast("int").alias("drafted"))
     u = f.join(e, "actor_id", "full").crossJoin(F.broadcast(t.seasons.withColumnRenamed("season", "target")))
     basis = F.array_compact(F.array(F.when(C("first") < C("target"), "history"), F.when(C("drafted") <= C("target"), "draft")))
     return u.select("actor_id", "target", F.array_join(basis, "|").alias("basis")).where("basis <> ''")
@@ -180,10 +180,10 @@ def _(t):
 
 
 @query("J38_cell_structure", """
-WITH c AS (SELECT season, team_id, role, string_agg(DISTINCT owner_id::VARCHAR, '|' ORDER BY owner_id::VARCHAR) AS owners, count(*) AS n FROM intervals WHERE (owner_id + season) % 4 <> 0 GROUP BY 1, 2, 3)
+WITH c AS (SELECT season, team_id, role, string_agg(DISTINCT owner_id::VARCHAR, '|' ORDER BY owner_id::VARCHAR) AS owners, count(*) AS n FROM intervals GROUP BY 1, 2, 3)
 SELECT a.season, a.team_id, a.role, a.owners, a.n, CASE WHEN b.owners IS NULL THEN 'unknown' WHEN a.owners = b.owners THEN 'same' ELSE 'changed' END AS continuity FROM c a LEFT JOIN c b ON a.team_id = b.team_id AND a.role = b.role AND a.season = b.season + 1""")
 def _(t):
-    c = t.intervals.where("(owner_id + season) % 4 <> 0").groupBy("season", "team_id", "role").agg(aggs.string_set(C("owner_id")).alias("owners"), N().alias("n"))
+    c = t.intervals.groupBy("season", "team_id", "role").agg(aggs.string_set(C("owner_id")).alias("owners"), N().alias("n"))
     out = joins.lag_join(c, ["team_id", "role"], "season", ["owners"])
     return out.select("season", "team_id", "role", "owners", "n", F.when(C("prior_owners").isNull(), "unknown").when(C("owners") == C("prior_owners"), "same").otherwise("changed").alias("continuity"))
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import quality, reshape
+from ..operators import windows as win
 from . import aggs as bound
+from .domain import ATTR, attributed
 from .registry import query
 
 C = F.col
@@ -133,11 +135,13 @@ def _(t):
 
 
 @query("I02_feature_frame_leakage", """
-WITH f AS (SELECT actor_id, season, season - CASE WHEN actor_id % 23 = 0 THEN 0 ELSE 1 END AS as_of, season - CASE WHEN actor_id % 19 = 0 THEN 0 ELSE 1 END AS source FROM actor_seasons)
-SELECT actor_id, season, unnest(list_filter([CASE WHEN as_of <> season - 1 THEN 'as_of' END, CASE WHEN source >= season THEN 'source' END], lambda x: x IS NOT NULL)) AS rule FROM f""")
+WITH m AS (SELECT actor_id, season, count(DISTINCT opponent_id) > 1 AS several FROM plays GROUP BY 1, 2), f AS (SELECT actor_id, season, season - CASE WHEN actor_id % 23 = 0 THEN 0 ELSE 1 END AS as_of, season - CASE WHEN actor_id % 19 = 0 THEN 0 ELSE 1 END AS source, CASE WHEN actor_id % 17 = 0 THEN 1 END AS destination, several FROM actor_seasons JOIN m USING (actor_id, season))
+SELECT actor_id, season, unnest(list_filter([CASE WHEN as_of <> season - 1 THEN 'as_of' END, CASE WHEN source >= season THEN 'source' END, CASE WHEN several AND destination IS NOT NULL THEN 'destination' END], lambda x: x IS NOT NULL)) AS rule FROM f""")
 def _(t):
-    f = t.actor_seasons.select("actor_id", "season", (C("season") - F.when(C("actor_id") % 23 == 0, 0).otherwise(1)).alias("as_of"), (C("season") - F.when(C("actor_id") % 19 == 0, 0).otherwise(1)).alias("source"))
-    return quality.rule_violations(f, ["actor_id", "season"], {"as_of": C("as_of") != C("season") - 1, "source": C("source") >= C("season")})
+    several = t.plays.groupBy("actor_id", "season").agg((F.count_distinct("opponent_id") > 1).alias("several"))
+    f = t.actor_seasons.join(several, ["actor_id", "season"]).select("actor_id", "season", (C("season") - F.when(C("actor_id") % 23 == 0, 0).otherwise(1)).alias("as_of"), (C("season") - F.when(C("actor_id") % 19 == 0, 0).otherwise(1)).alias("source"), F.when(C("actor_id") % 17 == 0, 1).alias("destination"), "several")
+    # who has several teams in a season must not carry a feature of the destination
+    return quality.rule_violations(f, ["actor_id", "season"], {"as_of": C("as_of") != C("season") - 1, "source": C("source") >= C("season"), "destination": C("several") & C("destination").isNotNull()})
 
 
 @query("I03_arithmetic_reconcile", "SELECT season, team_id, 'sum' AS rule FROM team_seasons WHERE abs(value - (value // 2) - (value - value // 2 + CASE WHEN team_id = 7 THEN 1 ELSE 0 END)) > 0.5")
@@ -147,17 +151,23 @@ def _(t):
     return quality.rule_violations(rows, ["season", "team_id"], {"sum": F.abs(C("value") - C("a") - C("b")) > 0.5})
 
 
-@query("I04_exposure_validation", "SELECT interval_id, unnest(list_filter([CASE WHEN end_week > 12 THEN 'too_late' END, CASE WHEN end_week - start_week > 5 THEN 'too_long' END], lambda x: x IS NOT NULL)) AS rule FROM intervals")
+@query("I04_exposure_validation", f"""WITH {ATTR}, e AS (SELECT j.interval_id, actor_id, j.week, i.start_week, i.end_week - CASE WHEN j.owner_id % 7 = 0 THEN 2 ELSE 0 END AS claimed_end, j.season, j.season + CASE WHEN j.owner_id % 13 = 0 THEN 1 ELSE 0 END AS source, k, CASE WHEN j.owner_id % 11 = 0 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE / k END AS weight, count(*) OVER (PARTITION BY j.owner_id, actor_id, j.season, j.week) AS same FROM j JOIN intervals i USING (interval_id))
+SELECT interval_id, actor_id, week, unnest(list_filter([CASE WHEN week < start_week OR week > claimed_end THEN 'outside' END, CASE WHEN abs(weight * k - 1) > 1e-9 THEN 'arithmetic' END, CASE WHEN same > 1 THEN 'repeated' END, CASE WHEN source > season THEN 'future' END], lambda x: x IS NOT NULL)) AS rule FROM e""")
 def _(t):
-    return quality.rule_violations(t.intervals, ["interval_id"], {"too_late": C("end_week") > 12, "too_long": C("end_week") - C("start_week") > 5})
+    own = C("owner_id")
+    e = attributed(t).select("interval_id", "owner_id", "actor_id", "season", "week", "start_week", "k", (C("end_week") - F.when(own % 7 == 0, 2).otherwise(0)).alias("claimed_end"), (C("season") + F.when(own % 13 == 0, 1).otherwise(0)).alias("source"), F.when(own % 11 == 0, F.lit(1.0)).otherwise(1.0 / C("k")).alias("weight"))
+    e = win.group_count(e, ["owner_id", "actor_id", "season", "week"], "same")  # a week's intervals of an owner and an actor are few
+    return quality.rule_violations(e, ["interval_id", "actor_id", "week"], {"outside": ~C("week").between(C("start_week"), C("claimed_end")), "arithmetic": F.abs(C("weight") * C("k") - 1) > 1e-9, "repeated": C("same") > 1, "future": C("source") > C("season")})
 
 
-@query("I05_feature_record_validation", f"""WITH {bound.RECORDS}, reg AS (SELECT 'rate' AS feature, 1 AS lag, false AS nullable UNION ALL SELECT 'share', 2, true)
-SELECT actor_id, target, feature, unnest(list_filter([CASE WHEN target - source <> lag THEN 'wrong_lag' END, CASE WHEN value IS NULL AND NOT nullable THEN 'missing_value' END], lambda x: x IS NOT NULL)) AS rule FROM recs JOIN reg USING (feature)""")
+@query("I05_feature_record_validation", f"""WITH {bound.RECORDS}, reg AS (SELECT 'rate' AS feature, 'preseason' AS timing, 1 AS lag, 3 AS span, true AS allowed, false AS nullable UNION ALL SELECT 'share', 'season_end', 2, 2, false, true),
+r AS (SELECT *, CASE WHEN actor_id % 29 = 0 THEN 'in_season' ELSE 'preseason' END AS timing_used, CASE WHEN actor_id % 31 = 0 THEN NULL ELSE source END AS lineage, target - source + CASE WHEN actor_id % 37 = 0 THEN 3 ELSE 0 END AS reach FROM recs)
+SELECT actor_id, target, feature, unnest(list_filter([CASE WHEN timing_used <> timing THEN 'timing_class' END, CASE WHEN target - source <> lag THEN 'wrong_lag' END, CASE WHEN reach > span THEN 'outside_window' END, CASE WHEN NOT allowed THEN 'not_permitted' END, CASE WHEN lineage IS NULL THEN 'no_lineage' END, CASE WHEN value IS NULL AND NOT nullable THEN 'missing_value' END], lambda x: x IS NOT NULL)) AS rule FROM r JOIN reg USING (feature)""")
 def _(t):
-    reg = t.spark.createDataFrame([("rate", 1, False), ("share", 2, True)], "feature string, lag int, nullable boolean")
-    rows = bound.records(t).join(F.broadcast(reg), "feature")
-    return quality.rule_violations(rows, ["actor_id", "target", "feature"], {"wrong_lag": C("target") - C("source") != C("lag"), "missing_value": C("value").isNull() & ~C("nullable")})
+    reg = t.spark.createDataFrame([("rate", "preseason", 1, 3, True, False), ("share", "season_end", 2, 2, False, True)], "feature string, timing string, lag int, span int, allowed boolean, nullable boolean")
+    a = C("actor_id")
+    rows = bound.records(t).join(F.broadcast(reg), "feature").select("*", F.when(a % 29 == 0, "in_season").otherwise("preseason").alias("timing_used"), F.when(a % 31 != 0, C("source")).alias("lineage"), (C("target") - C("source") + F.when(a % 37 == 0, 3).otherwise(0)).alias("reach"))
+    return quality.rule_violations(rows, ["actor_id", "target", "feature"], {"timing_class": C("timing_used") != C("timing"), "wrong_lag": C("target") - C("source") != C("lag"), "outside_window": C("reach") > C("span"), "not_permitted": ~C("allowed"), "no_lineage": C("lineage").isNull(), "missing_value": C("value").isNull() & ~C("nullable")})
 
 
 @query("I06_leakage_audit", f"WITH {bound.RECORDS} SELECT target, count(*) AS row_count, count(DISTINCT actor_id) AS entities, min(source) AS first_source, max(source) AS last_source, count(*) FILTER (WHERE source >= target) AS illegal, true AS passed FROM recs GROUP BY 1")
@@ -165,10 +175,13 @@ def _(t):
     return quality.leakage_audit(bound.records(t), "target", "source", "actor_id")
 
 
-@query("I07_cohort_gates", """
-SELECT gate, failures, failures = 0 AS passed FROM (SELECT 'null_key' AS gate, count(*) FILTER (WHERE actor_id IS NULL) AS failures FROM actor_seasons UNION ALL SELECT 'volume', count(*) FILTER (WHERE volume < 1000) FROM actor_seasons UNION ALL SELECT 'rates', count(*) FILTER (WHERE attempts > plays) FROM actor_seasons)""")
+GATES = {"null_key": "actor_id IS NULL OR season IS NULL", "volume": "volume < 1000", "rates": "attempts > plays OR successes > plays", "value_range": "abs(value) > 100000 * plays", "no_team": "team_id IS NULL", "thin": "plays < 30", "one_sided": "attempts = 0 OR attempts = plays", "repeated_key": "n > 1"}
+
+
+@query("I07_cohort_gates", "WITH r AS (SELECT *, count(*) OVER (PARTITION BY actor_id, season) AS n FROM actor_seasons) SELECT gate, failures, failures = 0 AS passed FROM (" + " UNION ALL ".join(f"SELECT '{g}' AS gate, count(*) FILTER (WHERE {c}) AS failures FROM r" for g, c in GATES.items()) + ")")
 def _(t):
-    return quality.gates(t.actor_seasons, {"null_key": C("actor_id").isNull(), "volume": C("volume") < 1000, "rates": C("attempts") > C("plays")})
+    rows = win.group_count(t.actor_seasons, ["actor_id", "season"], "n")
+    return quality.gates(rows, {g: F.expr(c) for g, c in GATES.items()})
 
 
 @query("I08_verified_needs_source", "SELECT interval_id FROM intervals WHERE status = 'verified' AND interval_id NOT IN (SELECT interval_id FROM intervals WHERE start_week % 2 = 0)")
@@ -218,11 +231,32 @@ def _(t):
     return quality.contract_keys({"plays": (t.plays, ["value"], ["game_id", "play_id"]), "games": (t.games, ["season", "stadium"], ["game_id"]), "nation": (t.raw("nation"), ["n_name"], ["n_nationkey"])})
 
 
-@query("I15_manual_data_validation", """
-SELECT page_id, unnest(list_filter([CASE WHEN NOT regexp_matches(url, '^https://') THEN 'not_https' END, CASE WHEN contains(url, '#') THEN 'has_fragment' END, CASE WHEN regexp_matches(url, 'ref=') THEN 'has_tracking' END], lambda x: x IS NOT NULL)) AS rule FROM pages""")
+_SLUG = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '-')"
+
+
+@query("I15_manual_data_validation", f"""
+WITH ids AS (SELECT n_name AS name, CASE WHEN n_nationkey % 6 = 0 THEN n_name ELSE {_SLUG.format('n_name')} END AS id, CASE WHEN n_nationkey % 8 < 2 THEN 'shared alias' ELSE 'alias ' || n_nationkey END AS alias FROM nation)
+SELECT 'identity' AS part, id AS key, 'not_a_slug' AS rule FROM ids WHERE id <> {_SLUG.format('name')} UNION ALL SELECT 'alias', alias, 'repeated' FROM ids GROUP BY alias HAVING count(DISTINCT id) > 1
+UNION ALL SELECT 'source', page_id::VARCHAR, unnest(list_filter([CASE WHEN NOT regexp_matches(url, '^https://') THEN 'not_https' END, CASE WHEN contains(url, '#') THEN 'has_fragment' END, CASE WHEN regexp_matches(url, 'ref=') THEN 'has_tracking' END], lambda x: x IS NOT NULL)) FROM pages
+UNION ALL SELECT 'role', season || '|' || n_nationkey || '|' || role, 'uncovered' FROM seasons CROSS JOIN nation CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS role) WHERE (season, n_nationkey, role) NOT IN (SELECT (season, team_id, role) FROM intervals)
+UNION ALL SELECT 'interval', interval_id, unnest(list_filter([CASE WHEN end_week > 11 THEN 'out_of_range' END, CASE WHEN end_week < start_week THEN 'reversed' END, CASE WHEN status = 'unresolved' AND shared THEN 'open_review' END], lambda x: x IS NOT NULL)) FROM intervals""")
 def _(t):
+    from ..functions.rates import slug
+
+    k = C("n_nationkey")
+    ids = t.raw("nation").select(C("n_name").alias("name"), F.when(k % 6 == 0, C("n_name")).otherwise(slug(C("n_name"))).alias("id"), F.when(k % 8 < 2, "shared alias").otherwise(F.concat(F.lit("alias "), k)).alias("alias"))
+    part = lambda df, name, key: df.select(F.lit(name).alias("part"), F.col(key).alias("key"), "rule")
     u = C("url")
-    return quality.rule_violations(t.raw("pages"), ["page_id"], {"not_https": ~u.rlike("^https://"), "has_fragment": F.contains(u, F.lit("#")), "has_tracking": u.rlike("ref=")})
+    roles = t.seasons.crossJoin(F.broadcast(t.raw("nation").select(k.alias("team_id")))).withColumn("role", F.explode(F.array(*map(F.lit, range(4)))))
+    bare = quality.orphans(roles, t.intervals, ["season", "team_id", "role"]).select(F.concat_ws("|", "season", "team_id", "role").alias("key"), F.lit("uncovered").alias("rule"))
+    out = [
+        part(quality.rule_violations(ids, ["id"], {"not_a_slug": C("id") != slug(C("name"))}), "identity", "id"),
+        part(ids.groupBy("alias").agg(F.count_distinct("id").alias("n")).where("n > 1").withColumn("rule", F.lit("repeated")), "alias", "alias"),
+        part(quality.rule_violations(t.raw("pages").withColumn("page_id", C("page_id").cast("string")), ["page_id"], {"not_https": ~u.rlike("^https://"), "has_fragment": F.contains(u, F.lit("#")), "has_tracking": u.rlike("ref=")}), "source", "page_id"),
+        part(bare, "role", "key"),
+        part(quality.rule_violations(t.intervals, ["interval_id"], {"out_of_range": C("end_week") > 11, "reversed": C("end_week") < C("start_week"), "open_review": (C("status") == "unresolved") & C("shared")}), "interval", "interval_id"),
+    ]
+    return reshape.union_vertical(out, {"part": "string", "key": "string", "rule": "string"})
 
 
 @query("I16_temporary_role_inference", """
@@ -233,11 +267,11 @@ def _(t):
 
 
 @query("I17_grain_audit", """
-WITH r AS (SELECT season, team_id, count(*) AS n FROM intervals WHERE role = 1 GROUP BY 1, 2), c AS (SELECT c_custkey FROM customer WHERE c_custkey % 5 <> 0)
+WITH r AS (SELECT season, team_id, count(*) AS n FROM intervals WHERE role = 1 GROUP BY 1, 2), c AS (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)
 SELECT 'owners' AS stage, count(*) AS input_rows, count(n) AS matched, count(*) - count(n) AS unmatched, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS multiplied FROM team_seasons LEFT JOIN r USING (season, team_id)
 UNION ALL SELECT 'customers', count(*), count(c_custkey), count(*) - count(c_custkey), 0 FROM orders LEFT JOIN c ON o_custkey = c_custkey""")
 def _(t):
-    c = t.raw("customer").where("c_custkey % 5 <> 0").select(C("c_custkey").alias("o_custkey"))
+    c = t.raw("customer").where("c_acctbal >= 0").select(C("c_custkey").alias("o_custkey"))
     return quality.grain_audit([("owners", t.team_seasons, t.intervals.where("role = 1"), ["season", "team_id"]), ("customers", t.raw("orders"), c, ["o_custkey"])])
 
 

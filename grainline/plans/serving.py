@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from ..operators import windows as win
 from ..operators.joins import overlap_pairs
+from ..sources.shared import cut
 from . import aggs as bound
 from .registry import query
+from .states import PAE, season_pae
+from .stats import coh
 
 C = F.col
 
@@ -36,11 +39,11 @@ def _(t):
     return view(t).where("actor_id = 7").select("season", "team_name", "attempts", "value").orderBy("season")
 
 
-@query("L04_pae_history", "SELECT a.season, round(a.value::DOUBLE / a.volume - b.value::DOUBLE / b.volume, 6) AS over_expected FROM actor_seasons a JOIN actor_seasons b ON a.actor_id = b.actor_id AND a.season = b.season + 1 WHERE a.actor_id = 7")
+@query("L04_pae_history", f"WITH {PAE} SELECT pae.season, s_name AS actor_name, round(actual, 4) AS actual, round(expected, 3) AS expected, round(pae, 3) AS pae, weight, model_var IS NOT NULL AS has_variance FROM pae JOIN supplier ON s_suppkey = actor_id WHERE actor_id = 7")
 def _(t):
-    from .stats import pairs
-
-    return pairs(t).where("actor_id = 7").select("season", F.round(C("y") - C("prior_y"), 6).alias("over_expected"))
+    own = season_pae(t).where("actor_id = 7")
+    name = t.raw("supplier").select(C("s_suppkey").alias("actor_id"), C("s_name").alias("actor_name"))
+    return own.join(name, "actor_id").select("season", "actor_name", F.round("actual", 4).alias("actual"), F.round("expected", 3).alias("expected"), F.round("pae", 3).alias("pae"), "weight", C("model_var").isNotNull().alias("has_variance")).orderBy("season")
 
 
 @query("L05_list_owners", "SELECT DISTINCT owner_id, role FROM intervals WHERE ('owner-' || owner_id) ILIKE '%1%' ORDER BY 1, 2")
@@ -51,10 +54,18 @@ def _(t):
 EFFECT = "eff AS (SELECT owner_id, role, CAST(sum(end_week - start_week + 1) AS BIGINT) AS exposure, count(DISTINCT team_id) AS teams FROM intervals GROUP BY 1, 2)"
 
 
-@query("L06_owner_impact", f"WITH {EFFECT} SELECT owner_id, role, exposure, dense_rank() OVER (PARTITION BY role ORDER BY exposure DESC) AS rank FROM eff WHERE exposure >= 60")
+@query("L06_owner_impact", f"""WITH {PAE}, {EFFECT}, w AS (SELECT i.owner_id, i.role, sum(pae * weight) / sum(weight) AS effect, count(*) AS n FROM intervals i JOIN coh c ON c.team_id = i.team_id AND c.season = i.season JOIN pae ON pae.actor_id = c.actor_id AND pae.season = c.season GROUP BY 1, 2), x AS (SELECT eff.owner_id, eff.role, exposure, teams, round(effect, 4) AS effect, n FROM eff LEFT JOIN w USING (owner_id, role) WHERE exposure >= 60)
+SELECT *, dense_rank() OVER (PARTITION BY role ORDER BY exposure DESC) AS by_exposure, CASE WHEN effect IS NOT NULL THEN dense_rank() OVER (PARTITION BY role ORDER BY effect DESC NULLS LAST) END AS by_effect, dense_rank() OVER (PARTITION BY role ORDER BY teams DESC) AS by_teams FROM x""")
 def _(t):
-    e = t.intervals.groupBy("owner_id", "role").agg(F.sum(C("end_week") - C("start_week") + 1).alias("exposure"))
-    return win.dense_rank_eligible(e.where("exposure >= 60"), ["role"], "exposure", F.lit(True)).select("owner_id", "role", "exposure", "rank")
+    e = t.intervals.groupBy("owner_id", "role").agg(F.sum(C("end_week") - C("start_week") + 1).alias("exposure"), F.count_distinct("team_id").alias("teams")).where("exposure >= 60")
+    p = season_pae(t).join(coh(t).select("actor_id", "season", "team_id"), ["actor_id", "season"])
+    # a row a team-season carries what its owners share
+    sums = p.groupBy("team_id", "season").agg(F.sum(C("pae") * C("weight")).alias("v"), F.sum("weight").alias("w"), F.count(F.lit(1)).alias("k"))
+    effect = t.intervals.join(sums, ["team_id", "season"]).groupBy("owner_id", "role").agg(F.round(F.sum("v") / F.sum("w"), 4).alias("effect"), F.sum("k").alias("n"))
+    out = e.join(effect, ["owner_id", "role"], "left")
+    for measure in ("exposure", "effect", "teams"):
+        out = win.dense_rank_eligible(out, ["role"], measure, C(measure).isNotNull(), f"by_{measure}")
+    return out
 
 
 @query("L07_team_season_list", "SELECT season, team_id, plays, value FROM team_seasons WHERE season BETWEEN 1997 AND 1999 AND plays > 200")
@@ -84,37 +95,55 @@ def _(t):
     return p.groupBy("season", "team_id", C("a_owner_id").alias("a"), C("b_owner_id").alias("b")).agg(F.count(F.lit(1)).alias("links"))
 
 
-def edges(t):
-    team = F.concat(F.lit("team:"), "team_id", F.lit(":"), "season")
-    a = t.intervals.where("season = 1999").select(F.concat(F.lit("owner:"), "owner_id").alias("src"), team.alias("dst"), F.lit("owns").alias("kind")).distinct()
-    b = t.actor_seasons.where("season = 1999 AND team_id < 5").select(F.concat(F.lit("actor:"), "actor_id").alias("src"), team.alias("dst"), F.lit("plays_for").alias("kind"))
-    return a.join(b.select("dst").distinct(), "dst", "left_semi").select("src", "dst", "kind").unionByName(b)
+#: Edges that a source node shows at most, the first by name; n_edges has how many there are.
+MOST_EDGES = 25
+_TEAM = "'team:' || team_id || ':' || season"
+EDGES = f"""own AS (SELECT 'owner:' || owner_id AS src, {_TEAM} AS dst, 'owns' AS kind, count(*) AS weight, avg((status = 'verified')::INT) AS complete, owner_id AS cited FROM intervals GROUP BY ALL),
+act AS (SELECT 'actor:' || actor_id AS src, {_TEAM} AS dst, 'plays_for' AS kind, plays AS weight, 1.0::DOUBLE AS complete, actor_id AS cited FROM actor_seasons),
+pair AS (SELECT 'owner:' || a.owner_id AS src, 'owner:' || b.owner_id AS dst, 'works_with' AS kind, count(*) AS weight, avg((a.status = 'verified' AND b.status = 'verified')::INT) AS complete, a.owner_id AS cited FROM intervals a JOIN intervals b ON a.season = b.season AND a.team_id = b.team_id AND a.owner_id < b.owner_id AND a.start_week <= b.end_week AND b.start_week <= a.end_week GROUP BY ALL),
+met AS (SELECT 'team:' || team_id || ':' || season AS src, 'team:' || opponent_id || ':' || season AS dst, 'meets' AS kind, count(*) AS weight, 1.0::DOUBLE AS complete, CAST(team_id AS BIGINT) AS cited FROM plays GROUP BY ALL),
+every AS (SELECT 'owner' AS mode, * FROM own UNION ALL SELECT 'actor', * FROM act UNION ALL SELECT 'network', * FROM pair UNION ALL SELECT 'schedule', * FROM met),
+edges AS (SELECT e.*, coalesce(c.n, 0) AS citations, row_number() OVER (PARTITION BY mode, src ORDER BY dst) AS k, count(*) OVER (PARTITION BY mode, src) AS n_edges FROM every e LEFT JOIN (SELECT page_id, count(*) AS n FROM pages GROUP BY 1) c ON c.page_id = cited)"""
 
 
-EDGES = """b AS (SELECT 'actor:' || actor_id AS src, 'team:' || team_id || ':' || season AS dst, 'plays_for' AS kind FROM actor_seasons WHERE season = 1999 AND team_id < 5),
-edges AS (SELECT DISTINCT 'owner:' || owner_id AS src, 'team:' || team_id || ':' || season AS dst, 'owns' AS kind FROM intervals WHERE season = 1999 AND ('team:' || team_id || ':' || season) IN (SELECT dst FROM b) UNION ALL SELECT * FROM b)"""
+def edges(t):
+    """Edges of four modes (owners of teams, actors of teams, owners who work together, teams that meet) with weight, completeness and
+    citations; of each source node the first MOST_EDGES, with how many it has."""
+    node = lambda kind, *cols: F.concat_ws(":", F.lit(kind), *cols)
+    n, one = F.count(F.lit(1)).alias("weight"), F.lit(1.0).alias("complete")
+    verified = lambda c: F.avg(c.cast("int")).alias("complete")
+    own = t.intervals.groupBy("owner_id", "team_id", "season").agg(n, verified(C("status") == "verified")).select(F.lit("owner").alias("mode"), node("owner", "owner_id").alias("src"), node("team", "team_id", "season").alias("dst"), F.lit("owns").alias("kind"), "weight", "complete", C("owner_id").alias("cited"))
+    act = t.actor_seasons.select(F.lit("actor").alias("mode"), node("actor", "actor_id").alias("src"), node("team", "team_id", "season").alias("dst"), F.lit("plays_for").alias("kind"), C("plays").alias("weight"), one, C("actor_id").alias("cited"))
+    p = overlap_pairs(t.intervals, ["season", "team_id"], "owner_id", "start_week", "end_week", ["status"])
+    pair = p.groupBy("a_owner_id", "b_owner_id").agg(n, verified((C("a_status") == "verified") & (C("b_status") == "verified"))).select(F.lit("network").alias("mode"), node("owner", "a_owner_id").alias("src"), node("owner", "b_owner_id").alias("dst"), F.lit("works_with").alias("kind"), "weight", "complete", C("a_owner_id").alias("cited"))
+    met = t.plays.groupBy("team_id", "opponent_id", "season").agg(n).select(F.lit("schedule").alias("mode"), node("team", "team_id", "season").alias("src"), node("team", "opponent_id", "season").alias("dst"), F.lit("meets").alias("kind"), "weight", one, C("team_id").cast("long").alias("cited"))
+    pages = t.raw("pages").groupBy(C("page_id").alias("cited")).agg(F.count(F.lit(1)).alias("citations"))
+    every = cut(own.unionByName(act).unionByName(pair).unionByName(met), "edges").join(pages, "cited", "left").withColumn("citations", F.coalesce("citations", F.lit(0)))
+    counts = every.groupBy("mode", "src").agg(F.count(F.lit(1)).alias("n_edges"))
+    return win.top_per_group(every, ["mode", "src"], [F.asc("dst")], MOST_EDGES).join(counts, ["mode", "src"])
 
 
-@query("L12_relationship_graph", f"WITH {EDGES}, nodes AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges) SELECT 'edge' AS part, src AS a, dst AS b, kind FROM edges UNION ALL SELECT 'node', node, '', split_part(node, ':', 1) FROM nodes")
+@query("L12_relationship_graph", f"WITH {EDGES}, kept AS (SELECT * FROM edges WHERE k <= {MOST_EDGES}), nodes AS (SELECT mode, src AS node FROM kept UNION SELECT mode, dst FROM kept) SELECT 'edge' AS part, mode, src AS a, dst AS b, kind, weight, round(complete, 6) AS complete, citations, n_edges FROM kept UNION ALL SELECT 'node', mode, node, '', split_part(node, ':', 1), NULL, NULL, NULL, NULL FROM nodes")
 def _(t):
-    e = edges(t)
-    nodes = e.select(F.explode(F.array("src", "dst")).alias("a")).distinct().select(F.lit("node").alias("part"), "a", F.lit("").alias("b"), F.split_part("a", F.lit(":"), F.lit(1)).alias("kind"))
-    return e.select(F.lit("edge").alias("part"), C("src").alias("a"), C("dst").alias("b"), "kind").unionByName(nodes)
+    e = cut(edges(t), "edges")
+    nodes = e.select("mode", F.explode(F.array("src", "dst")).alias("a")).distinct().select(F.lit("node").alias("part"), "mode", "a", F.lit("").alias("b"), F.split_part("a", F.lit(":"), F.lit(1)).alias("kind"))
+    rows = e.select(F.lit("edge").alias("part"), "mode", C("src").alias("a"), C("dst").alias("b"), "kind", "weight", F.round("complete", 6).alias("complete"), "citations", "n_edges")
+    return rows.unionByName(nodes, allowMissingColumns=True)
 
 
-@query("L13_graph_appearances", "WITH a AS (SELECT DISTINCT owner_id, season, CAST(role AS INT) AS role FROM intervals WHERE (owner_id + season) % 3 <> 0) SELECT owner_id, role, season, lead(season) OVER w AS next_season, coalesce(lead(season) OVER w = season + 1, false) AS continuous FROM a WINDOW w AS (PARTITION BY owner_id, role ORDER BY season)")
+@query("L13_graph_appearances", "WITH a AS (SELECT DISTINCT owner_id, season, CAST(role AS INT) AS role FROM intervals) SELECT owner_id, role, season, lead(season) OVER w AS next_season, coalesce(lead(season) OVER w = season + 1, false) AS continuous FROM a WINDOW w AS (PARTITION BY owner_id, role ORDER BY season)")
 def _(t):
     from pyspark.sql import Window
 
     w = Window.partitionBy("owner_id", "role").orderBy("season")
-    a = t.intervals.where("(owner_id + season) % 3 <> 0").select("owner_id", "role", "season").distinct()
+    a = t.intervals.select("owner_id", "role", "season").distinct()
     return a.withColumn("next_season", F.lead("season").over(w)).withColumn("continuous", F.coalesce(C("next_season") == C("season") + 1, F.lit(False)))
 
 
-@query("L14_citations_list", "SELECT interval_id, page_id, url FROM intervals JOIN pages ON page_id = owner_id WHERE season = 2000")
+@query("L14_citations_list", "SELECT interval_id, page_id, url FROM intervals JOIN pages ON page_id = owner_id")
 def _(t):
     p = t.raw("pages").select(C("page_id").alias("owner_id"), "url")
-    return t.intervals.where("season = 2000").join(p, "owner_id").select("interval_id", C("owner_id").alias("page_id"), "url")
+    return t.intervals.join(p, "owner_id").select("interval_id", C("owner_id").alias("page_id"), "url")
 
 
 @query("L15_owner_rankings_view", f"WITH {EFFECT} SELECT owner_id, role, CASE WHEN teams >= 2 THEN dense_rank() OVER (PARTITION BY role, teams >= 2 ORDER BY exposure DESC) END AS rank FROM eff")

@@ -226,9 +226,9 @@ def _(t):
 
 
 @query("K58_evidence_grades", """
-SELECT actor_id, count(*) AS seasons_n, CAST(sum(volume) AS BIGINT) AS volume, CASE WHEN count(*) >= 6 AND sum(volume) >= 12000 THEN 'high' WHEN count(*) >= 3 AND sum(volume) >= 6000 THEN 'medium' WHEN count(*) >= 2 THEN 'low' ELSE 'suppressed' END AS grade FROM actor_seasons WHERE (actor_id + season) % 4 <> 1 GROUP BY 1""")
+SELECT actor_id, count(*) AS seasons_n, CAST(sum(volume) AS BIGINT) AS volume, CASE WHEN count(*) >= 6 AND sum(volume) >= 12000 THEN 'high' WHEN count(*) >= 3 AND sum(volume) >= 6000 THEN 'medium' WHEN count(*) >= 2 THEN 'low' ELSE 'suppressed' END AS grade FROM actor_seasons GROUP BY 1""")
 def _(t):
-    s = t.actor_seasons.where("(actor_id + season) % 4 <> 1").groupBy("actor_id").agg(F.count(F.lit(1)).alias("seasons_n"), F.sum("volume").alias("volume"))
+    s = t.actor_seasons.groupBy("actor_id").agg(F.count(F.lit(1)).alias("seasons_n"), F.sum("volume").alias("volume"))
     n, v = C("seasons_n"), C("volume")
     return s.withColumn("grade", F.when((n >= 6) & (v >= 12000), "high").when((n >= 3) & (v >= 6000), "medium").when(n >= 2, "low").otherwise("suppressed"))
 

@@ -79,7 +79,7 @@ def _(t):
 
 @query("E12_row_index_rank", "SELECT season, team_id, row_number() OVER (ORDER BY season DESC, plays, team_id) AS k FROM team_seasons")
 def _(t):
-    return t.team_seasons.select("season", "team_id", F.row_number().over(Window.orderBy(F.desc("season"), "plays", "team_id")).alias("k"))
+    return win.row_index(t.team_seasons.select("season", "team_id", "plays"), "season", "plays", ["team_id"]).select("season", "team_id", "k")
 
 
 @query("E13_last_n_per_group", "SELECT actor_id, season, plays FROM (SELECT *, row_number() OVER (PARTITION BY actor_id ORDER BY season DESC) AS k FROM actor_seasons WHERE volume >= 1500) WHERE k <= 3")
@@ -102,9 +102,9 @@ def _(t):
     return win.bounded_scope(t.raw("nation").select("n_nationkey", "n_name"), 100)
 
 
-@query("F04_sample_rows", "SELECT season, actor_id, plays FROM actor_seasons WHERE value < 0 ORDER BY season, actor_id LIMIT 5")
+@query("F04_sample_rows", "SELECT season, actor_id, plays FROM actor_seasons WHERE volume > 1800 ORDER BY season, actor_id LIMIT 5")
 def _(t):
-    return t.actor_seasons.where("value < 0").select("season", "actor_id", "plays").orderBy("season", "actor_id").limit(5)
+    return t.actor_seasons.where("volume > 1800").select("season", "actor_id", "plays").orderBy("season", "actor_id").limit(5)
 
 
 @query("F05_top_n_per_entity", "SELECT actor_id, season, value FROM (SELECT *, row_number() OVER (PARTITION BY actor_id ORDER BY value DESC, season DESC) AS k FROM actor_seasons) WHERE k <= 3")
