@@ -62,11 +62,13 @@ def as_of_totals(df: DataFrame, entity: list[str], season: str, sums: list[str],
 def as_of_evidence(targets: DataFrame, evidence: DataFrame, entity: str, cutoff: str, date: str, value: str, stage: str) -> DataFrame:
     """For each target the evidence on or before its cutoff: the highest stage, then the latest date; several values there
     are ambiguous."""
-    joined = targets.join(evidence, entity).where(F.col(date) <= F.col(cutoff))
-    best = joined.groupBy(entity, cutoff).agg(F.max(F.struct(stage, date)).alias("_b"))
-    chosen = joined.join(best, [entity, cutoff]).where((F.col(stage) == F.col("_b")[stage]) & (F.col(date) == F.col("_b")[date]))
-    out = chosen.groupBy(entity, cutoff).agg(F.first(stage).alias(stage), F.first(date).alias(date), F.count_distinct(value).alias("values"), F.min(value).alias("_v"))
-    return targets.join(out, [entity, cutoff], "left").select(entity, cutoff, stage, date, F.when(F.col("values") == 1, F.col("_v")).alias(value), F.when(F.col("values") > 1, "ambiguous").when(F.col("values") == 1, "resolved").otherwise("none").alias("status"))
+    # targets and evidence in one line per entity: the running best is what a target may know, and no pairs are made
+    line = evidence.select(entity, F.col(date).alias("_at"), F.lit(0).alias("_kind"), F.struct(stage, date).alias("_e")).unionByName(targets.select(entity, F.col(cutoff).alias("_at"), F.lit(1).alias("_kind")), allowMissingColumns=True)
+    past = Window.partitionBy(entity).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    best = line.withColumn("_b", F.max("_e").over(past)).where("_kind = 1").select(entity, F.col("_at").alias(cutoff), F.col(f"_b.{stage}").alias(stage), F.col(f"_b.{date}").alias(date))
+    values = evidence.groupBy(entity, stage, date).agg(F.count_distinct(value).alias("_n"), F.min(value).alias("_v"))
+    out = best.join(values, [entity, stage, date], "left")
+    return out.select(entity, cutoff, stage, date, F.when(F.col("_n") == 1, F.col("_v")).alias(value), F.when(F.col("_n") > 1, "ambiguous").when(F.col("_n") == 1, "resolved").otherwise("none").alias("status"))
 
 
 def replace_cells(base: DataFrame, new: DataFrame, on: list[str]) -> DataFrame:

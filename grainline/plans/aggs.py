@@ -244,13 +244,13 @@ def _(t):
 
 
 @query("D31_repeat_summary", """
-WITH p AS (SELECT DISTINCT actor_id, season FROM actor_seasons WHERE (actor_id * 7 + season * season) % 3 <> 0), n AS (SELECT actor_id, count(*) AS seasons_n FROM p GROUP BY 1),
+WITH p AS (SELECT DISTINCT actor_id, season FROM actor_seasons WHERE volume >= 1500), n AS (SELECT actor_id, count(*) AS seasons_n FROM p GROUP BY 1),
 c AS (SELECT count(*) AS pairs FROM p a JOIN p b ON a.actor_id = b.actor_id AND a.season = b.season + 1)
 SELECT count(*) AS actors, count(*) FILTER (WHERE seasons_n >= 2) AS repeated, count(*) FILTER (WHERE seasons_n = 1) AS one, count(*) FILTER (WHERE seasons_n = 2) AS two, count(*) FILTER (WHERE seasons_n = 3) AS three, count(*) FILTER (WHERE seasons_n >= 4) AS four_up, any_value(pairs) AS pairs FROM n CROSS JOIN c""")
 def _(t):
     from pyspark.sql import Window
 
-    p = t.actor_seasons.select("actor_id", "season").distinct().where("(actor_id * 7 + season * season) % 3 <> 0")
+    p = t.actor_seasons.where("volume >= 1500").select("actor_id", "season").distinct()  # qualified seasons: they have gaps
     step = F.col("season") - F.lag("season").over(Window.partitionBy("actor_id").orderBy("season"))
     n = p.withColumn("next", step).groupBy("actor_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("next") == 1).alias("pairs"))
     return n.agg(F.count(F.lit(1)).alias("actors"), F.count_if(F.col("n") >= 2).alias("repeated"), F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") == 2).alias("two"), F.count_if(F.col("n") == 3).alias("three"), F.count_if(F.col("n") >= 4).alias("four_up"), F.sum("pairs").alias("pairs"))

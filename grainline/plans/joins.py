@@ -21,11 +21,12 @@ def _(t):
     return joins.interval_join(t.plays, i, ["season", "team_id"], "week", "start_week", "end_week").groupBy("game_id", "play_id", "interval_id", "owner_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-PARTIAL = "part AS (SELECT * FROM actor_seasons WHERE (actor_id + season) % 5 <> 0)"
+PARTIAL = "part AS (SELECT * FROM actor_seasons WHERE volume >= 1500)"
 
 
 def partial(t):
-    return t.actor_seasons.where("(actor_id + season) % 5 <> 0")
+    """The seasons in which an actor qualifies: they have gaps."""
+    return t.actor_seasons.where("volume >= 1500")
 
 
 @query("C03_lag_season_join", f"""WITH {PARTIAL}
@@ -51,11 +52,11 @@ def _(t):
 
 
 @query("C06_full_outer_coalesce", """
-WITH a AS (SELECT team_id, season, plays FROM team_seasons WHERE team_id % 2 = 0), b AS (SELECT team_id, season, volume FROM team_seasons WHERE team_id % 3 = 0)
+WITH a AS (SELECT team_id, season, plays FROM team_seasons WHERE plays >= 330), b AS (SELECT team_id, season, volume FROM team_seasons WHERE volume >= 8500)
 SELECT coalesce(a.team_id, b.team_id) AS team_id, coalesce(a.season, b.season) AS season, plays, volume FROM a FULL JOIN b ON a.team_id = b.team_id AND a.season = b.season""")
 def _(t):
-    a = t.team_seasons.where("team_id % 2 = 0").select("team_id", "season", "plays")
-    b = t.team_seasons.where("team_id % 3 = 0").select("team_id", "season", "volume")
+    a = t.team_seasons.where("plays >= 330").select("team_id", "season", "plays")
+    b = t.team_seasons.where("volume >= 8500").select("team_id", "season", "volume")
     return a.join(b, ["team_id", "season"], "full")
 
 
@@ -119,7 +120,7 @@ def _(t):
 
 @query("C14_as_of_evidence", """
 WITH tg AS (SELECT DISTINCT user_id, '2024-01-' || lpad((10 + user_id % 15)::VARCHAR, 2, '0') AS cutoff FROM events),
-e AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, event_type AS v, CAST(event_id % 2 AS INT) AS stage FROM events WHERE event_id % 3 <> 0),
+e AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, event_type AS v, CAST(event_id % 2 AS INT) AS stage FROM events),
 j AS (SELECT * FROM tg JOIN e USING (user_id) WHERE day <= cutoff),
 b AS (SELECT user_id, max(stage || day) AS m FROM j GROUP BY 1),
 c AS (SELECT j.user_id, any_value(stage) AS stage, any_value(day) AS day, count(DISTINCT v) AS n, min(v) AS v FROM j JOIN b ON j.user_id = b.user_id AND stage || day = m GROUP BY 1)
@@ -127,7 +128,7 @@ SELECT tg.user_id, cutoff, stage, day, CASE WHEN n = 1 THEN v END AS v, CASE WHE
 def _(t):
     e = t.raw("events")
     targets = e.select("user_id").distinct().withColumn("cutoff", F.concat(F.lit("2024-01-"), F.lpad((10 + F.col("user_id") % 15).cast("string"), 2, "0")))
-    ev = e.where("event_id % 3 <> 0").select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("event_type").alias("v"), (F.col("event_id") % 2).cast("int").alias("stage"))
+    ev = e.select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("event_type").alias("v"), (F.col("event_id") % 2).cast("int").alias("stage"))
     return joins.as_of_evidence(targets, ev, "user_id", "cutoff", "day", "v", "stage")
 
 

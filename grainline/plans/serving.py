@@ -215,9 +215,9 @@ def _(t):
     return t.intervals.select("interval_id", F.substring(F.sha2(F.to_json(F.struct(C("owner_id").alias("owner"), "role", "season")), 256), 1, 16).alias("evidence_id"))
 
 
-@query("N01_struct_udf", "SELECT p_partkey, p_size % 4 AS te, 2 AS wr FROM part WHERE p_partkey % 5 = 1")
+@query("N01_struct_udf", "SELECT p_partkey, p_size % 4 AS te, 2 AS wr FROM part")
 def _(t):
     from ..operators.keys import personnel
 
     text = F.concat((C("p_size") % 3).cast("string"), F.lit(" RB, "), (C("p_size") % 4).cast("string"), F.lit(" TE, 2 WR"))
-    return t.raw("part").where("p_partkey % 5 = 1").select("p_partkey", text.alias("s")).select("p_partkey", personnel("s").alias("x")).select("p_partkey", "x.te", "x.wr")
+    return t.raw("part").select("p_partkey", text.alias("s")).select("p_partkey", personnel("s").alias("x")).select("p_partkey", "x.te", "x.wr")
