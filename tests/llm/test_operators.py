@@ -348,11 +348,39 @@ def test_op6_factors_learn_a_pair_that_weights_miss():
         a, b = r.integers(0, 2, 2)
         sets.append(np.array(sorted([10] * a + [20] * b + [30 + int(r.integers(0, 20))])))
         y.append(float(a and b) if r.random() < 0.98 else float(not (a and b)))
-    m = toxicity.fit(sets, np.array(y), epochs=60, min_z=0)
+    m = toxicity.fit(sets, np.array(y), epochs=60)
     z = {k: m.logit(np.searchsorted(m.slots, np.array(v))) for k, v in {"a": [10], "b": [20], "ab": [10, 20]}.items()}
     assert z["ab"] > 0 > max(z["a"], z["b"])
 
 
+@pytest.mark.parametrize("rule", ["xor", "and"])
+def test_op6_default_screen_keeps_pairs_without_effects_of_their_own(rule):
+    r = np.random.default_rng(8)
+    sets, y = [], []
+    for _ in range(3000):
+        a, b = r.integers(0, 2, 2)
+        sets.append(np.array(sorted([10] * a + [20] * b + [30 + int(k) for k in r.choice(60, 5, replace=False)])))
+        y.append(float(a != b) if rule == "xor" else float(a and b))
+    m = toxicity.fit(sets, np.array(y), epochs=60)
+    assert {10, 20} <= set(m.slots.tolist())
+    z = {k: m.logit(np.searchsorted(m.slots, np.array(v))) for k, v in {"a": [10], "b": [20], "ab": [10, 20]}.items()}
+    assert (min(z["a"], z["b"]) > 0 > z["ab"]) if rule == "xor" else z["ab"] > 0 > max(z["a"], z["b"])
+
+
+def test_op6_logit_is_the_pairwise_sum_and_its_gradient_is_what_training_takes():
+    r = np.random.default_rng(1)
+    m = toxicity.Machine(0.3, np.arange(7), r.normal(size=7), r.normal(size=(7, 4)))
+    ids = np.array([0, 2, 3, 6])
+    want = m.bias + m.weight[ids].sum() + sum(m.factor[i] @ m.factor[j] for a, i in enumerate(ids) for j in ids[a + 1:])
+    assert abs(m.logit(ids) - want) < 1e-9
+    i, e = 2, 1e-6
+    grad = m.factor[ids].sum(0) - m.factor[i]  # of the logit by v_i
+    for f in range(4):
+        up = m.factor.copy()
+        up[i, f] += e
+        assert abs((toxicity.Machine(m.bias, m.slots, m.weight, up).logit(ids) - m.logit(ids)) / e - grad[f]) < 1e-4
+
+
 def test_op6_no_labels(spark):
     _, _, docs, lab = toxic_docs(spark, 20)
     assert max(r["score"] for r in toxicity.predict(docs, lab.where("false")).collect()) < 1e-9
