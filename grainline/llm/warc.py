@@ -47,13 +47,13 @@ def resolve(pages: DataFrame, min_payload: int = 0) -> DataFrame:
     """page_id, url, payload, digest, payload_bytes, first_id, first_url of each page, and revisit. Rows that repeat the smallest
     page_id of a payload are not told apart here: they follow each other in one partition, and `write` makes all but the first revisits."""
     html = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", "url", html.alias("payload"), F.sha1(html).alias("sha1"), F.octet_length(html).cast("long").alias("payload_bytes"))
-    digest, key = ["sha1", "payload_bytes"], ["sha1", "payload_bytes", "page_id"]
-    headers = rows.select(*key, "url")
+    named_id = F.coalesce(F.concat(F.lit("="), F.col("page_id").cast("string")), F.lit(""))  # a key without nulls: payloads are shuffled once
+    rows = pages.select("page_id", "url", html.alias("payload"), F.sha1(html).alias("sha1"), F.octet_length(html).cast("long").alias("payload_bytes"), named_id.alias("_id"))
+    digest, key = ["sha1", "payload_bytes"], ["sha1", "payload_bytes", "_id"]
+    headers = rows.select(*key, "page_id", "url")
     firsts = cut(headers.groupBy(*digest).agg(F.min("page_id").alias("first_id"), F.min_by("url", F.struct("page_id", "url")).alias("first_url")), "firsts")
-    named = headers.select(*key).distinct().join(firsts, digest).select(*(F.col(c).alias(f"_{c}") for c in key), "first_id", "first_url")
-    same = (F.col("sha1") == F.col("_sha1")) & (F.col("payload_bytes") == F.col("_payload_bytes")) & F.col("page_id").eqNullSafe(F.col("_page_id"))
-    joined = rows.repartition(*key).join(named, same).sortWithinPartitions(*key, "url")
+    named = headers.select(*key).distinct().join(firsts, digest)
+    joined = rows.repartition(*key).join(named, key).sortWithinPartitions(*key, "url")
     revisit = ~F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("payload_bytes") >= min_payload)
     repeats = F.col("payload_bytes") >= min_payload
     return joined.select("page_id", "url", F.when(revisit, "").otherwise(F.col("payload")).alias("payload"), base32("sha1").alias("digest"), "payload_bytes", F.when(repeats, F.col("first_id")).alias("first_id"), F.when(repeats, F.col("first_url")).alias("first_url"), revisit.alias("revisit"))
