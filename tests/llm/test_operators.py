@@ -183,30 +183,85 @@ def test_op2_base_scores_and_normalised_distributions(docs):
 
 
 def test_op2_each_context_sums_to_one(spark):
-    data = [(i, "the cat sat on the mat and the dog sat on the log " * 3) for i in range(30)]
-    tree, unigrams = suffix_lm.learn(spark.createDataFrame(data, "doc_id long, text string"), context_share=1e-3, next_share=1e-4, min_divergence=0.0)
-    assert tree.levels and len(tree.levels[0].keys) and len(tree.levels[1].keys)
+    data = [(i, "the cat sat on the mat and the dog sat on the log " * 3, True) for i in range(30)]
+    tree, _, _ = suffix_lm.learn(spark.createDataFrame(data, "doc_id long, text string, learn boolean"), min_divergence=0.0)
+    assert len(tree.levels) == 4 and all(len(x.keys) for x in tree.levels)
     symbols = np.arange(len(tree.words))
     for k, level in enumerate(tree.levels, 1):
-        for past in level.keys[:5]:
-            p = suffix_lm.probability(tree, np.full(len(symbols), past), symbols, k)
+        for place in range(min(5, len(level.keys))):
+            chain = [place]
+            for lower in tree.levels[:k][::-1]:
+                chain.append(int(lower.keys[chain[-1]]) >> suffix_lm.BITS)
+            p = suffix_lm.probability(tree, [np.full(len(symbols), x) for x in chain[:-1][::-1]], symbols)
             assert p.sum() + 0.5 / (tree.n + 0.5 * (tree.v + 1)) == pytest.approx(1, abs=0.02)
             assert p.sum() < 1
 
 
-def test_op2_brute_force_tree(spark):
-    data = [(i, "a b a c a b a d b c a b " * 4) for i in range(20)]
-    df = spark.createDataFrame(data, "doc_id long, text string")
-    got = {r["doc_id"]: r["score"] for r in suffix_lm.score_held_out(df, depth=1, context_share=1e-3, next_share=1e-4, min_divergence=0.0).collect()}
-    train = [[*t.split(), "END"] for i, t in data if zlib.crc32(str(i).encode()) % 5 != 1]
+def brute_tree(train, depth, least, least_next, min_divergence, d=0.5):
+    """Retained contexts and P(x | past) by plain counting."""
     c = collections.Counter(w for ws in train for w in ws)
-    pair = collections.Counter(p for ws in train for p in zip(ws, ws[1:]))
     n, v = sum(c.values()), len(c)
-    root = {w: (c[w] + 0.5) / (n + 0.5 * (v + 1)) for w in c}
-    back = {s: 1 - sum(m - 0.5 for (a, _), m in pair.items() if a == s and m >= 2) / c[s] for s in c}
-    ws = [*data[0][1].split(), "END"]
-    want = math.log10(root[ws[0]]) + sum(math.log10((max(pair[p] - 0.5, 0) if pair[p] >= 2 else 0) / c[p[0]] + back[p[0]] * root[p[1]]) for p in zip(ws, ws[1:]))
-    assert got[0] == pytest.approx(want, abs=1e-9)
+    root = lambda x: (c[x] + 0.5) / (n + 0.5 * (v + 1))
+    grams = [collections.Counter(tuple(ws[i:i + k]) for ws in train for i in range(len(ws) - k + 1)) for k in range(depth + 2)]
+    kept = {}
+
+    def p(past, x):
+        own = root(x)
+        for k in range(1, depth + 1):
+            ctx = tuple(past[-k:]) if len(past) >= k else None
+            if ctx in kept:
+                total, back, counted = kept[ctx]
+                own = max(counted.get(x, 0) - d, 0) / total + back * own
+        return own
+
+    for k in range(1, depth + 1):
+        new = {}
+        for ctx, total in grams[k].items():
+            if total < least or "END" in ctx:
+                continue
+            counted = {g[-1]: m for g, m in grams[k + 1].items() if g[:-1] == ctx and m >= least_next and c[g[-1]] >= least_next}
+            gain = sum(m / total * math.log(m / total / p(ctx[1:], x)) for x, m in counted.items())
+            left, lower = 1 - sum(m / total for m in counted.values()), 1 - sum(p(ctx[1:], x) for x in counted)
+            if left > 1e-12:
+                gain += left * math.log(left / max(lower, 1e-12))
+            if gain >= min_divergence:
+                new[ctx] = (total, 1 - sum(max(m - d, 0) / total for m in counted.values()), counted)
+        kept |= new
+    return kept, p
+
+
+@pytest.mark.parametrize("depth,divergence", [(1, 0.0), (2, 0.05), (4, 0.02)])
+def test_op2_brute_force_tree(spark, depth, divergence):
+    r = random.Random(depth)
+    data = []
+    for i in range(40):
+        ws = ["a"]
+        while len(ws) < 60:
+            ws.append(r.choice({"a": "bbc", "b": "aacd", "c": "abd", "d": "ab"}[ws[-1]]) if r.random() < 0.8 else r.choice("abcde") if ws[-1] != "e" else "a")
+            ws[-1] = ws[-1] if ws[-1] in "abcd" else "a"
+        data.append((i, " ".join(ws)))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r_["doc_id"]: r_["score"] for r_ in suffix_lm.score_held_out(df, depth=depth, context_share=5e-3, next_share=1e-3, context_rate=1e-9, next_rate=1e-9, min_divergence=divergence).collect()}
+    train = [[*t.split(), "END"] for i, t in data if zlib.crc32(str(i).encode()) % 5 != 1]
+    n = sum(map(len, train))
+    least, least_next = max(2, math.ceil(5e-3 * n)), max(2, math.ceil(1e-3 * n))
+    kept, p = brute_tree(train, depth, least, least_next, divergence)
+    assert len({len(k) for k in kept}) >= min(depth, 2)
+    for i, t in data[:8]:
+        ws = [*t.split(), "END"]
+        assert got[i] == pytest.approx(sum(math.log10(p(ws[:j], x)) for j, x in enumerate(ws)), abs=1e-9)
+
+
+def test_op2_the_tree_has_more_room_in_a_larger_corpus(spark):
+    r = random.Random(3)
+    vocab = [f"w{i}" for i in range(300)]
+    text = lambda: " ".join(r.choice(vocab[:int(300 * r.random() ** 2) + 1]) for _ in range(200))
+    data = [(i, text(), True) for i in range(400)]
+    sizes = []
+    for n in (40, 400):
+        tree, _, _ = suffix_lm.learn(spark.createDataFrame(data[:n], "doc_id long, text string, learn boolean"), context_share=1.0, next_share=1.0, context_rate=5.0, next_rate=50.0, min_divergence=0.0)
+        sizes.append((len(tree.levels[0].keys), len(tree.levels[0].next_keys)))
+    assert sizes[1][0] > 1.3 * sizes[0][0] and sizes[1][1] > 1.3 * sizes[0][1]
 
 
 def test_op3_packing_against_the_tokenizer(docs):
