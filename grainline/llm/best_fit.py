@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import cut
-from .tokens import Chunk, chunks, text_array
+from .tokens import Chunk, chunks, equal_spans, text_array
 
-#: Words remembered by one Python worker (about 150 bytes each); beyond it the memory starts anew.
-CACHE_WORDS = 500_000
+#: Words remembered by one Python worker (about 70 bytes each); beyond it the memory starts anew.
+CACHE_WORDS = 1_500_000
 
 
 class WordTokenizer:
@@ -42,9 +42,10 @@ class WordTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}  # a word's place in the lists below
-        self.at = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
+        self.keys = np.zeros(0, np.uint64)  # sorted hashes of the words known
+        self.raw = np.zeros(8, np.uint8)  # their bytes, and 8 more
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of a word in raw
+        self.at, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of its ids
         self.ids = np.zeros(0, np.uint32)
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -54,36 +55,63 @@ class WordTokenizer:
         of = np.searchsorted(ends, [s for s, _ in out.offsets], "right")
         return np.array(out.ids, np.uint32), np.bincount(of, minlength=len(words))
 
-    def learn(self, words: list[bytes]) -> None:
-        """Encode words that are not known yet."""
-        ids, counts = [], []
+    def ids_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and the number of ids of each word."""
+        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for i in range(0, len(words), 2000):
             a, b = self.encode_words([w.decode() for w in words[i:i + 2000]])
             ids.append(a)
             counts.append(b)
-        count = np.concatenate(counts)
-        self.known.update(zip(words, range(len(self.count), len(self.count) + len(words))))
-        self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(count) - count])
-        self.count = np.concatenate([self.count, count])
-        self.ids = np.concatenate([self.ids, *ids])
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def find(self, hashes: np.ndarray, raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, known) of each word: known where a word of its hash is there and has the same bytes."""
+        place = np.minimum(np.searchsorted(self.keys, hashes), max(0, len(self.keys) - 1))
+        if not len(self.keys):
+            return place, np.zeros(len(hashes), bool)
+        known = (self.keys[place] == hashes) & (self.size[place] == size)
+        hit = np.flatnonzero(known)
+        known[hit] = equal_spans(raw, start[hit], self.raw, self.start[place[hit]], size[hit])
+        return place, known
+
+    def learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        """Remember words that are not known; of words of one hash the first is."""
+        ids, count = self.ids_of(words)
+        size = np.array([len(w) for w in words], np.int64)
+        start = len(self.raw) - 8 + np.cumsum(size) - size
+        self.raw = np.concatenate([self.raw[:-8], np.frombuffer(b"".join(words), np.uint8), np.zeros(8, np.uint8)])
+        at = len(self.ids) + np.cumsum(count) - count
+        self.ids = np.concatenate([self.ids, ids])
+        keys = np.concatenate([self.keys, hashes])
+        order = np.argsort(keys, kind="stable")
+        order = order[np.r_[True, keys[order][1:] != keys[order][:-1]]]
+        both = lambda a, b: np.concatenate([a, b])[order]
+        self.keys, self.start, self.size, self.at, self.count = keys[order], both(self.start, start), both(self.size, size), both(self.at, at), both(self.count, count)
 
     def encode(self, chunk: Chunk) -> list[np.ndarray]:
         """Ids of each document of the chunk."""
         first, kind = chunk.distinct()
-        raw = chunk.raw.tobytes()
-        words = [raw[s:e] for s, e in zip(chunk.starts[first].tolist(), chunk.ends[first].tolist())]
-        new = [w for w in words if w not in self.known]
-        if new and len(self.known) + len(new) > CACHE_WORDS:
-            self.clear()
-            new = words
-        if new:
-            self.learn(new)
-        k = np.array([self.known[w] for w in words], np.int64)[kind]
-        count = self.count[k]
+        hashes, raw = chunk.hashes()[first], chunk.bytes(False)
+        start, size = chunk.starts[first], chunk.ends[first] - chunk.starts[first]
+        place, known = self.find(hashes, raw, start, size)
+        if not known.all():
+            if len(self.keys) + int((~known).sum()) > CACHE_WORDS:
+                self.clear()
+                known[:] = False
+            new = np.flatnonzero(~known)
+            self.learn(hashes[new], [raw[a:a + n].tobytes() for a, n in zip(start[new].tolist(), size[new].tolist())])
+            place, known = self.find(hashes, raw, start, size)
+        at, count, ids = self.at[place], self.count[place], self.ids
+        if not known.all():  # words that share a hash with another: their ids are not remembered
+            rest = np.flatnonzero(~known)
+            own, n = self.ids_of([raw[start[i]:start[i] + size[i]].tobytes() for i in rest])
+            at[rest], count[rest] = len(ids) + np.cumsum(n) - n, n
+            ids = np.concatenate([ids, own])
+        count, at = count[kind], at[kind]
         total = np.concatenate([[0], np.cumsum(count)])
-        ids = self.ids[np.repeat(self.at[k] - total[:-1], count) + np.arange(total[-1])]
+        out = ids[np.repeat(at - total[:-1], count) + np.arange(total[-1])]
         b = total[chunk.word_bounds]
-        return [ids[b[i]:b[i + 1]] for i in range(len(chunk))]
+        return [out[b[i]:b[i + 1]] for i in range(len(chunk))]
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}

@@ -37,12 +37,31 @@ def text_array(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return column.cast(pa.large_string()).fill_null("")
 
 
+def lane(raw: np.ndarray, starts: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
+    """Bytes 8k .. 8k + 7 of each span of raw as one integer, zeros beyond its end. raw has 8 bytes more than the last span."""
+    view = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+    spare = np.clip(8 * (k + 1) - size, 0, 7).astype(U64) * U64(8)
+    return view[starts + 8 * k] << spare >> spare
+
+
+def equal_spans(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether spans of one size are the same bytes in a and in b (each with 8 bytes more)."""
+    same = np.ones(len(size), bool)
+    for k in range(min(_LANES, (int(size.max(initial=0)) + 7) >> 3)):
+        more = np.flatnonzero(size > 8 * k)
+        same[more] &= lane(a, a_start[more], size[more], k) == lane(b, b_start[more], size[more], k)
+    for i in np.flatnonzero(size > 8 * _LANES).tolist():
+        same[i] &= bytes(a[a_start[i]:a_start[i] + size[i]]) == bytes(b[b_start[i]:b_start[i] + size[i]])
+    return same
+
+
 class Chunk:
     """Some consecutive documents of a batch: bytes, word bounds, and each document's first word."""
 
     def __init__(self, raw: np.ndarray, bounds: np.ndarray, first: int):
         self.first, self.raw, self.bounds = first, raw, bounds
         self._raw: dict[bool, np.ndarray] = {}
+        self._hashes: dict[bool, np.ndarray] = {}
         space = np.ones(len(raw) + 2, bool)
         space[1:-1] = SPACES[raw]
         edge = space[1:] != space[:-1]
@@ -60,7 +79,7 @@ class Chunk:
     def __len__(self) -> int:
         return len(self.bounds) - 1
 
-    def _lowered(self, lower: bool) -> np.ndarray:
+    def bytes(self, lower: bool) -> np.ndarray:
         """The bytes, lower-cased if asked for, and 8 more."""
         if self._raw.get(lower) is None:
             raw = np.zeros(len(self.raw) + 8, np.uint8)
@@ -68,44 +87,34 @@ class Chunk:
             self._raw[lower] = raw
         return self._raw[lower]
 
-    def _lane(self, raw: np.ndarray, starts: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
-        """Bytes 8k .. 8k + 7 of each span as one integer, zeros beyond its end."""
-        view = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
-        spare = np.clip(8 * (k + 1) - size, 0, 7).astype(U64) * U64(8)
-        return view[starts + 8 * k] << spare >> spare
-
     def hashes(self, lower: bool = False, starts: np.ndarray | None = None, ends: np.ndarray | None = None) -> np.ndarray:
         """Hashes of the words, or of the byte spans starts to ends (none is empty)."""
         if starts is None or ends is None:
-            starts, ends = self.starts, self.ends
-        raw, size = self._lowered(lower), ends - starts
+            if lower not in self._hashes:
+                self._hashes[lower] = self.hashes(lower, self.starts, self.ends)
+            return self._hashes[lower]
+        raw, size = self.bytes(lower), ends - starts
         lanes = (size + 7) >> 3
         h = size.astype(U64) * U64(_STEP) + U64(_SEED)
         if len(h):
-            h = mix(h ^ self._lane(raw, starts, size, 0))
+            h = mix(h ^ lane(raw, starts, size, 0))
         for k in range(1, min(_LANES, int(lanes.max(initial=0)))):
             more = np.flatnonzero(lanes > k)
-            h[more] = mix(h[more] ^ self._lane(raw, starts[more], size[more], k))
+            h[more] = mix(h[more] ^ lane(raw, starts[more], size[more], k))
         for i in np.flatnonzero(lanes > _LANES).tolist():
             h[i] = int.from_bytes(hashlib.blake2b(raw[starts[i]:ends[i]], digest_size=8).digest(), "little")
         return h
 
     def distinct(self, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """(place of one word of each kind, kind of every word). Words of one hash are compared byte by byte, so that a kind is one word."""
-        raw, size = self._lowered(lower), self.ends - self.starts
+        raw, size = self.bytes(lower), self.ends - self.starts
         _, first, kind = np.unique(self.hashes(lower), return_index=True, return_inverse=True)
         one = first[kind]
-        same = size == size[one]
-        for k in range(int(((size + 7) >> 3).max(initial=0)) if same.all() else 0):
-            more = np.flatnonzero((size > 8 * k) & (one != np.arange(len(one)))) if k < _LANES else np.zeros(0, np.int64)
-            if not len(more):
-                break
-            same[more] &= self._lane(raw, self.starts[more], size[more], k) == self._lane(raw, self.starts[one[more]], size[more], k)
-        text = lambda i: raw[self.starts[i]:self.ends[i]].tobytes()
-        for i in np.flatnonzero(size > 8 * _LANES).tolist():
-            same[i] &= text(i) == text(one[i])
-        if same.all():
+        more = np.flatnonzero(one != np.arange(len(one)))
+        alike = size[more] == size[one[more]]
+        if alike.all() and equal_spans(raw, self.starts[more], raw, self.starts[one[more]], size[more]).all():
             return first, kind
+        text = lambda i: raw[self.starts[i]:self.ends[i]].tobytes()
         known: dict[bytes, int] = {}
         kind = np.array([known.setdefault(text(i), len(known)) for i in range(len(size))], np.int64)
         return np.unique(kind, return_index=True)[1], kind
