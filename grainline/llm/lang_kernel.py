@@ -6,8 +6,8 @@ give the Nystrom map K(x, Z) K(Z, Z)^(-1/2), on which one-versus-rest kernel rid
 Texts are scored where they are read, a block of presence rows times the landmark matrix at a time; the model's
 size is fixed by its parameters.
 
-The sample is bounded: about sample_rows rows in all, spread evenly over the languages, by the least hash of doc_id and
-text, and never more than twice as many. Defined results: a null text or one without a letter is 'und' with score 0; with no row to learn from
+The sample is bounded: about sample_rows rows in all, spread evenly over the languages, by the hash of doc_id and
+text, with the least one of each language, and never more than twice as many. Defined results: a null text or one without a letter is 'und' with score 0; with no row to learn from
 all are 'und'; repeated rows are predicted each; other columns are ignored; empty input gives no rows.
 """
 
@@ -92,12 +92,12 @@ def fit(rows: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: f
 
 def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Kernel | None:
     known = docs.select("doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL").where(remainder(F.col("doc_id"), 3) != 1)
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    order = F.xxhash64("doc_id", "text")
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("least"))
     langs = max(1, counts.count())
     if langs > MOST_LANGS:
         raise ValueError(f"{langs} languages; the shares of at most {MOST_LANGS} are broadcast")
-    share = counts.select("lang", F.least(F.lit(1.0), F.lit(sample_rows / langs) / F.col("n")).alias("share"))
-    order = F.xxhash64("doc_id", "text")
+    share = counts.select("lang", "least", F.least(F.lit(1.0), F.lit(sample_rows / langs) / F.col("n")).alias("share"))
     dice = F.pmod(order, F.lit(1 << 30)) / (1 << 30)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +105,7 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, landmarks: int = LAND
             bits = [np.packbits(grams_present(t)).tobytes() if has_letter(t) else None for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(bits, pa.binary())], ["lang", "place", "bits"])
 
-    drawn = known.join(F.broadcast(share), "lang").where(dice < F.col("share")).select("text", "lang", order.alias("place"))
+    drawn = known.join(F.broadcast(share), "lang").where((dice < F.col("share")) | (order == F.col("least"))).select("text", "lang", order.alias("place"))
     # about sample_rows rows; more only where rows repeat, and then those of the least hash
     rows = drawn.mapInArrow(run, "lang string, place long, bits binary").where("bits IS NOT NULL").orderBy("place", "lang", "bits").limit(2 * sample_rows).toArrow()
     pairs = sorted(zip(rows["lang"].to_pylist(), rows["bits"].to_pylist()))

@@ -334,6 +334,56 @@ def test_op4_kernel_equals_the_direct_formula():
     assert [k.langs[i] for i in k.scores(x).argmax(1)] == ["en", "de", "fr"]
 
 
+def test_op4_scores_against_the_kernel_written_out():
+    """Gram sets by hand, K(x, z) = |x and z| / sqrt(|x| |z|), the Nystrom map K(x, Z) K(Z, Z)^(-1/2), and weighted ridge on it."""
+    r = random.Random(2)
+    words = {"en": ["the", "and", "with", "house"], "de": ["und", "schön", "das", "häuser"], "fr": ["les", "été", "avec", "maison"]}
+    texts, langs = [], []
+    for i in range(45):
+        lang = ["en", "de", "fr", "en"][i % 4]
+        texts.append(" ".join(r.choice(words[lang]) for _ in range(r.randint(2, 12))) + "!" * (i % 3))
+        langs.append(lang)
+
+    def slots(text):
+        raw = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in text.encode())
+        raw = bytes(b for i, b in enumerate(raw) if not (b == 32 and raw[i - 1] == 32))
+        out = set()
+        for n in (1, 2, 3):
+            for i in range(len(raw) - n + 1):
+                code = 0
+                for k in range(n):
+                    code = (code * 257 + raw[i + k] + 1) % 2**32
+                out.add(code * 2654435761 % 2**32 >> 32 - lang_kernel.SLOT_BITS)
+        return out
+
+    sets = [slots(t) for t in texts]
+    rows = np.stack([lang_kernel.grams_present(t) for t in texts])
+    assert all(set(np.flatnonzero(x).tolist()) == y for x, y in zip(rows, sets))
+    kernel = lambda a, b: len(a & b) / math.sqrt(max(1, len(a)) * max(1, len(b)))
+    model = lang_kernel.fit(rows, langs, landmarks=12, ridge=1e-2)
+    turn, seen = [], collections.Counter()
+    for x in langs:
+        turn.append(seen[x])
+        seen[x] += 1
+    names = sorted(set(langs))
+    chosen = sorted(range(len(langs)), key=lambda i: (turn[i], names.index(langs[i])))[:12]
+    zz = np.array([[kernel(sets[a], sets[b]) for b in chosen] for a in chosen])
+    value, vector = np.linalg.eigh(zz)
+    keep = value > 1e-6 * value[-1]
+    phi = np.array([[kernel(s, sets[b]) for b in chosen] for s in sets]) @ (vector[:, keep] / np.sqrt(value[keep]))
+    weight = np.array([len(langs) / langs.count(x) for x in langs])
+    y = np.array([[1.0 if x == n else -1.0 for n in names] for x in langs])
+    gram = sum(w * np.outer(f, f) for w, f in zip(weight, phi)) + 1e-2 * weight.sum() * np.eye(phi.shape[1]) / phi.shape[1]
+    want = phi @ np.linalg.solve(gram, sum(w * np.outer(f, t) for w, f, t in zip(weight, phi, y)))
+    assert model.langs == names and np.abs(model.scores(rows.astype(np.float32)) - want).max() < 1e-3
+
+
+def test_op4_sample_is_bounded_and_repeatable_where_rows_repeat(spark):
+    df = spark.createDataFrame([(1, "the house and the garden", "en"), (2, "das haus und der garten", "de")] * 200, "doc_id long, text string, lang string")
+    a, b = (lang_kernel.learn(df.repartition(n), sample_rows=20) for n in (2, 5))
+    assert a.langs == b.langs and np.array_equal(a.landmarks, b.landmarks) and np.allclose(a.weights, b.weights)
+
+
 def test_op5_round_trip(spark, tmp_path):
     html = ["<p>x</p>", "<p>x</p>", None, "", "WARC/1.1\r\n\r\nContent-Length: 3\r\n", "é" * 70_000, "<p>x</p>"]
     data = [(10 - i, f"http://e.org/{i}\r\n", h, "clash", 1) for i, h in enumerate(html)] + [(None, None, "<p>x</p>", "", 1)]
@@ -710,6 +760,39 @@ def test_op10_fingerprints(docs):
     assert all(len(x) == 1 for x in same.values())
 
 
+def test_op10_fingerprints_and_likeness_by_hand(spark):
+    texts = ["a b b c", "a b c c d d d", "", None, "x y z x", "a b b c"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    held = cws.Cache(cws.SAMPLES, 4)
+
+    def by_hand(text):
+        ws = collections.Counter(WORD.findall(lower(text)))
+        if not ws:
+            return ""
+        c = next(tokens.chunks(tokens.text_array(pa.array([" ".join(ws)]))))
+        term = dict(zip(ws, c.hashes()))
+        low = [(math.inf, None, None)] * cws.SAMPLES
+        for w, n in ws.items():
+            r, lc, b, _ = (x[0] for x in held.draws(np.array([term[w]])))
+            for k in range(cws.SAMPLES):
+                t = np.floor(np.float32(np.log(n)) / r[k] + b[k]) if n > 1 else np.float32(0)
+                a = lc[k] - r[k] * (t - b[k] + 1) if n > 1 else lc[k] - r[k] * (1 - b[k])
+                if a < low[k][0]:
+                    low[k] = (a, term[w], int(t))
+        sig = np.array([tokens.mix(np.array([h ^ tokens.mix(np.array([t], np.uint64))[0]]))[0] for _, h, t in low])
+        return (tokens.mix(sig) >> np.uint64(48)).astype(">u2").tobytes().hex()
+
+    def alike(x, y):
+        parts = lambda s: [s[i:i + 4] for i in range(0, len(s), 4)]
+        return 0.0 if len(x) != len(y) else 1.0 if not x else sum(a == b for a, b in zip(parts(x), parts(y))) / cws.SAMPLES
+
+    for r in cws.fingerprint_edits(df).collect():
+        own, nxt = texts[r["doc_id"]] or "", texts[(r["doc_id"] + 1) % len(texts)] or ""
+        new = own[:len(own) - len(own) // 4] + nxt[:len(own) // 4]
+        assert r["fingerprint"] == by_hand(own) and r["edited_fingerprint"] == by_hand(new)
+        assert (r["near_edited"], r["near_next"]) == (alike(by_hand(own), by_hand(new)), alike(by_hand(own), by_hand(nxt)))
+
+
 @pytest.mark.parametrize("partitions", [1, 7])
 def test_op10_next_document_across_ranges(spark, partitions):
     data = [(i if i else None, f"word{i} more{i} text{i} tail{i}") for i in range(40)]
