@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from grainline.functions import rates
-from grainline.operators import aggs, joins, keys, models, quality, reshape, stats, windows
+from grainline.operators import aggs, closed, joins, keys, models, quality, reshape, stats, windows
 from grainline.sources import tables as src
 
 from .conftest import SF_SMALL, rows
@@ -143,6 +143,94 @@ def test_expanding_folds_do_not_see_the_target_or_later(spark):
     assert before == after and before
 
 
+def test_key_audit_shows_long_keys_whole(spark):
+    df = frame(spark, [(1234567890123456, "a"), (1234567890123456, "a"), (99, "b"), (99, "b")], "k long, x string")
+    assert keys.key_audit(df, ["k", "x"]).first()["sample_keys"] == "99-b,1234567890123456-a"
+
+
+@pytest.mark.parametrize("which", [[], [1], [2, 3], [1, 2, 3]])
+def test_closed_ridge_against_numpy(spark, which):
+    r = np.random.default_rng(4)
+    x, w = r.normal(size=(200, 3)), r.uniform(0.5, 3, 200)
+    y = 3 + x @ [1.0, -2.0, 0.5] + r.normal(size=200)
+    df = spark.createDataFrame([(*map(float, a), float(b), float(c)) for a, b, c in zip(x, y, w)], "a double, b double, c double, y double, w double")
+    got = closed.fit(closed.sums(df, ["a", "b", "c"], []), [], 3, which, "5e0").first()
+    z = x[:, [k - 1 for k in which]]
+    mean, my = w @ z / w.sum(), w @ y / w.sum()
+    sd = np.sqrt(w @ (z - mean) ** 2 / w.sum())
+    s = (z - mean) / sd
+    coef = np.linalg.solve((s * w[:, None]).T @ s + 5 * np.eye(len(which)), (s * w[:, None]).T @ (y - my)) / sd if which else np.zeros(0)
+    want = {"b0": my - coef @ mean if which else my} | {f"b{k}": c for k, c in zip(which, coef)}
+    assert all(abs(got[k] - v) < 1e-9 for k, v in want.items()) and got["n"] == 200
+
+
+def test_effective_df_in_closed_form_equals_the_eigenvalues(spark):
+    from grainline.plans.folds import DF3
+
+    r = np.random.default_rng(5)
+    x = r.normal(size=(100, 3))
+    df = spark.createDataFrame([(*map(float, a), 0.0, 1.0) for a in x], "a double, b double, c double, y double, w double")
+    g = closed.sums(df, ["a", "b", "c"], []).withColumn("alpha", F.lit(20.0))
+    got = closed.chain(g, [*closed.moment_stages(3), *DF3]).first()["df"]
+    assert got == pytest.approx(models.effective_df(df, ["a", "b", "c"], "w", 20.0), abs=1e-9)
+
+
+def test_logistic_against_gradient_zero(spark):
+    r = np.random.default_rng(6)
+    data = [(int(a), int(b), 50, int(r.binomial(50, 1 / (1 + np.exp(-(0.3 * a - 0.5 * b + 0.2)))))) for a in range(5) for b in range(4)]
+    b = models.logistic(frame(spark, data, "d int, x int, n int, h int"), ["d", "x"], "h", "n")
+    x = np.array([(1, d, v) for d, v, *_ in data], float)
+    q = 1 / (1 + np.exp(-x @ b))
+    assert np.abs(x.T @ (np.array([h for *_, h in data]) - 50 * q)).max() < 1e-6
+
+
+def test_fixed_effects_against_numpy(spark):
+    r = np.random.default_rng(7)
+    data = [(int(r.integers(0, 4)), float(r.normal()), float(r.normal()), 1.0) for _ in range(80)]
+    df = frame(spark, data, "k int, x double, y double, w double")
+    wide = df.select("x", "y", "w", *((F.col("k") == i).cast("double").alias(f"k{i}") for i in range(4)))
+    m = models.ridge(wide, ["x", "k0", "k1", "k2", "k3"], "y", "w", 25.0)
+    z = np.array([[x, *(float(k == i) for i in range(4))] for k, x, *_ in data])
+    s = (z - z.mean(0)) / z.std(0)
+    y = np.array([y for _, _, y, _ in data])
+    want = y.mean() + s @ np.linalg.solve(s.T @ s + 25 * np.eye(5), s.T @ (y - y.mean()))
+    got = [r_[0] for r_ in wide.select(m.column()).collect()]
+    assert np.allclose(sorted(got), sorted(want))
+
+
+def test_global_ranks_and_row_index_need_no_single_task(spark):
+    r = np.random.default_rng(8)
+    data = [(int(i), int(v), float(u)) for i, (v, u) in enumerate(zip(r.integers(0, 40, 500), r.normal(size=500).round(1)))]
+    df = frame(spark, data, "i int, v int, u double").repartition(5)
+    got = {x["i"]: (x["v_rank"], x["u_rank"]) for x in stats.global_ranks(df, ["v", "u"], buckets=7).collect()}
+    want = [[(sum(b < a for b in c) + 1 + sum(b <= a for b in c)) / 2 for a in c] for c in ([v for _, v, _ in data], [u for *_, u in data])]
+    assert all(got[i] == pytest.approx((want[0][i], want[1][i])) for i in range(500))
+    k = {x["i"]: x["k"] for x in windows.row_index(df, "v", "u", ["i"], buckets=5).collect()}
+    order = sorted(data, key=lambda x: (-x[1], x[2], x[0]))
+    assert all(k[x[0]] == n for n, x in enumerate(order, 1))
+
+
+def test_permutations_in_blocks_keep_seasons_and_values(spark):
+    df = frame(spark, [(s, i, float(i), float(s * 1000 + i)) for s in (1, 2) for i in range(50)], "season int, id int, x double, y double")
+    got = stats.permutation_draws(df, "season", "id", "x", "y", 3, "t", block_rows=10).collect()
+    assert len(got) == 300 and all(sorted(r_["y"] for r_ in got if r_["draw"] == d) == sorted(float(s * 1000 + i) for s in (1, 2) for i in range(50)) for d in range(3))
+
+
+def test_poisson_weights_have_their_distribution(spark):
+    w = [r_[0] for r_ in spark.range(20_000).select(F.expr(closed.poisson_weight("(id * 214748) % 4294967296"))).collect()]
+    assert abs(np.mean(w) - 1) < 0.03 and abs(np.var(w) - 1) < 0.06
+
+
+def test_shared_folder_is_required_outside_local_mode(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from grainline.sources.shared import shared_dir
+
+    conf = SimpleNamespace(get=lambda key, default=None: default, set=lambda key, value: None)
+    with pytest.raises(ValueError):
+        shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://h:7077")))
+
+
 def test_csv_contract_and_versioned_sink(spark, tmp_path):
     (tmp_path / "x.csv").write_text("a,b,c\n1,true,x\nbad,TRUE,\n")
     df = src.scan_csv_typed(spark, str(tmp_path / "x.csv"), {"a": "int", "b": "boolean", "c": "string"})
