@@ -88,18 +88,35 @@ def _(t):
     return src.lineage_stamp(t.raw("nation"), data_version="v1", metric_version="m2")
 
 
-@query("A10_content_version")
+def _print_sql(table: str, columns: dict[str, str]) -> str:
+    """The fingerprint of a table as SQL. columns: name -> kind (number, time or other)."""
+    form = {"number": "CAST({} AS DECIMAL(38,6))::VARCHAR", "time": "strftime({}, '%Y-%m-%d %H:%M:%S.%f')", "other": "{}::VARCHAR"}
+    text = " || '|' || ".join(f"coalesce({form[kind].format(c)}, '~')" for c, kind in sorted(columns.items()))
+    return f"SELECT count(*) AS row_count, sha256('{','.join(sorted(columns))}|' || count(*) || '|' || coalesce(sum(('0x' || substr(md5({text}), 1, 15))::BIGINT)::HUGEINT, 0)) AS fingerprint FROM {table}"
+
+
+_NATION = dict.fromkeys(["n_nationkey", "n_name", "n_regionkey"], "other")
+_ORDERS = dict.fromkeys(["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"], "other") | {"o_totalprice": "number", "o_orderdate": "time"}
+_LINEITEM = dict.fromkeys(["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"], "other") | dict.fromkeys(["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "number") | {"l_shipdate": "time"}
+
+
+@query("A10_content_version", f"""WITH p AS (SELECT 'nation' AS source, fingerprint FROM ({_print_sql('nation', _NATION)}) UNION ALL SELECT 'orders', fingerprint FROM ({_print_sql('orders', _ORDERS)}))
+SELECT substr(sha256(string_agg(source || '=' || fingerprint, ';' ORDER BY source || '=' || fingerprint) || '|{{"qualifying": 200}}'), 1, 16) AS version FROM p""")
 def _(t):
     prints = src.frame_fingerprint(t.raw("nation")).select(F.lit("nation").alias("source"), "fingerprint").unionByName(src.frame_fingerprint(t.raw("orders")).select(F.lit("orders").alias("source"), "fingerprint"))
     return src.content_version(prints, {"qualifying": 200})
 
 
-@query("A11_frame_fingerprint")
+@query("A11_frame_fingerprint", _print_sql("lineitem", _LINEITEM))
 def _(t):
     return src.frame_fingerprint(t.raw("lineitem"))
 
 
-@query("A12_manifest_frame")
+_SCHEMAS = {"nation": '[["n_name", "string"], ["n_nationkey", "int"], ["n_regionkey", "int"]]', "orders": '[["o_custkey", "bigint"], ["o_orderdate", "timestamp_ntz"], ["o_orderkey", "bigint"], ["o_orderpriority", "string"], ["o_orderstatus", "string"], ["o_totalprice", "double"]]'}
+
+
+@query("A12_manifest_frame", f"""SELECT 'v1' AS version, 'orders' AS source, count(*) AS row_count, 6 AS column_count, '{_SCHEMAS['orders']}' AS schema_json, '["o_orderkey"]' AS required_json, '[]' AS missing_json FROM orders
+UNION ALL SELECT 'v1', 'nation', count(*), 3, '{_SCHEMAS['nation']}', '["n_name", "absent"]', '["absent"]' FROM nation""")
 def _(t):
     return src.manifest_frame({"orders": (t.raw("orders"), ["o_orderkey"]), "nation": (t.raw("nation"), ["n_name", "absent"])}, "v1")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,12 +74,22 @@ def lineage_stamp(df: DataFrame, **versions: str) -> DataFrame:
     return df.select(*(F.lit(v).alias(k) for k, v in versions.items()), *df.columns)
 
 
+def canonical_text(c: Column, kind: str) -> Column:
+    """A value as text that other engines write alike: numbers with a fraction to 6 places, times to microseconds, NULL as a mark."""
+    if kind in ("double", "float"):
+        c = c.cast("decimal(38,6)")
+    elif kind.startswith("timestamp"):
+        c = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return F.coalesce(c.cast("string"), F.lit("~"))
+
+
 def frame_fingerprint(df: DataFrame) -> DataFrame:
-    """One row: rows and a digest that depend neither on row nor on column order."""
-    cols = sorted(df.columns)
-    row = F.xxhash64(*(F.col(f"`{c}`") for c in cols))
-    sums = df.select(row.alias("h")).agg(F.count(F.lit(1)).alias("row_count"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s"))
-    return sums.select("row_count", F.sha2(F.concat_ws("|", F.lit(",".join(cols)), "row_count", F.coalesce(F.col("s").cast("string"), F.lit(""))), 256).alias("fingerprint"))
+    """One row: rows and a digest that depend neither on row nor on column order: the sum of 60 bits of each row's md5."""
+    fields = sorted(df.schema.fields, key=lambda f: f.name)
+    text = F.concat_ws("|", *(canonical_text(F.col(f"`{f.name}`"), f.dataType.simpleString()) for f in fields))
+    row = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(38,0)")
+    sums = df.select(row.alias("h")).agg(F.count(F.lit(1)).alias("row_count"), F.coalesce(F.sum("h"), F.lit(0)).cast("string").alias("s"))
+    return sums.select("row_count", F.sha2(F.concat_ws("|", F.lit(",".join(f.name for f in fields)), "row_count", "s"), 256).alias("fingerprint"))
 
 
 def content_version(inputs: DataFrame, parameters: dict) -> DataFrame:
