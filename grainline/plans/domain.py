@@ -214,21 +214,33 @@ def _(t):
 
 
 @query("M01_entity_exact_or_candidates", """
-WITH e AS (SELECT n_nationkey AS id, n_name AS name, lower(n_name) AS k FROM nation), m AS (SELECT n_nationkey AS mention, CASE n_nationkey % 3 WHEN 0 THEN lower(n_name) WHEN 1 THEN substr(n_name, 1, length(n_name) - 1) ELSE 'zzzz' END AS said FROM nation),
-x AS (SELECT mention, said, id, CASE WHEN lower(said) = k THEN 1.0 ELSE 1 - levenshtein(lower(said), k)::DOUBLE / greatest(length(said), length(k)) END AS score FROM m LEFT JOIN e ON lower(substr(said, 1, 1)) = substr(k, 1, 1)),
-b AS (SELECT mention, id, score, row_number() OVER (PARTITION BY mention ORDER BY score DESC, id) AS r FROM x WHERE score >= 0.8)
-SELECT m.mention, b.id, round(b.score, 6) AS score, coalesce(r, 0) AS rank, CASE WHEN b.id IS NULL THEN 'not_found' WHEN b.score = 1 THEN 'exact' ELSE 'candidate' END AS status FROM m LEFT JOIN b ON b.mention = m.mention AND r <= 5""")
-def _(t):
-    n = t.raw("nation")
-    e = n.select(C("n_nationkey").alias("id"), F.lower("n_name").alias("k"))
-    k = C("n_nationkey") % 3
-    m = n.select(C("n_nationkey").alias("mention"), F.lower(F.when(k == 0, C("n_name")).when(k == 1, F.expr("substr(n_name, 1, length(n_name) - 1)")).otherwise("zzzz")).alias("said"))
+WITH e AS (SELECT n_nationkey AS id, lower(n_name) AS k, string_split(lower(n_name), ' ') AS words FROM nation UNION ALL SELECT 100 + r_regionkey, lower(r_name), string_split(lower(r_name), ' ') FROM region),
+m AS (SELECT id AS mention, CASE id % 4 WHEN 0 THEN k WHEN 1 THEN substr(k, 1, length(k) - 1) WHEN 2 THEN words[1] ELSE id::VARCHAR END AS said FROM e UNION ALL SELECT 1000, 'zzzz' UNION ALL SELECT 1001, 'united'),
+x1 AS (SELECT mention, id, 1.0::DOUBLE AS score, 'exact' AS method FROM m JOIN e ON said = k OR said = id::VARCHAR),
+t AS (SELECT mention, said, unnest(string_split(said, ' ')) AS word, len(string_split(said, ' ')) AS n FROM m WHERE mention NOT IN (SELECT mention FROM x1)), w AS (SELECT id, unnest(words) AS word, len(words) AS k FROM e),
+x2 AS (SELECT mention, id, any_value(n)::DOUBLE / any_value(k) AS score, 'partial' AS method FROM t JOIN w USING (word) GROUP BY mention, id HAVING count(DISTINCT word) = any_value(n)),
+x3 AS (SELECT mention, id, 1 - levenshtein(said, k)::DOUBLE / greatest(length(said), length(k)) AS score, 'fuzzy' AS method FROM m JOIN e ON substr(said, 1, 1) = substr(k, 1, 1) WHERE mention NOT IN (SELECT mention FROM x1) AND mention NOT IN (SELECT mention FROM x2)),
+x AS (SELECT * FROM x1 UNION ALL SELECT * FROM x2 UNION ALL SELECT * FROM x3 WHERE score >= 0.8), b AS (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY score DESC, id) AS r, count(*) OVER (PARTITION BY mention) AS found FROM x)
+SELECT m.mention, b.id, round(b.score, 6) AS score, b.method, coalesce(r, 0) AS rank, CASE WHEN b.id IS NULL THEN 'not_found' WHEN b.method = 'exact' AND found = 1 THEN 'exact' ELSE 'ambiguous' END AS status FROM m LEFT JOIN b ON b.mention = m.mention AND r <= 5""")
+def _(t):
+    words = lambda c: F.split(c, " ")
+    e = t.raw("nation").select(C("n_nationkey").alias("id"), F.lower("n_name").alias("k")).unionByName(t.raw("region").select((C("r_regionkey") + 100).alias("id"), F.lower("r_name").alias("k")))
+    kind = C("id") % 4
+    said = F.when(kind == 0, C("k")).when(kind == 1, F.expr("substr(k, 1, length(k) - 1)")).when(kind == 2, words(C("k"))[0]).otherwise(C("id").cast("string"))
+    m = e.select(C("id").alias("mention"), said.alias("said")).unionByName(t.spark.createDataFrame([(1000, "zzzz"), (1001, "united")], "mention int, said string"))
+    # each way is tried on the mentions that the ways before it left: equality of label or id, all words in the label, likeness
+    keys = e.select("id", F.explode(F.array("k", C("id").cast("string"))).alias("said")).distinct()
+    exact = m.join(keys, "said").select("mention", "id", F.lit(1.0).alias("score"), F.lit("exact").alias("method"))
+    rest = m.join(exact, "mention", "left_anti")
+    own = rest.select("mention", F.explode(F.array_distinct(words(C("said")))).alias("word"), F.size(words(C("said"))).alias("n"))
+    label = e.select("id", F.explode(F.array_distinct(words(C("k")))).alias("word"), F.size(words(C("k"))).alias("k"))
+    partial = own.join(label, "word").groupBy("mention", "id").agg(F.count_distinct("word").alias("c"), F.first("n").alias("n"), F.first("k").alias("k")).where("c = n").select("mention", "id", (C("n") / C("k")).alias("score"), F.lit("partial").alias("method"))
+    rest = rest.join(partial, "mention", "left_anti")
     # blocked by the first letter, so no pair of unlike names is compared
-    x = m.join(e, F.substring("said", 1, 1) == F.substring("k", 1, 1))
     score = 1 - F.levenshtein("said", "k") / F.greatest(F.length("said"), F.length("k"))
-    b = win.top_per_group(x.withColumn("score", score).where("score >= 0.8"), ["mention"], [F.desc("score"), F.asc("id")], 5)
-    b = b.withColumn("rank", F.row_number().over(Window.partitionBy("mention").orderBy(F.desc("score"), "id"))).select("mention", "id", "score", "rank")
-    out = m.select("mention").join(b, "mention", "left")
-    return out.select("mention", "id", F.round("score", 6).alias("score"), F.coalesce("rank", F.lit(0)).alias("rank"), F.when(C("id").isNull(), "not_found").when(C("score") == 1, "exact").otherwise("candidate").alias("status"))
-
-
+    fuzzy = rest.join(e, F.substring("said", 1, 1) == F.substring("k", 1, 1)).select("mention", "id", score.alias("score"), F.lit("fuzzy").alias("method")).where("score >= 0.8")
+    x = exact.unionByName(partial).unionByName(fuzzy)
+    w = Window.partitionBy("mention")
+    b = x.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "id"))).withColumn("found", F.count(F.lit(1)).over(w)).where("rank <= 5")
+    status = F.when(C("id").isNull(), "not_found").when((C("method") == "exact") & (C("found") == 1), "exact").otherwise("ambiguous")
+    return m.select("mention").join(b, "mention", "left").select("mention", "id", F.round("score", 6).alias("score"), "method", F.coalesce("rank", F.lit(0)).alias("rank"), status.alias("status"))
