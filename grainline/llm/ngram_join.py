@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import cut
-from .tokens import Chunk, chunks, grams, mix, text_array
+from .tokens import chunks, grams, mix, text_array
 
 #: Elements of sets (8 bytes each) that one verification task takes from each of its two blocks.
 BLOCK_ELEMENTS = 1 << 20
