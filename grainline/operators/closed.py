@@ -14,8 +14,6 @@ from math import exp, factorial
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_FEATURES = 3
-
 
 def sum_expressions(features: list[str], y: str = "y", w: str = "w") -> dict[str, str]:
     """n, w, sums s1 .., sy and products q11, q12, .., q1y, .., qyy as SQL aggregates. Features are numbered from 1."""

@@ -9,7 +9,6 @@ from ..operators import aggs, joins, reshape, stats
 from ..operators import windows as win
 from . import aggs as bound
 from .registry import query
-from .stats import COH, CORR, PAIRS, coh, pairs
 
 C = F.col
 R = lambda c, n=6: F.round(C(c), n).alias(c)

@@ -251,7 +251,6 @@ def _(t):
     return done.unionByName(gone.select("outcome", "model", "season", F.when(C("some"), "no_inner_fold").otherwise("no_training_rows").alias("status")), allowMissingColumns=True)
 
 
-_COLS = ["prior_share", "team_share", "crossed"]
 _OK = f"ok AS (SELECT *, outcome AS y, 1::DOUBLE AS w, prior_share * team_share AS crossed FROM ch WHERE prior_share IS NOT NULL AND team_share IS NOT NULL)"
 
 

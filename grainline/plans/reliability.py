@@ -250,9 +250,6 @@ def _(t):
     return f.withColumn("play_rate", F.round("play_rate", 6)).withColumn("failures", F.array_join(why, "|")).withColumn("credible", C("failures") == "")
 
 
-_STAB = "CASE WHEN count(a) FILTER (WHERE {c}) >= 2 THEN corr(a, b) FILTER (WHERE {c}) END"
-
-
 @query("K53_stability_report", f"""WITH {PAIRS}, al AS (SELECT c.actor_id, c.season, c.w, c.y, c.x1, p.prior_y, p.prior_x1 FROM coh c LEFT JOIN pairs p USING (actor_id, season)), l AS (SELECT 'y' AS feature, season, w, y AS a, prior_y AS b FROM al UNION ALL SELECT 'x1', season, w, x1, prior_x1 FROM al)
 SELECT feature, count(b) AS pairs, round(count(b)::DOUBLE / count(*), 6) AS coverage, round(corr(a, b), 5) AS r, {', '.join(f'round(corr(a, b) FILTER (WHERE b IS NOT NULL AND {c}), 5) AS {n}' for n, c in (('early', 'season <= 1998'), ('late', 'season > 1998'), ('low_volume', 'w < 2000'), ('high_volume', 'w >= 2000')))},
   count(b) >= 100 AS enough, corr(a, b) >= 0.25 AS correlated, count(b) >= 100 AND corr(a, b) >= 0.25 AS passed FROM l GROUP BY 1""")
@@ -308,9 +305,6 @@ def _(t):
     return p.join(F.broadcast(s), "season").select("actor_id", "season", "n", R("r", 5), F.round(2 * C("r") / (1 + C("r")), 5).alias("reliability"), F.round(C("m") + F.greatest(F.lit(0.0), C("r")) * (C("x1") - C("m")), 6).alias("shrunk"))
 
 
-_METHODS = ["weighted", "shrunk", "delta", "unweighted"]
-
-
 @query("K63_aggregation_sensitivity", f"""WITH hv AS (SELECT actor_id, season, (week - 1) // 6 AS half, sum(value)::DOUBLE AS v, sum(volume)::DOUBLE AS w, count(*) AS n, sum(value::DOUBLE / volume) AS u FROM plays GROUP BY ALL),
 cell AS (SELECT actor_id, season, half, v, w, n, u FROM hv UNION ALL SELECT actor_id, season, -1, sum(v), sum(w), sum(n), sum(u) FROM hv GROUP BY actor_id, season), lg AS (SELECT season, half, sum(v) / sum(w) AS league FROM cell GROUP BY 1, 2),
 l AS (SELECT actor_id, season, half, unnest(['weighted', 'shrunk', 'delta', 'unweighted']) AS method, unnest([v / w, v / (w + 400), v / w - league, u / n]) AS x FROM cell JOIN lg USING (season, half)),

@@ -7,13 +7,12 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import joins, models, reshape, stats
+from ..operators import joins, stats
 from ..sources import tables as src
 from ..sources.shared import new_dir
 from .domain import TRAIL, trail
-from .models import FEATURES, training  # noqa: F401
 from .registry import query
-from .stats import COH, GAIN, PAIRS, PRED, coh, gains, pairs, preds
+from .stats import PAIRS, pairs
 
 C = F.col
 R = lambda c, n=6: F.round(C(c), n).alias(c)
@@ -77,37 +76,6 @@ def _(t):
     return out.select("actor_id", "season", F.round((x - C("m")) / C("sd"), 5).alias("z"), C("prior_share").isNull().alias("was_missing"))
 
 
-GROUPED = "own AS (SELECT actor_id, count(*) AS n, avg(y) AS m, count(*) * var_pop(y) AS ss FROM coh GROUP BY 1), tt AS (SELECT sum(ss) / (sum(n) - count(*)) AS sigma2, sum(n) AS n, count(*) AS g, sum(n * m) / sum(n) AS gm, sum(n * n)::DOUBLE AS nn FROM own)"
-
-
-def components_of(t):
-    own = coh(t).groupBy("actor_id").agg(N().alias("n"), F.avg("y").alias("m"), (N() * F.var_pop("y")).alias("ss"))
-    tt = own.agg((F.sum("ss") / (F.sum("n") - N())).alias("sigma2"), F.sum("n").alias("t"), N().alias("g"), (F.sum(C("n") * C("m")) / F.sum("n")).alias("gm"), F.sum(C("n") * C("n")).alias("nn"))
-    return own, own.crossJoin(F.broadcast(tt))
-
-
-FOLDLINE = "f AS (SELECT s.season, regr_slope(y, prior_y) AS b, regr_intercept(y, prior_y) AS a FROM seasons s JOIN pairs p ON p.season < s.season GROUP BY 1)"
-
-
-def fold_line(p, seasons, season="season", x="prior_y", y="y"):
-    """Per season the least-squares line of all earlier seasons, from season-wise sums and one cumulative window."""
-    per = p.groupBy(season).agg(N().alias("n"), F.sum(x).alias("x"), F.sum(y).alias("y"), F.sum(C(x) * C(x)).alias("xx"), F.sum(C(x) * C(y)).alias("xy"))
-    w = Window.orderBy(season).rangeBetween(Window.unboundedPreceding, -1)
-    s = seasons.join(per, season, "left").select(season, *(F.sum(c).over(w).alias(c) for c in ("n", "x", "y", "xx", "xy")))
-    b = F.try_divide(C("xy") - C("x") * C("y") / C("n"), C("xx") - C("x") * C("x") / C("n"))
-    return s.select(season, b.alias("b"), ((C("y") - b * C("x")) / C("n")).alias("a"))
-
-
-def model_set(t, which):
-    """The predictions of several feature sets on the same folds and rows."""
-    rows = training(t)
-    out = [models.expanding_folds(rows, "season", f, "y", "w", [10.0]).select("actor_id", "season", F.lit(n).alias("model"), "y", C("prediction").alias("p")) for n, f in which.items()]
-    return reduce(lambda a, b: a.unionByName(b), out)
-
-
-SETS = {"level": ["prior_y"], "share": ["prior_x1"], "both": ["prior_y", "prior_x1"], "all": FEATURES}
-
-
 @query("K51_gate_comparison", f"""WITH {PAIRS}, c AS (SELECT 'y' AS system, count(*) AS n, corr(y, prior_y) AS r FROM pairs UNION ALL SELECT 'x1', count(*), corr(x1, prior_x1) FROM pairs),
 g AS (SELECT system, 'rows' AS criterion, n >= 100 AS ok FROM c UNION ALL SELECT system, 'correlation', r >= 0.25 FROM c) SELECT system, criterion, CASE WHEN ok THEN 'PASS' ELSE 'FAIL' END AS result FROM g UNION ALL SELECT system, 'overall', CASE WHEN bool_and(ok) THEN 'PASS' ELSE 'FAIL' END FROM g GROUP BY 1""")
 def _(t):
@@ -119,24 +87,6 @@ def _(t):
     return c.select("system", F.explode(F.array(*(F.struct(F.lit(n).alias("criterion"), label(x).alias("result")) for n, x in {**ok, "overall": every}.items()))).alias("g")).select("system", "g.*")
 
 
-CHANGER = "SELECT *, (actor_id + season) % 4 = 0 AS changer FROM pairs"
-
-
-SPECS = "SELECT 'all' AS spec, * FROM pairs UNION ALL SELECT 'heavy', * FROM pairs WHERE w >= 800 UNION ALL SELECT 'late', * FROM pairs WHERE season >= 1999 UNION ALL SELECT 'odd', * FROM pairs WHERE actor_id % 2 = 1"
-
-
-def spec_rows(df):
-    tags = {"all": F.lit(True), "heavy": C("w") >= 800, "late": C("season") >= 1999, "odd": C("actor_id") % 2 == 1}
-    return df.withColumn("spec", F.explode(F.filter(F.array(*(F.when(c, n) for n, c in tags.items())), lambda x: x.isNotNull())))
-
-
-def _placebo_sql(x, y, where, seed, draws):
-    return f"""WITH {PAIRS}, b AS (SELECT season, actor_id, {y} AS y, {x} AS x, row_number() OVER (PARTITION BY season ORDER BY actor_id) AS i FROM pairs WHERE {where}),
-s AS (SELECT draw, season, y, row_number() OVER (PARTITION BY draw, season ORDER BY ('0x' || substr(md5('{seed}|' || draw || '|' || season || '|' || actor_id), 1, 8))::BIGINT, actor_id) AS i FROM b CROSS JOIN (SELECT unnest(range({draws})) AS draw)),
-n AS (SELECT draw, abs(corr(b.x, s.y)) AS c FROM s JOIN b ON s.season = b.season AND s.i = b.i GROUP BY 1), a AS (SELECT abs(corr(x, y)) AS actual FROM b)
-SELECT round(actual, 6) AS actual, count(*) FILTER (WHERE c >= actual) AS reached, (1 + count(*) FILTER (WHERE c >= actual))::DOUBLE / {draws + 1} AS p FROM n CROSS JOIN a GROUP BY actual"""
-
-
 @query("K67_readiness_gates", f"""WITH {PAIRS}, a AS (SELECT count(*) AS n, count(DISTINCT season) AS s, corr(y, prior_y) AS r FROM pairs), g AS (SELECT 'rows' AS gate, n >= 300 AS ok FROM a UNION ALL SELECT 'seasons', s >= 4 FROM a UNION ALL SELECT 'signal', r > 0.5 FROM a)
 SELECT gate, CASE WHEN ok THEN 'PASS' ELSE 'FAIL' END AS result FROM g UNION ALL SELECT 'verdict', CASE WHEN bool_and(ok) THEN 'PASS' ELSE 'FAIL' END FROM g""")
 def _(t):
@@ -145,14 +95,8 @@ def _(t):
     return g.unpivot([], ["rows", "seasons", "signal", "verdict"], "gate", "ok").select("gate", F.when(C("ok"), "PASS").otherwise("FAIL").alias("result"))
 
 
-DELTA = """e AS (SELECT b.actor_id, sum(abs(b.y - b.p) - abs(o.y - o.p)) AS a, count(*) AS b FROM preds b JOIN preds o USING (actor_id, season) WHERE b.model = 'zero' AND o.model = 'half' GROUP BY 1), c AS (SELECT *, row_number() OVER (ORDER BY actor_id) - 1 AS i FROM e),
-d AS (SELECT d.draw, ('0x' || substr(md5('delta|' || d.draw || '|' || s.slot), 1, 8))::BIGINT % (SELECT count(*) FROM c) AS i FROM (SELECT unnest(range(40)) AS draw) d CROSS JOIN (SELECT unnest(range((SELECT count(*) FROM c))) AS slot) s), r AS (SELECT draw, sum(a) / sum(b) AS r FROM d JOIN c USING (i) GROUP BY 1)"""
-
-
 @query("M10_analytical_bundle", f"WITH {TRAIL} SELECT fr.team_id, fr.target, fr.feature, z, ts.plays, ts.attempts + (ts.plays - ts.attempts) = ts.plays AS reconciles FROM fr JOIN team_seasons ts ON ts.team_id = fr.team_id AND ts.season = fr.source")
 def _(t):
     ts = t.team_seasons.select("team_id", C("season").alias("source"), "plays", "attempts")
     j = joins.checked_join(trail(t), ts, ["team_id", "source"], cardinality="m:1")
     return j.select("team_id", "target", "feature", "z", "plays", (C("attempts") + (C("plays") - C("attempts")) == C("plays")).alias("reconciles"))
-
-

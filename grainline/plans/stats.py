@@ -60,10 +60,6 @@ def _(t):
     return t.actor_seasons.select("actor_id", "season", "plays", F.explode(F.array(F.lit(50), F.lit(100), F.lit(400))).alias("k")).select("actor_id", "season", "k", (C("plays") / (C("plays") + C("k"))).alias("weight"))
 
 
-BOOT = """c AS (SELECT actor_id, row_number() OVER (ORDER BY actor_id) - 1 AS i, CAST(sum(value) AS BIGINT) AS a, CAST(sum(volume) AS BIGINT) AS b FROM plays GROUP BY 1),
-d AS (SELECT d.draw, ('0x' || substr(md5('boot|' || d.draw || '|' || s.slot), 1, 8))::BIGINT % (SELECT count(*) FROM c) AS i FROM (SELECT unnest(range(50)) AS draw) d CROSS JOIN (SELECT unnest(range((SELECT count(*) FROM c))) AS slot) s)"""
-
-
 @query("K14_sign_flip_placebo", """
 WITH s AS (SELECT actor_id, CAST(sum(value) AS BIGINT) AS s, count(*) AS n FROM plays GROUP BY 1), n AS (SELECT draw, sum(s * CASE WHEN ('0x' || substr(md5('flip|' || draw || '|' || actor_id), 1, 8))::BIGINT % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE / sum(n)::DOUBLE AS m FROM s CROSS JOIN (SELECT unnest(range(40)) AS draw) GROUP BY 1)
 SELECT round((SELECT sum(s)::DOUBLE / sum(n)::DOUBLE FROM s), 6) AS actual, count(*) FILTER (WHERE m >= (SELECT sum(s)::DOUBLE / sum(n)::DOUBLE FROM s)) AS reached, (1 + count(*) FILTER (WHERE m >= (SELECT sum(s)::DOUBLE / sum(n)::DOUBLE FROM s)))::DOUBLE / 41 AS p FROM n""")
@@ -92,14 +88,6 @@ def _(t):
     return pairs(t).groupBy("season").agg(F.round(stats.weighted_correlation("y", "prior_y", "w"), 5).alias("r"), F.round(F.avg((F.signum("y") == F.signum("prior_y")).cast("int")), 6).alias("sign_agreement"))
 
 
-METRICS = "count(*) AS n, round(avg(abs(y - p)), 5) AS mae, round(sqrt(avg((y - p) * (y - p))), 5) AS rmse, round(1 - sum((y - p) * (y - p)) / (count(*) * var_pop(y)), 5) AS r2, round(corr(y, p), 5) AS correlation, round(covar_pop(p, y) / var_pop(p), 5) AS slope, round(avg(y) - covar_pop(p, y) / var_pop(p) * avg(p), 4) AS intercept, round(avg((sign(y) = sign(p))::INT), 6) AS direction"
-
-
-def metrics(df, keys, places=5):
-    out = stats.regression_metrics(df, keys, "y", "p")
-    return out.select(*keys, "n", R("mae", 5), R("rmse", 5), R("r2", 5), R("correlation", 5), R("slope", 5), R("intercept", 4), R("direction"))
-
-
 @query("K20_vector_distances", """
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.vec_id, a.e AS x, b.e AS y FROM v a JOIN v b ON b.vec_id = a.vec_id + 1)
 SELECT vec_id, round(sqrt(list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 5) AS euclidean, round(list_sum(list_transform(list_zip(x, y), lambda z: abs(z[1] - z[2]))), 5) AS manhattan, round(1 - list_cosine_similarity(x, y), 5) AS cosine FROM p""")
