@@ -8,7 +8,7 @@ sample with probability equal to the generalised Jaccard similarity of their wei
 The next document comes from one shuffle of the texts by ranges of doc_id; the first rows of each range
 are dealt to the range before too, and every task streams its range in order. Defined results: null text is
 empty; a text without words has the empty fingerprint, whose likeness is 1 to another empty one and 0 else; rows
-with the same doc_id follow each other by text; a null doc_id comes last; a single row is its own next document.
+with the same doc_id follow each other by a hash of the text, and rows without one come last, in 64 ranges by it; a single row is its own next document.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .tokens import Chunk, mix
 
 SAMPLES, CACHE_ROWS, SEED = 64, 1 << 16, 20260101
+#: Ranges that rows without a doc_id are dealt to.
+NULL_RANGES = 64
 #: Terms drawn or compared at once.
 SLICE = 1 << 9
 _CACHES: dict[tuple[int, int], Cache] = {}
@@ -158,23 +160,23 @@ def fingerprint_edits(docs: DataFrame, samples: int = SAMPLES, cache_rows: int =
         mid = (lo + hi) // 2
         return F.when(F.col("doc_id") <= bounds[mid], search(lo, mid)).otherwise(search(mid + 1, hi))
 
-    last = len(bounds) + 1
-    of = F.when(F.col("doc_id").isNull(), last).otherwise(search(0, len(bounds)))
-    dealt = rows.withColumn("_range", of)
-    heads = {r["_range"]: r["head"] for r in dealt.groupBy("_range").agg(F.min("doc_id").alias("head")).collect()}  # one row a range
+    last = len(bounds) + 1  # rows without a doc_id have ranges of their own, by a hash of the text
+    of = F.when(F.col("doc_id").isNull(), last + F.pmod(F.xxhash64("text"), F.lit(NULL_RANGES)).cast("int")).otherwise(search(0, len(bounds)))
+    dealt = rows.withColumn("_range", of).withColumn("_h", F.xxhash64("text"))
+    heads = {r["_range"]: r["head"] for r in dealt.groupBy("_range").agg(F.min(F.struct("doc_id", "_h")).alias("head")).collect()}  # one row a range
     order = sorted(heads)
     before = {b: order[i - 1] for i, b in enumerate(order)}
-    at = F.col("_range") + 1
-    head = F.element_at(F.array(*(F.lit(heads.get(b)) for b in range(last + 1))), at)
-    prior = F.element_at(F.array(*(F.lit(before.get(b, -1)) for b in range(last + 1))), at)
-    is_head = F.col("doc_id").eqNullSafe(head)
+    at, every = F.col("_range") + 1, range(last + NULL_RANGES)
+    of_head = lambda k: F.element_at(F.array(*(F.lit(heads[b][k] if b in heads else None) for b in every)), at)
+    prior = F.element_at(F.array(*(F.lit(before.get(b, -1)) for b in every)), at)
+    is_head = F.col("doc_id").eqNullSafe(of_head("doc_id")) & (F.col("_h") == of_head("_h"))
     here = F.struct(F.col("_range").alias("part"), F.lit(False).alias("after"))
     there = F.struct(prior.alias("part"), F.lit(True).alias("after"))
     streams = (
-        dealt.select("doc_id", "text", F.explode(F.when(is_head, F.array(here, there)).otherwise(F.array(here))).alias("_to"))
-        .select("doc_id", "text", "_to.part", "_to.after")
+        dealt.select("doc_id", "text", "_h", F.explode(F.when(is_head, F.array(here, there)).otherwise(F.array(here))).alias("_to"))
+        .select("doc_id", "text", "_to.part", "_to.after", "_h")
         .repartition(n, "part")
-        .sortWithinPartitions("part", "after", F.asc_nulls_last("doc_id"), "text")
+        .sortWithinPartitions("part", "after", F.asc_nulls_last("doc_id"), "_h", "text")
     )
     key = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]

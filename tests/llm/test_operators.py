@@ -803,6 +803,14 @@ def test_op10_next_document_across_ranges(spark, partitions):
         assert got[d] == hashlib.sha256(cws.edited(t, nxt).encode()).hexdigest()
 
 
+def test_op10_rows_without_an_id_follow_in_ranges_of_their_own(spark):
+    data = [(None, f"text number {i % 90} of those without an id") for i in range(300)] + [(i, f"text {i} with one") for i in range(5)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = [cws.fingerprint_edits(df.repartition(n), partitions=n).collect() for n in (1, 6)]
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["edited_sha256"])
+    assert len(got[0]) == 305 and sorted(map(key, got[0])) == sorted(map(key, got[1]))
+
+
 def test_op10_likeness_estimates_generalised_jaccard():
     r = random.Random(8)
     errors = []
