@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, cws, exact_dedup, lang_kernel, mixing, ngram_join, substring_dedup, suffix_lm, toxicity, warc
+from . import best_fit, cws, exact_dedup, lang_kernel, mixing, ngram_join, prefix_trie, substring_dedup, suffix_lm, toxicity, warc
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -65,6 +65,10 @@ def op10_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cws.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations")).drop("enter", "exit")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_suffix_tree_lm": op2_suffix_tree_lm,
@@ -76,6 +80,7 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_weighted_fingerprints": op10_weighted_fingerprints,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -87,6 +92,9 @@ _BASE32 = " || ".join(
     for j in range(4)
 )
 
+#: CRC-32 of a string of ASCII characters s, bit by bit.
+_CRC32 = "list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({s}) + 1), lambda i: ascii(substr({s}, i, 1))::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, (x & 1) * 3988292384)))"
+
 ORACLE = {
     "op1_substring_dedup": """
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
@@ -156,4 +164,20 @@ ORACLE = {
                coalesce((SELECT min(o.doc_id) FROM s o JOIN s m ON m.whole = o.whole WHERE m.doc_id = d.doc_id), d.doc_id) AS rep_id,
                (SELECT count(*) FROM links l WHERE l.x = d.doc_id) AS n_links
         FROM documents d""",
+    "op11_prefix_trie": f"""
+        WITH o AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, conv_id - conv_id % 20 AS base,
+                          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i FROM conversations WHERE conv_id IS NOT NULL),
+        k AS (SELECT c, any_value(base) AS base, xor({_CRC32.format(s='c::VARCHAR')}, 4294967295) % 4 AS h FROM o GROUP BY c),
+        b AS (SELECT k.c, 0 AS part, o.i, o.role, o.text FROM k JOIN o ON o.c = k.base AND o.i <= k.h UNION ALL SELECT k.c, 1, o.i, o.role, o.text FROM k JOIN o ON o.c = k.c AND o.i > k.h),
+        r AS (SELECT c, row_number() OVER w AS d, sha256(length(role) || ':' || role || text) AS x, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words FROM b WINDOW w AS (PARTITION BY c ORDER BY part, i)),
+        m AS (SELECT c, d, words, string_agg(x, '') OVER (PARTITION BY c ORDER BY d) AS prefix FROM r UNION ALL SELECT c, 0, 0, '' FROM k),
+        e AS (SELECT c, max(d) AS d FROM m GROUP BY c),
+        v AS (SELECT m.*, min(c) OVER (PARTITION BY prefix) AS node, m.d = e.d AS last FROM m JOIN e USING (c)),
+        n AS (SELECT node, d, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS saved, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE last), '') AS ends FROM v GROUP BY node, d),
+        u AS (SELECT n.*, p.node AS parent FROM n LEFT JOIN v p ON p.c = n.node AND p.d = n.d - 1),
+        kids AS (SELECT parent, d - 1 AS d, count(*) AS n FROM u WHERE parent IS NOT NULL GROUP BY 1, 2),
+        t AS (SELECT u.*, coalesce(kids.n, 0) AS n_children FROM u LEFT JOIN kids ON kids.parent = u.node AND kids.d = u.d),
+        sub AS (SELECT a.node, a.d, count(*) FILTER (WHERE t.n_children = 0) AS leaves, sum(t.saved) AS saved FROM t JOIN v a ON a.c = t.node AND a.d <= t.d GROUP BY 1, 2)
+        SELECT t.node AS conv_id, t.d::BIGINT AS depth, parent AS parent_conv_id, n_convs, n_children::BIGINT AS n_children, leaves::BIGINT AS n_leaves, sub.saved::BIGINT AS saved_tokens, sha256(ends) AS ends_sha256
+        FROM t JOIN sub USING (node, d)""",
 }
