@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, cws, exact_dedup, lang_kernel, mixing, ngram_join, prefix_trie, substring_dedup, suffix_lm, toxicity, warc
+from . import best_fit, cws, exact_dedup, iceberg_terms, lang_kernel, mixing, ngram_join, prefix_trie, quality_rules, substring_dedup, suffix_lm, toxicity, warc
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -69,6 +69,14 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations")).drop("enter", "exit")
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("n_lines", "reason")
+
+
+def op13_iceberg_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iceberg_terms.audit(table(spark, sf_dir, "documents"), min_docs=3, top=200)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_suffix_tree_lm": op2_suffix_tree_lm,
@@ -81,6 +89,8 @@ QUERIES = {
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_weighted_fingerprints": op10_weighted_fingerprints,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_quality_rules": op12_quality_rules,
+    "op13_iceberg_terms": op13_iceberg_terms,
 }
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -95,6 +105,10 @@ _BASE32 = " || ".join(
 #: CRC-32 of a string of ASCII characters s, bit by bit.
 _CRC32 = "list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({s}) + 1), lambda i: ascii(substr({s}, i, 1))::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, (x & 1) * 3988292384)))"
 
+#: The rules' cutoffs as rows (rule, place, cutoff).
+_CUTOFFS = ", ".join(f"('{rule}', {place}, {x})" for rule, (_, _, grid) in quality_rules.RULES.items() for place, x in enumerate(grid))
+_RULE_SHARE = quality_rules.RISK / len(quality_rules.RULES)
+
 ORACLE = {
     "op1_substring_dedup": """
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
@@ -180,4 +194,40 @@ ORACLE = {
         sub AS (SELECT a.node, a.d, count(*) FILTER (WHERE t.n_children = 0) AS leaves, sum(t.saved) AS saved FROM t JOIN v a ON a.c = t.node AND a.d <= t.d GROUP BY 1, 2)
         SELECT t.node AS conv_id, t.d::BIGINT AS depth, parent AS parent_conv_id, n_convs, n_children::BIGINT AS n_children, leaves::BIGINT AS n_leaves, sub.saved::BIGINT AS saved_tokens, sha256(ends) AS ends_sha256
         FROM t JOIN sub USING (node, d)""",
+    "op12_quality_rules": f"""
+        WITH w AS (SELECT row_number() OVER () AS id, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+        g AS (SELECT id, unnest(range(1, len(ws) - 1)) AS i, ws FROM w),
+        r AS (SELECT id, i FROM (SELECT id, i, count(*) OVER (PARTITION BY id, array_to_string(ws[i:i + 2], ' ')) AS n FROM g) WHERE n > 1),
+        c AS (SELECT id, count(DISTINCT k) AS n FROM (SELECT id, unnest(range(i, i + 3)) AS k FROM r) GROUP BY id),
+        l AS (SELECT id, count(*) AS n, count(DISTINCT line) AS kinds FROM (SELECT id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY id),
+        f AS (SELECT w.id, doc_id, lang, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+                     coalesce(l.n, 0) AS n_lines, coalesce(l.n - l.kinds, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, ('0x' || substr(md5(text), 1, 15))::BIGINT AS text_key FROM w LEFT JOIN c ON c.id = w.id LEFT JOIN l ON l.id = w.id),
+        b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+                     [{{'rule': 'symbols', 'a': n_symbols, 'b': n_words}}, {{'rule': 'long_words', 'a': word_chars, 'b': n_words}}, {{'rule': 'repeated_lines', 'a': n_dup_lines, 'b': n_lines}}, {{'rule': 'repeated_words', 'a': n_repeat_words, 'b': n_words}}] AS ratios FROM f),
+        q AS (SELECT doc_id, max(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY 1),
+        t AS (SELECT lang, text_key, max(quality) > 0 AS good, any_value(ratios) AS ratios FROM b JOIN q USING (doc_id) WHERE NOT base_failed GROUP BY 1, 2),
+        e AS (SELECT lang, good, text_key % {quality_rules.FOLDS} <> 0 AS held, unnest(ratios) AS x FROM t),
+        grid AS (SELECT * FROM (VALUES {_CUTOFFS}) v(rule, place, cutoff)),
+        curve AS (SELECT lang, rule, place, cutoff, count(*) FILTER (WHERE held AND good) AS n, count(*) FILTER (WHERE held AND good AND x.a * 1000 > x.b * cutoff) AS k,
+                         count(*) FILTER (WHERE NOT held AND NOT good AND x.a * 1000 > x.b * cutoff) - {quality_rules.GOOD_COST} * count(*) FILTER (WHERE NOT held AND good AND x.a * 1000 > x.b * cutoff) AS gain
+                  FROM e JOIN grid ON grid.rule = x.rule GROUP BY 1, 2, 3, 4 HAVING count(*) FILTER (WHERE held AND good) > 0),
+        tail AS (SELECT *, CASE WHEN k >= n * {_RULE_SHARE} THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - CASE WHEN i > 0 THEN lgamma(i + 1) ELSE 0 END - lgamma(n - i + 1) + i * ln({_RULE_SHARE}) + (n - i) * ln(1 - {_RULE_SHARE})))) END AS p FROM curve),
+        ok AS (SELECT *, bool_and(p <= {quality_rules.DELTA} / ((SELECT count(DISTINCT lang) FROM curve) * {len(quality_rules.RULES)})) OVER (PARTITION BY lang, rule ORDER BY place DESC) AS ok FROM tail),
+        best AS (SELECT lang, rule, cutoff FROM ok WHERE ok AND gain > 0 QUALIFY row_number() OVER (PARTITION BY lang, rule ORDER BY gain DESC, place DESC) = 1),
+        bad AS (SELECT DISTINCT id FROM (SELECT id, lang, unnest(ratios) AS x FROM b) y JOIN best ON best.lang = y.lang AND best.rule = x.rule WHERE x.a * 1000 > x.b * cutoff)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND id NOT IN (SELECT id FROM bad) AS kept FROM b""",
+    "op13_iceberg_terms": """
+        WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ts FROM documents),
+        t AS (SELECT id, lang, source, unnest(ts) AS term FROM d),
+        k AS (SELECT lang, term, count(*) AS total FROM t GROUP BY 1, 2 HAVING count(DISTINCT id) >= 3),
+        c AS (SELECT t.lang, source, t.term, count(*) AS n FROM t JOIN k ON k.lang = t.lang AND k.term = t.term GROUP BY 1, 2, 3),
+        g AS (SELECT d.lang, d.source, coalesce((SELECT sum(n) FROM c WHERE c.lang = d.lang AND c.source = d.source), 0) + (SELECT count(*) FROM k WHERE k.lang = d.lang) AS size,
+                     (SELECT coalesce(sum(total), 0) + count(*) FROM k WHERE k.lang = d.lang) AS lang_size FROM (SELECT DISTINCT lang, source FROM d) d),
+        p AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 1)) // size AS p, 1 + (1000000000::HUGEINT * (total + 1)) // lang_size AS q
+              FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+        x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+              UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q)
+        SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM x QUALIFY part = 'pair' OR rank <= 200""",
 }
