@@ -17,6 +17,7 @@ bounded length, and a node's subtree is the difference of the prefix sums at its
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,8 +32,8 @@ PRIME = (1 << 127) - 1
 BASE = 1415926535897932384626433832795
 #: A rebuilt conversation takes less than HEADS first turns from the one that its number, cut to a multiple of BLOCK, names.
 HEADS, BLOCK = 4, 20
-#: Bounds of what a window orders in one task: siblings, depths of a path.
-SIBLINGS, DEPTHS = 1 << 16, 1 << 12
+#: Bounds of what a window orders in one task: depths of a path, and siblings at least (else about the root of the number of paths).
+DEPTHS, SIBLINGS = 1 << 12, 64
 #: Runs that one task walks through, and conversation numbers whose ends are joined in one row.
 LIMIT, IDS = 1 << 15, 1 << 16
 ROOT = bytes(16)
@@ -192,7 +193,7 @@ def runs(line: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The runs of the tour: conv, depth (-1: a path's enter arcs and the exits below its deepest branching; else a branching's exits), next and next_depth,
     and their weights. And the branchings: up, at, children (besides the path's own), in a table."""
     count = line.count()
-    hung = line.where("up IS NOT NULL").select("conv", "up", "at", F.pmod(F.xxhash64("conv"), F.lit(max(1, -(-count // SIBLINGS)))).alias("bucket"))
+    hung = line.where("up IS NOT NULL").select("conv", "up", "at", F.pmod(F.xxhash64("conv"), F.lit(-(-count // max(SIBLINGS, math.isqrt(count))))).alias("bucket"))
     hung = hung.withColumn("sibling", F.lead("conv").over(Window.partitionBy("up", "at", "bucket").orderBy("conv")))
     groups = hung.groupBy("up", "at", "bucket").agg(F.min("conv").alias("first"), F.count(F.lit(1)).alias("children"))
     groups = groups.withColumn("then", F.lead("first").over(Window.partitionBy("up", "at").orderBy("bucket")))  # a row a bucket

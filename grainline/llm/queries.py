@@ -196,8 +196,9 @@ ORACLE = {
         FROM t JOIN sub USING (node, d)""",
     "op12_quality_rules": f"""
         WITH w AS (SELECT row_number() OVER () AS id, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
-        g AS (SELECT id, unnest(range(1, len(ws) - 1)) AS i, ws FROM w),
-        r AS (SELECT id, i FROM (SELECT id, i, count(*) OVER (PARTITION BY id, array_to_string(ws[i:i + 2], ' ')) AS n FROM g) WHERE n > 1),
+        u AS (SELECT id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w),
+        g AS (SELECT id, i, word, lead(word) OVER o AS second, lead(word, 2) OVER o AS third FROM u WINDOW o AS (PARTITION BY id ORDER BY i)),
+        r AS (SELECT id, i FROM (SELECT id, i, count(*) OVER (PARTITION BY id, word, second, third) AS n FROM g WHERE third IS NOT NULL) WHERE n > 1),
         c AS (SELECT id, count(DISTINCT k) AS n FROM (SELECT id, unnest(range(i, i + 3)) AS k FROM r) GROUP BY id),
         l AS (SELECT id, count(*) AS n, count(DISTINCT line) AS kinds FROM (SELECT id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY id),
         f AS (SELECT w.id, doc_id, lang, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
