@@ -46,13 +46,6 @@ def grid(dims: list[DataFrame], observed: DataFrame, on: list[str], fill: dict)
     return out.join(observed, on, "left").fillna(fill)
 
 
-def overlap_pairs(df: DataFrame, group: list[str], key: str, start: str, end: str, keep: list[str]) -> DataFrame:
-    """Pairs a < b of a group whose intervals overlap, with the overlap."""
-    side = lambda p: df.select(*group, *(F.col(c).alias(f"{p}_{c}") for c in dict.fromkeys([key, start, end, *keep])))
-    both = side("a").join(side("b"), group).where((F.col(f"a_{key}") < F.col(f"b_{key}")) & (F.col(f"a_{start}") <= F.col(f"b_{end}")) & (F.col(f"b_{start}") <= F.col(f"a_{end}")))
-    return both.withColumn("overlap_start", F.greatest(f"a_{start}", f"b_{start}")).withColumn("overlap_end", F.least(f"a_{end}", f"b_{end}"))
-
-
 def as_of_totals(df: DataFrame, entity: list[str], season: str, sums: list[str], prefix: str = "career_") -> DataFrame:
     """df plus sums over all earlier seasons of the entity; NULL before the first."""
     w = Window.partitionBy(*entity).orderBy(season).rangeBetween(Window.unboundedPreceding, -1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import aggs, joins, reshape, stats
+from ..operators import aggs, intervals, joins, reshape, stats
 from ..operators import windows as win
 from . import aggs as bound
 from .registry import query
@@ -19,11 +19,34 @@ ATTR = """cell AS (SELECT season, team_id, week, actor_id, count(*) AS n, CAST(s
 j AS (SELECT c.*, i.interval_id, i.owner_id, count(*) OVER (PARTITION BY c.season, c.team_id, c.week, c.actor_id) AS k FROM cell c JOIN intervals i ON c.season = i.season AND c.team_id = i.team_id AND i.role = 1 AND c.week BETWEEN i.start_week AND i.end_week)"""
 
 
-def attributed(t, intervals=None):
-    """Weekly cells of plays joined to the owner intervals that hold their week, with the number of owners."""
-    cell = t.plays.groupBy("season", "team_id", "week", "actor_id").agg(N().alias("n"), F.sum("value").alias("v"), F.sum("volume").alias("vol"), F.count_if("attempt").alias("h"))
-    i = (t.intervals if intervals is None else intervals).where("role = 1").select("season", "team_id", "interval_id", "owner_id", "start_week", "end_week")
-    return win.group_count(joins.interval_join(cell, i, ["season", "team_id"], "week", "start_week", "end_week"), ["season", "team_id", "week", "actor_id"], "k")
+PLACE, SPAN = ["season", "team_id"], ("start_week", "end_week")
+
+
+def cells(t, *by):
+    """Weekly totals of plays by team and `by`."""
+    return t.plays.groupBy("season", "team_id", "week", *by).agg(N().alias("n"), F.sum("value").alias("v"), F.sum("volume").alias("vol"), F.count_if("attempt").alias("h"))
+
+
+def assigned(t):
+    return assigned_of(t.intervals)
+
+
+def assigned_of(i):
+    return i.where("role = 1").select("season", "team_id", "interval_id", "owner_id", "start_week", "end_week", "shared")
+
+
+def owner_weeks(i):
+    """season, team_id, week, owner_id, c (intervals of the owner that hold the week), k (intervals of all owners)."""
+    k = intervals.cover_points(i, PLACE, *SPAN, "week")
+    return intervals.cover_points(i, [*PLACE, "owner_id"], *SPAN, "week").withColumnRenamed("k", "c").join(k, [*PLACE, "week"])
+
+
+def exposures(t, i):
+    """interval_id, owner_id, team_id, season, actor_id, points, e, v, vol: the plays of each actor within each interval, their values and volumes,
+    all divided by the number of intervals that hold the week."""
+    k = intervals.cover_points(i, PLACE, *SPAN, "week")
+    part = cells(t, "actor_id").join(k, [*PLACE, "week"]).select(*PLACE, "week", "actor_id", (C("n") / C("k")).alias("e"), (C("v") / C("k")).alias("v"), (C("vol") / C("k")).alias("vol"))
+    return intervals.exposures(part, i, PLACE, "actor_id", "week", *SPAN, ["e", "v", "vol"], ["interval_id", "owner_id", *PLACE])
 
 
 @query("J03_pressure_and_defence", """
@@ -136,22 +159,30 @@ def _(t):
 
 @query("J27_q_availability", f"WITH {ATTR} SELECT owner_id, team_id, season, CAST(sum(n) AS BIGINT) AS exposure, round(sum(v)::DOUBLE / sum(n)::DOUBLE, 6) AS signal FROM j GROUP BY 1, 2, 3")
 def _(t):
-    return attributed(t).groupBy("owner_id", "team_id", "season").agg(F.sum("n").alias("exposure"), F.round(F.sum("v") / F.sum("n"), 6).alias("signal"))
+    # a row a team and week meets a row a team, week and owner
+    both = cells(t).join(owner_weeks(assigned(t)), [*PLACE, "week"])
+    return both.groupBy("owner_id", "team_id", "season").agg(F.sum(C("n") * C("c")).alias("exposure"), F.round(F.sum(C("v") * C("c")) / F.sum(C("n") * C("c")), 6).alias("signal"))
 
 
 @query("J29_verified_attribution", f"""WITH {ATTR} SELECT CASE WHEN k = 1 THEN 'attributed' ELSE 'ambiguous' END AS outcome, season, CAST(sum(n // 1) AS BIGINT) AS plays_n FROM (SELECT DISTINCT season, team_id, week, actor_id, n, k FROM j) GROUP BY 1, 2
 UNION ALL SELECT 'missing', season, CAST(sum(n) AS BIGINT) FROM cell c WHERE NOT EXISTS (SELECT 1 FROM j WHERE j.season = c.season AND j.team_id = c.team_id AND j.week = c.week) GROUP BY season""")
 def _(t):
-    cell = t.plays.groupBy("season", "team_id", "week").agg(N().alias("n"))
-    cover = t.intervals.where("role = 1").withColumn("week", F.explode(F.sequence("start_week", "end_week"))).groupBy("season", "team_id", "week").agg(N().alias("k"))
-    j = cell.join(cover, ["season", "team_id", "week"], "left")
+    j = intervals.covered(cells(t), intervals.cover_points(assigned(t), PLACE, *SPAN, "week"), [*PLACE, "week"])
     outcome = F.when(C("k").isNull(), "missing").when(C("k") == 1, "attributed").otherwise("ambiguous")
     return j.groupBy(outcome.alias("outcome"), "season").agg(F.sum("n").alias("plays_n"))
 
 
-@query("J30_strict_attribution", f"WITH {ATTR} SELECT season, team_id, week, actor_id, owner_id, n, round(1.0::DOUBLE / k, 9) AS weight, round(n::DOUBLE / k, 6) AS weighted FROM j")
+@query("J30_strict_attribution", f"""WITH {ATTR} SELECT season, team_id, week, actor_id, owner_id, any_value(n) AS n, round(count(*)::DOUBLE / any_value(k), 9) AS weight, round(count(*) * any_value(n)::DOUBLE / any_value(k), 6) AS weighted, CASE WHEN any_value(k) = 1 THEN 'sole' ELSE 'split' END AS reason FROM j GROUP BY 1, 2, 3, 4, 5
+UNION ALL SELECT season, team_id, week, actor_id, NULL, n, NULL, NULL, 'uncovered' FROM cell WHERE (season, team_id, week) NOT IN (SELECT (season, team_id, week) FROM j)""")
 def _(t):
-    return attributed(t).select("season", "team_id", "week", "actor_id", "owner_id", "n", F.round(1.0 / C("k"), 9).alias("weight"), F.round(C("n") / C("k"), 6).alias("weighted"))
+    return strict_attribution(t)
+
+
+def strict_attribution(t, strict=False):
+    """Each actor's week of plays by owner, with the owner's share of it; what no owner covers stays with its reason, or is an error."""
+    out = intervals.covered(cells(t, "actor_id"), owner_weeks(assigned(t)), [*PLACE, "week"], strict)
+    share = C("c") / C("k")
+    return out.select(*PLACE, "week", "actor_id", "owner_id", "n", F.round(share, 9).alias("weight"), F.round(C("n") * share, 6).alias("weighted"), F.when(C("k").isNull(), "uncovered").when(C("k") == 1, "sole").otherwise("split").alias("reason"))
 
 
 @query("J31_league_centred_value", "WITH o AS (SELECT season, actor_id % 40 AS owner, CAST(sum(value) AS BIGINT) AS v, count(*) AS n FROM plays GROUP BY 1, 2), l AS (SELECT season, sum(v)::DOUBLE / sum(n)::DOUBLE AS weighted, avg(v::DOUBLE / n) AS plain FROM o GROUP BY 1) SELECT season, owner, round(v::DOUBLE / n - weighted, 6) AS centred, round(v::DOUBLE / n - plain, 5) AS centred_plain FROM o JOIN l USING (season)")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import joins
+from ..operators import intervals, joins
 from .registry import query
 
 
@@ -17,8 +17,10 @@ def _(t):
 @query("C02_interval_join", """
 SELECT game_id, play_id, interval_id, owner_id, count(*) AS n FROM plays p JOIN intervals i ON p.season = i.season AND p.team_id = i.team_id AND p.week BETWEEN i.start_week AND i.end_week WHERE i.role = 1 GROUP BY 1, 2, 3, 4""")
 def _(t):
+    # repeated plays are counted first, and both sides meet by week too: every row that the join makes is a row of the result
     i = t.intervals.where("role = 1").select("season", "team_id", "start_week", "end_week", "interval_id", "owner_id")
-    return joins.interval_join(t.plays, i, ["season", "team_id"], "week", "start_week", "end_week").groupBy("game_id", "play_id", "interval_id", "owner_id").agg(F.count(F.lit(1)).alias("n"))
+    plays = t.plays.groupBy("game_id", "play_id", "season", "team_id", "week").agg(F.count(F.lit(1)).alias("n"))
+    return intervals.point_join(plays, i, ["season", "team_id"], "week", "start_week", "end_week").groupBy("game_id", "play_id", "interval_id", "owner_id").agg(F.sum("n").alias("n"))
 
 
 PARTIAL = "part AS (SELECT * FROM actor_seasons WHERE volume >= 1500)"
@@ -75,8 +77,8 @@ OVERLAPS = """lapping AS (SELECT a.season, a.team_id, a.role, a.interval_id AS a
 FROM intervals a JOIN intervals b ON a.season = b.season AND a.team_id = b.team_id AND a.role = b.role AND a.interval_id < b.interval_id AND a.start_week <= b.end_week AND b.start_week <= a.end_week)"""
 
 
-def overlaps(t):
-    out = joins.overlap_pairs(t.intervals, ["season", "team_id", "role"], "interval_id", "start_week", "end_week", ["shared"])
+def overlaps(t, shared=None):
+    out = intervals.conflict_pairs(t.intervals, ["season", "team_id", "role"], "interval_id", "start_week", "end_week", ["shared"], shared)
     return out.select("season", "team_id", "role", F.col("a_interval_id").alias("a_id"), F.col("b_interval_id").alias("b_id"), "overlap_start", "overlap_end", "a_shared", "b_shared")
 
 
@@ -87,7 +89,7 @@ def _(t):
 
 @query("C09_illegal_overlap_check", f"WITH {OVERLAPS} SELECT season, team_id, role, a_id, b_id FROM lapping WHERE NOT (a_shared AND b_shared)")
 def _(t):
-    return overlaps(t).where("NOT (a_shared AND b_shared)").select("season", "team_id", "role", "a_id", "b_id")
+    return overlaps(t, "shared").select("season", "team_id", "role", "a_id", "b_id")
 
 
 @query("C10_alias_validity_overlap", """
@@ -97,7 +99,7 @@ def _(t):
     k = F.col("s_suppkey")
     first = F.date_add(F.lit("1995-01-01").cast("date"), (k * 20 % 2000).cast("int"))
     v = t.raw("supplier").select(k.alias("k"), F.col("s_nationkey").alias("alias"), first.alias("valid_from"), F.coalesce(F.when(k % 4 != 0, F.date_add(first, 300)), F.lit("9999-12-31").cast("date")).alias("valid_to"))
-    out = joins.overlap_pairs(v, ["alias"], "k", "valid_from", "valid_to", [])
+    out = intervals.conflict_pairs(v, ["alias"], "k", "valid_from", "valid_to", [], width=64)
     return out.select("alias", "a_k", "b_k", F.date_format("overlap_start", "yyyy-MM-dd").alias("since"))
 
 

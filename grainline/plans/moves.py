@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import joins, stats
 from ..sources.shared import cut
-from .domain import ATTR, attributed
+from .domain import ATTR, assigned_of, exposures
 from .registry import query
 from .reliability import _MAIN
 from .states import main_opponent
@@ -171,7 +171,7 @@ _PRIOR = "status = 'verified'"
 u AS (SELECT 'prior' AS batch, interval_id, actor_id, sum(n::DOUBLE / k) AS exposure, sum(v::DOUBLE / k) AS value FROM j1 GROUP BY 2, 3 UNION ALL SELECT 'new', interval_id, actor_id, sum(n::DOUBLE / k), sum(v::DOUBLE / k) FROM j2 GROUP BY 2, 3)
 SELECT batch, interval_id, actor_id, round(exposure, 6) AS exposure, round(value, 3) AS value, count(*) OVER (PARTITION BY interval_id, actor_id) > 1 AS repeated FROM u""")
 def _(t):
-    sums = lambda i: attributed(t, i).groupBy("interval_id", "actor_id").agg(F.sum(C("n") / C("k")).alias("exposure"), F.sum(C("v") / C("k")).alias("value"))
+    sums = lambda i: exposures(t, assigned_of(i)).select("interval_id", "actor_id", C("e").alias("exposure"), C("v").alias("value"))
     done = cut(sums(t.intervals.where(_PRIOR)), "attributed")
     # only intervals that earlier runs did not hold are attributed, and appended
     held = t.intervals.where(_PRIOR).select("interval_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import quality, reshape
 from ..operators import windows as win
 from . import aggs as bound
-from .domain import ATTR, attributed
+from .domain import ATTR, PLACE, assigned, cells, owner_weeks
 from .registry import query
 
 C = F.col
@@ -155,9 +155,12 @@ def _(t):
 SELECT interval_id, actor_id, week, unnest(list_filter([CASE WHEN week < start_week OR week > claimed_end THEN 'outside' END, CASE WHEN abs(weight * k - 1) > 1e-9 THEN 'arithmetic' END, CASE WHEN same > 1 THEN 'repeated' END, CASE WHEN source > season THEN 'future' END], lambda x: x IS NOT NULL)) AS rule FROM e""")
 def _(t):
     own = C("owner_id")
-    e = attributed(t).select("interval_id", "owner_id", "actor_id", "season", "week", "start_week", "k", (C("end_week") - F.when(own % 7 == 0, 2).otherwise(0)).alias("claimed_end"), (C("season") + F.when(own % 13 == 0, 1).otherwise(0)).alias("source"), F.when(own % 11 == 0, F.lit(1.0)).otherwise(1.0 / C("k")).alias("weight"))
-    e = win.group_count(e, ["owner_id", "actor_id", "season", "week"], "same")  # a week's intervals of an owner and an actor are few
-    return quality.rule_violations(e, ["interval_id", "actor_id", "week"], {"outside": ~C("week").between(C("start_week"), C("claimed_end")), "arithmetic": F.abs(C("weight") * C("k") - 1) > 1e-9, "repeated": C("same") > 1, "future": C("source") > C("season")})
+    i = assigned(t)
+    # the rules speak of an interval and a week: they are judged there, and only what violates one meets the actors of the week
+    e = i.withColumn("week", F.explode(F.sequence("start_week", "end_week"))).join(owner_weeks(i), [*PLACE, "owner_id", "week"])
+    e = e.select("interval_id", *PLACE, "week", "start_week", "k", C("c").alias("same"), (C("end_week") - F.when(own % 7 == 0, 2).otherwise(0)).alias("claimed_end"), (C("season") + F.when(own % 13 == 0, 1).otherwise(0)).alias("source"), F.when(own % 11 == 0, F.lit(1.0)).otherwise(1.0 / C("k")).alias("weight"))
+    found = quality.rule_violations(e, ["interval_id", *PLACE, "week"], {"outside": ~C("week").between(C("start_week"), C("claimed_end")), "arithmetic": F.abs(C("weight") * C("k") - 1) > 1e-9, "repeated": C("same") > 1, "future": C("source") > C("season")})
+    return found.join(cells(t, "actor_id").select(*PLACE, "week", "actor_id"), [*PLACE, "week"]).select("interval_id", "actor_id", "week", "rule")
 
 
 @query("I05_feature_record_validation", f"""WITH {bound.RECORDS}, reg AS (SELECT 'rate' AS feature, 'preseason' AS timing, 1 AS lag, 3 AS span, true AS allowed, false AS nullable UNION ALL SELECT 'share', 'season_end', 2, 2, false, true),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import windows as win
-from ..operators.joins import overlap_pairs
+from ..operators.intervals import overlap_links
 from ..sources.shared import cut
 from . import aggs as bound
 from .registry import query
@@ -91,8 +91,7 @@ def _(t):
 
 @query("L11_network_edges", "SELECT a.season, a.team_id, a.owner_id AS a, b.owner_id AS b, count(*) AS links FROM intervals a JOIN intervals b ON a.season = b.season AND a.team_id = b.team_id AND a.owner_id < b.owner_id AND a.start_week <= b.end_week AND b.start_week <= a.end_week GROUP BY 1, 2, 3, 4")
 def _(t):
-    p = overlap_pairs(t.intervals, ["season", "team_id"], "owner_id", "start_week", "end_week", [])
-    return p.groupBy("season", "team_id", C("a_owner_id").alias("a"), C("b_owner_id").alias("b")).agg(F.count(F.lit(1)).alias("links"))
+    return overlap_links(t.intervals, ["season", "team_id"], "owner_id", "start_week", "end_week", {"links": F.lit(True)})
 
 
 #: Edges that a source node shows at most, the first by name; n_edges has how many there are.
@@ -114,8 +113,8 @@ def edges(t):
     verified = lambda c: F.avg(c.cast("int")).alias("complete")
     own = t.intervals.groupBy("owner_id", "team_id", "season").agg(n, verified(C("status") == "verified")).select(F.lit("owner").alias("mode"), node("owner", "owner_id").alias("src"), node("team", "team_id", "season").alias("dst"), F.lit("owns").alias("kind"), "weight", "complete", C("owner_id").alias("cited"))
     act = t.actor_seasons.select(F.lit("actor").alias("mode"), node("actor", "actor_id").alias("src"), node("team", "team_id", "season").alias("dst"), F.lit("plays_for").alias("kind"), C("plays").alias("weight"), one, C("actor_id").alias("cited"))
-    p = overlap_pairs(t.intervals, ["season", "team_id"], "owner_id", "start_week", "end_week", ["status"])
-    pair = p.groupBy("a_owner_id", "b_owner_id").agg(n, verified((C("a_status") == "verified") & (C("b_status") == "verified"))).select(F.lit("network").alias("mode"), node("owner", "a_owner_id").alias("src"), node("owner", "b_owner_id").alias("dst"), F.lit("works_with").alias("kind"), "weight", "complete", C("a_owner_id").alias("cited"))
+    p = overlap_links(t.intervals, ["season", "team_id"], "owner_id", "start_week", "end_week", {"links": F.lit(True), "verified": C("status") == "verified"})
+    pair = p.groupBy("a", "b").agg(F.sum("links").alias("weight"), (F.sum("verified") / F.sum("links")).alias("complete")).select(F.lit("network").alias("mode"), node("owner", "a").alias("src"), node("owner", "b").alias("dst"), F.lit("works_with").alias("kind"), "weight", "complete", C("a").alias("cited"))
     met = t.plays.groupBy("team_id", "opponent_id", "season").agg(n).select(F.lit("schedule").alias("mode"), node("team", "team_id", "season").alias("src"), node("team", "opponent_id", "season").alias("dst"), F.lit("meets").alias("kind"), "weight", one, C("team_id").cast("long").alias("cited"))
     pages = t.raw("pages").groupBy(C("page_id").alias("cited")).agg(F.count(F.lit(1)).alias("citations"))
     every = cut(own.unionByName(act).unionByName(pair).unionByName(met), "edges").join(pages, "cited", "left").withColumn("citations", F.coalesce("citations", F.lit(0)))

@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rates
-from ..operators import joins, reshape
+from ..operators import intervals, joins, reshape
 from ..sources.shared import cut
 from . import aggs as bound
-from .domain import ATTR, attributed
+from .domain import ATTR, PLACE, SPAN, assigned, cells, exposures, owner_weeks
 from .projection import PROJ, projections
 from .registry import query
 from .reliability import _MAIN
@@ -63,13 +63,18 @@ def expectations(t):
     return projections(t).where("outcome = 'y' AND model = 'level'").select("actor_id", "season", "y", "p")
 
 
-@query("J02_coach_exposures", f"""WITH {PROJ}, {_EXPECT}, {ATTR}, x AS (SELECT interval_id, j.actor_id, season, sum(n::DOUBLE / k) AS e, sum(v::DOUBLE / k) AS v, sum(vol::DOUBLE / k) AS vol FROM j GROUP BY 1, 2, 3)
-SELECT interval_id, x.actor_id, round(e, 6) AS exposure, round(v, 3) AS value, round(p * vol, 1) AS expected, round(v - p * vol, 1) AS over_expected, CASE WHEN p IS NULL THEN 'no_expectation' WHEN e < 25 THEN 'below_minimum' END AS exclusion FROM x LEFT JOIN ex ON ex.actor_id = x.actor_id AND ex.season = x.season""")
+@query("J02_coach_exposures", f"""WITH {PROJ}, {_EXPECT}, {ATTR}, x AS (SELECT interval_id, j.actor_id, season, sum(n::DOUBLE / k) AS e, sum(v::DOUBLE / k) AS v, sum(vol::DOUBLE / k) AS vol FROM j GROUP BY 1, 2, 3),
+lap AS (SELECT a.interval_id AS a_id, b.interval_id AS b_id, a.shared AND b.shared AS both_shared FROM intervals a JOIN intervals b ON a.season = b.season AND a.team_id = b.team_id AND a.role = 1 AND b.role = 1 AND a.interval_id < b.interval_id AND a.start_week <= b.end_week AND b.start_week <= a.end_week)
+SELECT interval_id, CASE WHEN interval_id NOT IN (SELECT unnest([a_id, b_id]) FROM lap) THEN 'none' WHEN interval_id IN (SELECT unnest([a_id, b_id]) FROM lap WHERE NOT both_shared) THEN 'illegal' ELSE 'shared' END AS overlap, x.actor_id, round(e, 6) AS exposure, round(v, 3) AS value, round(p * vol, 1) AS expected, round(v - p * vol, 1) AS over_expected, CASE WHEN p IS NULL THEN 'no_expectation' WHEN e < 25 THEN 'below_minimum' END AS exclusion FROM x LEFT JOIN ex ON ex.actor_id = x.actor_id AND ex.season = x.season""")
 def _(t):
-    x = attributed(t).groupBy("interval_id", "actor_id", "season").agg(F.sum(C("n") / C("k")).alias("e"), F.sum(C("v") / C("k")).alias("v"), F.sum(C("vol") / C("k")).alias("vol"))
-    out = joins.checked_join(x, expectations(t).drop("y"), ["actor_id", "season"], "left", "m:1")
+    i = assigned(t)
+    out = joins.checked_join(exposures(t, i), expectations(t).drop("y"), ["actor_id", "season"], "left", "m:1")
     want = C("p") * C("vol")
-    return out.select("interval_id", "actor_id", F.round("e", 6).alias("exposure"), F.round("v", 3).alias("value"), F.round(want, 1).alias("expected"), F.round(C("v") - want, 1).alias("over_expected"), F.when(C("p").isNull(), "no_expectation").when(C("e") < 25, "below_minimum").alias("exclusion"))
+    # what overlaps another owner's interval: legal where both are shared
+    others = intervals.overlap_counts(i, PLACE, *SPAN, {"n": F.lit(1), "own": (~C("shared")).cast("int")})
+    legal = others.select("interval_id", F.when(C("over_n") == 1, "none").when(C("shared") & (C("over_own") == 0), "shared").otherwise("illegal").alias("overlap"))
+    out = out.join(legal, "interval_id")
+    return out.select("interval_id", "overlap", "actor_id", F.round("e", 6).alias("exposure"), F.round("v", 3).alias("value"), F.round(want, 1).alias("expected"), F.round(C("v") - want, 1).alias("over_expected"), F.when(C("p").isNull(), "no_expectation").when(C("e") < 25, "below_minimum").alias("exclusion"))
 
 
 @query("J06_inherited_environment", f"""WITH {bound.SIDES}, o AS (SELECT season, team, sum(other)::DOUBLE / count(*) AS allowed FROM sides GROUP BY 1, 2), q AS (SELECT season, team_id AS team, sum(value)::DOUBLE / sum(volume) AS quality, CAST(sum(plays) AS BIGINT) AS plays FROM actor_seasons WHERE plays >= 20 GROUP BY 1, 2),
@@ -230,7 +235,7 @@ def _(t):
 SELECT interval_id, owner_id, e.actor_id, round(exposure, 6) AS exposure, round(e.value, 3) AS value, round(c.y - b.y, 5) AS movement, round(pae, 3) AS pae, round(ts.value::DOUBLE / ts.volume, 6) AS environment_value, round(ts.attempts::DOUBLE / ts.plays, 9) AS environment_share, round(call_value, 5) AS call_value
 FROM e JOIN coh c ON c.actor_id = e.actor_id AND c.season = e.season LEFT JOIN coh b ON b.actor_id = e.actor_id AND b.season = e.season - 1 LEFT JOIN pae ON pae.actor_id = e.actor_id AND pae.season = e.season LEFT JOIN team_seasons ts ON ts.team_id = e.team_id AND ts.season = e.season - 1 JOIN mv ON mv.team_id = e.team_id AND mv.season = e.season""")
 def _(t):
-    e = attributed(t).groupBy("interval_id", "owner_id", "team_id", "season", "actor_id").agg(F.sum(C("n") / C("k")).alias("exposure"), F.sum(C("v") / C("k")).alias("value"))
+    e = exposures(t, assigned(t)).withColumnsRenamed({"e": "exposure", "v": "value"})
     move = joins.lag_join(coh(t).select("actor_id", "season", "y"), ["actor_id"], "season", ["y"]).select("actor_id", "season", (C("y") - C("prior_y")).alias("movement"))
     place = t.team_seasons.select("team_id", (C("season") + 1).alias("season"), (C("value") / C("volume")).alias("ev"), (C("attempts") / C("plays")).alias("es"))
     call = t.plays.groupBy("team_id", "season").agg((F.avg(F.when(C("attempt"), C("value"))) - F.avg(F.when(~C("attempt"), C("value")))).alias("call_value"))
@@ -245,8 +250,9 @@ SELECT h.owner_id, h.team_id, h.season, round(h.q, 5) AS q, round(h.p, 8) AS p,
 FROM h LEFT JOIN s f ON f.owner_id = h.owner_id AND f.team_id = h.team_id AND f.season = h.season + 1 LEFT JOIN s b ON b.owner_id = h.owner_id AND b.team_id = h.team_id AND b.season = h.season - 1 LEFT JOIN la ON la.owner_id = h.owner_id AND la.season = h.season - 1""")
 def _(t):
     k = ["owner_id", "team_id", "season"]
-    share = lambda c: F.sum(C(c) / C("k"))
-    s = cut(attributed(t).groupBy(*k).agg((share("v") / share("n")).alias("q"), (share("h") / share("n")).alias("p"), share("n").alias("exposure")), "signals")
+    share = lambda c: F.sum(C(c) * C("c") / C("k"))
+    both = cells(t).join(owner_weeks(assigned(t)), [*PLACE, "week"])
+    s = cut(both.groupBy(*k).agg((share("v") / share("n")).alias("q"), (share("h") / share("n")).alias("p"), share("n").alias("exposure")), "signals")
     past = Window.partitionBy("owner_id").orderBy("season").rangeBetween(Window.unboundedPreceding, -1)
     folds = s.select("season").distinct().withColumn("fold", F.dense_rank().over(Window.orderBy("season")))  # a row a season
     out = s.withColumn("history", N().over(past)).join(F.broadcast(folds), "season")
