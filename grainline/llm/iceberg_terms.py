@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,9 +163,9 @@ def term_counts(docs: DataFrame, bits, first: int) -> DataFrame:
 
     def out(tally: Tally, groups: dict, terms: dict) -> pa.RecordBatch:
         keys, sums = tally.reduce()
-        own, named = list(groups), list(terms)
-        group, term = (keys >> U64(32)).astype(np.int64), (keys & U64(0xFFFFFFFF)).astype(np.int64)
-        columns = [pa.array([own[g][0] for g in group.tolist()], pa.string()), pa.array([own[g][1] for g in group.tolist()], pa.string()), pa.array([named[t].decode() for t in term.tolist()], pa.string()), pa.array(sums[:, 0]), pa.array(sums[:, 1])]
+        group, term = pa.array((keys >> U64(32)).astype(np.int64)), pa.array((keys & U64(0xFFFFFFFF)).astype(np.int64))
+        names = [pa.array([g[i] for g in groups], pa.string()) for i in (0, 1)]
+        columns = [names[0].take(group), names[1].take(group), pa.array([t.decode() for t in terms], pa.string()).take(term), pa.array(sums[:, 0]), pa.array(sums[:, 1])]
         tally.clear(), groups.clear(), terms.clear()
         return pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
 
@@ -223,25 +224,23 @@ def pair_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(others), pa.string()), pa.array([names[i] for i in others], pa.string()), pa.array([names[o]] * len(others), pa.string()), pa.array(value[others])], ["lang", "source", "item", "value"])
 
     for batch in batches:
-        for r in batch.to_pylist():
-            names = [s["source"] for s in r["sources"]]
-            place = {s: i for i, s in enumerate(names)}
-            total = np.array([s["n"] for s in r["sources"]], np.int64) + r["kept"]
+        for lang, kept, own, terms in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+            source, size = own.values.flatten()
+            names, total = source.to_pylist(), size.to_numpy(zero_copy_only=False) + kept
             step = max(1, (1 << 20) // len(names))
-            for b in range(0, len(r["terms"]), step):
-                part = r["terms"][b:b + step]
+            for b in range(0, len(terms.values), step):
+                part = terms.values.slice(b, step)
+                of, count = part.flatten().flatten()
                 n = np.zeros((len(part), len(names)), np.int64)
-                for i, by in enumerate(part):
-                    for s in by:
-                        n[i, place[s["source"]]] = s["n"]
+                n[np.repeat(np.arange(len(part)), part.value_lengths().to_numpy(zero_copy_only=False)), pc.index_in(of, value_set=source).to_numpy(zero_copy_only=False)] = count.to_numpy(zero_copy_only=False)
                 p = _share(n, total[None, :])
                 for o in range(len(names)):
                     q = p[:, o:o + 1]
                     value = ((p - q) ** 2 // q).sum(0)
-                    if (r["lang"], o) in sums:
-                        sums[r["lang"], o][1][:] += value
+                    if (lang, o) in sums:
+                        sums[lang, o][1][:] += value
                     else:
-                        sums[r["lang"], o] = (names, value)
+                        sums[lang, o] = (names, value)
                         cells += len(names)
                     if cells > 1 << 21:
                         yield from out()
@@ -251,7 +250,8 @@ def pair_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def exact_share(n: str, total: str):
     """p as a column, in decimals where counts need it."""
-    return F.expr(f"1L + (CAST({SCALE} AS DECIMAL(10,0)) * CAST({n} + 1 AS DECIMAL(20,0))) div CAST({total} AS DECIMAL(20,0))")
+    exact = f"(CAST({SCALE} AS DECIMAL(10,0)) * CAST({n} + 1 AS DECIMAL(20,0))) div CAST({total} AS DECIMAL(20,0))"
+    return F.expr(f"1L + CASE WHEN {n} < 9000000000 THEN ({SCALE}L * ({n} + 1)) div {total} ELSE {exact} END")
 
 
 def audit(docs: DataFrame, min_docs: int = 3, top: int = TOP, first: int = FIRST) -> DataFrame:
