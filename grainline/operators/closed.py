@@ -1,9 +1,14 @@
 """Ridge regressions of up to three features in closed form, as SQL expressions over sums (family K).
 
-A fit needs the weighted sums of its features, outcome and their products only. Sums are grouped in one pass, cumulated, subtracted or
+A fit needs the weighted sums of its features, outcome and their products only. Sums are grouped, cumulated, subtracted or
 resampled as rows, and solved by expressions on the executors: no row of a group reaches the driver, however many groups are fitted.
 The outcome and the weight are columns y and w; the alpha is on standardised features, the intercept is free. A fit whose features are
 constant or collinear at alpha 0 has no coefficients (NULL).
+
+Sums and products are of differences from a centre, the mean of each column over all rows, so that an offset in the data costs no digits. The
+centre times the weights is a sum like the others (z), hence all of them stay linear: they can be added, subtracted and weighted, and
+mean = (z + s) / w. A feature counts as constant in a fit if its deviation is below what doubles tell apart: 1e-7 of the distance of
+the fit's mean from the centre, or 1e-15 of the mean itself.
 """
 
 from __future__ import annotations
@@ -15,17 +20,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def sum_expressions(features: list[str], y: str = "y", w: str = "w") -> dict[str, str]:
-    """n, w, sums s1 .., sy and products q11, q12, .., q1y, .., qyy as SQL aggregates. Features are numbered from 1."""
-    names = [*((str(i + 1), f) for i, f in enumerate(features)), ("y", y)]
-    out = {"n": "count(*)", "w": f"sum(CAST({w} AS DOUBLE))"}
-    out |= {f"s{k}": f"sum(CAST({w} AS DOUBLE) * {c})" for k, c in names}
-    out |= {f"q{a}{b}": f"sum(CAST({w} AS DOUBLE) * {x} * {z})" for i, (a, x) in enumerate(names) for b, z in names[i:]}
+def named(features: list[str], y: str = "y") -> list[tuple[str, str]]:
+    """The columns with their names in sums: features are numbered from 1."""
+    return [*((str(i + 1), f) for i, f in enumerate(features)), ("y", y)]
+
+
+def sum_expressions(features: list[str], y: str = "y", w: str = "w", centre: str = "CAST(0 AS DOUBLE)") -> dict[str, str]:
+    """n, w, sums s1 .., sy of differences from the centre, the centre's own z1 .., zy, and products q11, q12, .., q1y, .., qyy as SQL
+    aggregates. centre: an SQL number with a place for the name of the column."""
+    names, weight = named(features, y), f"CAST({w} AS DOUBLE)"
+    at = {k: centre.format(k) for k, _ in names}
+    out = {"n": "count(*)", "w": f"sum({weight})"}
+    out |= {f"z{k}": f"sum({weight} * {at[k]})" for k, _ in names}
+    out |= {f"s{k}": f"sum({weight} * ({c} - {at[k]}))" for k, c in names}
+    out |= {f"q{a}{b}": f"sum({weight} * ({x} - {at[a]}) * ({z} - {at[b]}))" for i, (a, x) in enumerate(names) for b, z in names[i:]}
     return out
 
 
 def sums(df: DataFrame, features: list[str], by: list[str | Column], y: str = "y", w: str = "w") -> DataFrame:
-    return df.groupBy(*by).agg(*(F.expr(e).alias(n) for n, e in sum_expressions(features, y, w).items()))
+    """Two passes: the centre (a row) and the sums around it. Rows of one call can be added up; those of two calls have two centres."""
+    centre = df.agg(*(F.expr(f"coalesce(avg(CAST({c} AS DOUBLE)), 0D)").alias(f"_centre_{k}") for k, c in named(features, y)))
+    return df.crossJoin(F.broadcast(centre)).groupBy(*by).agg(*(F.expr(e).alias(n) for n, e in sum_expressions(features, y, w, "_centre_{}").items()))
 
 
 def sum_names(p: int) -> list[str]:
@@ -49,9 +64,9 @@ def earlier_sql(rows: str, features: list[str], keys: str = "", window: int | No
 def moment_stages(p: int) -> list[dict[str, str]]:
     """Means, covariances, deviations and correlations from the sums."""
     idx = [str(i + 1) for i in range(p)]
-    first = {f"m{k}": f"s{k} / w" for k in [*idx, "y"]}
-    second = {f"c{a}{b}": f"q{a}{b} / w - m{a} * m{b}" for a, b in [*((k, k) for k in idx), *combinations(idx, 2), *((k, "y") for k in idx), ("y", "y")]}
-    third = {f"d{k}": f"CASE WHEN c{k}{k} > 1e-18 THEN sqrt(c{k}{k}) END" for k in idx}
+    first = {f"m{k}": f"(z{k} + s{k}) / w" for k in [*idx, "y"]} | {f"t{k}": f"s{k} / w" for k in [*idx, "y"]}
+    second = {f"c{a}{b}": f"q{a}{b} / w - t{a} * t{b}" for a, b in [*((k, k) for k in idx), *combinations(idx, 2), *((k, "y") for k in idx), ("y", "y")]}
+    third = {f"d{k}": f"CASE WHEN c{k}{k} > 1e-14 * t{k} * t{k} + 1e-30 * m{k} * m{k} THEN sqrt(c{k}{k}) END" for k in idx}
     fourth = {f"r{a}{b}": f"c{a}{b} / (d{a} * d{b})" for a, b in combinations(idx, 2)} | {f"g{k}": f"c{k}y / d{k}" for k in idx}
     return [first, second, third, fourth]
 
@@ -67,17 +82,19 @@ def solve_stages(which: list[int], alpha: str, p: int) -> list[dict[str, str]]:
         slope = {on[0]: f"g{on[0]} / k"}
     elif len(on) == 2:
         a, b = on
-        out = [{"det": f"k * k - {r(a, b)} * {r(a, b)}"}]
+        out = [{"raw_det": f"k * k - {r(a, b)} * {r(a, b)}"}]
         slope = {a: f"(k * g{a} - {r(a, b)} * g{b}) / det", b: f"(k * g{b} - {r(a, b)} * g{a}) / det"}
     else:
         a, b, c = on
         ab, ac, bc = r(a, b), r(a, c), r(b, c)
-        out = [{"det": f"k * k * k + 2 * {ab} * {ac} * {bc} - k * ({ab} * {ab} + {ac} * {ac} + {bc} * {bc})"}]
+        out = [{"raw_det": f"k * k * k + 2 * {ab} * {ac} * {bc} - k * ({ab} * {ab} + {ac} * {ac} + {bc} * {bc})"}]
         slope = {
             a: f"(g{a} * (k * k - {bc} * {bc}) + g{b} * ({ac} * {bc} - k * {ab}) + g{c} * ({ab} * {bc} - k * {ac})) / det",
             b: f"(g{a} * ({ac} * {bc} - k * {ab}) + g{b} * (k * k - {ac} * {ac}) + g{c} * ({ab} * {ac} - k * {bc})) / det",
             c: f"(g{a} * ({ab} * {bc} - k * {ac}) + g{b} * ({ab} * {ac} - k * {bc}) + g{c} * (k * k - {ab} * {ab})) / det",
         }
+    if out:
+        out.append({"det": "CASE WHEN raw_det > 1e-13 THEN raw_det END"})
     every = [str(i + 1) for i in range(p)]
     coefs = {f"b{k}": f"({slope[k]}) / d{k}" if k in slope else "CAST(0 AS DOUBLE)" for k in every}
     zero = {"b0": "my" + "".join(f" - b{k} * m{k}" for k in on)}

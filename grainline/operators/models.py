@@ -1,113 +1,86 @@
-"""Linear models from sufficient statistics (family K). Spark sums X'WX and X'Wy; the driver solves p x p systems."""
+"""Linear models whose columns are many, from sufficient statistics (family K)."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Columns of a Gram matrix that the driver may solve.
+#: Columns (levels of all blocks but the largest, and numbers) of a system that the driver solves: one of 2,000 takes it about a second and 64 MB.
 MOST_COLUMNS = 2000
+INTERCEPT = "1"
 
 
 @dataclass
-class Ridge:
-    features: list[str]
-    median: np.ndarray
-    mean: np.ndarray
-    sd: np.ndarray
-    coef: np.ndarray
-    intercept: float
-
-    def column(self):
-        """The prediction as a column expression: no Python runs on the executors."""
-        out = F.lit(float(self.intercept))
-        for f, med, m, s, b in zip(self.features, self.median, self.mean, self.sd, self.coef):
-            if s > 0:
-                out = out + (F.coalesce(F.col(f).cast("double"), F.lit(float(med))) - float(m)) / float(s) * float(b)
-        return out
-
-
-def gram(df: DataFrame, columns: list[str], weight: str, by: list[str] | None = None) -> DataFrame:
-    """Per group: n, and as arrays sum(w), sum(w x_i), sum(w x_i x_j) for i <= j. One row a group leaves each task."""
-    w, x = F.col(weight).cast("double"), [F.col(c).cast("double") for c in columns]
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum(w).alias("w"), F.array(*(F.sum(w * a) for a in x)).alias("s"), F.array(*(F.sum(w * x[i] * x[j]) for i in range(len(x)) for j in range(i, len(x)))).alias("q")]
-    return df.groupBy(*(by or [])).agg(*aggs)
-
-
-def unpack(w: float, s, q) -> tuple[np.ndarray, np.ndarray]:
-    """Weighted means and centred cross products of all columns."""
-    p = len(s)
-    s = np.array(s, float)
-    m = np.zeros((p, p))
-    m[np.triu_indices(p)] = q
-    m = m + np.triu(m, 1).T
-    return s / w, m - np.outer(s, s) / w
-
-
-def solve(w: float, s, q, features: int, alpha: float) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
-    """(coef on standardised features, intercept, mean, sd) of ridge with a free intercept; the last column is y."""
-    mean, cross = unpack(w, s, q)
-    sd = np.sqrt(np.maximum(np.diag(cross)[:features] / w, 0))
-    ok = sd > 1e-12
-    scale = np.where(ok, sd, 1)
-    a = cross[:features, :features] / np.outer(scale, scale)
-    b = cross[:features, features] / scale
-    coef = np.where(ok, np.linalg.solve(a + alpha * np.eye(features), b), 0)
-    return coef, float(mean[features]), mean[:features], np.where(ok, sd, 0)
-
-
-def ridge(train: DataFrame, features: list[str], y: str, weight: str, alpha: float) -> Ridge:
-    """Median impute, standardise, weighted ridge with a free intercept: two aggregates, one solve."""
-    if len(features) > MOST_COLUMNS:
-        raise ValueError("too many columns for one solve")
-    # medians only where values are absent, and within 1 / 10,000 of the rank: an exact one would gather the column in one buffer
-    middle = [F.when(F.count_if(F.col(f).isNull()) > 0, F.percentile_approx(F.col(f).cast("double"), 0.5, 10_000)) for f in features]
-    med = np.array([0.0 if v is None else v for v in train.agg(*middle).first()], float)
-    filled = train.where(F.col(y).isNotNull()).select(*(F.coalesce(F.col(f).cast("double"), F.lit(float(m))).alias(f) for f, m in zip(features, med)), F.col(y).cast("double").alias("_y"), F.col(weight).alias("_w"))
-    g = gram(filled, [*features, "_y"], "_w").first()
-    if not g["n"]:
-        return Ridge(features, med, med * 0, med * 0, med * 0, 0.0)
-    coef, intercept, mean, sd = solve(g["w"], g["s"], g["q"], len(features), alpha)
-    return Ridge(features, med, mean, sd, coef, intercept)
-
-
-def effective_df(train: DataFrame, features: list[str], weight: str, alpha: float) -> float:
-    """1 + sum(e / (e + alpha)) over the eigenvalues of the weighted centred Gram of standardised features."""
-    g = gram(train, features, weight).first()
-    _, cross = unpack(g["w"], g["s"], g["q"])
-    sd = np.sqrt(np.diag(cross) / g["w"])
-    e = np.linalg.eigvalsh(cross / np.outer(sd, sd))
-    return float(1 + (e / (e + alpha)).sum())
-
-
-def expanding_folds(df: DataFrame, season: str, features: list[str], y: str, weight: str, alphas: list[float]) -> DataFrame:
-    """For every season and alpha fit on all earlier seasons and predict it: season-wise Gram rows (a few), cumulated on the driver,
-    one solve a fold; the coefficients come back as a small table that is joined. Features must be present."""
-    rows = df
-    for c in [*features, y]:
-        rows = rows.where(F.col(c).isNotNull())
-    parts = {r[season]: r for r in gram(rows, [*features, y], weight, [season]).collect()}  # one row a season
-    seasons = sorted({*parts, *(r[0] for r in df.select(season).distinct().collect())})
-    table, w, s, q = [], 0.0, None, None
-    for k in seasons:
-        if s is not None:
-            for a in alphas:
-                coef, intercept, mean, sd = solve(w, s, q, len(features), a)
-                slope = [float(c / d) if d > 0 else 0.0 for c, d in zip(coef, sd)]
-                table.append((k, float(a), float(intercept - np.dot(slope, mean)), slope))
-        if k in parts:
-            r = parts[k]
-            w, s, q = w + r["w"], np.array(r["s"]) + (0 if s is None else s), np.array(r["q"]) + (0 if q is None else q)
-    kind = df.schema[season].dataType.simpleString()
-    folds = df.sparkSession.createDataFrame(table, f"{season} {kind}, alpha double, _b double, _c array<double>")
-    out = df.join(F.broadcast(folds), season)
-    p = F.col("_b")
-    for i, f in enumerate(features):
-        p = p + F.element_at("_c", i + 1) * F.col(f)
-    return out.withColumn("prediction", p).drop("_b", "_c")
+class Effects:
+    """A ridge with an effect for each level of each block: coef (of numbers, and of the levels of the small blocks) by name on the driver,
+    the largest block's effects in a table (level, effect)."""
+
+    numeric: dict[str, tuple[float, float, float]]
+    blocks: dict[str, Column]
+    big: Column
+    coef: dict[str, float]
+    table: DataFrame
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        """rows plus prediction. A level that the fit has not seen, or NULL, has effect 0."""
+        out, total = rows, F.lit(self.coef.get(INTERCEPT, 0.0))
+        for name, (middle, mean, sd) in self.numeric.items():
+            total = total + (F.coalesce(F.col(name).cast("double"), F.lit(middle)) - mean) / sd * self.coef.get(f"{name}:", 0.0)
+        for i, (block, level) in enumerate(self.blocks.items()):
+            own = [(k.split("=", 1)[1], v) for k, v in self.coef.items() if k.startswith(f"{block}=")]
+            table = rows.sparkSession.createDataFrame(own, f"_l{i} string, _e{i} double")
+            out = out.join(F.broadcast(table), level.cast("string") == F.col(f"_l{i}"), "left")
+            total = total + F.coalesce(f"_e{i}", F.lit(0.0))
+        out = out.join(self.table.select(F.col("level").alias("_level"), F.col("effect").alias("_effect")), self.big.cast("string") == F.col("_level"), "left")
+        return out.withColumn("prediction", total + F.coalesce("_effect", F.lit(0.0))).select(*rows.columns, "prediction")
+
+
+def ridge_effects(rows: DataFrame, numeric: list[str], blocks: dict[str, Column], big: Column, y: str, weight: str, alpha: float) -> Effects:
+    """The weighted ridge of y on standardised numbers and one 0/1 column a level of each block, with a free intercept, solved by block
+    elimination. Only products that occur are summed, as rows (column, column, sum). The largest block, `big`, has a diagonal Gram block, so
+    its levels are eliminated where they are: each takes g g' / (weight + alpha) off the rest's system, g its own sums by column, and gets its effect from
+    the rest's solution. Any number of its levels stays in a table; the driver solves the rest, at most MOST_COLUMNS columns (an error above).
+    NULL numbers take the median; rows without y are left out; a NULL level has no column."""
+    own = rows.where(F.col(y).isNotNull() & (F.col(weight) > 0))
+    w = F.col(weight).cast("double")
+    middle = [F.when(F.count_if(F.col(c).isNull()) > 0, F.percentile_approx(F.col(c).cast("double"), 0.5, 10_000)) for c in numeric]
+    first = own.agg((F.sum(w * F.col(y)) / F.sum(w)).alias("y"), *(m.alias(f"m{i}") for i, m in enumerate(middle))).first()
+    fill = {c: float(first[f"m{i}"] or 0.0) for i, c in enumerate(numeric)}
+    whole = {c: F.coalesce(F.col(c).cast("double"), F.lit(v)) for c, v in fill.items()}
+    means = own.agg(F.sum(w).alias("w"), *((F.sum(w * x) / F.sum(w)).alias(f"a{i}") for i, x in enumerate(whole.values()))).first()
+    mean = {c: float(means[f"a{i}"] or 0.0) for i, c in enumerate(numeric)}
+    spread = own.agg(F.lit(1), *((F.sum(w * (x - mean[c]) * (x - mean[c])) / F.sum(w)).alias(f"v{i}") for i, (c, x) in enumerate(whole.items()))).first()
+    scale = {c: (fill[c], mean[c], float(np.sqrt(spread[f"v{i}"]))) for i, c in enumerate(numeric) if (spread[f"v{i}"] or 0) > 1e-30 * mean[c] ** 2}
+    centre = float(first["y"] or 0.0)
+    term = lambda name, value: F.struct(name.alias("name"), value.alias("v"))
+    terms = [term(F.lit(INTERCEPT), F.lit(1.0)), *(term(F.lit(f"{c}:"), (whole[c] - m) / s) for c, (_, m, s) in scale.items()), *(term(F.concat(F.lit(f"{b}="), c.cast("string")), F.lit(1.0)) for b, c in blocks.items())]
+    data = own.select(big.cast("string").alias("level"), w.alias("w"), (w * (F.col(y) - centre)).alias("wy"), F.filter(F.array(*terms), lambda x: x["name"].isNotNull()).alias("terms"))
+
+    pairs = "flatten(transform({0}, a -> transform(filter({0}, b -> a.name <= b.name), b -> struct(a.name AS a, b.name AS b, {1} AS q))))"
+    products = data.select(F.explode(F.expr(pairs.format("terms", "w * a.v * b.v"))).alias("p")).select("p.*")
+    each = data.select("level", "w", "wy", F.explode("terms").alias("t")).select("level", "t.name", (F.col("w") * F.col("t.v")).alias("g"), (F.col("wy") * F.col("t.v")).alias("y"))
+    levels = data.where("level IS NOT NULL").groupBy("level").agg(F.sum("w").alias("w"), F.sum("wy").alias("h"))
+    held = each.where("level IS NOT NULL").groupBy("level", "name").agg(F.sum("g").alias("g")).groupBy("level").agg(F.collect_list(F.struct("name", "g")).alias("terms")).join(levels, "level")
+    taken = held.select(F.explode(F.expr(pairs.format("terms", f"-a.g * b.g / (w + {alpha!r}D)"))).alias("p")).select("p.*")
+    right = each.select("name", "y").unionByName(held.select(F.explode("terms").alias("t"), "h", "w").select(F.col("t.name").alias("name"), (-F.col("t.g") * F.col("h") / (F.col("w") + alpha)).alias("y")))
+    b = {r["name"]: r["y"] for r in right.groupBy("name").agg(F.sum("y").alias("y")).limit(MOST_COLUMNS + 1).collect()}
+    if len(b) > MOST_COLUMNS:
+        raise ValueError(f"more than {MOST_COLUMNS} columns beside the largest block")
+    at = {name: i for i, name in enumerate(sorted(b))}
+    a = np.diag([0.0 if name == INTERCEPT else float(alpha) for name in at])
+    for r in products.unionByName(taken).groupBy("a", "b").agg(F.sum("q").alias("q")).toLocalIterator():  # at most MOST_COLUMNS squared
+        i, j = at[r["a"]], at[r["b"]]
+        a[i, j] += r["q"]
+        a[j, i] += r["q"] if i != j else 0
+    solved = np.linalg.solve(a, [b[name] for name in at]) if at else []
+    coef = {name: float(v) for name, v in zip(at, solved)}
+    table = rows.sparkSession.createDataFrame(list(coef.items()), "name string, b double")
+    rest = held.select("level", "w", "h", F.explode("terms").alias("t")).join(F.broadcast(table), F.col("t.name") == F.col("name")).groupBy("level", "w", "h").agg(F.sum(F.col("t.g") * F.col("b")).alias("x"))
+    coef[INTERCEPT] = coef.get(INTERCEPT, 0.0) + centre
+    return Effects(scale, blocks, big, coef, rest.select("level", ((F.col("h") - F.col("x")) / (F.col("w") + alpha)).alias("effect")))
 
 
 def logistic(df: DataFrame, features: list[str], hits: str, n: str, iterations: int = 8) -> np.ndarray:
@@ -127,11 +100,3 @@ def logistic(df: DataFrame, features: list[str], hits: str, n: str, iterations:
         h[np.triu_indices(len(cols))] = r["h"]
         b = b + np.linalg.solve(h + np.triu(h, 1).T, np.array(r["g"], float))
     return b
-
-
-def inner_alpha(predictions: DataFrame, season: str, y: str) -> DataFrame:
-    """Per season the alpha with the least mean absolute error over earlier seasons' folds; ties take the larger."""
-    per = predictions.groupBy(season, "alpha").agg(F.sum(F.abs(F.col(y) - F.col("prediction"))).alias("e"), F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("alpha").orderBy(season).rangeBetween(Window.unboundedPreceding, -1)
-    seen = per.select(season, "alpha", (F.sum("e").over(w) / F.sum("n").over(w)).alias("mae")).where("mae IS NOT NULL")
-    return seen.groupBy(season).agg(F.min(F.struct(F.round("mae", 10).alias("mae"), (-F.col("alpha")).alias("a"))).alias("m")).select(season, (-F.col("m.a")).alias("alpha"), F.col("m.mae").alias("mae"))

@@ -1,4 +1,4 @@
-"""The rows that models are fitted on, and the ridge with one column a category (K02)."""
+"""The rows that models are fitted on, and the ridge with an effect for each season, team, owner and actor (K02)."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import models
 from ..operators.joins import checked_join, lag_join
+from ..sources.shared import cut
 from .registry import query
 from .stats import COH, coh
 
@@ -23,18 +24,34 @@ def training(t):
     return checked_join(rows.withColumn("mixed", C("prior_y") * C("prior_x1")), team, ["team_id", "season"], check=False)  # a row a team-season by its grouping
 
 
-def levels(rows, column):
-    """All values of the column, each to be a column of the model; an error above the model's most columns."""
-    got = [r[0] for r in rows.select(column).distinct().orderBy(column).limit(models.MOST_COLUMNS + 1).collect()]
-    if len(got) > models.MOST_COLUMNS:
-        raise ValueError(f"{column} has more than {models.MOST_COLUMNS} values")
-    return got
+EFFECTS_ALPHA, SWEEPS = 25.0, 400
+_BLOCKS = {"es": "season", "et": "team_id", "eo": "actor_id % 40", "ea": "actor_id"}
 
 
-@query("K02_ridge_fixed_effects")
+def _sweep_sql() -> str:
+    """One sweep of updates, a block after the other, each exact with the others held: what is left (r) less the block's change."""
+    out = "SELECT * FROM sweep WHERE k < {}".format(SWEEPS)
+    step = lambda e, d, x: f"SELECT * EXCLUDE (d) REPLACE (r - d * {x} AS r, {e} + d AS {e}) FROM (SELECT *, {d} AS d FROM ({{}}))"
+    out = step("b0", "sum(w * r) OVER () / sum(w) OVER ()", "1").format(out)
+    out = step("bz", f"(sum(w * r * z) OVER () - {EFFECTS_ALPHA} * bz) / (sum(w * z * z) OVER () + {EFFECTS_ALPHA})", "z").format(out)
+    for e, level in _BLOCKS.items():
+        out = step(e, f"(sum(w * r) OVER (PARTITION BY {level}) - {EFFECTS_ALPHA} * {e}) / (sum(w) OVER (PARTITION BY {level}) + {EFFECTS_ALPHA})", "1").format(out)
+    return f"SELECT * REPLACE (k + 1 AS k) FROM ({out})"
+
+
+@query("K02_ridge_fixed_effects", f"""WITH RECURSIVE {COH}, c0 AS (SELECT *, w / avg(w) OVER () AS v FROM coh), c1 AS (SELECT *, sum(v * x1) OVER () / sum(v) OVER () AS m FROM c0),
+c2 AS (SELECT actor_id, team_id, season, y, v AS w, (x1 - m) / sqrt(sum(v * (x1 - m) * (x1 - m)) OVER () / sum(v) OVER ()) AS z FROM c1),
+sweep AS (SELECT 0 AS k, *, y AS r, 0::DOUBLE AS b0, 0::DOUBLE AS bz, 0::DOUBLE AS es, 0::DOUBLE AS et, 0::DOUBLE AS eo, 0::DOUBLE AS ea FROM c2 UNION ALL {_sweep_sql()})
+SELECT actor_id, season, round(y, 4) AS y, round(y - r, 3) AS prediction, round(es, 3) AS season_effect, round(et, 3) AS team_effect, round(eo, 3) AS owner_effect, round(ea, 3) AS actor_effect FROM sweep WHERE k = {SWEEPS}""")
 def _(t):
-    rows = coh(t)
-    seasons, teams = levels(rows, "season"), levels(rows, "team_id")
-    wide = rows.select("actor_id", "season", "y", "w", "x1", *((C("season") == s).cast("double").alias(f"s{s}") for s in seasons), *((C("team_id") == k).cast("double").alias(f"t{k}") for k in teams))
-    m = models.ridge(wide, ["x1", *(f"s{s}" for s in seasons), *(f"t{k}" for k in teams)], "y", "w", 25.0)
-    return wide.select("actor_id", "season", "y", m.column().alias("prediction"))
+    rows = cut(coh(t).select("actor_id", "team_id", "season", "y", "x1", "w"), "rows")
+    rows = rows.crossJoin(F.broadcast(rows.agg(F.avg("w").alias("_w")))).withColumn("w", C("w") / C("_w")).drop("_w")
+    blocks = {"season": C("season"), "team": C("team_id"), "owner": C("actor_id") % 40}
+    m = models.ridge_effects(rows, ["x1"], blocks, C("actor_id"), "y", "w", EFFECTS_ALPHA)
+    out = m.predict(rows)
+    for name, level in blocks.items():
+        own = [(k.split("=", 1)[1], v) for k, v in m.coef.items() if k.startswith(f"{name}=")]
+        table = t.spark.createDataFrame(own, f"_{name} string, {name}_effect double")
+        out = out.join(F.broadcast(table), level.cast("string") == C(f"_{name}"))
+    out = out.join(m.table.select(C("level").alias("_actor"), C("effect").alias("actor_effect")), C("actor_id").cast("string") == C("_actor"))
+    return out.select("actor_id", "season", F.round("y", 4).alias("y"), *(F.round(c, 3).alias(c) for c in ("prediction", "season_effect", "team_effect", "owner_effect", "actor_effect")))

@@ -18,7 +18,10 @@ def query(name: str, sql: str | None = None):
     def keep(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
         if sql is not None:
-            ORACLE[name] = f"WITH {SQL_TABLES}\n{sql.strip()}" if not sql.strip().upper().startswith("WITH ") else f"WITH {SQL_TABLES},\n{sql.strip()[5:]}"
+            own = sql.strip()
+            recursive = "RECURSIVE " if own.upper().startswith("WITH RECURSIVE ") else ""
+            own = own[5 + len(recursive):] if own.upper().startswith("WITH ") else None
+            ORACLE[name] = f"WITH {SQL_TABLES}\n{sql.strip()}" if own is None else f"WITH {recursive}{SQL_TABLES},\n{own}"
         return fn
 
     return keep

@@ -295,7 +295,7 @@ def _(t):
     own = F.array_compact(F.array(*(F.when(F.expr(c), F.struct(F.lit(n).alias("spec"), F.expr(f"CAST({w} AS DOUBLE)").alias("sw"))) for n, (c, w) in SPECS.items())))
     rows = pairs(t).withColumn("s", F.explode(own)).select((C("actor_id") % 4).cast("int").alias("role"), "y", "prior_y", "s.*")
     g = cut(closed.sums(rows, ["prior_y"], ["spec", "role"], w="sw"), "moments")
-    return closed.chain(g, [*closed.moment_stages(1), *closed.solve_stages([1], "0", 1)]).select("spec", "role", "n", F.round("b1", 4).alias("slope"), F.round("b0", 2).alias("intercept"), F.round((C("sy") - C("s1")) / C("w"), 3).alias("shift"))
+    return closed.chain(g, [*closed.moment_stages(1), *closed.solve_stages([1], "0", 1)]).select("spec", "role", "n", F.round("b1", 4).alias("slope"), F.round("b0", 2).alias("intercept"), F.round(C("my") - C("m1"), 3).alias("shift"))
 
 
 @query("K61_call_repeatability", f"WITH {PAIRS}, s AS (SELECT season, count(*) AS n, {CORR.format(x='x1', y='prior_x1')} AS r, avg(x1) AS m FROM pairs GROUP BY 1) SELECT actor_id, season, n, round(r, 5) AS r, round(2 * r / (1 + r), 5) AS reliability, round(m + greatest(0, r) * (x1 - m), 6) AS shrunk FROM pairs JOIN s USING (season)")

@@ -109,38 +109,47 @@ def test_pearson_guards(spark):
     assert got[1] is None and got[2] is None and got[3] == pytest.approx(1)
 
 
-def test_ridge_against_numpy(spark):
-    r = np.random.default_rng(0)
-    x = r.normal(size=(60, 3))
-    y, w = x @ [1.0, -2.0, 0.5] + r.normal(size=60), r.uniform(1, 3, 60)
-    data = [(*map(float, a), float(b), float(c)) for a, b, c in zip(x, y, w)]
-    df = frame(spark, data, "a double, b double, c double, y double, w double")
-    m = models.ridge(df, ["a", "b", "c"], "y", "w", 5.0)
-    mean = (w[:, None] * x).sum(0) / w.sum()
-    sd = np.sqrt((w[:, None] * (x - mean) ** 2).sum(0) / w.sum())
-    z, yc = (x - mean) / sd, y - (w * y).sum() / w.sum()
-    want = np.linalg.solve((z * w[:, None]).T @ z + 5 * np.eye(3), (z * w[:, None]).T @ yc)
-    assert m.coef == pytest.approx(want)
-    p = [v[0] for v in df.select(m.column()).collect()]
-    assert p == pytest.approx(list(z @ want + (w * y).sum() / w.sum()))
-
-
-def test_fixed_effects_keep_every_level_or_raise(spark):
-    from grainline.plans.models import levels
-
-    assert levels(spark.range(150).withColumnRenamed("id", "team_id"), "team_id") == list(range(150))
-    with pytest.raises(ValueError):
-        levels(spark.range(models.MOST_COLUMNS + 1).withColumnRenamed("id", "team_id"), "team_id")
-
-
-def test_expanding_folds_do_not_see_the_target_or_later(spark):
-    r = np.random.default_rng(1)
-    data = [(s, float(r.normal()), float(r.normal()), 1.0) for s in range(2000, 2006) for _ in range(20)]
-    df = frame(spark, data, "season int, x double, y double, w double")
-    before = rows(models.expanding_folds(df, "season", ["x"], "y", "w", [1.0]).where("season < 2005").select("season", "x", F.round("prediction", 10)))
-    changed = df.withColumn("y", F.when(F.col("season") >= 2004, 99.0).otherwise(F.col("y")))
-    after = rows(models.expanding_folds(changed, "season", ["x"], "y", "w", [1.0]).where("season < 2005").select("season", "x", F.round("prediction", 10)))
-    assert before == after and before
+def ridge_by_numpy(data, alpha):
+    """Predictions of the ridge on x (standardised) and all levels of the blocks, the intercept free."""
+    names = sorted({(i, v) for row in data for i, v in enumerate(row[3:]) if v is not None})
+    x, y, w = (np.array([row[k] for row in data], float) for k in (0, 1, 2))
+    mean = w @ x / w.sum()
+    z = (x - mean) / np.sqrt(w @ (x - mean) ** 2 / w.sum())
+    m = np.array([[1.0, a, *(float(row[3 + i] == v) for i, v in names)] for row, a in zip(data, z)])
+    pen = alpha * np.eye(m.shape[1])
+    pen[0, 0] = 0
+    return m @ np.linalg.solve((m * w[:, None]).T @ m + pen, (m * w[:, None]).T @ y)
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e6])
+def test_fixed_effects_of_four_blocks_against_numpy(spark, offset):
+    r = np.random.default_rng(7)
+    data = [(float(r.normal()), float(r.normal()) + offset, float(r.uniform(0.5, 2)), int(r.integers(0, 5)), int(r.integers(0, 9)), [None, "p", "q", "r"][int(r.integers(0, 4))], int(r.integers(0, 40))) for _ in range(300)]
+    df = frame(spark, data, "x double, y double, w double, season int, team int, owner string, actor int")
+    m = models.ridge_effects(df, ["x"], {"season": F.col("season"), "team": F.col("team"), "owner": F.col("owner")}, F.col("actor"), "y", "w", 7.5)
+    got = m.predict(df).select("x", "prediction").collect()
+    assert [p for _, p in sorted(tuple(v) for v in got)] == pytest.approx([p for _, p in sorted(zip([d[0] for d in data], ridge_by_numpy(data, 7.5)))], abs=1e-6)
+    # an unseen level, a NULL one and a NULL number are predicted too; a row without y is not fitted
+    odd = m.predict(frame(spark, [(None, None, 1.0, 99, None, None, 99)], "x double, y double, w double, season int, team int, owner string, actor int")).first()["prediction"]
+    assert odd == pytest.approx(m.coef["1"] + (0 - m.numeric["x"][1]) / m.numeric["x"][2] * m.coef["x:"], abs=1e-6)
+    more = df.unionByName(frame(spark, [(1.0, None, 1.0, 1, 1, "p", 1)], "x double, y double, w double, season int, team int, owner string, actor int"))
+    assert models.ridge_effects(more, ["x"], {"season": F.col("season")}, F.col("actor"), "y", "w", 7.5).coef == pytest.approx(models.ridge_effects(df, ["x"], {"season": F.col("season")}, F.col("actor"), "y", "w", 7.5).coef)
+
+
+def test_fixed_effects_of_100_000_actors(spark):
+    """y = season + actor's parity: two blocks on the driver, 100,000 effects in a table."""
+    n = 100_000
+    df = spark.range(3 * n).select((F.col("id") % n).alias("actor"), (F.col("id") % 300 % 7).alias("season"), (F.col("id") % 25).alias("team"), F.lit(1.0).alias("w")).withColumn("y", F.col("season") * 10.0 + F.col("actor") % 2)
+    m = models.ridge_effects(df, [], {"season": F.col("season"), "team": F.col("team")}, F.col("actor"), "y", "w", 1e-3)
+    assert m.table.count() == n and m.coef["season=6"] - m.coef["season=0"] == pytest.approx(60, abs=0.1)
+    assert m.predict(df).agg(F.max(F.abs(F.col("y") - F.col("prediction")))).first()[0] < 0.05
+
+
+def test_too_many_columns_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(models, "MOST_COLUMNS", 5)
+    df = spark.range(20).select("id", F.lit(1.0).alias("w"), F.col("id").cast("double").alias("y"))
+    with pytest.raises(ValueError, match="more than 5"):
+        models.ridge_effects(df, [], {"k": F.col("id")}, F.col("id"), "y", "w", 1.0)
 
 
 def test_key_audit_shows_long_keys_whole(spark):
@@ -172,7 +181,8 @@ def test_effective_df_in_closed_form_equals_the_eigenvalues(spark):
     df = spark.createDataFrame([(*map(float, a), 0.0, 1.0) for a in x], "a double, b double, c double, y double, w double")
     g = closed.sums(df, ["a", "b", "c"], []).withColumn("alpha", F.lit(20.0))
     got = closed.chain(g, [*closed.moment_stages(3), *DF3]).first()["df"]
-    assert got == pytest.approx(models.effective_df(df, ["a", "b", "c"], "w", 20.0), abs=1e-9)
+    e = np.linalg.eigvalsh(100 * np.corrcoef(x.T))
+    assert got == pytest.approx(1 + (e / (e + 20.0)).sum(), abs=1e-9)
 
 
 def test_logistic_against_gradient_zero(spark):
@@ -184,20 +194,6 @@ def test_logistic_against_gradient_zero(spark):
     assert np.abs(x.T @ (np.array([h for *_, h in data]) - 50 * q)).max() < 1e-6
 
 
-def test_fixed_effects_against_numpy(spark):
-    r = np.random.default_rng(7)
-    data = [(int(r.integers(0, 4)), float(r.normal()), float(r.normal()), 1.0) for _ in range(80)]
-    df = frame(spark, data, "k int, x double, y double, w double")
-    wide = df.select("x", "y", "w", *((F.col("k") == i).cast("double").alias(f"k{i}") for i in range(4)))
-    m = models.ridge(wide, ["x", "k0", "k1", "k2", "k3"], "y", "w", 25.0)
-    z = np.array([[x, *(float(k == i) for i in range(4))] for k, x, *_ in data])
-    s = (z - z.mean(0)) / z.std(0)
-    y = np.array([y for _, _, y, _ in data])
-    want = y.mean() + s @ np.linalg.solve(s.T @ s + 25 * np.eye(5), s.T @ (y - y.mean()))
-    got = [r_[0] for r_ in wide.select(m.column()).collect()]
-    assert np.allclose(sorted(got), sorted(want))
-
-
 def test_global_ranks_and_row_index_need_no_single_task(spark):
     r = np.random.default_rng(8)
     data = [(int(i), int(v), float(u)) for i, (v, u) in enumerate(zip(r.integers(0, 40, 500), r.normal(size=500).round(1)))]
@@ -295,3 +291,37 @@ def test_queries_against_sql(spark, name):
     rel = con.sql(ORACLE[name])
     want = rel.project(", ".join(f'"{c}"' for c in sorted(rel.columns))).fetchall()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e6, 1e8])
+def test_closed_fits_keep_their_digits_beside_an_offset(spark, offset):
+    """The line y = 2 x + 1, also over folds, groups left out and cumulated seasons."""
+    data = [(s, "ab"[i % 2], offset + i, 2 * (offset + i) + 1 + 3 * (i % 3 - 1) * (s == 9), 1.0) for s in (1, 2, 3, 9) for i in range(7)]
+    df = frame(spark, data, "season int, grp string, x double, y double, w double")
+    exact = df.where("season < 9")
+    for rows_ in (exact.where("season = 1"), exact):
+        b = closed.fit(closed.sums(rows_, ["x"], []), [], 1, [1], "0").first()
+        assert b["b1"] == pytest.approx(2, abs=1e-9) and b["b0"] + b["b1"] * offset == pytest.approx(2 * offset + 1, rel=1e-12)
+    own = closed.sums(exact, ["x"], ["grp"])
+    total = own.agg(*(F.sum(c).alias(f"t_{c}") for c in closed.sum_names(1)))
+    rest = own.crossJoin(total).select("grp", *((F.col(f"t_{c}") - F.col(c)).alias(c) for c in closed.sum_names(1)))
+    assert all(r["b1"] == pytest.approx(2, abs=1e-9) for r in closed.fit(rest, ["grp"], 1, [1], "0").collect())
+    per = closed.sums(df, ["x"], ["season"])
+    past = closed.earlier(per, "season", df.select("season").distinct(), 1).where("n > 0")
+    assert [r["b1"] for r in closed.fit(past, ["season"], 1, [1], "0").collect()] == pytest.approx([2, 2, 2], abs=1e-9)
+    x, y = np.array([r[2] for r in data]), np.array([r[3] for r in data])
+    c = np.cov(x - offset, y - 2 * offset, bias=True)
+    assert closed.fit(closed.sums(df, ["x"], []), [], 1, [1], "0").first()["b1"] == pytest.approx(c[0, 1] / c[0, 0], rel=1e-9)
+
+
+def test_constant_features_have_no_slope_and_small_ones_do(spark):
+    for value in (0.1, 2000.3, 1000000.1, 1e12 + 0.7):
+        df = frame(spark, [(value, float(i), 1.0) for i in range(9)], "x double, y double, w double")
+        assert closed.fit(closed.sums(df, ["x"], []), [], 1, [1], "0").first()["b1"] is None
+        mixed = frame(spark, [(g, value if g == "k" else float(i), float(i), 1.0) for g in "kl" for i in range(9)], "g string, x double, y double, w double")
+        got = {r["g"]: r["b1"] for r in closed.fit(closed.sums(mixed, ["x"], ["g"]), ["g"], 1, [1], "0").collect()}
+        assert got["k"] is None and (got["l"] == pytest.approx(1, rel=1e-4) or value > 1e8)  # the centre is 10^5 deviations away
+    tiny = frame(spark, [(i * 1e-10, 2.0 * i, 1.0) for i in range(9)], "x double, y double, w double")
+    assert closed.fit(closed.sums(tiny, ["x"], []), [], 1, [1], "0").first()["b1"] == pytest.approx(2e10)
+    twin = frame(spark, [(float(i), 3.0 * i + 1e7, float(i % 4), 1.0) for i in range(9)], "a double, b double, y double, w double")
+    assert closed.fit(closed.sums(twin, ["a", "b"], []), [], 2, [1, 2], "0").first()["b1"] is None
