@@ -5,8 +5,9 @@ above cap times its source's size (the excess goes to the others by weight, by a
 sources). Slot i of the schedule takes block_tokens words from the source that the golden-ratio point
 frac(i * phi) meets on the line of cumulative targets; slots are ranked per source. Each source's documents are
 shuffled by a hash and laid end to end in a ring, which is cut into blocks of block_tokens words, over the seam too: rank k takes
-block k. A document gets the words that the taken blocks have of it. The points of a source miss its target by a few
-slots at most; its last blocks are cut at the target's words, and blocks next in line are added up to them. As no target is
+block k, so the slots are the order of the mix, in which every prefix has the sources' shares but for a few blocks. A document gets
+the words that the taken blocks have of it, and the slots at which its passes begin. The points of a source miss its target by a few
+slots at most: its last blocks are cut at the target's words or not taken, and blocks next in line follow after the last slot. As no target is
 above cap times the size, no block of the ring is taken more than cap times.
 
 Ranks and positions need no ordered pass over a whole source: sums per (bucket, source) are added up in two levels, and rows are
@@ -95,29 +96,34 @@ def line_up(rows: DataFrame, count: int) -> DataFrame:
 
 
 def taken_blocks(shares: DataFrame, slots: int, block_tokens: int) -> DataFrame:
-    """_source, rank, upto: the blocks that the schedule takes of each source's ring and the word before which the block ends.
-    shares also has wanted, the target in whole words; blocks next in line make up for the slots that a source lacks."""
+    """_source, rank, upto, slot: the blocks that the schedule takes of each source's ring, the word before which the block ends, and its slot.
+    shares also has wanted, the target in whole words; blocks next in line make up for the slots that a source lacks, after the last one."""
     ranked = cut(schedule(shares, slots), "slots")
     met = ranked.groupBy("source").agg(F.count(F.lit(1)).alias("met")).withColumnRenamed("source", "_source")
     goal = shares.join(met, F.col("source").eqNullSafe(F.col("_source")), "left").select(F.col("source").alias("_source"), "wanted", F.coalesce("met", F.lit(0)).alias("met"))
     whole = F.expr(f"(wanted + {block_tokens - 1}) div {block_tokens}")
-    kept = ranked.join(goal.where("wanted > 0"), F.col("source").eqNullSafe(F.col("_source"))).where(F.col("rank") < whole).select("_source", "rank", "wanted")
-    added = goal.where(F.col("met") < whole).select("_source", F.explode(F.sequence("met", whole - 1)).alias("rank"), "wanted")
-    return kept.unionByName(added).select("_source", "rank", F.least((F.col("rank") + 1) * block_tokens, "wanted").alias("upto"))
+    kept = ranked.join(goal.where("wanted > 0"), F.col("source").eqNullSafe(F.col("_source"))).where(F.col("rank") < whole).select("_source", "rank", "wanted", "slot")
+    added = goal.where(F.col("met") < whole).select("_source", F.explode(F.sequence("met", whole - 1)).alias("rank"), "wanted", "met").withColumn("slot", slots + F.col("rank") - F.col("met")).drop("met")
+    return kept.unionByName(added).select("_source", "rank", F.least((F.col("rank") + 1) * block_tokens, "wanted").alias("upto"), "slot")
 
 
-def apply(docs: DataFrame, **options) -> DataFrame:
+def apply(docs: DataFrame, ordered: bool = False, **options) -> DataFrame:
     """The mix itself: every row of docs as often as its taken words hold it, to the nearest whole number; all columns, whatever
     their names. Only the last document of a source's last pass is taken in part, so whole documents keep the targets.
-    A row without words is never taken."""
+    A row without words is never taken. ordered: the result's partitions, one after the other, are in the order of the schedule, each copy
+    at the slot at which its pass begins; it costs one more shuffle of the texts, which a stage that packs them does not need."""
     row, copy = free(docs, "_row"), free(docs, "_copy")
     held = cut(docs.withColumn(row, F.monotonically_increasing_id()), "mixed")
-    share = mix(held, row=row, **options).where("size > 0").select(F.col("_row").alias(row), F.round(F.col("taken") / F.col("size")).cast("int").alias(copy))
-    return held.join(share.where(F.col(copy) > 0), row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy)))).select(*docs.columns)
+    share = mix(held, row=row, **options).where("size > 0").select(F.col("_row").alias(row), F.slice("slots", F.lit(1), F.round(F.col("taken") / F.col("size")).cast("int")).alias(copy))
+    out = held.join(share.where(F.size(copy) > 0), row).withColumn(copy, F.explode(copy))
+    if ordered:
+        out = out.repartitionByRange(copy, row).sortWithinPartitions(copy, row)
+    return out.select(*docs.columns)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, block_tokens: int = BLOCK_TOKENS, row: str | None = None) -> DataFrame:
-    """doc_id, size, source, source_size, target, taken of every row, and _row, taken from the column `row` if named."""
+    """doc_id, size, source, source_size, target, taken, slots (at which its passes begin, in order) and first_slot of every row, and _row, taken
+    from the column `row` if named. A row of which nothing is taken has no slot."""
     numbered = F.monotonically_increasing_id() if row is None else F.col(row)
     shuffled = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("mix"), F.col("doc_id").cast("string"))), 1, 15), 16, 10).cast("long")
     tie = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if f.name != row and f.dataType.typeName() not in ("map", "variant")])
@@ -136,11 +142,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, block
     # each pass lays a document down once more on the ring
     rings = shares.where("wanted > 0").select(F.col("source").alias("_source"), F.col("source_size").alias("_words"), "wanted")
     laid = line_up(table, count).where("size > 0").join(rings, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    laid = laid.select("_row", "source", "size", "wanted", F.explode(F.expr("transform(sequence(0L, (wanted - 1) div _words), p -> p * _words + start)")).alias("start")).where("start < wanted")
+    laid = laid.select("_row", "source", "size", "wanted", F.explode(F.expr("transform(sequence(0L, (wanted - 1) div _words), p -> struct(p AS pass, p * _words + start AS start))")).alias("p")).select("_row", "source", "size", "wanted", "p.*").where("start < wanted")
     last = F.expr(f"(least(start + size, wanted) - 1) div {block_tokens}")
-    spans = laid.select("_row", "source", "start", "size", F.explode(F.sequence(F.expr(f"start div {block_tokens}"), last)).alias("block"))
+    spans = laid.select("_row", "source", "pass", "start", "size", F.explode(F.sequence(F.expr(f"start div {block_tokens}"), last)).alias("block"))
     inside = F.least(F.col("start") + F.col("size"), "upto") - F.greatest(F.col("start"), F.col("block") * block_tokens)
-    got = spans.join(blocks, (F.col("block") == F.col("rank")) & F.col("source").eqNullSafe(F.col("_source"))).groupBy("_row").agg(F.sum(inside).alias("taken"))
+    got = spans.join(blocks, (F.col("block") == F.col("rank")) & F.col("source").eqNullSafe(F.col("_source"))).groupBy("_row").agg(F.sum(inside).alias("taken"), F.array_sort(F.array_compact(F.array(*(F.min(F.when(F.col("pass") == p, F.col("slot"))) for p in range(cap))))).alias("slots"))
     out = table.join(got, "_row", "left").withColumnRenamed("source", "_own")
     out = out.join(goal, F.col("_own").eqNullSafe(F.col("source")))
-    return out.select("_row", "doc_id", "size", F.col("_own").alias("source"), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("_row", "doc_id", "size", F.col("_own").alias("source"), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("slots", F.array().cast("array<long>")).alias("slots"), F.try_element_at("slots", F.lit(1)).alias("first_slot"))

@@ -54,7 +54,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,17 +147,17 @@ ORACLE = {
         shares AS (SELECT *, lag(high, 1, 0) OVER (ORDER BY source NULLS LAST) AS low FROM sh),
         slots AS (SELECT i, (i % {mixing.PERIOD} * {mixing.GOLDEN}) % {mixing.PERIOD} AS point
                   FROM (SELECT unnest(range((SELECT ((sum(size) + {mixing.BLOCK_TOKENS - 1}) // {mixing.BLOCK_TOKENS})::BIGINT FROM d))) AS i)),
-        met AS (SELECT source, wanted, row_number() OVER (PARTITION BY source ORDER BY i) - 1 AS rank FROM slots JOIN shares ON point >= low AND point < high),
+        met AS (SELECT source, wanted, i AS slot, row_number() OVER (PARTITION BY source ORDER BY i) - 1 AS rank FROM slots JOIN shares ON point >= low AND point < high),
         n_met AS (SELECT s.source, s.wanted, count(m.rank) AS n FROM shares s LEFT JOIN met m ON m.source IS NOT DISTINCT FROM s.source GROUP BY 1, 2),
-        blocks AS (SELECT source, wanted, rank FROM met
-                   UNION ALL SELECT source, wanted, unnest(range(n, (wanted + {mixing.BLOCK_TOKENS - 1}) // {mixing.BLOCK_TOKENS})) FROM n_met),
+        blocks AS (SELECT source, wanted, rank, slot FROM met
+                   UNION ALL SELECT source, wanted, rank, (SELECT count(*) FROM slots) + rank - n FROM (SELECT *, unnest(range(n, (wanted + {mixing.BLOCK_TOKENS - 1}) // {mixing.BLOCK_TOKENS})) AS rank FROM n_met)),
         placed AS (SELECT *, (sum(size) OVER (PARTITION BY source ORDER BY h % ((rows_n + {mixing.ROWS_PER_BUCKET - 1}) // {mixing.ROWS_PER_BUCKET}), h, doc_id) - size)::BIGINT AS start FROM d),
         laid AS (SELECT p.doc_id, p.source, size, unnest(range(0, (wanted - 1) // source_size + 1)) * source_size + start AS a
                  FROM placed p JOIN shares k ON k.source IS NOT DISTINCT FROM p.source WHERE size > 0 AND wanted > 0),
         spans AS (SELECT *, unnest(range(a // {mixing.BLOCK_TOKENS}, (a + size - 1) // {mixing.BLOCK_TOKENS} + 1)) AS block FROM laid),
-        got AS (SELECT doc_id, sum(greatest(0, least(a + size, (k.rank + 1) * {mixing.BLOCK_TOKENS}, wanted) - greatest(a, k.rank * {mixing.BLOCK_TOKENS})))::BIGINT AS taken
-                FROM spans p JOIN blocks k ON k.rank = p.block AND k.source IS NOT DISTINCT FROM p.source GROUP BY 1)
-        SELECT d.doc_id, d.size::BIGINT AS size, source_size, target, coalesce(taken, 0) AS taken
+        got AS (SELECT doc_id, sum(least(a + size, (k.rank + 1) * {mixing.BLOCK_TOKENS}, wanted) - greatest(a, k.rank * {mixing.BLOCK_TOKENS}))::BIGINT AS taken, min(k.slot) AS first_slot
+                FROM spans p JOIN blocks k ON k.rank = p.block AND k.source IS NOT DISTINCT FROM p.source WHERE greatest(a, k.rank * {mixing.BLOCK_TOKENS}) < wanted GROUP BY 1)
+        SELECT d.doc_id, d.size::BIGINT AS size, source_size, target, coalesce(taken, 0) AS taken, first_slot
         FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source LEFT JOIN got ON got.doc_id IS NOT DISTINCT FROM d.doc_id""",
     "op9_ngram_jaccard_join": f"""
         WITH RECURSIVE w AS (
