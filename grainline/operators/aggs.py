@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rates import safe_rate
+from . import order
 
 
 def entity_metrics(df: DataFrame, keys: list[str], counts: dict[str, Column], sums: dict[str, Column], rates: dict[str, tuple[str, str]], distinct: dict[str, str] | None = None) -> DataFrame:
@@ -38,10 +39,16 @@ def profile_long(df: DataFrame, keys: list[str], rates: dict[str, tuple[Column,
         aggs += [F.sum(c).alias(f"{n}_n"), F.count(c).alias(f"{n}_d")]
         parts.append((n, F.col(f"{n}_n").cast("long"), F.col(f"{n}_d"), safe_rate(F.col(f"{n}_n"), F.col(f"{n}_d"))))
     for n, (c, q) in (quantiles or {}).items():
-        aggs += [F.percentile(c, q).alias(f"{n}_q"), F.count(c).alias(f"{n}_d")]
-        parts.append((n, null, F.col(f"{n}_d"), F.col(f"{n}_q")))
+        aggs.append(F.count(c).alias(f"{n}_d"))
+        parts.append((n, null, F.col(f"{n}_d"), null))
     rows = F.array(*(F.struct(F.lit(n).alias("feature"), a.alias("numerator"), d.alias("denominator"), F.round(v.cast("double"), places).alias("value")) for n, a, d, v in parts))
-    return df.groupBy(*keys).agg(*aggs).select(*keys, F.explode(rows).alias("_f")).select(*keys, "_f.*")
+    out = df.groupBy(*keys).agg(*aggs).select(*keys, F.explode(rows).alias("_f")).select(*keys, "_f.*")
+    if not quantiles:
+        return out
+    # quantiles are picked by rank from counts of values, so that no group is held by a task
+    held = F.array(*(F.struct(F.lit(n).alias("feature"), F.lit(float(q)).alias("_share"), c.cast("double").alias("_v")) for n, (c, q) in quantiles.items()))
+    found = order.quantiles(df.select(*keys, F.explode(held).alias("_h")).select(*keys, "_h.*"), [*keys, "feature", "_share"], "_v", {"_q": F.col("_share")})
+    return out.join(found.select(*keys, "feature", "_q"), [*keys, "feature"], "left").select(*keys, "feature", "numerator", "denominator", F.coalesce("value", F.round("_q", places)).alias("value"))
 
 
 def category_shares(df: DataFrame, keys: list[str], category: str) -> DataFrame:

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import order
 from .closed import poisson_weight
 
 
@@ -18,27 +19,33 @@ def pearson(x: str | Column, y: str | Column) -> Column:
     return F.when((F.count(a) >= 2) & (va > 0) & (vb > 0), F.covar_pop(a, b) / F.sqrt(va * vb))
 
 
-def average_ranks(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """df plus <column>_rank: ranks with ties averaged, among rows where all the columns are present."""
-    out = df
-    for c in columns:
-        out = out.where(F.col(c).isNotNull())
-    for c in columns:
-        w, ties = Window.partitionBy(*keys).orderBy(c), Window.partitionBy(*keys, c)
-        out = out.withColumn(f"{c}_rank", F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2)
-    return out
+def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    return order.average_ranks(df, keys, [x, y]).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), pearson(f"{x}_rank", f"{y}_rank").alias("spearman"))
 
 
-def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    return average_ranks(df, keys, [x, y]).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), pearson(f"{x}_rank", f"{y}_rank").alias("spearman"))
+def centred(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with the columns less their overall mean (a second pass): for sums of products of what no offset changes."""
+    means = df.agg(*(F.avg(F.col(c).cast("double")).alias(f"_mean_{c}") for c in columns))
+    out = df.crossJoin(F.broadcast(means))
+    return out.select(*((F.col(c) - F.col(f"_mean_{c}")).alias(c) if c in columns else F.col(c) for c in df.columns))
 
 
 def weighted_correlation(x: str, y: str, w: str) -> Column:
-    """Weighted Pearson in closed form."""
+    """Weighted Pearson in closed form, of columns that are centred."""
     a, b, c = F.col(x), F.col(y), F.col(w)
     n, sx, sy = F.sum(c), F.sum(c * a), F.sum(c * b)
     vx, vy = F.sum(c * a * a) / n - (sx / n) * (sx / n), F.sum(c * b * b) / n - (sy / n) * (sy / n)
-    return F.when((vx > 0) & (vy > 0), (F.sum(c * a * b) / n - sx / n * sy / n) / F.sqrt(vx * vy))
+    tiny = lambda v, s: v > 1e-14 * (s / n) * (s / n)
+    return F.when(tiny(vx, sx) & tiny(vy, sy), (F.sum(c * a * b) / n - sx / n * sy / n) / F.sqrt(vx * vy))
+
+
+def weighted_association(df: DataFrame, keys: list[str], x: str, y: str, w: str) -> DataFrame:
+    """keys, n, weighted Pearson r, weighted Spearman rho (Pearson of weighted mid-ranks) and the share of rows with one sign."""
+    rows = order.weighted_ranks(df.select(*keys, x, y, F.col(w).cast("double").alias(w)), keys, [x, y], w)
+    signs = rows.groupBy(*keys).agg(F.avg((F.signum(x) == F.signum(y)).cast("int")).alias("sign_agreement"))
+    near = centred(rows, [x, y, f"{x}_rank", f"{y}_rank"])
+    out = near.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), weighted_correlation(x, y, w).alias("r"), weighted_correlation(f"{x}_rank", f"{y}_rank", w).alias("rho"))
+    return out.join(signs, keys)
 
 
 def league_shrunk(df: DataFrame, entity: str, season: str, value: str, weight: str, k: float) -> DataFrame:
@@ -120,7 +127,7 @@ def icc(df: DataFrame, keys: list[str], group: str, value: str, parts: bool = Fa
     """One-way ANOVA intraclass correlation, the reliability of two and of n0 (the mean number of) measures, and the effective sample
     size."""
     x = F.col(value)
-    own = df.where(x.isNotNull()).groupBy(*keys, group).agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q"))
+    own = centred(df.where(x.isNotNull()).select(*keys, group, value), [value]).groupBy(*keys, group).agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q"))
     t = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"), F.sum(F.col("n") * F.col("n")).alias("nn"))
     g, n = F.col("groups"), F.col("n")
     msb, msw = (F.col("b") - F.col("s") * F.col("s") / n) / (g - 1), (F.col("q") - F.col("b")) / (n - g)
@@ -168,7 +175,7 @@ PAIR_R = "CASE WHEN n >= 2 AND n * xx - x * x > 1e-9 AND n * yy - y * y > 1e-9 T
 def correlation_bootstrap(df: DataFrame, cluster: str, x: str, y: str, draws: int, seed: str, keys: list[str] | None = None) -> DataFrame:
     """low and high (2.5% and 97.5%) of the correlation over draws of whole clusters, per key."""
     keys = keys or []
-    rows = df.select(*keys, cluster, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    rows = centred(df.select(*keys, F.col(cluster).alias("_cluster"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL"), ["x", "y"]).withColumnRenamed("_cluster", cluster)
     own = rows.groupBy(*keys, cluster).agg(*(F.expr(e).alias(n) for n, e in PAIR_SUMS.items()))
     per = bootstrap_sums(own, cluster, list(PAIR_SUMS), draws, seed, keys).withColumn("r", F.expr(PAIR_R))
     return per.groupBy(*keys).agg(F.percentile("r", 0.025).alias("low"), F.percentile("r", 0.975).alias("high"))
@@ -227,26 +234,6 @@ def sign_flip(df: DataFrame, cluster: str, gain: str, draws: int, seed: str) ->
     return null.crossJoin(actual).groupBy("actual").agg(F.count_if(F.col("m") >= F.col("actual")).alias("reached")).withColumn("p", (1 + F.col("reached")) / (draws + 1))
 
 
-def conformal_radius(df: DataFrame, season: str, targets: DataFrame, residual: str, level: float, window: int = 5, keys: list[str] | None = None) -> DataFrame:
-    """Per target season (and key) the k-th smallest absolute residual of the seasons before it in the window, k = ceil((n + 1) level);
-    NULL where k > n. Exact, by rank in each fold."""
-    keys = keys or []
-    joined = F.broadcast(targets.select(F.col(season).alias("target"))).join(df.where(F.col(residual).isNotNull()), (F.col(season) < F.col("target")) & (F.col(season) >= F.col("target") - window))
-    own = Window.partitionBy(*keys, "target")
-    ranked = joined.select(*keys, "target", F.abs(residual).alias("r"), F.row_number().over(own.orderBy(F.abs(residual))).alias("_k"), F.count(F.lit(1)).over(own).alias("n"))
-    k = F.ceil((F.col("n") + 1) * level)
-    return ranked.groupBy(*keys, "target").agg(F.first("n").alias("n"), F.max(F.when(F.col("_k") == k, F.col("r"))).alias("radius"))
-
-
-def conformal_radii(df: DataFrame, keys: list[str], season: str, targets: DataFrame, residual: str, levels: dict[str, float], window: int = 5) -> DataFrame:
-    """Per key and target season n and a radius a level (name: level), as conformal_radius gives them, in one pass."""
-    rows = df.where(F.col(residual).isNotNull()).select(*keys, season, F.abs(residual).alias("_r"))
-    ahead = F.broadcast(targets.select(F.col(season).alias("_t"))).join(rows, (F.col(season) < F.col("_t")) & (F.col(season) >= F.col("_t") - window))
-    own = Window.partitionBy(*keys, "_t")
-    ranked = ahead.select(*keys, "_t", "_r", F.row_number().over(own.orderBy("_r")).alias("_k"), F.count(F.lit(1)).over(own).alias("n"))
-    return ranked.groupBy(*keys, F.col("_t").alias(season)).agg(F.first("n").alias("residuals"), *(F.max(F.when(F.col("_k") == F.ceil((F.col("n") + 1) * level), F.col("_r"))).alias(name) for name, level in levels.items()))
-
-
 def distances(a: Column, b: Column) -> dict[str, Column]:
     """Euclidean, Manhattan, cosine and correlation distance of two array<double> columns over places where both are
     present; NULL with fewer than three."""

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import closed, stats
+from ..operators import closed, order, stats
 from ..sources.shared import cut
 from .models import FEATURES, TRAIN, training
 from .registry import query
@@ -224,7 +224,7 @@ SELECT season, count(*) AS n, round(corr(ra, rb), 5) AS spearman, round(avg((sig
 def _(t):
     p = fold_predictions(t, training(t), SIGNALS, {"level": [1], "all": [1, 2, 3]}, [10])
     both = p.groupBy("actor_id", "season").agg(F.round(F.max(F.when(C("model") == "level", C("p"))), 6).alias("a"), F.round(F.max(F.when(C("model") == "all", C("p"))), 6).alias("b"))
-    ranked = stats.average_ranks(both, ["season"], ["a", "b"])
+    ranked = order.average_ranks(both, ["season"], ["a", "b"])
     return ranked.groupBy("season").agg(N().alias("n"), F.round(stats.pearson("a_rank", "b_rank"), 5).alias("spearman"), F.round(F.avg((F.signum("a") == F.signum("b")).cast("int")), 6).alias("sign_agreement"))
 
 

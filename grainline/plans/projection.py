@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import closed, stats
+from ..operators import closed, joins, order, stats
 from ..sources.shared import cut
 from .folds import _PER, ALPHAS, OUTCOMES, SIGNALS, fold_predictions, fold_sql, inner_alpha, union
 from .models import TRAIN, training
@@ -47,7 +48,7 @@ def projections(t):
 
 
 def with_radii(t, p, keys=("outcome", "model")):
-    r = stats.conformal_radii(p.withColumn("e", C("y") - C("p")), list(keys), "season", t.seasons, "e", LEVELS)
+    r = order.conformal_radii(p.withColumn("e", C("y") - C("p")), list(keys), "season", t.seasons, "e", LEVELS)
     return p.join(r, [*keys, "season"], "left")
 
 
@@ -60,6 +61,68 @@ def _(t):
     return out.select("outcome", "model", "actor_id", "season", "alpha", "train_n", "residuals", R("y", 4), R("p"), *(x for r, n in _BOUNDS for x in (F.round(C("p") - C(r), 3).alias(f"low_{n}"), F.round(C("p") + C(r), 3).alias(f"high_{n}"))))
 
 
+_METRICS = """count(*) AS n, round(avg(abs(y - p)), 4) AS mae, round(sqrt(avg((y - p) * (y - p))), 4) AS rmse, round(1 - sum((y - p) * (y - p)) / (count(*) * var_pop(y)), 4) AS r2, round(CASE WHEN var_pop(p) > 1e-12 THEN corr(y, p) END, 4) AS correlation,
+  round(CASE WHEN var_pop(p) > 1e-12 THEN covar_pop(p, y) / var_pop(p) END, 3) AS slope, round(avg((sign(y) = sign(p))::INT), 6) AS direction, round(avg((y BETWEEN low AND high)::INT), 6) AS coverage"""
+_BANDS = f"{PROJ}, {RADII}, bands AS (SELECT pj.*, p - r80 AS low, p + r80 AS high FROM pj LEFT JOIN rd USING (outcome, model, season))"
+
+
+def bands(t):
+    """Projections with the ends of their 80% intervals."""
+    return with_radii(t, projections(t)).select("*", (C("p") - C("r80")).alias("low"), (C("p") + C("r80")).alias("high"))
+
+
+def metrics(rows, keys):
+    out = stats.regression_metrics(rows, keys, "y", "p", "low", "high")
+    # one value a season has neither correlation nor slope: it differs over seasons only by what they do not share
+    some = (C("model") != "league") | (C("spread") > 1e-12)
+    out = out.join(rows.groupBy(*keys).agg(F.var_pop("p").alias("spread")), keys)
+    return out.select(*keys, "n", R("mae", 4), R("rmse", 4), R("r2", 4), F.when(some, F.round("correlation", 4)).alias("correlation"), F.when(some, F.round("slope", 3)).alias("slope"), R("direction", 6), R("coverage", 6))
+
+
+@query("K19_regression_metrics", f"WITH {_BANDS} SELECT outcome, model, season, {_METRICS} FROM bands GROUP BY 1, 2, 3")
+def _(t):
+    return metrics(bands(t), ["outcome", "model", "season"])
+
+
+PERIODS = {"all": "true", "development": "season <= 1998", "validation": "season BETWEEN 1999 AND 2000", "last": "season >= 2001"}
+SUBGROUPS = {
+    "returning": "prior_plays > 0", "developing": "experience BETWEEN 0 AND 3", "experienced": "experience >= 4", "volume_low": "volume < 2000", "volume_middle": "volume >= 2000 AND volume < 2300", "volume_high": "volume >= 2300",
+    "changer": "changer", "reliable": "career_plays >= 300",
+}
+_TAGGED = lambda tags, rows: " UNION ALL ".join(f"SELECT '{name}' AS grp, * FROM {rows} WHERE {test}" for name, test in tags.items())
+_INFO = """st AS (SELECT actor_id, season, opponent_id, CAST(sum(volume) AS BIGINT) AS v FROM plays GROUP BY 1, 2, 3), mo AS (SELECT actor_id, season, arg_max(opponent_id, (v, opponent_id)) AS main FROM st GROUP BY 1, 2),
+info AS (SELECT a.actor_id, a.season, any_value(a.volume) AS volume, a.season - min(b.season) AS experience, sum(b.plays) AS career_plays, max(CASE WHEN b.season = a.season - 1 THEN b.plays END) AS prior_plays, any_value(m.main <> l.main) AS changer
+  FROM actor_seasons a JOIN actor_seasons b ON a.actor_id = b.actor_id AND b.season < a.season LEFT JOIN mo m ON m.actor_id = a.actor_id AND m.season = a.season LEFT JOIN mo l ON l.actor_id = a.actor_id AND l.season = a.season - 1 GROUP BY 1, 2)"""
+
+
+def tagged(rows, tags):
+    own = F.filter(F.array(*(F.when(F.expr(test), name) for name, test in tags.items())), lambda x: x.isNotNull())
+    return rows.withColumn("grp", F.explode(own))
+
+
+def actor_info(t):
+    """actor_id, season, volume, experience, career_plays, prior_plays, changer: what subgroups of projections are told by."""
+    a = t.actor_seasons.select("actor_id", "season", "plays", "volume")
+    past = Window.partitionBy("actor_id").orderBy("season").rangeBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("actor_id").orderBy("season").rangeBetween(-1, -1)
+    own = a.select("actor_id", "season", "volume", (C("season") - F.min("season").over(past)).alias("experience"), F.sum("plays").over(past).alias("career_plays"), F.max("plays").over(before).alias("prior_plays"))
+    stints = t.plays.groupBy("actor_id", "season", "opponent_id").agg(F.sum("volume").alias("v"))
+    main = stints.groupBy("actor_id", "season").agg(F.max(F.struct("v", "opponent_id"))["opponent_id"].alias("main"))
+    moved = main.select("actor_id", "season", (C("main") != F.max("main").over(before)).alias("changer"))
+    return own.join(moved, ["actor_id", "season"], "left")
+
+
+@query("K41_period_metrics", f"WITH {_BANDS} SELECT grp AS period, outcome, model, {_METRICS} FROM ({_TAGGED(PERIODS, 'bands')}) GROUP BY 1, 2, 3")
+def _(t):
+    return metrics(tagged(bands(t), PERIODS).withColumnRenamed("grp", "period"), ["period", "outcome", "model"])
+
+
+@query("K46_subgroup_metrics", f"WITH {_BANDS}, {_INFO}, late AS (SELECT bands.*, info.* EXCLUDE (actor_id, season) FROM bands JOIN info USING (actor_id, season) WHERE season > 1998) SELECT grp, outcome, model, {_METRICS} FROM ({_TAGGED(SUBGROUPS, 'late')}) GROUP BY 1, 2, 3")
+def _(t):
+    late = joins.checked_join(bands(t).where("season > 1998"), actor_info(t), ["actor_id", "season"], cardinality="m:1")
+    return metrics(tagged(late, SUBGROUPS), ["grp", "outcome", "model"])
+
+
 _COVER = "cv AS (SELECT outcome, model, level, count(*) AS n, count(*) FILTER (WHERE radius IS NULL) AS unavailable, avg(CASE WHEN radius IS NOT NULL THEN (abs(y - p) <= radius)::INT END) AS coverage, 2 * avg(radius) AS width FROM (SELECT pj.*, unnest([50, 80, 95]) AS level, unnest([r50, r80, r95]) AS radius FROM pj LEFT JOIN rd USING (outcome, model, season)) GROUP BY 1, 2, 3)"
 
 

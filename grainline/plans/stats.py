@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import stats
+from ..operators import order, stats
 from ..operators.joins import lag_join
 from .registry import query
 
@@ -82,10 +82,11 @@ def _(t):
     return stats.spearman(rows, ["season"], "a", "b").select("season", "n", R("spearman"))
 
 
-@query("K18_weighted_correlation", f"""WITH {PAIRS}, m AS (SELECT season, sum(w * y) / sum(w) AS my, sum(w * prior_y) / sum(w) AS mp FROM pairs GROUP BY 1)
-SELECT season, round(sum(w * (y - my) * (prior_y - mp)) / sqrt(sum(w * (y - my) * (y - my)) * sum(w * (prior_y - mp) * (prior_y - mp))), 5) AS r, round(avg((sign(y) = sign(prior_y))::INT), 6) AS sign_agreement FROM pairs JOIN m USING (season) GROUP BY 1""")
+@query("K18_weighted_correlation", f"""WITH {PAIRS}, m AS (SELECT *, sum(w) OVER (PARTITION BY season ORDER BY y) - sum(w) OVER (PARTITION BY season, y) / 2 AS ra, sum(w) OVER (PARTITION BY season ORDER BY prior_y) - sum(w) OVER (PARTITION BY season, prior_y) / 2 AS rb FROM pairs),
+c AS (SELECT *, y - sum(w * y) OVER s / sum(w) OVER s AS a, prior_y - sum(w * prior_y) OVER s / sum(w) OVER s AS b, ra - sum(w * ra) OVER s / sum(w) OVER s AS u, rb - sum(w * rb) OVER s / sum(w) OVER s AS v FROM m WINDOW s AS (PARTITION BY season))
+SELECT season, count(*) AS n, round(sum(w * a * b) / sqrt(sum(w * a * a) * sum(w * b * b)), 5) AS r, round(sum(w * u * v) / sqrt(sum(w * u * u) * sum(w * v * v)), 5) AS rho, round(avg((sign(y) = sign(prior_y))::INT), 6) AS sign_agreement FROM c GROUP BY 1""")
 def _(t):
-    return pairs(t).groupBy("season").agg(F.round(stats.weighted_correlation("y", "prior_y", "w"), 5).alias("r"), F.round(F.avg((F.signum("y") == F.signum("prior_y")).cast("int")), 6).alias("sign_agreement"))
+    return stats.weighted_association(pairs(t), ["season"], "y", "prior_y", "w").select("season", "n", R("r", 5), R("rho", 5), R("sign_agreement"))
 
 
 @query("K20_vector_distances", """
@@ -174,13 +175,8 @@ def preds(t):
 SELECT target, any_value(n) AS n, round(max(CASE WHEN k = CAST(ceil((n + 1) * 0.8::DOUBLE) AS BIGINT) THEN r END), 5) AS radius FROM k GROUP BY 1""")
 def _(t):
     rows = preds(t).where("model = 'prior'").withColumn("e", C("y") - C("p"))
-    return stats.conformal_radius(rows, "season", t.seasons, "e", 0.8).select("target", "n", R("radius", 5))
-
-
-@query("K41_period_metrics", f"WITH {PRED} SELECT period, model, count(*) AS n, round(avg(abs(y - p)), 5) AS mae FROM (SELECT 'all' AS period, * FROM preds UNION ALL SELECT 'late', * FROM preds WHERE season >= 1999 UNION ALL SELECT 'last', * FROM preds WHERE season = 2001) GROUP BY 1, 2")
-def _(t):
-    own = F.filter(F.array(F.lit("all"), F.when(C("season") >= 1999, "late"), F.when(C("season") == 2001, "last")), lambda x: x.isNotNull())
-    return stats.regression_metrics(preds(t).withColumn("period", F.explode(own)), ["period", "model"], "y", "p").select("period", "model", "n", R("mae", 5))
+    got = order.conformal_radii(rows, [], "season", t.seasons, "e", {"radius": 0.8})
+    return got.select(C("season").alias("target"), C("residuals").alias("n"), R("radius", 5))
 
 
 GAIN = "g AS (SELECT season, o.model, avg(abs(b.y - b.p)) - avg(abs(o.y - o.p)) AS gain, count(*) AS n FROM preds b JOIN preds o USING (actor_id, season) WHERE b.model = 'zero' AND o.model <> 'zero' GROUP BY 1, 2)"
@@ -198,13 +194,6 @@ def _(t):
     return gains(t).select("season", "model", "n", R("gain", 5))
 
 
-@query("K46_subgroup_metrics", f"WITH {PRED} SELECT grp, model, count(*) AS n, round(avg(abs(y - p)), 5) AS mae FROM (SELECT 'even' AS grp, * FROM preds WHERE actor_id % 2 = 0 UNION ALL SELECT 'third', * FROM preds WHERE actor_id % 3 = 0 UNION ALL SELECT 'all', * FROM preds) GROUP BY 1, 2")
-def _(t):
-    tags = {"even": C("actor_id") % 2 == 0, "third": C("actor_id") % 3 == 0, "all": F.lit(True)}
-    own = F.filter(F.array(*(F.when(c, n) for n, c in tags.items())), lambda x: x.isNotNull())
-    return stats.regression_metrics(preds(t).withColumn("grp", F.explode(own)), ["grp", "model"], "y", "p").select("grp", "model", "n", R("mae", 5))
-
-
 @query("K50_decision_gates", f"""WITH {PAIRS}, a AS (SELECT count(*) >= 100 AS enough, corr(y, prior_y) > 0.9 AS strong, count(DISTINCT season) >= 5 AS seasons_ok FROM pairs)
 SELECT '{{"enough":' || enough || ',"strong":' || strong || ',"seasons_ok":' || seasons_ok || '}}' AS gates, array_to_string(list_filter([CASE WHEN NOT enough THEN 'enough' END, CASE WHEN NOT strong THEN 'strong' END, CASE WHEN NOT seasons_ok THEN 'seasons_ok' END], lambda x: x IS NOT NULL), '|') AS failed FROM a""")
 def _(t):
