@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import closed, models
+from ..operators import closed, models, neighbours, order, stats
 from ..sources.shared import cut
 from .registry import query
 
@@ -64,7 +66,6 @@ w AS (SELECT p.*, least(greatest(CASE WHEN attempt THEN base / q ELSE (1 - base)
 SELECT attempt, count(*) AS n, round(sum(w) * sum(w) / sum(w * w), 2) AS effective_n, round(avg(value), 5) AS raw_mean, round(sum(w * value) / sum(w), 4) AS weighted_mean, round(corr(value, volume), 5) AS raw_r,
   round((sum(w * value * volume) / sum(w) - sum(w * value) / sum(w) * sum(w * volume) / sum(w)) / sqrt((sum(w * value * value) / sum(w) - (sum(w * value) / sum(w)) ** 2) * (sum(w * volume * volume) / sum(w) - (sum(w * volume) / sum(w)) ** 2)), 5) AS weighted_r, (SELECT round(auc, 6) FROM au) AS auc FROM w GROUP BY 1""")
 def _(t):
-    from ..operators import stats
 
     cells = cut(cells_of(t), "cells")
     b = models.logistic(cells, _VALUE, "h", "n", STEPS)
@@ -82,28 +83,26 @@ def _(t):
         F.round(stats.pearson("value", "volume"), 5).alias("raw_r"), F.round(stats.weighted_correlation("value", "volume", "w"), 5).alias("weighted_r"), F.round(F.first("auc"), 6).alias("auc"))
 
 
-#: Side of the squares that nearest neighbours are looked for in; a query whose neighbours are all farther has no support.
-CELL = 0.05
-_V = "v AS (SELECT team_id, season, attempts::DOUBLE / plays AS a, successes::DOUBLE / plays AS s FROM team_seasons), la AS (SELECT max(season) AS last FROM v)"
+SUPPORT = {"a": "attempts", "s": "successes", "v": "value", "x": "tax", "d": "discount"}
+_V = f"v AS (SELECT team_id, season, {', '.join(f'{c}::DOUBLE / plays' + (' / 10000' if n == 'v' else '') + f' AS {n}' for n, c in SUPPORT.items())} FROM team_seasons), la AS (SELECT max(season) AS last FROM v)"
+_SQUARES = " + ".join(f"(x.{n} - y.{n}) ** 2" for n in SUPPORT)
 
 
-@query("K49_support_guard", f"""WITH {_V}, q AS (SELECT v.* FROM v JOIN la ON season = last), r AS (SELECT v.* FROM v JOIN la ON season < last), g AS (SELECT min(a) AS la, max(a) AS ha, min(s) AS ls, max(s) AS hs FROM r),
-d AS (SELECT q.team_id, min(((q.a - r.a) ** 2 + (q.s - r.s) ** 2) / 2) AS nearest FROM q JOIN r ON abs(floor(q.a / {CELL}) - floor(r.a / {CELL})) <= 1 AND abs(floor(q.s / {CELL}) - floor(r.s / {CELL})) <= 1 GROUP BY 1),
-n AS (SELECT x.team_id, x.season, min(((x.a - y.a) ** 2 + (x.s - y.s) ** 2) / 2) AS dd FROM r x JOIN r y ON (x.team_id, x.season) <> (y.team_id, y.season) AND abs(floor(x.a / {CELL}) - floor(y.a / {CELL})) <= 1 AND abs(floor(x.s / {CELL}) - floor(y.s / {CELL})) <= 1 GROUP BY 1, 2), c AS (SELECT quantile_cont(dd, 0.95) AS cutoff FROM n)
-SELECT q.team_id, round(nearest, 9) AS nearest, a BETWEEN la AND ha AND s BETWEEN ls AND hs AS in_range, coalesce(nearest <= cutoff, false) AS near, a BETWEEN la AND ha AND s BETWEEN ls AND hs AND coalesce(nearest <= cutoff, false) AS supported FROM q LEFT JOIN d USING (team_id) CROSS JOIN g CROSS JOIN c""")
+@query("K49_support_guard", f"""WITH {_V}, q AS (SELECT v.* FROM v JOIN la ON season = last), r AS (SELECT v.* FROM v JOIN la ON season < last), g AS (SELECT {', '.join(f'min({n}) AS l_{n}, max({n}) AS h_{n}' for n in SUPPORT)} FROM r),
+d AS (SELECT x.team_id, min(({_SQUARES}) / {len(SUPPORT)}) AS nearest FROM q x CROSS JOIN r y GROUP BY 1),
+n AS (SELECT x.team_id, x.season, min(({_SQUARES}) / {len(SUPPORT)}) AS dd FROM r x JOIN r y ON (x.team_id, x.season) <> (y.team_id, y.season) GROUP BY 1, 2), c AS (SELECT quantile_cont(dd, 0.95) AS cutoff FROM n),
+j AS (SELECT q.team_id, nearest, cutoff, {' AND '.join(f'{n} BETWEEN l_{n} AND h_{n}' for n in SUPPORT)} AS in_range FROM q JOIN d USING (team_id) CROSS JOIN g CROSS JOIN c)
+SELECT team_id, round(nearest, 9) AS nearest, round(cutoff, 9) AS cutoff, in_range, nearest <= cutoff AS near, in_range AND nearest <= cutoff AS supported FROM j""")
 def _(t):
-    v = cut(t.team_seasons.select("team_id", "season", (C("attempts") / C("plays")).alias("a"), (C("successes") / C("plays")).alias("s")), "vectors")
+    scale = lambda n: 10000 if n == "v" else 1
+    v = cut(t.team_seasons.select("team_id", "season", *((C(c) / C("plays") / scale(n)).alias(n) for n, c in SUPPORT.items())), "vectors")
     last = v.agg(F.max("season")).first()[0]
     last = -1 if last is None else last
-    cell = lambda c: F.floor(C(c) / CELL)
-    train = v.where(C("season") < last)
-    # every row stands in its square and the eight around it, so that near rows meet by an equi-join
-    nearby = train.select(C("team_id").alias("k"), C("season").alias("y"), C("a").alias("b"), C("s").alias("z"), F.explode(F.array(*(F.struct((cell("a") + i).alias("i"), (cell("s") + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))).alias("c")).select("k", "y", "b", "z", "c.*")
-    d = ((C("a") - C("b")) * (C("a") - C("b")) + (C("s") - C("z")) * (C("s") - C("z"))) / 2
-    met = lambda df: df.withColumn("i", cell("a")).withColumn("j", cell("s")).join(nearby, ["i", "j"])
-    query_ = v.where(C("season") == last)
-    near = met(query_).groupBy("team_id").agg(F.min(d).alias("nearest"))
-    own = met(train).where((C("team_id") != C("k")) | (C("season") != C("y"))).groupBy("team_id", "season").agg(F.min(d).alias("d"))
-    bounds = own.agg(F.percentile("d", 0.95).alias("cutoff")).crossJoin(train.agg(F.min("a").alias("la"), F.max("a").alias("ha"), F.min("s").alias("ls"), F.max("s").alias("hs")))
-    inside, close = C("a").between(C("la"), C("ha")) & C("s").between(C("ls"), C("hs")), F.coalesce(C("nearest") <= C("cutoff"), F.lit(False))
-    return query_.join(near, "team_id", "left").crossJoin(F.broadcast(bounds)).select("team_id", R("nearest", 9), inside.alias("in_range"), close.alias("near"), (inside & close).alias("supported"))
+    train, asked, names = v.where(C("season") < last), v.where(C("season") == last), list(SUPPORT)
+    near = neighbours.nearest(asked, train, ["team_id"], names)
+    own = neighbours.nearest(train, train, ["team_id", "season"], names, itself=True)
+    ranges = train.agg(*(f(n).alias(f"{k}_{n}") for n in names for k, f in (("l", F.min), ("h", F.max))))
+    bounds = order.quantiles(own, [], "nearest", {"cutoff": 0.95}).select("cutoff").crossJoin(ranges)
+    inside = reduce(lambda a, b: a & b, (C(n).between(C(f"l_{n}"), C(f"h_{n}")) for n in names))
+    close = C("nearest") <= C("cutoff")
+    return asked.join(near, "team_id").crossJoin(F.broadcast(bounds)).select("team_id", R("nearest", 9), R("cutoff", 9), inside.alias("in_range"), close.alias("near"), (inside & close).alias("supported"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import aggs, intervals, joins, reshape, stats
+from ..operators import aggs, fuzzy, intervals, joins, reshape, stats
 from ..operators import windows as win
+from ..sources.shared import cut
 from . import aggs as bound
 from .registry import query
 
@@ -244,33 +245,39 @@ def _(t):
 
 
 @query("M01_entity_exact_or_candidates", """
-WITH e AS (SELECT n_nationkey AS id, lower(n_name) AS k, string_split(lower(n_name), ' ') AS words FROM nation UNION ALL SELECT 100 + r_regionkey, lower(r_name), string_split(lower(r_name), ' ') FROM region),
-m AS (SELECT id AS mention, CASE id % 4 WHEN 0 THEN k WHEN 1 THEN substr(k, 1, length(k) - 1) WHEN 2 THEN words[1] ELSE id::VARCHAR END AS said FROM e UNION ALL SELECT 1000, 'zzzz' UNION ALL SELECT 1001, 'united'),
-x1 AS (SELECT mention, id, 1.0::DOUBLE AS score, 'exact' AS method FROM m JOIN e ON said = k OR said = id::VARCHAR),
-t AS (SELECT mention, said, unnest(string_split(said, ' ')) AS word, len(string_split(said, ' ')) AS n FROM m WHERE mention NOT IN (SELECT mention FROM x1)), w AS (SELECT id, unnest(words) AS word, len(words) AS k FROM e),
+WITH e AS (SELECT n_nationkey AS id, lower(n_name) AS k FROM nation UNION ALL SELECT 100 + r_regionkey, lower(r_name) FROM region UNION ALL SELECT 1000 + p_partkey, lower(p_name) FROM part),
+m AS (SELECT id AS mention, CASE id % 7 WHEN 0 THEN k WHEN 1 THEN substr(k, 1, length(k) - 1) WHEN 2 THEN string_split(k, ' ')[1] WHEN 3 THEN 'x' || substr(k, 2) WHEN 4 THEN 'q' || k WHEN 5 THEN substr(k, 1, 3) || substr(k, 5) ELSE id::VARCHAR END AS said FROM e UNION ALL SELECT -1, 'zzzz' UNION ALL SELECT -2, 'united'),
+x1 AS (SELECT DISTINCT mention, id, 1.0::DOUBLE AS score, 'exact' AS method FROM m JOIN e ON said = k OR said = id::VARCHAR),
+t AS (SELECT DISTINCT mention, unnest(string_split(said, ' ')) AS word, len(string_split(said, ' ')) AS n FROM m WHERE mention NOT IN (SELECT mention FROM x1)), w AS (SELECT DISTINCT id, unnest(string_split(k, ' ')) AS word, len(string_split(k, ' ')) AS k FROM e),
 x2 AS (SELECT mention, id, any_value(n)::DOUBLE / any_value(k) AS score, 'partial' AS method FROM t JOIN w USING (word) GROUP BY mention, id HAVING count(DISTINCT word) = any_value(n)),
-x3 AS (SELECT mention, id, 1 - levenshtein(said, k)::DOUBLE / greatest(length(said), length(k)) AS score, 'fuzzy' AS method FROM m JOIN e ON substr(said, 1, 1) = substr(k, 1, 1) WHERE mention NOT IN (SELECT mention FROM x1) AND mention NOT IN (SELECT mention FROM x2)),
-x AS (SELECT * FROM x1 UNION ALL SELECT * FROM x2 UNION ALL SELECT * FROM x3 WHERE score >= 0.8), b AS (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY score DESC, id) AS r, count(*) OVER (PARTITION BY mention) AS found FROM x)
-SELECT m.mention, b.id, round(b.score, 6) AS score, b.method, coalesce(r, 0) AS rank, CASE WHEN b.id IS NULL THEN 'not_found' WHEN b.method = 'exact' AND found = 1 THEN 'exact' ELSE 'ambiguous' END AS status FROM m LEFT JOIN b ON b.mention = m.mention AND r <= 5""")
+r AS (SELECT * FROM m WHERE mention NOT IN (SELECT mention FROM x1) AND mention NOT IN (SELECT mention FROM x2)),
+s AS (SELECT said, k, 1 - levenshtein(said, k)::DOUBLE / greatest(length(said), length(k)) AS score FROM (SELECT DISTINCT said FROM r) CROSS JOIN (SELECT DISTINCT k FROM e)),
+x3 AS (SELECT mention, id, score, 'fuzzy' AS method FROM r JOIN s USING (said) JOIN e USING (k) WHERE score >= 0.8),
+x AS (SELECT * FROM x1 UNION ALL SELECT * FROM x2 UNION ALL SELECT * FROM x3), b AS (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY score DESC, id) AS r, count(*) OVER (PARTITION BY mention) AS found FROM x)
+SELECT m.mention, b.id, round(b.score, 6) AS score, b.method, coalesce(r, 0) AS rank, coalesce(found, 0) AS found, CASE WHEN b.id IS NULL THEN 'not_found' WHEN b.method = 'exact' AND found = 1 THEN 'exact' ELSE 'ambiguous' END AS status FROM m LEFT JOIN b ON b.mention = m.mention AND r <= 5""")
 def _(t):
     words = lambda c: F.split(c, " ")
-    e = t.raw("nation").select(C("n_nationkey").alias("id"), F.lower("n_name").alias("k")).unionByName(t.raw("region").select((C("r_regionkey") + 100).alias("id"), F.lower("r_name").alias("k")))
-    kind = C("id") % 4
-    said = F.when(kind == 0, C("k")).when(kind == 1, F.expr("substr(k, 1, length(k) - 1)")).when(kind == 2, words(C("k"))[0]).otherwise(C("id").cast("string"))
-    m = e.select(C("id").alias("mention"), said.alias("said")).unionByName(t.spark.createDataFrame([(1000, "zzzz"), (1001, "united")], "mention int, said string"))
-    # each way is tried on the mentions that the ways before it left: equality of label or id, all words in the label, likeness
-    keys = e.select("id", F.explode(F.array("k", C("id").cast("string"))).alias("said")).distinct()
-    exact = m.join(keys, "said").select("mention", "id", F.lit(1.0).alias("score"), F.lit("exact").alias("method"))
-    rest = m.join(exact, "mention", "left_anti")
-    own = rest.select("mention", F.explode(F.array_distinct(words(C("said")))).alias("word"), F.size(words(C("said"))).alias("n"))
-    label = e.select("id", F.explode(F.array_distinct(words(C("k")))).alias("word"), F.size(words(C("k"))).alias("k"))
-    partial = own.join(label, "word").groupBy("mention", "id").agg(F.count_distinct("word").alias("c"), F.first("n").alias("n"), F.first("k").alias("k")).where("c = n").select("mention", "id", (C("n") / C("k")).alias("score"), F.lit("partial").alias("method"))
-    rest = rest.join(partial, "mention", "left_anti")
-    # blocked by the first letter, so no pair of unlike names is compared
-    score = 1 - F.levenshtein("said", "k") / F.greatest(F.length("said"), F.length("k"))
-    fuzzy = rest.join(e, F.substring("said", 1, 1) == F.substring("k", 1, 1)).select("mention", "id", score.alias("score"), F.lit("fuzzy").alias("method")).where("score >= 0.8")
-    x = exact.unionByName(partial).unionByName(fuzzy)
-    w = Window.partitionBy("mention")
-    b = x.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "id"))).withColumn("found", F.count(F.lit(1)).over(w)).where("rank <= 5")
+    name = lambda df, key, label: df.select(key.cast("long").alias("id"), F.lower(label).alias("k"))
+    e = name(t.raw("nation"), C("n_nationkey"), "n_name").unionByName(name(t.raw("region"), C("r_regionkey") + 100, "r_name")).unionByName(name(t.raw("part"), C("p_partkey") + 1000, "p_name"))
+    kind = C("id") % 7
+    said = F.when(kind == 0, C("k")).when(kind == 1, F.expr("substr(k, 1, length(k) - 1)")).when(kind == 2, words(C("k"))[0]).when(kind == 3, F.expr("'x' || substr(k, 2)")).when(kind == 4, F.concat(F.lit("q"), "k")).when(kind == 5, F.expr("substr(k, 1, 3) || substr(k, 5)")).otherwise(C("id").cast("string"))
+    m = e.select(C("id").alias("mention"), said.alias("said")).unionByName(t.spark.createDataFrame([(-1, "zzzz"), (-2, "united")], "mention long, said string"))
+    # each way is tried on the mentions that the ways before it left, text by text: equality of label or id, all words in the label, likeness.
+    # Of the ids that share a label the first five are shown, with how many there are
+    labels = e.groupBy("k").agg(N().alias("times")).withColumn("words", F.array_distinct(words(C("k")))).withColumn("k_words", F.size(words(C("k"))))
+    texts = m.select("said").distinct()
+    ids = e.select(C("id").cast("string").alias("said"), "id")
+    by_label = texts.join(labels.select(C("k").alias("said"), "times"), "said").select("said", C("said").alias("k"), F.lit(1.0).alias("score"), F.lit("exact").alias("method"))
+    by_id = texts.join(ids, "said").select("said", F.lit(1.0).alias("score"), F.lit("exact").alias("method"), "id")
+    rest = texts.join(by_label, "said", "left_anti").join(by_id, "said", "left_anti")
+    own = rest.select("said", F.explode(F.array_distinct(words(C("said")))).alias("word"), F.size(words(C("said"))).alias("n"))
+    partial = own.join(labels.select("k", "k_words", F.explode("words").alias("word")), "word").groupBy("said", "k").agg(N().alias("c"), F.first("n").alias("n"), F.first("k_words").alias("k_words")).where("c = n").select("said", "k", (C("n") / C("k_words")).alias("score"), F.lit("partial").alias("method"))
+    rest = rest.join(partial, "said", "left_anti")
+    close = fuzzy.alike(rest, labels, "said", "k", "said", "k", (1, 5)).withColumn("method", F.lit("fuzzy"))
+    found = cut(by_label.unionByName(partial).unionByName(close), "candidates")
+    first = win.top_per_group(e, ["k"], [F.asc("id")], 5)
+    totals = found.join(labels.select("k", "times"), "k").select("said", "times").unionByName(by_id.select("said", F.lit(1).cast("long").alias("times"))).groupBy("said").agg(F.sum("times").alias("found"))
+    x = found.join(first.select("k", "id"), "k").select("said", "id", "score", "method").unionByName(by_id.select("said", "id", "score", "method"))
+    b = x.withColumn("rank", F.row_number().over(Window.partitionBy("said").orderBy(F.desc("score"), "id"))).where("rank <= 5").join(totals, "said")
     status = F.when(C("id").isNull(), "not_found").when((C("method") == "exact") & (C("found") == 1), "exact").otherwise("ambiguous")
-    return m.select("mention").join(b, "mention", "left").select("mention", "id", F.round("score", 6).alias("score"), "method", F.coalesce("rank", F.lit(0)).alias("rank"), status.alias("status"))
+    return m.join(b, "said", "left").select("mention", "id", F.round("score", 6).alias("score"), "method", F.coalesce("rank", F.lit(0)).alias("rank"), F.coalesce("found", F.lit(0)).alias("found"), status.alias("status"))
