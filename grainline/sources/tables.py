@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,23 +116,86 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
 
-def versioned_sink(tables: dict[str, DataFrame], root: str, version: str) -> bool:
-    """Write all tables to a staging folder, then publish it by one rename; False if the version is there already.
-    A build that fails leaves nothing published."""
+class PublicationError(RuntimeError):
+    pass
+
+
+def _pointers(spark: SparkSession, root: str) -> list[dict]:
+    fs, path = _fs(spark, root)
+    if not fs.exists(path(f"{root}/publications")):
+        return []
+    files = [f.getPath().toString() for f in fs.listStatus(path(f"{root}/publications")) if f.getPath().getName().endswith(".json")]
+    return [json.loads(r[0]) for r in spark.read.text(files, wholetext=True).collect()] if files else []  # a row a version
+
+
+def publications(spark: SparkSession, root: str) -> DataFrame:
+    """version, sequence, data (folder), table, row_count, fingerprint: a row a published version and table."""
+    rows = [(p["version"], p["sequence"], p["data"], t["table"], t["row_count"], t["fingerprint"]) for p in _pointers(spark, root) for t in p["tables"]]
+    return spark.createDataFrame(rows, "version string, sequence long, data string, table string, row_count long, fingerprint string")
+
+
+def _prints(tables: dict[str, DataFrame]) -> list[dict]:
+    return [{"table": name, **frame_fingerprint(df).select("row_count", "fingerprint").first().asDict()} for name, df in sorted(tables.items())]
+
+
+def verify(spark: SparkSession, root: str, version: str) -> dict:
+    """The version's pointer, after its tables' rows and fingerprints were found as it says; an error where they are not."""
+    pointer = next((p for p in _pointers(spark, root) if p["version"] == version), None)
+    if pointer is None:
+        raise PublicationError(f"{version} is not published")
+    try:
+        held = _prints({t["table"]: spark.read.parquet(f"{pointer['data']}/{t['table']}") for t in pointer["tables"]})
+    except Exception as gone:
+        raise PublicationError(f"{version} can't be read: {type(gone).__name__}") from gone
+    if held != pointer["tables"]:
+        raise PublicationError(f"{version} is not what was published: {held} instead of {pointer['tables']}")
+    return pointer
+
+
+def versioned_sink(tables: dict[str, DataFrame], root: str, version: str) -> str:
+    """Publish all tables together as a version: "published", or "reused" where the version is there with the same content.
+
+    Data goes to a folder of its own name and is read back for its fingerprints. The pointer file publications/<version>.json, made only if it is
+    absent, is the commit: before it nothing of the version can be seen, and of two builders one makes it. Where the version is there, it is verified,
+    and other content is an error. A build that fails or comes second removes its own folder and no other."""
     spark = next(iter(tables.values())).sparkSession
     fs, path = _fs(spark, root)
-    if fs.exists(path(f"{root}/{version}")):
-        return False
-    staging = f"{root}/_staging_{version}"
-    fs.delete(path(staging), True)
+    data, file = f"{root}/data/{uuid.uuid4().hex}", path(f"{root}/publications/{version}.json")
+    committed = False
     try:
-        for name, df in tables.items():
-            df.write.option("compression", "zstd").parquet(f"{staging}/{name}")
-        if not fs.rename(path(staging), path(f"{root}/{version}")):
-            raise OSError(f"can't publish {version}")
+        if not fs.exists(file):
+            for name, df in tables.items():
+                df.write.option("compression", "zstd").parquet(f"{data}/{name}")
+            written = _prints({name: spark.read.parquet(f"{data}/{name}") for name in tables})
+            sequence = 1 + max((p["sequence"] for p in _pointers(spark, root)), default=0)
+            text = json.dumps({"version": version, "sequence": sequence, "data": data, "tables": written})
+            try:
+                out = fs.create(file, False)
+            except Exception as e:
+                if "AlreadyExists" not in str(e) and "already exists" not in str(e):
+                    raise
+            else:
+                out.write(bytearray(text.encode()))
+                out.close()
+                committed = True
+                return "published"
+        else:
+            written = _prints(tables)
+        if verify(spark, root, version)["tables"] != written:
+            raise PublicationError(f"{version} is published with other content")
+        return "reused"
     finally:
-        fs.delete(path(staging), True)
-    return True
+        if not committed:
+            fs.delete(path(data), True)
+
+
+def read_published(spark: SparkSession, root: str, table: str, version: str | None = None) -> DataFrame:
+    """The table of a version, or of the one published last, by its pointer, with the column version."""
+    held = [p for p in _pointers(spark, root) if version in (None, p["version"])]
+    if not held:
+        raise PublicationError(f"{version or 'no version'} is not published")
+    pointer = max(held, key=lambda p: (p["sequence"], p["version"]))
+    return spark.read.parquet(f"{pointer['data']}/{table}").withColumn("version", F.lit(pointer["version"]))
 
 
 def context_normalise(df: DataFrame, id_columns: list[str], team_columns: list[str], aliases: DataFrame, pattern: str) -> DataFrame:

@@ -232,11 +232,12 @@ def test_csv_contract_and_versioned_sink(spark, tmp_path):
     df = src.scan_csv_typed(spark, str(tmp_path / "x.csv"), {"a": "int", "b": "boolean", "c": "string"})
     assert [tuple(r) for r in df.collect()] == [(1, True, "x"), (None, False, None)]
     root = f"file://{tmp_path}/out"
-    assert src.versioned_sink({"t": df}, root, "v1") and not src.versioned_sink({"t": df}, root, "v1")
-    assert spark.read.parquet(f"{root}/v1/t").count() == 2
+    assert (src.versioned_sink({"t": df}, root, "v1"), src.versioned_sink({"t": df}, root, "v1")) == ("published", "reused")
+    assert src.read_published(spark, root, "t", "v1").count() == 2
+    held = sorted((tmp_path / "out" / "data").iterdir())
     with pytest.raises(Exception):
         src.versioned_sink({"t": df.select(F.raise_error(F.lit("x")))}, root, "v2")
-    assert not (tmp_path / "out" / "v2").exists() and not (tmp_path / "out" / "_staging_v2").exists()
+    assert sorted((tmp_path / "out" / "data").iterdir()) == held and [p.name for p in (tmp_path / "out" / "publications").glob("*.json")] == ["v1.json"]
 
 
 def test_partitioned_scan_and_incremental_seasons(spark, tmp_path):
@@ -325,3 +326,46 @@ def test_constant_features_have_no_slope_and_small_ones_do(spark):
     assert closed.fit(closed.sums(tiny, ["x"], []), [], 1, [1], "0").first()["b1"] == pytest.approx(2e10)
     twin = frame(spark, [(float(i), 3.0 * i + 1e7, float(i % 4), 1.0) for i in range(9)], "a double, b double, y double, w double")
     assert closed.fit(closed.sums(twin, ["a", "b"], []), [], 2, [1, 2], "0").first()["b1"] is None
+
+
+def test_publications_are_verified_and_made_by_one_builder(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    one, two = frame(spark, [(1, "a"), (2, "b")], "k int, s string"), frame(spark, [(3, "c")], "k int, s string")
+    assert src.versioned_sink({"t": one, "u": two}, root, "v1") == "published" and src.versioned_sink({"t": two}, root, "v2") == "published"
+    assert rows(src.read_published(spark, root, "t", "v1")) == [(1, "a", "v1"), (2, "b", "v1")] and rows(src.read_published(spark, root, "t")) == [(3, "c", "v2")]
+    assert rows(src.publications(spark, root).select("version", "sequence", "table", "row_count")) == [("v1", 1, "t", 2), ("v1", 1, "u", 1), ("v2", 2, "t", 1)]
+    with pytest.raises(src.PublicationError, match="other content"):
+        src.versioned_sink({"t": one, "u": one}, root, "v1")
+    folders = lambda: {p.name for p in (tmp_path / "data").iterdir()}
+    held = folders()
+    # a builder that saw no pointer and comes second: its data goes, the first one's stays
+    monkeypatch.setattr(src, "_fs", lambda *a, real=src._fs: _Blind(*real(*a)).pair())
+    assert src.versioned_sink({"t": one, "u": two}, root, "v1") == "reused"
+    with pytest.raises(src.PublicationError, match="other content"):
+        src.versioned_sink({"t": two, "u": two}, root, "v1")
+    monkeypatch.undo()
+    assert folders() == held and rows(src.read_published(spark, root, "u", "v1")) == [(3, "c", "v1")]
+    # damage is found before reuse
+    data = next(p["data"] for p in src._pointers(spark, root) if p["version"] == "v1")
+    two.write.mode("append").parquet(f"{data}/t")
+    for call in (lambda: src.verify(spark, root, "v1"), lambda: src.versioned_sink({"t": one, "u": two}, root, "v1")):
+        with pytest.raises(src.PublicationError, match="not what was published"):
+            call()
+    with pytest.raises(src.PublicationError, match="not published"):
+        src.read_published(spark, root, "t", "v9")
+
+
+class _Blind:
+    """A file system that does not see pointers before it makes one."""
+
+    def __init__(self, fs, path):
+        self.fs, self.path = fs, path
+
+    def exists(self, path):
+        return self.fs.exists(path) and not path.toString().endswith(".json")
+
+    def __getattr__(self, name):
+        return getattr(self.fs, name)
+
+    def pair(self):
+        return self, self.path
