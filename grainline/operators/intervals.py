@@ -16,12 +16,12 @@ from ..sources.shared import cut
 def running(df: DataFrame, keys: list[str], order: str, sums: list[str]) -> DataFrame:
     """df plus <c>_upto: the sum of c over the key's rows up to and with this row's `order` (rows of equal order count together)."""
     parts = cut(df.repartitionByRange(*keys, order).withColumn("_range", F.spark_partition_id()), "ranges")
-    totals = parts.groupBy(*keys, "_range").agg(*(F.sum(c).alias(f"_{c}") for c in sums))
+    totals = parts.groupBy(*keys, "_range").agg(*(F.sum(c).alias(f"_ahead_{c}") for c in sums))
     ahead = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range of the key
-    totals = totals.select(*keys, "_range", *(F.coalesce(F.sum(f"_{c}").over(ahead), F.lit(0)).alias(f"_{c}") for c in sums))
+    totals = totals.select(*keys, "_range", *(F.coalesce(F.sum(f"_ahead_{c}").over(ahead), F.lit(0)).alias(f"_ahead_{c}") for c in sums))
     within = Window.partitionBy(*keys, "_range").orderBy(order)
     out = parts.select("*", *(F.sum(c).over(within).alias(f"{c}_upto") for c in sums)).join(totals, [*keys, "_range"])
-    return out.select(*df.columns, *((F.col(f"{c}_upto") + F.col(f"_{c}")).alias(f"{c}_upto") for c in sums))
+    return out.select(*df.columns, *((F.col(f"{c}_upto") + F.col(f"_ahead_{c}")).alias(f"{c}_upto") for c in sums))
 
 
 def endpoints(df: DataFrame, keys: list[str], start: str, end: str, measures: dict[str, Column] | None = None) -> DataFrame:

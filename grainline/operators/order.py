@@ -6,7 +6,7 @@ over them (intervals.running). A value's place in its group is known from that:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import cut
@@ -42,6 +42,29 @@ def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, floa
     return got.select(*keys, "n", *(between(name, h).alias(name) for name, h in place.items()))
 
 
+def cumulative_quantiles(df: DataFrame, keys: list[str], season: str, value: str, share: float, targets: DataFrame, cells: int = 64) -> DataFrame:
+    """keys, season (the target), n, q: the quantile over all seasons before each target. Values are counted in cells first (cut at approximate
+    quantiles of the key); the counts before a target tell in which cell its rank lies, and only the rows of that cell are ordered, so that a
+    row is passed on to about targets / cells targets instead of all."""
+    rows = df.where(F.col(value).isNotNull()).select(*keys, season, F.col(value).cast("double").alias("_v"))
+    edges = rows.groupBy(*keys).agg(F.percentile_approx("_v", [(i + 1) / cells for i in range(cells - 1)], 50 * cells).alias("_edges"))
+    rows = rows.join(edges, keys) if keys else rows.crossJoin(F.broadcast(edges))
+    rows = cut(rows.withColumn("_cell", F.size(F.filter("_edges", lambda e: F.col("_v") > e))).drop("_edges"), "cells")
+    ahead = targets.select(F.col(season).alias("_t"))  # a row a season, as are the counts by cell
+    hist = rows.groupBy(*keys, season, "_cell").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(ahead)).where(F.col(season) < F.col("_t")).groupBy(*keys, "_t", "_cell").agg(F.sum("n").alias("n"))
+    hist = hist.select("*", F.sum("n").over(Window.partitionBy(*keys, "_t").orderBy("_cell")).alias("_upto"), F.sum("n").over(Window.partitionBy(*keys, "_t")).alias("_n"))
+    place = (F.col("_n") - 1) * share
+    sides = F.explode(F.array(*(F.struct(F.lit(name).alias("_side"), (f(place).cast("long") + 1).alias("_k")) for name, f in (("low", F.floor), ("high", F.ceil)))))
+    wanted = hist.select(*keys, "_t", "_cell", "n", "_upto", "_n", sides.alias("_s")).select("*", "_s.*").where("_k <= _upto AND _k > _upto - n")
+    wanted = cut(wanted.select(*keys, "_t", "_cell", "_side", "_n", (F.col("_k") - F.col("_upto") + F.col("n")).alias("_k")), "wanted")
+    near = rows.join(F.broadcast(wanted), [*keys, "_cell"]).where(F.col(season) < F.col("_t"))
+    counts = near.groupBy(*keys, "_t", "_side", "_k", "_n", "_v").agg(F.count(F.lit(1)).alias("n"))
+    got = running(counts, [*keys, "_t", "_side", "_k", "_n"], "_v", ["n"]).where("_k <= n_upto AND _k > n_upto - n")
+    both = got.groupBy(*keys, F.col("_t").alias(season)).agg(F.max("_n").alias("n"), F.max(F.when(F.col("_side") == "low", F.col("_v"))).alias("_low"), F.max(F.when(F.col("_side") == "high", F.col("_v"))).alias("_high"))
+    h = (F.col("n") - 1) * share
+    return both.select(*keys, season, "n", F.when(F.floor(h) == F.ceil(h), F.col("_low")).otherwise((F.ceil(h) - h) * F.col("_low") + (h - F.floor(h)) * F.col("_high")).alias("q"))
+
+
 def average_ranks(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """df plus <column>_rank: ranks within the group with ties averaged, among rows where all the columns are present."""
     out = df

@@ -193,17 +193,6 @@ def _(t):
     return o.join(F.broadcast(l), "season").select("season", "owner", F.round(C("v") / C("n") - C("weighted"), 6).alias("centred"), F.round(C("v") / C("n") - C("plain"), 5).alias("centred_plain"))
 
 
-@query("J36_feature_correlations", """
-WITH l AS (SELECT team_id, season, unnest(['a', 'b', 'c']) AS f, unnest([attempts::DOUBLE / plays, successes::DOUBLE / plays, tax::DOUBLE / plays]) AS v FROM team_seasons)
-SELECT x.f AS first_feature, y.f AS second_feature, count(*) AS n, round(corr(x.v, y.v), 5) AS r FROM l x JOIN l y ON x.team_id = y.team_id AND x.season = y.season AND x.f < y.f GROUP BY 1, 2 HAVING count(*) >= 20""")
-def _(t):
-    names = {"a": "attempts", "b": "successes", "c": "tax"}
-    both = [(x, y) for x in names for y in names if x < y]
-    # one row a team-season gives all pairs: no self-join
-    rows = t.team_seasons.select(F.explode(F.array(*(F.struct(F.lit(x).alias("first_feature"), F.lit(y).alias("second_feature"), (C(names[x]) / C("plays")).alias("u"), (C(names[y]) / C("plays")).alias("v")) for x, y in both))).alias("p")).select("p.*")
-    return rows.groupBy("first_feature", "second_feature").agg(N().alias("n"), F.round(stats.pearson("u", "v"), 5).alias("r")).where("n >= 20")
-
-
 @query("J37_feature_availability_class", f"WITH {bound.RECORDS} SELECT feature, count(value) AS present, round(count(value)::DOUBLE / count(*), 9) AS coverage, count(DISTINCT target) AS targets, CASE WHEN count(value)::DOUBLE / count(*) >= 0.95 THEN 'available' WHEN count(value) > 0 THEN 'partial' ELSE 'absent' END AS status FROM recs GROUP BY 1")
 def _(t):
     r = bound.records(t).groupBy("feature").agg(F.count("value").alias("present"), F.round(F.count("value") / N(), 9).alias("coverage"), F.count_distinct("target").alias("targets"))

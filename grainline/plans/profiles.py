@@ -3,6 +3,7 @@ share, each over a denominator of its own; one grouped pass gives them all."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rates
@@ -262,3 +263,16 @@ def _(t):
     j = cells.join(F.broadcast(base), "season").join(ctx, ["season", *keys], "left")
     seen, want = F.sum("h") / F.sum("n"), F.sum(C("n") * F.coalesce("e", "base")) / F.sum("n")
     return j.groupBy("team_id", "season").agg(F.sum("n").alias("n"), F.round(seen, 8).alias("observed"), F.round(want, 6).alias("expected"), F.round(seen - want, 6).alias("over_expected"), F.sum(F.when(C("e").isNull(), C("n"))).alias("unseen"))
+
+
+@query("J36_feature_correlations", f"""WITH {PROFILES}, c AS (SELECT x.feature AS first_feature, y.feature AS second_feature, count(*) AS n, CASE WHEN var_pop(x.value) > 1e-18 AND var_pop(y.value) > 1e-18 THEN round(corr(x.value, y.value), 5) END AS r
+  FROM l31 x JOIN l31 y ON x.team_id = y.team_id AND x.season = y.season AND x.feature < y.feature WHERE x.value IS NOT NULL AND y.value IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 20)
+SELECT *, row_number() OVER (ORDER BY abs(r) DESC NULLS LAST, first_feature, second_feature) AS rank FROM c""")
+def _(t):
+    # a team-season's features are one row, which gives all its pairs: an upper triangle with pairwise counts, no self-join
+    wide = team_profiles(t).where("value IS NOT NULL").groupBy("team_id", "season").agg(F.array_sort(F.collect_list(F.struct("feature", "value"))).alias("f"))
+    pairs = F.expr("flatten(transform(f, (a, i) -> transform(slice(f, i + 2, size(f)), b -> struct(a.feature AS first_feature, b.feature AS second_feature, a.value AS u, b.value AS v))))")
+    out = wide.select(F.explode(pairs).alias("p")).select("p.*").groupBy("first_feature", "second_feature").agg(F.count(F.lit(1)).alias("n"), F.var_pop("u").alias("vu"), F.var_pop("v").alias("vv"), F.covar_pop("u", "v").alias("c")).where("n >= 20")
+    r = F.when((C("vu") > 1e-18) & (C("vv") > 1e-18), F.round(C("c") / F.sqrt(C("vu") * C("vv")), 5))
+    out = out.select("first_feature", "second_feature", "n", r.alias("r"))
+    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last(F.abs("r")), "first_feature", "second_feature")))  # a row a pair of features

@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import joins, stats
+from ..operators import joins, order, stats
 from ..sources import tables as src
-from ..sources.shared import new_dir
+from ..sources.shared import cut, new_dir
 from .domain import TRAIL, trail
 from .registry import query
 from .stats import PAIRS, pairs
@@ -71,18 +71,46 @@ def cohort(t):
     return a.join(p, ["actor_id", "season"], "left").join(ts, ["team_id", "season"], "left")
 
 
-@query("K04_fold_preprocess", f"""WITH {COHORT}, f AS (SELECT s.season AS fold, quantile_cont(prior_share, 0.5) AS med, avg(coalesce(prior_share, 0)) AS raw FROM seasons s JOIN ch ON ch.season < s.season GROUP BY 1 HAVING count(prior_share) > 0),
-g AS (SELECT f.fold, any_value(med) AS med, avg(coalesce(prior_share, med)) AS m, stddev_pop(coalesce(prior_share, med)) AS sd FROM f JOIN ch ON ch.season < f.fold GROUP BY 1)
-SELECT actor_id, season, round((coalesce(prior_share, med) - m) / sd, 5) AS z, prior_share IS NULL AS was_missing FROM ch JOIN g ON g.fold = ch.season""")
+#: Features of the preprocessing, as SQL over the actor's row a of the season before and the team's row ts; the last two are rarely there and constant.
+RAW = {"share": "a.attempts / a.plays", "success": "a.successes / a.plays", "level": "a.value / a.volume", "team_share": "ts.attempts / ts.plays", "peak": "CASE WHEN a.plays >= 105 THEN a.value / a.volume END", "era": "CASE WHEN a.plays > 0 THEN 1 END"}
+LEAST_ROWS = 50
+_RAW_SQL = ", ".join(f"({e.replace(' / ', '::DOUBLE / ')})::DOUBLE" for e in RAW.values())
+
+
+@query("K04_fold_preprocess", f"""WITH x AS (SELECT c.actor_id, c.season, unnest([{', '.join(f"'{n}'" for n in RAW)}]) AS feature, unnest([{_RAW_SQL}]) AS v
+  FROM actor_seasons c LEFT JOIN actor_seasons a ON a.actor_id = c.actor_id AND a.season = c.season - 1 LEFT JOIN team_seasons ts ON ts.team_id = c.team_id AND ts.season = c.season - 1),
+f AS (SELECT s.season AS fold, feature, count(v) AS n, count(*) - count(v) AS missing, quantile_cont(v, 0.5) AS med, stddev_pop(v) AS spread FROM seasons s JOIN x ON x.season < s.season GROUP BY 1, 2),
+g AS (SELECT f.fold, f.feature, avg(coalesce(v, med)) AS m, stddev_pop(coalesce(v, med)) AS sd FROM f JOIN x ON x.season < f.fold AND x.feature = f.feature GROUP BY 1, 2),
+r AS (SELECT *, CASE WHEN n < {LEAST_ROWS} THEN 'few' WHEN spread <= 1e-12 THEN 'constant' ELSE 'kept' END AS rule FROM f JOIN g USING (fold, feature))
+SELECT actor_id, season, x.feature, rule, CASE WHEN rule = 'kept' THEN round((coalesce(v, med) - m) / sd, 5) END AS z, CASE WHEN rule = 'kept' AND missing > 0 THEN (v IS NULL)::INT END AS was_missing FROM x JOIN r ON r.fold = x.season AND r.feature = x.feature""")
 def _(t):
-    c = cohort(t)
-    folds = t.seasons.withColumnRenamed("season", "fold")
-    past = F.broadcast(folds).join(c.select("season", "prior_share"), C("season") < C("fold"))
-    med = past.groupBy("fold").agg(F.percentile("prior_share", 0.5).alias("med")).where("med IS NOT NULL")
-    x = F.coalesce("prior_share", "med")
-    fit = past.join(F.broadcast(med), "fold").groupBy("fold").agg(F.first("med").alias("med"), F.avg(x).alias("m"), F.stddev_pop(x).alias("sd"))
-    out = c.join(F.broadcast(fit.withColumnRenamed("fold", "season")), "season")
-    return out.select("actor_id", "season", F.round((x - C("m")) / C("sd"), 5).alias("z"), C("prior_share").isNull().alias("was_missing"))
+    rows = t.actor_seasons.select("actor_id", "season", "team_id")
+    before = lambda df, *keys: df.select(*keys, (C("season") + 1).alias("season"), F.struct("plays", "volume", "value", "attempts", "successes").alias("_x"))
+    wide = rows.join(before(t.actor_seasons, "actor_id").withColumnRenamed("_x", "a"), ["actor_id", "season"], "left").join(before(t.team_seasons, "team_id").withColumnRenamed("_x", "ts"), ["team_id", "season"], "left")
+    x = wide.select("actor_id", "season", F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), F.expr(e).cast("double").alias("v")) for n, e in RAW.items()))).alias("f")).select("actor_id", "season", "f.*")
+    return fold_features(cut(x, "features"), t.seasons)
+
+
+def fold_features(x, seasons, least_rows=LEAST_ROWS):
+    """x (actor_id, season, feature, v) by the rules of its season's fold, which come from the seasons before it alone: a feature with few values or one
+    value is dropped, others have NULLs filled by the median, are standardised, and have an indicator where values were missing in the fold."""
+    centre = x.groupBy("feature").agg(F.coalesce(F.avg("v"), F.lit(0.0)).alias("c"))
+    v = C("v") - C("c")
+    per = x.join(F.broadcast(centre), "feature").groupBy("feature", "c", "season").agg(F.count("v").alias("n"), F.count_if(C("v").isNull()).alias("missing"), F.coalesce(F.sum(v), F.lit(0.0)).alias("s"), F.coalesce(F.sum(v * v), F.lit(0.0)).alias("q"))
+    grid = seasons.select("season").crossJoin(F.broadcast(centre)).join(per.drop("c"), ["season", "feature"], "left")
+    past = Window.partitionBy("feature").orderBy("season").rangeBetween(Window.unboundedPreceding, -1)  # a row a season
+    fold = grid.select("season", "feature", "c", *(F.sum(k).over(past).alias(k) for k in ("n", "missing", "s", "q"))).where("n IS NOT NULL")
+    med = order.cumulative_quantiles(x, ["feature"], "season", "v", 0.5, seasons).select("season", "feature", C("q").alias("med"))
+    fold = fold.join(med, ["season", "feature"], "left")
+    spread = F.when(C("n") > 0, F.sqrt(F.greatest(F.lit(0.0), C("q") / C("n") - (C("s") / C("n")) * (C("s") / C("n")))))
+    rule = F.when(C("n") < least_rows, "few").when(spread <= 1e-12 + 1e-12 * F.abs("c"), "constant").otherwise("kept")
+    total, filled = C("n") + C("missing"), C("missing") * F.coalesce(C("med") - C("c"), F.lit(0.0))
+    mean = (C("s") + filled) / total
+    square = (C("q") + filled * F.coalesce(C("med") - C("c"), F.lit(0.0))) / total
+    fit = fold.select("season", "feature", rule.alias("rule"), "med", "missing", (C("c") + mean).alias("m"), F.sqrt(F.greatest(F.lit(0.0), square - mean * mean)).alias("sd"))
+    out = x.join(F.broadcast(fit), ["season", "feature"])
+    kept = C("rule") == "kept"
+    return out.select("actor_id", "season", "feature", "rule", F.when(kept, F.round((F.coalesce("v", "med") - C("m")) / C("sd"), 5)).alias("z"), F.when(kept & (C("missing") > 0), C("v").isNull().cast("int")).alias("was_missing"))
 
 
 @query("K51_gate_comparison", f"""WITH {PAIRS}, c AS (SELECT 'y' AS system, count(*) AS n, corr(y, prior_y) AS r FROM pairs UNION ALL SELECT 'x1', count(*), corr(x1, prior_x1) FROM pairs),

@@ -74,3 +74,40 @@ def test_conformal_radii_take_the_rank_of_the_seasons_before(spark):
 def test_one_group_with_all_rows(spark):
     df = spark.range(300_000).select(F.lit("hot").alias("g"), ((F.col("id") * 7919) % 300_000).cast("double").alias("v"))
     assert rows(order.quantiles(df, ["g"], "v", {"q": 0.9, "m": 0.5})) == [("hot", 300_000, pytest.approx(0.9 * 299_999), pytest.approx(0.5 * 299_999))]
+
+
+def test_quantiles_over_all_seasons_before(spark):
+    r = random.Random(6)
+    data = [(s, r.choice("ab"), r.choice([None, float(r.randint(0, 5)), r.gauss(s, 3)])) for s in range(1990, 2000) for _ in range(r.choice([0, 3, 40]))]
+    df = spark.createDataFrame(data, "season int, k string, v double")
+    targets = spark.range(1988, 2003).select(F.col("id").cast("int").alias("season"))
+    for cells in (2, 64):
+        got = {(x["k"], x["season"]): (x["n"], x["q"]) for x in order.cumulative_quantiles(df, ["k"], "season", "v", 0.5, targets, cells).collect()}
+        want = {}
+        for k in "ab":
+            for t in range(1988, 2003):
+                own = [v for s, g, v in data if g == k and s < t and v is not None]
+                if own:
+                    want[k, t] = (len(own), pytest.approx(np.median(own)))
+        assert got == want
+
+
+def test_folds_drop_fill_and_flag_by_what_is_before_them(spark):
+    from grainline.plans.research import fold_features
+
+    r = random.Random(9)
+    rows_ = [(a, s, f, v) for s in range(2000, 2005) for a in range(30) for f, v in (("x", None if s == 2002 and a < 6 else r.gauss(1e6, 2)), ("rare", 1.0 * a if a < 3 else None), ("one", 7.25))]
+    df = spark.createDataFrame(rows_, "actor_id int, season int, feature string, v double")
+    seasons = df.select("season").distinct()
+    got = {(x["actor_id"], x["season"], x["feature"]): x for x in fold_features(df, seasons, least_rows=40).collect()}
+    assert {x["rule"] for x in got.values() if x["feature"] == "rare"} == {"few"} and {x["rule"] for x in got.values() if x["feature"] == "one" and x["season"] > 2001} == {"constant"}
+    assert {s for _, s, _ in got} == {2001, 2002, 2003, 2004} and {x["rule"] for x in got.values() if x["season"] == 2001} == {"few"}
+    past = [v for _, s, f, v in rows_ if f == "x" and s < 2004]
+    med = np.median([v for v in past if v is not None])
+    full = np.array([med if v is None else v for v in past])
+    value = next(v for a, s, f, v in rows_ if (a, s, f) == (4, 2004, "x"))
+    assert got[4, 2004, "x"]["z"] == pytest.approx((value - full.mean()) / full.std(), abs=1e-5) and got[4, 2004, "x"]["was_missing"] == 0
+    assert got[4, 2002, "x"]["was_missing"] is None and got[4, 2002, "x"]["z"] == pytest.approx((np.median([v for _, s, f, v in rows_ if f == "x" and s < 2002]) - np.mean([v for _, s, f, v in rows_ if f == "x" and s < 2002])) / np.std([v for _, s, f, v in rows_ if f == "x" and s < 2002]), abs=1e-5)
+    # what comes later changes nothing
+    changed = fold_features(df.withColumn("v", F.when(F.col("season") >= 2003, F.col("v") * 3).otherwise(F.col("v"))), seasons, least_rows=40).where("season <= 2003")
+    assert {(x["actor_id"], x["season"], x["feature"]): x["rule"] for x in changed.collect()} == {k: x["rule"] for k, x in got.items() if k[1] <= 2003}
