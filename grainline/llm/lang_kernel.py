@@ -6,8 +6,10 @@ give the Nystrom map K(x, Z) K(Z, Z)^(-1/2), on which one-versus-rest kernel rid
 Texts are scored where they are read, a block of presence rows times the landmark matrix at a time; the model's
 size is fixed by its parameters.
 
-The sample is bounded: about sample_rows rows in all, spread evenly over the languages, by the hash of doc_id and
-text, with the least one of each language, and never more than twice as many. Defined results: a null text or one without a letter is 'und' with score 0; with no row to learn from
+The sample is bounded: about sample_rows rows in all, or PER_LANG a language if that is more, spread evenly over the languages, by the hash of
+doc_id and text, with the least one of each language, and never more than twice as many. Landmarks are taken in turn from each language: 128, or
+four a language above 32 languages, 2,048 above 512 and one a language above 2,048, up to MOST_LANGS languages (an error above). Of equal scores the
+language that is first in code-point order is predicted. Texts of any length are read whole. Defined results: a null text or one without a letter is 'und' with score 0; with no row to learn from
 all are 'und'; repeated rows are predicted each; other columns are ignored; empty input gives no rows.
 """
 
@@ -25,8 +27,8 @@ from .toxicity import remainder
 
 SLOT_BITS, ORDERS = 13, (1, 2, 3)
 SAMPLE_ROWS, LANDMARKS, RIDGE, BLOCK = 4096, 128, 1e-2, 64
-#: Bound of the broadcast table of languages and their sampling shares.
-MOST_LANGS = 10_000
+#: Sampled rows of a language at least, and a bound of the languages: 4,096 landmarks are a model of 134 MB and minutes of fitting.
+PER_LANG, MOST_LANGS = 16, 4096
 _LETTERS = np.full(256, 32, np.uint8)
 _LETTERS[97:123] = _LETTERS[65:91] = np.arange(97, 123, dtype=np.uint8)
 _LETTERS[128:] = np.arange(128, 256, dtype=np.uint8)
@@ -65,11 +67,16 @@ class Kernel:
         return k @ self.weights
 
 
-def fit(rows: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Kernel | None:
+def landmarks_for(langs: int) -> int:
+    return max(LANDMARKS, min(4 * langs, 2048), langs)
+
+
+def fit(rows: np.ndarray, langs: list[str], landmarks: int | None = None, ridge: float = RIDGE) -> Kernel | None:
     """rows: texts x slots. Landmarks are taken in turn from each language."""
     names = sorted(set(langs))
     if not names:
         return None
+    landmarks = landmarks or landmarks_for(len(names))
     label = np.array([names.index(x) for x in langs])
     x = rows.astype(np.float32)
     norm = x / np.sqrt(np.maximum(1, x.sum(1)))[:, None]
@@ -90,13 +97,14 @@ def fit(rows: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: f
     return Kernel(names, np.ascontiguousarray(z.T, np.float32), (root @ np.linalg.solve(gram, (phi * weight[:, None]).T @ y)).astype(np.float32))
 
 
-def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Kernel | None:
+def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, landmarks: int | None = None, ridge: float = RIDGE) -> Kernel | None:
     known = docs.select("doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL").where(remainder(F.col("doc_id"), 3) != 1)
     order = F.xxhash64("doc_id", "text")
     counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("least"))
     langs = max(1, counts.count())
     if langs > MOST_LANGS:
         raise ValueError(f"{langs} languages; the shares of at most {MOST_LANGS} are broadcast")
+    sample_rows = max(sample_rows, PER_LANG * langs)
     share = counts.select("lang", "least", F.least(F.lit(1.0), F.lit(sample_rows / langs) / F.col("n")).alias("share"))
     dice = F.pmod(order, F.lit(1 << 30)) / (1 << 30)
 

@@ -10,8 +10,8 @@ so all distributions sum to one; a token is scored in the longest retained suffi
 What is gathered grows with the input: every word's count (a table of its own, by a shuffle), and a tree whose contexts and next
 symbols need min(share * N, N^(2/3) / rate) occurrences, so that it has room for some rate * N^(1/3) of either: 5.8 times as many
 at 200 times the text. The tree is a broadcast, so it can't grow in proportion to the corpus; its size is checked against that
-bound when it is read. Texts are cut into words once: hot words (above hot_share of all tokens, at most 1 / hot_share) become
-numbers in a table that every level and the scoring read; the rest, which no context predicts on its own, are joined by a
+bound when it is read. Texts are cut into words once: hot words (with min(hot_share * N, N^(2/3) / next_rate) occurrences, hence all that
+the tree could have as next symbols or in contexts) become numbers in a table that every level and the scoring read; the rest, which no context predicts on its own, are joined by a
 shuffle to the whole table of counts, so every token is scored on its exact count.
 
 Words are known by 64-bit hashes. Defined results: null and empty texts are one end token; a null doc_id counts as
@@ -85,8 +85,8 @@ class Tree:
         return (c + 0.5) / (self.n + 0.5 * (self.v + 1))
 
 
-#: Ids are packed in 21 bits; hot words and the contexts of a level are fewer than 2^21 and 2^42.
-BITS = 21
+#: Ids are packed in 26 bits; hot words and the contexts of a level are fewer than 2^26 and 2^37: enough for 5 * 10^13 tokens at the default rates.
+BITS = 26
 MASK = (1 << BITS) - 1
 
 
@@ -150,16 +150,22 @@ def _bounded(df: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     return got["a"].to_numpy(), got["n"].to_numpy()
 
 
-def vocabulary(docs: DataFrame, hot_share: float, min_count: int, discount: float) -> tuple[Tree, DataFrame]:
+def enough(n: int, share: float, rate: float, min_count: int) -> int:
+    """How often what the tree holds must occur among n tokens."""
+    return max(min_count, int(np.ceil(min(share * n, n ** (2 / 3) / rate))))
+
+
+def vocabulary(docs: DataFrame, hot_share: float, next_rate: float, min_count: int, discount: float) -> tuple[Tree, DataFrame]:
     """The root of the tree with the hot words, and the table (a, n) of all words' counts."""
     words = lambda batch: (tokens(c)[0] for c in chunks(text_array(batch.column(0)), 1 << 20))
     unigrams = cut(_counts(docs.select("text"), words), "unigrams")
     total = unigrams.agg(F.sum("n"), F.count(F.lit(1))).first()
     tree = Tree(total[0] or 0, total[1], discount)
     if tree.n:
-        a, n = _bounded(unigrams.where(F.col("n") >= max(min_count, int(np.ceil(hot_share * tree.n)))), int(1 / hot_share) + 1)
+        least = enough(tree.n, hot_share, next_rate, min_count)
+        a, n = _bounded(unigrams.where(F.col("n") >= least), tree.n // least)
         if len(a) >= MASK:
-            raise ValueError("hot_share is too small for packed ids")
+            raise ValueError("too many hot words for packed ids")
         order = np.argsort(a.view(np.uint64))
         tree.words, tree.count = a.view(np.uint64)[order], n[order]
     return tree, unigrams
@@ -208,8 +214,7 @@ def _id_arrays(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def grow(tree: Tree, table: DataFrame, depth: int, context_share: float, next_share: float, context_rate: float, next_rate: float, min_count: int, min_divergence: float) -> None:
     """Add the tree's levels, counted on the tokenised table."""
     spark = table.sparkSession
-    enough = lambda share, rate: max(min_count, int(np.ceil(min(share * tree.n, tree.n ** (2 / 3) / rate))))
-    least, least_next = enough(context_share, context_rate), enough(next_share, next_rate)
+    least, least_next = enough(tree.n, context_share, context_rate, min_count), enough(tree.n, next_share, next_rate, min_count)
     least = max(least, least_next)
     end_id = int(lookup(tree.words, np.array([END]))[0])
     often = tree.count >= least_next
@@ -311,7 +316,7 @@ def score(table: DataFrame, tree: Tree, unigrams: DataFrame) -> DataFrame:
 def learn(docs: DataFrame, depth: int = 4, hot_share: float = 5e-7, context_share: float = 2e-5, next_share: float = 2e-6, context_rate: float = 180.0, next_rate: float = 1800.0, min_count: int = 2, min_divergence: float = 0.02, discount: float = 0.5) -> tuple[Tree, DataFrame, DataFrame]:
     """The tree, the table of all words' counts, both of the rows of docs (doc_id, text, learn) with learn, and docs tokenised.
     depth: the longest context."""
-    tree, unigrams = vocabulary(docs.where("learn"), hot_share, min_count, discount)
+    tree, unigrams = vocabulary(docs.where("learn"), hot_share, next_rate, min_count, discount)
     table = tokenised(docs, tree)
     if tree.n:
         grow(tree, table.where("learn"), depth, context_share, next_share, context_rate, next_rate, min_count, min_divergence)
