@@ -181,9 +181,16 @@ def round_doubles(df: DataFrame, places: int) -> DataFrame:
     return df.select(*(F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
+#: Entities that texts are unescaped from; the ampersand is last, so that nothing is unescaped twice.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;|&#34;", '"'), ("&apos;|&#0?39;", "'"), ("&nbsp;|&#160;", " "), ("&ndash;|&#8211;", "-"), ("&amp;|&#38;", "&"))
+
+
 def required_terms(docs: DataFrame, text: str, rules: DataFrame, on: str) -> DataFrame:
     """docs x their rules: the pipe-separated terms of the rule that the normalised text does not hold."""
-    clean = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(F.col(text), "&amp;", "&")), "\\b0+([0-9])", "$1"), "\\s+", " ")
+    plain = F.col(text)
+    for entity, letter in ENTITIES:
+        plain = F.regexp_replace(plain, entity, letter)
+    clean = F.regexp_replace(F.regexp_replace(F.lower(plain), "\\b0+([0-9])", "$1"), "\\s+", " ")
     joined = docs.withColumn("_t", clean).join(rules, on)
     missing = F.filter(F.split(F.lower("terms"), "\\|"), lambda x: ~F.contains(F.col("_t"), x))
     return joined.withColumn("missing_terms", F.array_join(missing, "|")).drop("_t")

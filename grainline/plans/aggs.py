@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rates
-from ..operators import aggs
+from ..operators import aggs, joins
 from .registry import query
 
 
@@ -159,11 +159,22 @@ def _(t):
 
 
 @query("D23_coverage_matrix_basic", """
-SELECT season, team_id, role, count(*) AS n, bool_or(shared) AS any_shared, count(*) FILTER (WHERE status = 'verified') AS verified,
-  '[' || string_agg('{"start":' || start_week || ',"end":' || end_week || ',"id":"' || interval_id || '"}', ',' ORDER BY start_week, end_week, interval_id) || ']' AS intervals_json FROM intervals GROUP BY 1, 2, 3""")
+WITH c AS (SELECT interval_id, count(*) AS n FROM intervals JOIN pages ON page_id = owner_id GROUP BY 1),
+o AS (SELECT season, team_id, role, count(*) AS n, bool_or(shared) AS any_shared, count(*) FILTER (WHERE status = 'verified') AS verified, count(*) FILTER (WHERE status = 'unresolved') AS unresolved, coalesce(CAST(sum(c.n) AS BIGINT), 0) AS citations,
+  '[' || string_agg('{"start":' || start_week || ',"end":' || end_week || ',"id":"' || interval_id || '"}', ',' ORDER BY start_week, end_week, interval_id) || ']' AS intervals_json FROM intervals LEFT JOIN c USING (interval_id) GROUP BY 1, 2, 3)
+SELECT season, n_nationkey AS team_id, CAST(g.role AS INT) AS role, coalesce(n, 0) AS n, coalesce(any_shared, false) AS any_shared, coalesce(verified, 0) AS verified, coalesce(citations, 0) AS citations,
+  CASE WHEN n IS NULL THEN 'missing' WHEN unresolved > 0 THEN 'conflicting' WHEN verified < n THEN 'provisional' ELSE 'verified' END AS status, coalesce(intervals_json, '[]') AS intervals_json
+FROM seasons CROSS JOIN nation CROSS JOIN (SELECT unnest(range(4)) AS role) g LEFT JOIN o USING (season, role) WHERE o.team_id = n_nationkey
+UNION ALL SELECT season, n_nationkey, CAST(g.role AS INT), 0, false, 0, 0, 'missing', '[]' FROM seasons CROSS JOIN nation CROSS JOIN (SELECT unnest(range(4)) AS role) g WHERE (season, n_nationkey, g.role) NOT IN (SELECT (season, team_id, role) FROM o)""")
 def _(t):
     item = F.struct(F.col("start_week").alias("start"), F.col("end_week").alias("end"), F.col("interval_id").alias("id"))
-    return t.intervals.groupBy("season", "team_id", "role").agg(F.count(F.lit(1)).alias("n"), F.bool_or("shared").alias("any_shared"), F.count_if(F.col("status") == "verified").alias("verified"), F.to_json(F.sort_array(F.collect_list(item))).alias("intervals_json"))
+    cited = t.raw("pages").groupBy(F.col("page_id").alias("owner_id")).agg(F.count(F.lit(1)).alias("cited"))
+    o = t.intervals.join(cited, "owner_id", "left").groupBy("season", "team_id", "role").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_or("shared").alias("any_shared"), F.count_if(F.col("status") == "verified").alias("verified"), F.count_if(F.col("status") == "unresolved").alias("unresolved"), F.coalesce(F.sum("cited"), F.lit(0)).alias("citations"), F.to_json(F.sort_array(F.collect_list(item))).alias("intervals_json"))
+    roles = t.spark.range(4).select(F.col("id").cast("int").alias("role"))
+    full = joins.grid([t.seasons, t.raw("nation").select(F.col("n_nationkey").alias("team_id")), roles], o, ["season", "team_id", "role"], {"n": 0, "any_shared": False, "verified": 0, "unresolved": 0, "citations": 0, "intervals_json": "[]"})
+    status = F.when(F.col("n") == 0, "missing").when(F.col("unresolved") > 0, "conflicting").when(F.col("verified") < F.col("n"), "provisional").otherwise("verified")
+    return full.select("season", "team_id", "role", "n", "any_shared", "verified", "citations", status.alias("status"), "intervals_json")
 
 
 @query("D24_role_matrix_audit", """
@@ -244,16 +255,21 @@ def _(t):
 
 
 @query("D31_repeat_summary", """
-WITH p AS (SELECT DISTINCT actor_id, season FROM actor_seasons WHERE volume >= 1500), n AS (SELECT actor_id, count(*) AS seasons_n FROM p GROUP BY 1),
-c AS (SELECT count(*) AS pairs FROM p a JOIN p b ON a.actor_id = b.actor_id AND a.season = b.season + 1)
-SELECT count(*) AS actors, count(*) FILTER (WHERE seasons_n >= 2) AS repeated, count(*) FILTER (WHERE seasons_n = 1) AS one, count(*) FILTER (WHERE seasons_n = 2) AS two, count(*) FILTER (WHERE seasons_n = 3) AS three, count(*) FILTER (WHERE seasons_n >= 4) AS four_up, any_value(pairs) AS pairs FROM n CROSS JOIN c""")
+WITH st AS (SELECT actor_id, season, opponent_id, CAST(sum(volume) AS BIGINT) AS v FROM plays GROUP BY 1, 2, 3), mo AS (SELECT actor_id, season, arg_max(opponent_id, (v, opponent_id)) AS main FROM st GROUP BY 1, 2),
+p AS (SELECT DISTINCT actor_id, season, main FROM actor_seasons JOIN mo USING (actor_id, season) WHERE volume >= 1500), n AS (SELECT actor_id, count(*) AS seasons_n, count(DISTINCT main) AS teams_n FROM p GROUP BY 1),
+c AS (SELECT count(*) AS pairs, count(*) FILTER (WHERE a.main <> b.main) AS switches FROM p a JOIN p b ON a.actor_id = b.actor_id AND a.season = b.season + 1)
+SELECT count(*) AS actors, count(*) FILTER (WHERE seasons_n >= 2) AS repeated, count(*) FILTER (WHERE teams_n >= 2) AS teams_repeated, count(*) FILTER (WHERE seasons_n = 1) AS one, count(*) FILTER (WHERE seasons_n = 2) AS two, count(*) FILTER (WHERE seasons_n = 3) AS three, count(*) FILTER (WHERE seasons_n >= 4) AS four_up, any_value(pairs) AS pairs, any_value(switches) AS switches FROM n CROSS JOIN c""")
 def _(t):
     from pyspark.sql import Window
 
-    p = t.actor_seasons.where("volume >= 1500").select("actor_id", "season").distinct()  # qualified seasons: they have gaps
-    step = F.col("season") - F.lag("season").over(Window.partitionBy("actor_id").orderBy("season"))
-    n = p.withColumn("next", step).groupBy("actor_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("next") == 1).alias("pairs"))
-    return n.agg(F.count(F.lit(1)).alias("actors"), F.count_if(F.col("n") >= 2).alias("repeated"), F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") == 2).alias("two"), F.count_if(F.col("n") == 3).alias("three"), F.count_if(F.col("n") >= 4).alias("four_up"), F.sum("pairs").alias("pairs"))
+    stints = t.plays.groupBy("actor_id", "season", "opponent_id").agg(F.sum("volume").alias("v"))
+    main = stints.groupBy("actor_id", "season").agg(F.max(F.struct("v", "opponent_id"))["opponent_id"].alias("main"))  # the team that switches are told by
+    p = t.actor_seasons.where("volume >= 1500").select("actor_id", "season").distinct().join(main, ["actor_id", "season"])  # qualified seasons: they have gaps
+    line = Window.partitionBy("actor_id").orderBy("season")
+    step, moved = F.col("season") - F.lag("season").over(line), F.col("main") != F.lag("main").over(line)
+    n = p.withColumn("next", step).withColumn("moved", moved).groupBy("actor_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("main").alias("teams"), F.count_if(F.col("next") == 1).alias("pairs"), F.count_if((F.col("next") == 1) & F.col("moved")).alias("switches"))
+    count = lambda c: F.count_if(c)
+    return n.agg(F.count(F.lit(1)).alias("actors"), count(F.col("n") >= 2).alias("repeated"), count(F.col("teams") >= 2).alias("teams_repeated"), count(F.col("n") == 1).alias("one"), count(F.col("n") == 2).alias("two"), count(F.col("n") == 3).alias("three"), count(F.col("n") >= 4).alias("four_up"), F.sum("pairs").alias("pairs"), F.sum("switches").alias("switches"))
 
 
 @query("D32_filtered_record_view", f"""WITH {SIDES} SELECT season, team, count(*) FILTER (WHERE own > other AND game_type = 'REG') AS wins, count(*) FILTER (WHERE own < other AND game_type = 'REG') AS losses, CAST(coalesce(sum(own) FILTER (WHERE game_type = 'REG'), 0) AS BIGINT) AS points, count(*) FILTER (WHERE game_type = 'POST') AS playoff_games, count(*) FILTER (WHERE game_type = 'POST' AND own > other) AS playoff_wins FROM sides GROUP BY 1, 2""")

@@ -103,9 +103,23 @@ def _(t):
     return trail(t)
 
 
-@query("J10_asof_feature_store", f"WITH {TRAIL} SELECT team_id, target, max(z) FILTER (WHERE feature = 'attempt') AS attempt, max(z) FILTER (WHERE feature = 'success') AS success FROM fr WHERE target <= 2000 AND source < target GROUP BY 1, 2")
+FEATURES = ("attempt", "success")
+
+
+def feature_store(records, target: int, names: list[str], known=FEATURES):
+    """part ('request' for the target, 'train' for earlier ones), team_id, target and a column a requested feature. A name that isn't known or
+    repeats is an error, and so is a record whose source isn't before its target."""
+    if not names or len(set(names)) < len(names) or not set(names) <= set(known):
+        raise ValueError(f"request some of {known}, each once")
+    if not records.where("source >= target").isEmpty():
+        raise ValueError("a record's source is not before its target")
+    rows = reshape.pivot_wide(records.where(C("target") <= target), ["team_id", "target"], "feature", {"z": "z"}, list(names))
+    return rows.select(F.when(C("target") == target, "request").otherwise("train").alias("part"), "team_id", "target", *names)
+
+
+@query("J10_asof_feature_store", f"WITH {TRAIL} SELECT CASE WHEN target = 2000 THEN 'request' ELSE 'train' END AS part, team_id, target, max(z) FILTER (WHERE feature = 'attempt') AS attempt, max(z) FILTER (WHERE feature = 'success') AS success FROM fr WHERE target <= 2000 AND source < target GROUP BY 1, 2, 3")
 def _(t):
-    return reshape.pivot_wide(trail(t).where("target <= 2000 AND source < target"), ["team_id", "target"], "feature", {"z": "z"}, ["attempt", "success"])
+    return feature_store(trail(t), 2000, list(FEATURES))
 
 
 @query("J11_coach_scheme_association", f"WITH {LONG} SELECT interval_id, feature, end_week - start_week + 1 AS weeks, round(v, 9) AS v FROM intervals JOIN l USING (season, team_id)")
@@ -114,13 +128,14 @@ def _(t):
 
 
 @query("J12_state_universe", """
-WITH f AS (SELECT actor_id, min(season) AS first FROM actor_seasons GROUP BY 1), e AS (SELECT s_suppkey AS actor_id, CAST(1995 + s_suppkey % 7 AS INT) AS drafted FROM supplier)
-SELECT actor_id, season AS target, concat_ws('|', CASE WHEN first < season THEN 'history' END, CASE WHEN drafted <= season THEN 'draft' END) AS basis FROM f FULL JOIN e USING (actor_id) CROSS JOIN seasons WHERE first < season OR drafted <= season""")
+WITH f AS (SELECT actor_id, min(season) AS first FROM actor_seasons GROUP BY 1), e AS (SELECT s_suppkey AS actor_id, CAST(1995 + s_suppkey % 7 AS INT) AS drafted FROM supplier), d AS (SELECT l_suppkey AS actor_id, min(l_shipdate) AS seen FROM lineitem GROUP BY 1)
+SELECT actor_id, season AS target, concat_ws('|', CASE WHEN first < season THEN 'history' END, CASE WHEN drafted <= season THEN 'draft' END, CASE WHEN seen < make_date(season, 9, 1) THEN 'evidence' END) AS basis FROM f FULL JOIN e USING (actor_id) FULL JOIN d USING (actor_id) CROSS JOIN seasons WHERE first < season OR drafted <= season OR seen < make_date(season, 9, 1)""")
 def _(t):
     f = t.actor_seasons.groupBy("actor_id").agg(F.min("season").alias("first"))
     e = t.raw("supplier").select(C("s_suppkey").alias("actor_id"), (1995 + C("s_suppkey") % 7).cast("int").alias("drafted"))
-    u = f.join(e, "actor_id", "full").crossJoin(F.broadcast(t.seasons.withColumnRenamed("season", "target")))
-    basis = F.array_compact(F.array(F.when(C("first") < C("target"), "history"), F.when(C("drafted") <= C("target"), "draft")))
+    d = t.raw("lineitem").groupBy(C("l_suppkey").alias("actor_id")).agg(F.min("l_shipdate").alias("seen"))
+    u = f.join(e, "actor_id", "full").join(d, "actor_id", "full").crossJoin(F.broadcast(t.seasons.withColumnRenamed("season", "target")))
+    basis = F.array_compact(F.array(F.when(C("first") < C("target"), "history"), F.when(C("drafted") <= C("target"), "draft"), F.when(C("seen") < F.make_date("target", F.lit(9), F.lit(1)), "evidence")))
     return u.select("actor_id", "target", F.array_join(basis, "|").alias("basis")).where("basis <> ''")
 
 
@@ -200,12 +215,16 @@ def _(t):
 
 
 @query("J38_cell_structure", """
-WITH c AS (SELECT season, team_id, role, string_agg(DISTINCT owner_id::VARCHAR, '|' ORDER BY owner_id::VARCHAR) AS owners, count(*) AS n FROM intervals GROUP BY 1, 2, 3)
-SELECT a.season, a.team_id, a.role, a.owners, a.n, CASE WHEN b.owners IS NULL THEN 'unknown' WHEN a.owners = b.owners THEN 'same' ELSE 'changed' END AS continuity FROM c a LEFT JOIN c b ON a.team_id = b.team_id AND a.role = b.role AND a.season = b.season + 1""")
+WITH c AS (SELECT season, team_id, role, string_agg(DISTINCT owner_id::VARCHAR, '|' ORDER BY owner_id::VARCHAR) AS owners, count(*) AS n, count(*) FILTER (WHERE status <> 'unresolved') AS supporting, count(*) FILTER (WHERE status = 'verified') AS verified FROM intervals GROUP BY 1, 2, 3),
+w AS (SELECT season, team_id, count(DISTINCT week) AS weeks FROM plays GROUP BY 1, 2)
+SELECT a.season, a.team_id, a.role, a.owners, a.n, a.supporting, a.verified, coalesce(weeks, 0) AS weeks, a.season < 1998 AS early_era, a.season >= 2000 AS late_era, CASE WHEN b.owners IS NULL THEN 'unknown' WHEN a.owners = b.owners THEN 'same' ELSE 'changed' END AS continuity
+FROM c a LEFT JOIN c b ON a.team_id = b.team_id AND a.role = b.role AND a.season = b.season + 1 LEFT JOIN w ON w.season = a.season AND w.team_id = a.team_id""")
 def _(t):
-    c = t.intervals.groupBy("season", "team_id", "role").agg(aggs.string_set(C("owner_id")).alias("owners"), N().alias("n"))
-    out = joins.lag_join(c, ["team_id", "role"], "season", ["owners"])
-    return out.select("season", "team_id", "role", "owners", "n", F.when(C("prior_owners").isNull(), "unknown").when(C("owners") == C("prior_owners"), "same").otherwise("changed").alias("continuity"))
+    c = t.intervals.groupBy("season", "team_id", "role").agg(aggs.string_set(C("owner_id")).alias("owners"), N().alias("n"), F.count_if(C("status") != "unresolved").alias("supporting"), F.count_if(C("status") == "verified").alias("verified"))
+    weeks = t.plays.groupBy("season", "team_id").agg(F.count_distinct("week").alias("weeks"))
+    out = joins.lag_join(c, ["team_id", "role"], "season", ["owners"]).join(weeks, PLACE, "left")
+    continuity = F.when(C("prior_owners").isNull(), "unknown").when(C("owners") == C("prior_owners"), "same").otherwise("changed")
+    return out.select(*PLACE, "role", "owners", "n", "supporting", "verified", F.coalesce("weeks", F.lit(0)).alias("weeks"), (C("season") < 1998).alias("early_era"), (C("season") >= 2000).alias("late_era"), continuity.alias("continuity"))
 
 
 @query("J39_research_priority", """

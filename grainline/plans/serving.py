@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import windows as win
@@ -29,9 +30,39 @@ def _(t):
     return view(t)
 
 
-@query("L02_list_entities", f"WITH {VIEW}, r AS (SELECT * FROM view WHERE actor_name ILIKE '%00000001%' AND season = 1999) SELECT actor_id, actor_name, value, (SELECT count(*) FROM r) AS total FROM r ORDER BY value DESC, actor_id LIMIT 20 OFFSET 0")
+#: Orderings of the list of entities; each ends in a unique key.
+ORDERS = {
+    "name": "actor_name, season DESC, team_id, actor_id", "season": "season DESC, actor_name, team_id, actor_id", "team": "team_name, season DESC, actor_name, actor_id",
+    **{c: f"{e} DESC NULLS LAST, actor_name, season DESC, team_id, actor_id" for c, e in {"attempts": "attempts", "volume": "volume", "value": "value", "rate": "rate", "attempt_value": "attempt_value", "eligible": "qualifies"}.items()},
+}
+_LISTED = "CASE WHEN volume > 0 THEN round(value::DOUBLE / volume, 8) END AS rate, CASE WHEN attempts > 0 THEN round(value::DOUBLE / attempts, 6) END AS attempt_value"
+
+
+def list_entities(rows, search=None, team_id=None, season=None, eligible=None, sort="name", limit=50, offset=0):
+    """One page of the entities that meet the filters which are given, in one of ORDERS, with the total. rows: of view()."""
+    if sort not in ORDERS:
+        raise ValueError(f"sort is one of {sorted(ORDERS)}")
+    ok = F.lit(True)
+    for given, test in ((search, C("actor_name").ilike(f"%{search}%")), (team_id, C("team_id") == team_id), (season, C("season") == season), (eligible, C("qualifies") == eligible)):
+        ok = ok & test if given is not None else ok
+    rate = rows.withColumn("rate", F.when(C("volume") > 0, F.round(C("value") / C("volume"), 8))).withColumn("attempt_value", F.when(C("attempts") > 0, F.round(C("value") / C("attempts"), 6)))
+    keys = [(C(x.split()[0]), "DESC" in x) for x in ORDERS[sort].split(", ")]
+    return win.page(rate, ok, [c.desc_nulls_last() if down else c.asc_nulls_last() for c, down in keys], limit, offset)
+
+
+@query("L02_list_entities", f"WITH {VIEW}, v AS (SELECT *, {_LISTED} FROM view), r AS (SELECT * FROM v WHERE actor_name ILIKE '%0000000%' AND season = 1999 AND qualifies), "
+       + "o AS (" + " UNION ALL ".join(f"SELECT '{n}' AS sort, actor_id, actor_name, season, team_id, rate, row_number() OVER (ORDER BY {o}) AS place FROM {'v' if n == 'name' else 'r'}{' WHERE team_id = 3' if n == 'name' else ''}" for n, o in ORDERS.items()) + ")"
+       + " SELECT *, CASE sort WHEN 'name' THEN (SELECT count(*) FROM v WHERE team_id = 3) ELSE (SELECT count(*) FROM r) END AS total FROM o WHERE place BETWEEN 6 AND 25")
 def _(t):
-    return win.page(view(t), C("actor_name").ilike("%00000001%") & (C("season") == 1999), [F.desc("value"), F.asc("actor_id")], 20, 0).select("actor_id", "actor_name", "value", "total")
+    from functools import reduce
+
+    rows = cut(view(t), "entities")
+    pages = []
+    for sort in ORDERS:
+        got = list_entities(rows, team_id=3, sort=sort, limit=20, offset=5) if sort == "name" else list_entities(rows, search="0000000", season=1999, eligible=True, sort=sort, limit=20, offset=5)
+        order = [C(x.split()[0]).desc_nulls_last() if "DESC" in x else C(x.split()[0]).asc_nulls_last() for x in ORDERS[sort].split(", ")]
+        pages.append(got.withColumn("place", (F.row_number().over(Window.orderBy(*order)) + 5).cast("long")).select(F.lit(sort).alias("sort"), "actor_id", "actor_name", "season", "team_id", "rate", "place", "total"))  # a page
+    return reduce(lambda a, b: a.unionByName(b), pages)
 
 
 @query("L03_entity_profile", f"WITH {VIEW} SELECT season, team_name, attempts, value FROM view WHERE actor_id = 7")

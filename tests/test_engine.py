@@ -369,3 +369,33 @@ class _Blind:
 
     def pair(self):
         return self, self.path
+
+
+def test_listing_checks_its_ordering_and_applies_the_filters_that_are_given(spark):
+    from grainline.plans.serving import ORDERS, list_entities
+
+    df = frame(spark, [(2000, 1, "Ann", "x", 3, 1, 10, 5, True), (2001, 1, "Ann", "x", 3, 0, 10, 9, False), (2000, 2, "Bob", "y", 4, 2, 0, 7, True)], "season int, actor_id long, actor_name string, team_name string, team_id int, attempts long, volume long, value long, qualifies boolean")
+    ids = lambda **k: [(r["actor_id"], r["season"]) for r in list_entities(df, **k).collect()]
+    assert ids() == [(1, 2001), (1, 2000), (2, 2000)] and ids(sort="rate") == [(1, 2001), (1, 2000), (2, 2000)] and ids(sort="attempts")[0] == (2, 2000)
+    assert ids(search="bO") == [(2, 2000)] and ids(eligible=False) == [(1, 2001)] and ids(team_id=3, season=2000) == [(1, 2000)] and ids(limit=1, offset=1) == [(1, 2000)]
+    assert len(ORDERS) == 9 and list_entities(df, eligible=True).first()["total"] == 2
+    with pytest.raises(ValueError):
+        list_entities(df, sort="nothing")
+
+
+def test_feature_requests_are_checked(spark):
+    from grainline.plans.domain import feature_store
+
+    df = frame(spark, [(1, 2000, 1999, "attempt", 0.5), (1, 1999, 1998, "success", 0.1), (1, 2001, 2000, "attempt", 9.0)], "team_id int, target int, source int, feature string, z double")
+    assert rows(feature_store(df, 2000, ["attempt"]).select("part", "target", "attempt")) == [("request", 2000, 0.5), ("train", 1999, None)]
+    for names in ([], ["attempt", "attempt"], ["other"]):
+        with pytest.raises(ValueError, match="request"):
+            feature_store(df, 2000, names)
+    with pytest.raises(ValueError, match="not before"):
+        feature_store(df.withColumn("source", F.col("target")), 2000, ["attempt"])
+
+
+def test_terms_are_unescaped_once(spark):
+    docs = frame(spark, [(1, "a&amp;b &lt;X&gt; it&#39;s &amp;lt; 007", "k")], "id int, t string, lang string")
+    rules = frame(spark, [("k", "a&b|<x>|it's|&lt;| 7|zz")], "lang string, terms string")
+    assert keys.required_terms(docs, "t", rules, "lang").first()["missing_terms"] == "zz"
