@@ -387,7 +387,8 @@ def test_feature_requests_are_checked(spark):
     from grainline.plans.domain import feature_store
 
     df = frame(spark, [(1, 2000, 1999, "attempt", 0.5), (1, 1999, 1998, "success", 0.1), (1, 2001, 2000, "attempt", 9.0)], "team_id int, target int, source int, feature string, z double")
-    assert rows(feature_store(df, 2000, ["attempt"]).select("part", "target", "attempt")) == [("request", 2000, 0.5), ("train", 1999, None)]
+    assert rows(feature_store(df, 2000, ["attempt"]).select("part", "target", "attempt")) == [("request", 2000, 0.5)]
+    assert rows(feature_store(df, 2000, ["attempt", "success"]).select("part", "target", "attempt", "success")) == [("request", 2000, 0.5, None), ("train", 1999, None, 0.1)]
     for names in ([], ["attempt", "attempt"], ["other"]):
         with pytest.raises(ValueError, match="request"):
             feature_store(df, 2000, names)
