@@ -5,15 +5,17 @@ r and c from Gamma(2, 1) and uniform b come from a counter-based generator keyed
 t = floor(ln w / r + b), ln a = ln c - r (t - b + 1); the sample is the (term, t) with the least a. Two texts agree in a
 sample with probability equal to the generalised Jaccard similarity of their weighted terms, so the share of equal samples estimates it.
 
-The next document comes from one shuffle of the texts by ranges of doc_id; the first rows of each range
-are dealt to the range before too, and every task streams its range in order. Defined results: null text is
-empty; a text without words has the empty fingerprint, whose likeness is 1 to another empty one and 0 else; rows
-with the same doc_id follow each other by a hash of the text, and rows without one come last, in 64 ranges by it; a single row is its own next document.
+The next document comes from one shuffle of the texts by ranges of (doc_id, hash of the text), which begin at keys that occur; the rows
+with the first key of each range are dealt to the range before too, and every task streams its range in order. Defined results: doc_id may be of any ordered
+type; null text is empty; a text without words has the empty fingerprint, whose likeness is 1 to another empty one and 0 else; rows with the same doc_id follow each
+other by a hash of the text and equal ones by turns, in ranges as well where they are many; rows without one come last, in 64 classes by that hash; a single row is its
+own next document; texts are whole whatever their length; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import cut
 from .tokens import Chunk, mix
 
 SAMPLES, CACHE_ROWS, SEED = 64, 1 << 16, 20260101
-#: Ranges that rows without a doc_id are dealt to.
-NULL_RANGES = 64
+#: Classes by hash in which rows without a doc_id follow each other, and sampled keys a range.
+NULL_RANGES, RANGE_SAMPLE = 64, 64
 #: Terms drawn or compared at once.
 SLICE = 1 << 9
 _CACHES: dict[tuple[int, int], Cache] = {}
@@ -141,42 +144,48 @@ def edited(text: str, following: str) -> str:
     return text[:len(text) - k] + following[:k]
 
 
-def ranges(docs: DataFrame, n: int) -> list:
-    """At most n - 1 bounds that deal doc_id into ranges of about equal size (a bounded list on the driver)."""
-    got = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()[0] if n > 1 else None
-    return sorted(set(got or []))
+def _key(doc_id, h: int) -> tuple:
+    """The place of a row in the order of all: by doc_id and the text's hash; rows without a doc_id last, in NULL_RANGES classes of the hash."""
+    return (1, h % NULL_RANGES, h) if doc_id is None else (0, doc_id, h)
+
+
+def bounds(keys: DataFrame, n: int) -> list[tuple]:
+    """The first keys of at most n ranges of about equal size, the least of all keys first. keys: doc_id, _h of every row. They come from a
+    sample by hash of about RANGE_SAMPLE distinct keys a range, a bounded list on the driver; it only decides where ranges begin."""
+    total = keys.count()
+    if not total:
+        return []
+    null_class = F.when(F.col("doc_id").isNull(), F.pmod("_h", F.lit(NULL_RANGES)))
+    least = keys.agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", null_class.alias("class"), "_h")).alias("k")).select("k.doc_id", "k._h")
+    if RANGE_SAMPLE * n < total:
+        keys = keys.where(F.shiftrightunsigned(F.xxhash64("doc_id", "_h"), 1) < F.lit(RANGE_SAMPLE * n * (1 << 63) // total))
+    sample = sorted(_key(*r.values()) for r in keys.distinct().toArrow().to_pylist())
+    first = _key(*least.toArrow().to_pylist()[0].values())
+    return sorted({first, *(sample[i * len(sample) // n] for i in range(1, n) if sample)})
 
 
 def fingerprint_edits(docs: DataFrame, samples: int = SAMPLES, cache_rows: int = CACHE_ROWS, partitions: int | None = None) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row."""
+    """doc_id (of any ordered type), n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row."""
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    bounds = ranges(rows, 4 * n)
-    # the range is found by a binary search over the bounds, in one expression
-    def search(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") <= bounds[mid], search(lo, mid)).otherwise(search(mid + 1, hi))
-
-    last = len(bounds) + 1  # rows without a doc_id have ranges of their own, by a hash of the text
-    of = F.when(F.col("doc_id").isNull(), last + F.pmod(F.xxhash64("text"), F.lit(NULL_RANGES)).cast("int")).otherwise(search(0, len(bounds)))
-    dealt = rows.withColumn("_range", of).withColumn("_h", F.xxhash64("text"))
-    heads = {r["_range"]: r["head"] for r in dealt.groupBy("_range").agg(F.min(F.struct("doc_id", "_h")).alias("head")).collect()}  # one row a range
-    order = sorted(heads)
-    before = {b: order[i - 1] for i, b in enumerate(order)}
-    at, every = F.col("_range") + 1, range(last + NULL_RANGES)
-    of_head = lambda k: F.element_at(F.array(*(F.lit(heads[b][k] if b in heads else None) for b in every)), at)
-    prior = F.element_at(F.array(*(F.lit(before.get(b, -1)) for b in every)), at)
-    is_head = F.col("doc_id").eqNullSafe(of_head("doc_id")) & (F.col("_h") == of_head("_h"))
-    here = F.struct(F.col("_range").alias("part"), F.lit(False).alias("after"))
-    there = F.struct(prior.alias("part"), F.lit(True).alias("after"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_h", F.xxhash64("text"))
+    starts = spark.sparkContext.broadcast(bounds(cut(rows.select("doc_id", "_h"), "keys"), 4 * n))
+
+    @F.arrow_udf("array<int>")
+    def dealt(doc_id: pa.Array, h: pa.Array) -> pa.Array:
+        """The range of each row and, where the row is the first of its range, the range before (the last one, for the first)."""
+        first, out = starts.value, []
+        for key in map(_key, doc_id.to_pylist(), h.to_pylist()):
+            r = bisect_right(first, key) - 1
+            out.append([r, (r or len(first)) - 1] if first[r] == key else [r])
+        return pa.array(out, pa.list_(pa.int32()))
+
     streams = (
-        dealt.select("doc_id", "text", "_h", F.explode(F.when(is_head, F.array(here, there)).otherwise(F.array(here))).alias("_to"))
-        .select("doc_id", "text", "_to.part", "_to.after", "_h")
+        rows.withColumn("_to", dealt("doc_id", "_h"))
+        .select("doc_id", "text", "_h", F.posexplode("_to").alias("after", "part"))
+        .select("doc_id", "text", "part", (F.col("after") == 1).alias("after"), "_h")
         .repartition(n, "part")
-        .sortWithinPartitions("part", "after", F.asc_nulls_last("doc_id"), "_h", "text")
+        .sortWithinPartitions("part", "after", F.asc_nulls_last("doc_id"), F.when(F.col("doc_id").isNull(), F.pmod("_h", F.lit(NULL_RANGES))), "_h", "text")
     )
     key = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
@@ -186,8 +195,7 @@ def fingerprint_edits(docs: DataFrame, samples: int = SAMPLES, cache_rows: int =
         for batch in batches:
             out: list[tuple] = []
             for doc, text, part, after in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                data = text.encode()
-                own = fingerprint(data, samples, cache_rows)
+                own = held[3] if held and held[1] == text else fingerprint(text.encode(), samples, cache_rows)
                 if held and held[2] == part:
                     new = edited(held[1], text).encode()
                     sig = fingerprint(new, samples, cache_rows)

@@ -811,6 +811,31 @@ def test_op10_rows_without_an_id_follow_in_ranges_of_their_own(spark):
     assert len(got[0]) == 305 and sorted(map(key, got[0])) == sorted(map(key, got[1]))
 
 
+def test_op10_text_ids_clashing_columns_and_many_rows_of_one_id(spark, monkeypatch):
+    monkeypatch.setattr(cws, "RANGE_SAMPLE", 4)
+    data = [("d7" if i % 3 else f"d{i}é", f"text {i} of one or another", i, "x", True) for i in range(400)]
+    df = spark.createDataFrame(data, "doc_id string, text string, part int, _to string, after boolean")
+    got = cws.fingerprint_edits(df.repartition(9), partitions=5).collect()
+    h = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(((d, h[t], t) for d, t, *_ in data), key=lambda r: (r[0].encode(), r[1]))
+    want = collections.Counter((d, hashlib.sha256(cws.edited(t, nxt).encode()).hexdigest()) for (d, _, t), (*_, nxt) in zip(order, order[1:] + order[:1]))
+    assert collections.Counter((r["doc_id"], r["edited_sha256"]) for r in got) == want
+    keys = df.select("doc_id", F.xxhash64("text").alias("_h"))
+    first = cws.bounds(keys, 20)
+    assert 15 <= len(first) <= 20 and sum(k[1] == "d7" for k in first) >= 8
+    assert first[0] == (0, *order[0][:2])
+
+
+def test_op10_repeated_rows_and_a_single_one(spark):
+    data = [(1, "a b c d e f g h"), (1, "a b c d e f g h"), (2, "one two three four five"), (2, "one two three four five"), (2, "one two three four five")]
+    got = cws.fingerprint_edits(spark.createDataFrame(data, "doc_id long, text string"), partitions=3).collect()
+    texts = [t for _, t in data]
+    want = collections.Counter(hashlib.sha256(cws.edited(t, nxt).encode()).hexdigest() for t, nxt in zip(texts, texts[1:] + texts[:1]))
+    assert collections.Counter(r["edited_sha256"] for r in got) == want
+    one = cws.fingerprint_edits(spark.createDataFrame(data[:1], "doc_id long, text string"), partitions=3).collect()
+    assert [r["edited_sha256"] for r in one] == [hashlib.sha256(cws.edited(texts[0], texts[0]).encode()).hexdigest()] and one[0]["near_next"] == 1.0
+
+
 def test_op10_likeness_estimates_generalised_jaccard():
     r = random.Random(8)
     errors = []
