@@ -48,6 +48,20 @@ def weighted_association(df: DataFrame, keys: list[str], x: str, y: str, w: str)
     return out.join(signs, keys)
 
 
+def earlier_means(df: DataFrame, entity: str, season: str, value: str, seasons: DataFrame) -> DataFrame:
+    """season, entity, n, m, ss: count, mean and squared deviations of the entity's values in all seasons before, for each season (of all seasons)
+    that follows one with a value. Sums a season (around the overall mean) are added up in order: no row is copied once a season."""
+    mean = df.agg(F.coalesce(F.avg(value).cast("double"), F.lit(0.0)).alias("_mean"))
+    v = F.col(value) - F.col("_mean")
+    per = df.where(F.col(value).isNotNull()).crossJoin(F.broadcast(mean)).groupBy(entity, season).agg(F.count(F.lit(1)).alias("_n"), F.sum(v).alias("_s"), F.sum(v * v).alias("_q"))
+    whole = seasons.agg(F.array_sort(F.collect_set(season)).alias("_all"))  # one row: an array of seasons
+    asked = per.groupBy(entity).agg(F.min(season).alias("_first")).crossJoin(F.broadcast(whole)).select(entity, F.explode(F.filter("_all", lambda x: x > F.col("_first"))).alias(season), F.lit(True).alias("_asked"))
+    line = Window.partitionBy(entity).orderBy(season).rangeBetween(Window.unboundedPreceding, -1)
+    both = asked.unionByName(per, allowMissingColumns=True).select(season, entity, "_asked", *(F.sum(c).over(line).alias(c) for c in ("_n", "_s", "_q"))).where("_asked")
+    near = F.col("_s") / F.col("_n")
+    return both.crossJoin(F.broadcast(mean)).select(season, entity, F.col("_n").alias("n"), (F.col("_mean") + near).alias("m"), F.greatest(F.lit(0.0), F.col("_q") - F.col("_s") * near).alias("ss"))
+
+
 def league_shrunk(df: DataFrame, entity: str, season: str, value: str, weight: str, k: float) -> DataFrame:
     """df plus league (the mean of all earlier seasons), history (the entity's own) and blend = history shrunk to
     the league by weight / (weight + k)."""

@@ -274,9 +274,8 @@ def _(t):
 
 @query("D32_filtered_record_view", f"""WITH {SIDES} SELECT season, team, count(*) FILTER (WHERE own > other AND game_type = 'REG') AS wins, count(*) FILTER (WHERE own < other AND game_type = 'REG') AS losses, CAST(coalesce(sum(own) FILTER (WHERE game_type = 'REG'), 0) AS BIGINT) AS points, count(*) FILTER (WHERE game_type = 'POST') AS playoff_games, count(*) FILTER (WHERE game_type = 'POST' AND own > other) AS playoff_wins FROM sides GROUP BY 1, 2""")
 def _(t):
-    sides(t).createOrReplaceTempView("grainline_sides")
     return t.spark.sql("""SELECT season, team, count(*) FILTER (WHERE own > other AND game_type = 'REG') AS wins, count(*) FILTER (WHERE own < other AND game_type = 'REG') AS losses,
-      coalesce(sum(own) FILTER (WHERE game_type = 'REG'), 0) AS points, count(*) FILTER (WHERE game_type = 'POST') AS playoff_games, count(*) FILTER (WHERE game_type = 'POST' AND own > other) AS playoff_wins FROM grainline_sides GROUP BY season, team""")
+      coalesce(sum(own) FILTER (WHERE game_type = 'REG'), 0) AS points, count(*) FILTER (WHERE game_type = 'POST') AS playoff_games, count(*) FILTER (WHERE game_type = 'POST' AND own > other) AS playoff_wins FROM {rows} GROUP BY season, team""", rows=sides(t))
 
 
 @query("D33_queue_summary", "SELECT status, role, shared, count(*) AS n FROM intervals WHERE status <> 'verified' GROUP BY 1, 2, 3")

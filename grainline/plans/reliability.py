@@ -193,8 +193,7 @@ h AS (SELECT c.season, c.y, m AS raw, gm + CASE WHEN moment > 0 THEN moment / (m
 SELECT season, count(*) AS n_rows, round(avg(abs(y - raw)), 4) AS raw_mae, round(avg(abs(y - moment_p)), 3) AS moment_mae, round(avg(abs(y - reml_p)), 3) AS reml_mae FROM h GROUP BY 1""")
 def _(t):
     c = cut(coh(t).select("actor_id", "season", "y"), "rows")
-    fo = F.broadcast(t.seasons.withColumnRenamed("season", "fold")).join(c, C("season") < C("fold")).groupBy("fold", "actor_id").agg(N().alias("n"), F.avg("y").alias("m"), (N() * F.var_pop("y")).alias("ss"))
-    fo = cut(fo, "folds")
+    fo = cut(stats.earlier_means(c, "actor_id", "season", "y", t.seasons).withColumnRenamed("season", "fold"), "folds")
     ft = fo.groupBy("fold").agg(F.when(F.sum("n") > N(), F.sum("ss") / F.when(F.sum("n") > N(), F.sum("n") - N())).alias("sigma2"), F.sum("n").alias("t"), N().alias("g"), (F.sum(C("n") * C("m")) / F.sum("n")).alias("gm"), F.sum(C("n") * C("n")).alias("nn"))
     dv = fo.join(F.broadcast(ft), "fold").where("sigma2 IS NOT NULL").withColumn("dev", (C("m") - C("gm")) * (C("m") - C("gm")))
     nd = F.sum(C("n") * C("dev"))

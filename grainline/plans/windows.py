@@ -25,9 +25,8 @@ def _(t):
 
 @query("E03_eligible_ranking_view", ELIGIBLE)
 def _(t):
-    t.team_seasons.createOrReplaceTempView("grainline_team_seasons")
-    return t.spark.sql("""WITH d AS (SELECT season, team_id, dense_rank() OVER (PARTITION BY season ORDER BY attempts DESC) AS k FROM grainline_team_seasons WHERE value > 0)
-      SELECT season, team_id, k FROM grainline_team_seasons LEFT JOIN d USING (season, team_id)""")
+    return t.spark.sql("""WITH d AS (SELECT season, team_id, dense_rank() OVER (PARTITION BY season ORDER BY attempts DESC) AS k FROM {rows} WHERE value > 0)
+      SELECT season, team_id, k FROM {rows} LEFT JOIN d USING (season, team_id)""", rows=t.team_seasons)
 
 
 @query("E04_group_count_window", "SELECT interval_id, count(*) OVER (PARTITION BY season, team_id, role) AS n FROM intervals")

@@ -1,6 +1,7 @@
 """Operators on literal rows: NULL, tie, boundary and cardinality rules, leakage and partition invariance."""
 
 import datetime
+import random
 
 import numpy as np
 import pytest
@@ -400,3 +401,20 @@ def test_terms_are_unescaped_once(spark):
     docs = frame(spark, [(1, "a&amp;b &lt;X&gt; it&#39;s &amp;lt; 007", "k")], "id int, t string, lang string")
     rules = frame(spark, [("k", "a&b|<x>|it's|&lt;| 7|zz")], "lang string, terms string")
     assert keys.required_terms(docs, "t", rules, "lang").first()["missing_terms"] == "zz"
+
+
+def test_earlier_means_equal_those_of_the_rows_before(spark):
+    r = random.Random(4)
+    data = [(a, s, 1e8 + r.gauss(0, 3) if r.random() > 0.1 else None) for a in range(12) for s in r.sample(range(2000, 2010), 4) for _ in range(r.randint(1, 3))]
+    df, seasons = spark.createDataFrame(data, "a int, s int, y double"), spark.createDataFrame([(s,) for s in range(2000, 2012)], "s int")
+    want = {}
+    for a in range(12):
+        for s in range(2000, 2012):
+            ys = [y for b, t, y in data if b == a and t < s and y is not None]
+            if ys:
+                want[s, a] = (len(ys), float(np.mean(ys)), float(np.var(ys) * len(ys)))
+    got = {(x["s"], x["a"]): (x["n"], x["m"], x["ss"]) for x in stats.earlier_means(df, "a", "s", "y", seasons).collect()}
+    assert got.keys() == want.keys()
+    for k, (n, m, ss) in want.items():
+        assert got[k][0] == n and abs(got[k][1] - m) < 1e-6 and abs(got[k][2] - ss) < 1e-5 * max(1, ss)
+    assert stats.earlier_means(df.where("false"), "a", "s", "y", seasons).collect() == []
