@@ -10,7 +10,7 @@ tested among the pair_terms slots that most of the sample's texts hold. Every wh
 
 Defined results: null and empty texts get the machine's bias; a doc_id with several labels counts as toxic if
 one says so; null labels and null doc_ids are not learned; with no labelled rows every score is 0; repeated
-rows are scored each; other columns are ignored; empty input gives no rows.
+rows are scored each and texts of any length whole; other columns are ignored; empty input gives no rows.
 """
 
 from __future__ import annotations

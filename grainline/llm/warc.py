@@ -8,8 +8,8 @@ succeeded, so files of lost or repeated attempts are never read. Reading streams
 payload's digest.
 
 Defined results: null html is an empty payload; a null url gives no target URI; of rows that repeat the smallest page_id of
-a payload one is the response, the others revisit it (they meet in one task, in order); a null page_id is a response only if its
-payload has no other page_id; a text page_id may be empty; empty input writes no file and gives no rows; other columns are ignored.
+a payload one is the response, the others revisit it (they meet in one task, in order); rows with a null page_id revisit the
+smallest page_id of their payload and, where it has none, are responses each, as no record could name another; a text page_id may be empty; empty input writes no file and gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
