@@ -38,12 +38,13 @@ class Effects:
         return out.withColumn("prediction", total + F.coalesce("_effect", F.lit(0.0))).select(*rows.columns, "prediction")
 
 
-def ridge_effects(rows: DataFrame, numeric: list[str], blocks: dict[str, Column], big: Column, y: str, weight: str, alpha: float) -> Effects:
+def ridge_effects(rows: DataFrame, numeric: list[str], blocks: dict[str, Column], big: Column, y: str, weight: str, alpha: float, sweeps: int | None = None) -> Effects:
     """The weighted ridge of y on standardised numbers and one 0/1 column a level of each block, with a free intercept, solved by block
     elimination. Only products that occur are summed, as rows (column, column, sum). The largest block, `big`, has a diagonal Gram block, so
     its levels are eliminated where they are: each takes g g' / (weight + alpha) off the rest's system, g its own sums by column, and gets its effect from
     the rest's solution. Any number of its levels stays in a table; the driver solves the rest, at most MOST_COLUMNS columns (an error above).
-    NULL numbers take the median; rows without y are left out; a NULL level has no column."""
+    NULL numbers take the median; rows without y are left out; a NULL level has no column. sweeps: that many sweeps of updates instead of the exact solution,
+    of the intercept, the numbers and the blocks in turn and `big` last, each exact with the others held, from effects of 0."""
     own = rows.where(F.col(y).isNotNull() & (F.col(weight) > 0))
     w = F.col(weight).cast("double")
     middle = [F.when(F.count_if(F.col(c).isNull()) > 0, F.percentile_approx(F.col(c).cast("double"), 0.5, 10_000)) for c in numeric]
@@ -70,12 +71,19 @@ def ridge_effects(rows: DataFrame, numeric: list[str], blocks: dict[str, Column]
     if len(b) > MOST_COLUMNS:
         raise ValueError(f"more than {MOST_COLUMNS} columns beside the largest block")
     at = {name: i for i, name in enumerate(sorted(b))}
-    a = np.diag([0.0 if name == INTERCEPT else float(alpha) for name in at])
-    for r in products.unionByName(taken).groupBy("a", "b").agg(F.sum("q").alias("q")).toLocalIterator():  # at most MOST_COLUMNS squared
+    a, off = np.diag([0.0 if name == INTERCEPT else float(alpha) for name in at]), np.zeros((len(at), len(at)))
+    # what the rows add and what the largest block takes off; at most MOST_COLUMNS squared
+    for r in products.groupBy("a", "b").agg(F.sum("q").alias("q"), F.lit(0.0).alias("o")).unionByName(taken.groupBy("a", "b").agg(F.lit(0.0).alias("q"), F.sum("q").alias("o"))).groupBy("a", "b").agg(F.sum("q").alias("q"), F.sum("o").alias("o")).toLocalIterator():
         i, j = at[r["a"]], at[r["b"]]
-        a[i, j] += r["q"]
-        a[j, i] += r["q"] if i != j else 0
-    solved = np.linalg.solve(a, [b[name] for name in at]) if at else []
+        for m, v in ((a, r["q"]), (off, r["o"])):
+            m[i, j] += v
+            m[j, i] += v if i != j else 0
+    if sweeps is None:
+        solved = np.linalg.solve(a + off, [b[name] for name in at]) if at else []
+    else:
+        plain = {r["name"]: r["y"] for r in each.groupBy("name").agg(F.sum("y").alias("y")).collect()}
+        parts = [[at[INTERCEPT]], *([at[f"{c}:"]] for c in scale), *([i for n, i in at.items() if n.startswith(f"{k}=")] for k in blocks)]
+        solved = swept(a, off, np.array([plain[n] for n in at]), np.array([b[n] for n in at]), parts, sweeps)
     coef = {name: float(v) for name, v in zip(at, solved)}
     table = rows.sparkSession.createDataFrame(list(coef.items()), "name string, b double")
     rest = held.select("level", "w", "h", F.explode("terms").alias("t")).join(F.broadcast(table), F.col("t.name") == F.col("name")).groupBy("level", "w", "h").agg(F.sum(F.col("t.g") * F.col("b")).alias("x"))
@@ -83,6 +91,17 @@ def ridge_effects(rows: DataFrame, numeric: list[str], blocks: dict[str, Column]
     return Effects(scale, blocks, big, coef, rest.select("level", ((F.col("h") - F.col("x")) / (F.col("w") + alpha)).alias("effect")))
 
 
+def swept(a: np.ndarray, off: np.ndarray, plain: np.ndarray, b: np.ndarray, parts: list[list[int]], sweeps: int) -> np.ndarray:
+    """The coefficients after a number of sweeps over parts whose own Gram blocks are diagonal. The largest block's effects follow from the
+    coefficients of the sweep before: they take plain - b + off x from what the others see, nothing in the first sweep."""
+    x, big = np.zeros(len(plain)), np.zeros(len(plain))
+    for _ in range(sweeps):
+        for part in parts:
+            x[part] += (plain - big - a @ x)[part] / a[part, part]
+        big = plain - b + off @ x
+    return x
+
+
 def logistic(df: DataFrame, features: list[str], hits: str, n: str, iterations: int = 8) -> np.ndarray:
     """Coefficients (the intercept first) of a logistic regression of hits among n per row, by Newton steps: each step is one aggregate of
     p x p sums and a solve on the driver."""

@@ -2,6 +2,12 @@
 
 import random
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from grainline.operators import models, stats
+
 from .conftest import rows
 
 
@@ -19,3 +25,52 @@ def test_held_plays_are_added_up_only_where_ids_repeat(spark):
             if (s, t) == (s2, t2) and a <= w <= b:
                 want[g, p, i, o] = want.get((g, p, i, o), 0) + 1
     assert rows(got) == sorted((*k, n) for k, n in want.items())
+
+
+def test_no_correlation_with_one_value_over_many_partitions(spark):
+    df = spark.range(0, 99, 1, 3).withColumn("y", F.sin("id")).withColumn("x", F.lit(1.0)).repartition(7)
+    for n in (49, 98, 99):
+        r = df.where(F.col("id") < n).repartition(2).agg(stats.pearson("y", "x").alias("r")).first()["r"]
+        assert r is None
+    got = stats.regression_metrics(spark.range(0, 148, 1, 4).select(F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("k"), F.sin("id").alias("y"), F.lit(0.1).alias("p")), ["k"], "y", "p").collect()
+    assert [(r["correlation"], r["slope"]) for r in got] == [(None, None)] * 2
+
+
+def test_placebo_equals_correlations_of_the_permuted_rows(spark):
+    r = random.Random(5)
+    df = spark.createDataFrame([(1995 + i % 3, i, 1e6 + r.random(), r.random()) for i in range(200)], "season int, id int, x double, y double")
+    got = stats.permutation_placebo(df, "season", "id", "x", "y", 9, "t", 25)
+    drawn = {}
+    for d, x, y in stats.permutation_draws(df, "season", "id", "x", "y", 9, "t", 25).collect():
+        drawn.setdefault(d, []).append((x, y))
+    null = [abs(np.corrcoef(np.array(v).T)[0, 1]) for v in drawn.values()]
+    actual = abs(np.corrcoef(np.array(df.select("x", "y").collect()).T)[0, 1])
+    one = got.first()
+    assert len(null) == 9 and all(len(v) == 200 for v in drawn.values())
+    assert (one["actual"], one["null_low"], one["null_high"]) == pytest.approx((actual, np.quantile(null, 0.05), np.quantile(null, 0.95)), abs=1e-8)
+    assert one["reached"] == sum(c >= actual for c in null) and one["p"] == (1 + one["reached"]) / 10
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan  # the rows of a draw are not laid out
+
+
+def test_sweeps_of_effects_equal_sweeps_over_rows(spark):
+    r = random.Random(6)
+    data = [(i % 5, i % 3, i % 11, r.random(), 1 + r.random() * 9, r.random() * 40) for i in range(120)]
+    df = spark.createDataFrame(data, "season int, team int, actor int, x double, w double, y double")
+    got = models.ridge_effects(df, ["x"], {"season": F.col("season"), "team": F.col("team")}, F.col("actor"), "y", "w", 2.0, sweeps=3)
+    s, t, a, x, w, y = (np.array(c, float) for c in zip(*data))
+    m = (w * x).sum() / w.sum()
+    z = (x - m) / np.sqrt((w * (x - m) ** 2).sum() / w.sum())
+    left, slope, e = y.copy(), 0.0, [np.zeros(120) for _ in range(3)]
+    for _ in range(3):
+        left -= (w * left).sum() / w.sum()
+        d = ((w * left * z).sum() - 2 * slope) / ((w * z * z).sum() + 2)
+        slope, left = slope + d, left - d * z
+        for k, level in enumerate((s, t, a)):
+            for v in set(level):
+                on = level == v
+                d = ((w * left)[on].sum() - 2 * e[k][on][0]) / (w[on].sum() + 2)
+                e[k][on] += d
+                left[on] -= d
+    assert got.coef["x:"] == pytest.approx(slope, abs=1e-9) and {k: v for k, v in got.coef.items() if k.startswith("season=")} == pytest.approx({f"season={v}": e[0][s == v][0] for v in range(5)}, abs=1e-9)
+    assert {int(r["level"]): r["effect"] for r in got.table.collect()} == pytest.approx({v: e[2][a == v][0] for v in range(11)}, abs=1e-9)
