@@ -6,9 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from grainline.operators import models, stats
+from grainline.operators import intervals, models, stats
 
-from .conftest import rows
+from .conftest import SF_SMALL, rows
 
 
 def test_held_plays_are_added_up_only_where_ids_repeat(spark):
@@ -74,3 +74,29 @@ def test_sweeps_of_effects_equal_sweeps_over_rows(spark):
                 left[on] -= d
     assert got.coef["x:"] == pytest.approx(slope, abs=1e-9) and {k: v for k, v in got.coef.items() if k.startswith("season=")} == pytest.approx({f"season={v}": e[0][s == v][0] for v in range(5)}, abs=1e-9)
     assert {int(r["level"]): r["effect"] for r in got.table.collect()} == pytest.approx({v: e[2][a == v][0] for v in range(11)}, abs=1e-9)
+
+
+def test_spans_that_intervals_share_are_summed_once(spark):
+    cells = spark.createDataFrame([(1, a, p, float(p + a)) for a in range(3) for p in range(1, 7)], "t int, actor int, w int, v double")
+    iv = spark.createDataFrame([(1, f"i{k}", 1 + k % 2, 3 + k % 2) for k in range(10)], "t int, id string, s int, e int")
+    own = intervals.span_sums(intervals.lines(cells, ["t"], "actor", "w", ["v"]), iv, ["t"], "s", "e", ["v"])
+    assert rows(own.select("actor", "s", "e", "points", "v")) == sorted((a, s, s + 2, 3, float(3 * (s + 1) + 3 * a)) for a in range(3) for s in (1, 2))
+    got = intervals.of_spans(own, iv, ["t"], "s", "e")
+    assert got.count() == 30 and got.groupBy("id").agg(F.sum("v").alias("v")).where("id = 'i1'").first()["v"] == 3 * 9 + 9
+
+
+def test_a_join_of_few_keys_is_dealt_into_all_partitions(spark):
+    left, right = spark.range(100).withColumn("k", F.col("id") % 4), spark.range(100, 200).withColumn("k", F.col("id") % 4).withColumnRenamed("id", "other")
+    got = intervals.dealt_join(left, right, ["k"])
+    assert got.count() == 4 * 25 * 25 and "RepartitionByExpression [k" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_query_passes_over_the_plays_once(spark):
+    from grainline.plans.bindings import Tables
+    from grainline.plans.models import training
+
+    t = Tables(spark, SF_SMALL)
+    rows_ = training(t)
+    assert not any("lineitem" in f for f in rows_.inputFiles())
+    whole = Tables(spark, SF_SMALL).team_seasons
+    assert any("lineitem" in f for f in whole.inputFiles()) and rows(t.team_seasons) == rows(whole)
