@@ -31,10 +31,9 @@ _sums_sql = lambda d: ", ".join(f"CAST(sum({c}) AS BIGINT) AS {n}" for n, c in d
 @query("D01_entity_game_metrics", f"""WITH g AS (SELECT {', '.join(GAME_KEYS)}, min(play_id) AS first_play, {_counts_sql(GAME_COUNTS)}, {_sums_sql(GAME_SUMS)} FROM plays GROUP BY ALL)
 SELECT *, first_play = min(first_play) OVER (PARTITION BY game_id, team_id) AS starter, {', '.join(f'CASE WHEN {b} > 0 THEN {a}::DOUBLE / {b}::DOUBLE END AS {n}' for n, (a, b) in GAME_RATES.items())} FROM g""")
 def _(t):
-    g = t.plays.groupBy(*GAME_KEYS).agg(F.min("play_id").alias("first_play"), *(F.count_if(F.expr(c)).alias(n) for n, c in GAME_COUNTS.items()), *(F.sum(F.expr(c)).alias(n) for n, c in GAME_SUMS.items()))
+    g = t.plays_by_game.groupBy(*GAME_KEYS).agg(F.min("play_id").alias("first_play"), *(F.count_if(F.expr(c)).alias(n) for n, c in GAME_COUNTS.items()), *(F.sum(F.expr(c)).alias(n) for n, c in GAME_SUMS.items()))
     # the starter opened the team's game; a team's actors in one game are few
-    first = g.groupBy("game_id", "team_id").agg(F.min("first_play").alias("_f"))
-    out = g.join(first, ["game_id", "team_id"])
+    out = g.withColumn("_f", F.min("first_play").over(Window.partitionBy("game_id", "team_id")))
     return out.select(*GAME_KEYS, "first_play", *GAME_COUNTS, *GAME_SUMS, (C("first_play") == C("_f")).alias("starter"), *(rates.safe_rate(C(a), C(b)).alias(n) for n, (a, b) in GAME_RATES.items()))
 
 

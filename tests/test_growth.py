@@ -115,6 +115,20 @@ def test_a_table_without_moves_keeps_its_placebo_row(spark, tmp_path):
     assert [(r["part"], r["adoption"], r["placebo_p"], r["moves_n"]) for r in got] == [("placebo", None, 1 / 41, 0)]
 
 
+def test_groups_within_a_game_are_built_where_its_plays_meet(spark, monkeypatch):
+    from grainline.plans import bindings
+    from grainline.plans.catalog import QUERIES
+
+    monkeypatch.setattr(bindings, "ROWS_A_TASK", 100)
+    t = bindings.Tables(spark, SF_SMALL)
+    parts = t.plays_by_game.groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("parts"), F.max("n").alias("most")).first()
+    assert parts["parts"] > 40 and parts["most"] < 250  # of some 6,000 lines
+    assert rows(t.plays_by_game) == rows(t.plays)
+    for name in ("D01_entity_game_metrics", "A15_season_summary"):
+        plan = QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("lineitem.parquet") <= 1 and "Expand" not in plan and "hashpartitioning(game_id" not in plan, name
+
+
 def test_season_summary_with_repeated_keys(spark, tmp_path):
     from grainline.plans.catalog import QUERIES
 
