@@ -27,6 +27,15 @@ def test_held_plays_are_added_up_only_where_ids_repeat(spark):
     assert rows(got) == sorted((*k, n) for k, n in want.items())
 
 
+def test_actors_of_a_week_are_told_apart_where_they_meet_the_violations(spark):
+    from grainline.plans.catalog import QUERIES
+
+    plan = QUERIES["I04_exposure_validation"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    dealt = plan.index("RepartitionByExpression [season")
+    # the plays are dealt before they are added up, not after
+    assert plan.index("Aggregate") < dealt < plan.index("l_orderkey")
+
+
 def test_no_correlation_with_one_value_over_many_partitions(spark):
     df = spark.range(0, 99, 1, 3).withColumn("y", F.sin("id")).withColumn("x", F.lit(1.0)).repartition(7)
     for n in (49, 98, 99):
