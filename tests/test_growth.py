@@ -1,6 +1,7 @@
 """Steps whose volume must grow no faster than their rows: the same results as by rows, without the shuffles that grow faster."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -27,6 +28,35 @@ def test_held_plays_are_added_up_only_where_ids_repeat(spark):
     assert rows(got) == sorted((*k, n) for k, n in want.items())
 
 
+def test_held_plays_are_dealt_once_where_no_id_repeats(spark):
+    from grainline.plans.joins import held_plays
+
+    plays = spark.createDataFrame([(g, 1, 1995, g % 2, 1 + g % 4) for g in range(12)], "game_id int, play_id int, season int, team_id int, week int")
+    held = spark.createDataFrame([(f"i{k}", k, 1995, k % 2, 1, 2) for k in range(4)], "interval_id string, owner_id int, season int, team_id int, start_week int, end_week int")
+    plan = lambda p, i: held_plays(p, i)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(plays, held).count("Join Inner") == 1 and "Aggregate" not in plan(plays, held)
+    # a play without a number, in two weeks; an interval in two teams
+    odd = plays.unionByName(spark.createDataFrame([(0, None, 1995, 0, w) for w in (1, 2, 2, 3)], plays.schema))
+    assert rows(held_plays(odd, held).where("game_id = 0 AND play_id IS NULL")) == [(0, None, "i0", 0, 3), (0, None, "i2", 2, 3)]
+    two = held.unionByName(spark.createDataFrame([("i0", 0, 1995, 1, 1, 1)], held.schema))
+    assert rows(held_plays(plays, two).where("interval_id = 'i0'")) == [(g, 1, "i0", 0, 1) for g in (0, 4, 8)] == rows(held_plays(plays, held).where("interval_id = 'i0'"))
+    lone = spark.createDataFrame([(20, 1, 1995, 1, 1)], plays.schema)
+    assert rows(held_plays(plays.unionByName(lone), two).where("interval_id = 'i0' AND game_id = 20")) == [(20, 1, "i0", 0, 1)]
+
+
+def test_plays_by_game_have_no_fewer_tasks_than_a_shuffle(spark, monkeypatch):
+    from grainline.plans import bindings
+
+    monkeypatch.setattr(bindings, "ROWS_A_TASK", 10**6)
+    spark.conf.set("spark.sql.shuffle.partitions", "9")  # more than the tasks of these rows, and than the session's cores
+    try:
+        df = bindings.Tables(spark, SF_SMALL).plays_by_game
+        assert re.findall(r"RepartitionByExpression \[(\w)_orderkey#\d+L?\], (\d+)", df._jdf.queryExecution().optimizedPlan().toString()) == [("l", "9"), ("o", "9")]
+        assert rows(df) == rows(bindings.Tables(spark, SF_SMALL).plays)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_actors_of_a_week_are_told_apart_where_they_meet_the_violations(spark):
     from grainline.plans.catalog import QUERIES
 
